@@ -153,7 +153,7 @@ def frequent_words(docs: DataFrame, text_col: str, path: str, words: int = 50_00
             if len(held) > 8 * summary:
                 held = Counter(dict(held.most_common(4 * summary)))
         top = held.most_common(summary)
-        yield pd.DataFrame({"word": [w for w, _ in top], "n": [c for _, c in top]})
+        yield pd.DataFrame({"word": pd.Series([w for w, _ in top], dtype=object), "n": pd.Series([c for _, c in top], dtype="int64")})
 
     small_batches(docs.sparkSession)
     counts = docs.select(text_col).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
