@@ -28,15 +28,30 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[
     return out.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in take])
 
 
-def floor_lookup(left: DataFrame, table: DataFrame, value: str, key: str, take: list[str]) -> DataFrame:
-    """Each left row with the row of `table` whose key is the greatest not above the value.
+def as_of_chunked(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], width: float, strict: bool = False) -> DataFrame:
+    """`as_of` backward where single keys hold very many rows.
 
-    The table is turned into disjoint intervals, so this is a range join.
+    Rows are dealt to chunks of `width` along `on`, so a key is spread over tasks.
+    A row is found in its own chunk, or else is the last one of the chunks before,
+    which a table with a row per key and chunk tells.
     """
-    own = W.orderBy(key)
-    steps = table.select(F.col(key).alias("_from"), F.lead(key).over(own).alias("_to"), *[F.col(c).alias(f"_t_{c}") for c in take])
-    on = (F.col(value) >= F.col("_from")) & (F.col("_to").isNull() | (F.col(value) < F.col("_to")))
-    return left.join(F.broadcast(steps), on, "left").select(*left.columns, *[F.col(f"_t_{c}").alias(c) for c in take])
+    chunk = F.floor(F.col(on) / width).cast("long")
+    points = left.withColumn("_chunk", chunk)
+    names = [f"_t_{c}" for c in take]
+    rows = right.select(*by, on, chunk.alias("_chunk"), *[F.col(c).alias(n) for c, n in zip(take, names, strict=True)], F.lit(True).alias("_own"))
+    inner = as_of(points, rows, [*by, "_chunk"], on, [*names, "_own"], strict=strict)
+    last = rows.groupBy(*by, "_chunk").agg(F.max_by(F.struct(*names), on).alias("_last"))
+    chunks = last.unionByName(points.select(*by, "_chunk").distinct(), allowMissingColumns=True).groupBy(*by, "_chunk").agg(F.max("_last").alias("_last"))
+    before = F.last("_last", ignorenulls=True).over(W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
+    joined = inner.join(chunks.select(*by, "_chunk", before.alias("_before")), [*by, "_chunk"], "left")
+    return joined.select(*left.columns, *[F.when(F.col("_own"), F.col(n)).otherwise(F.col(f"_before.{n}")).alias(c) for c, n in zip(take, names, strict=True)])
+
+
+def floor_lookup(left: DataFrame, table: DataFrame, value: str, key: str, take: list[str], width: float) -> DataFrame:
+    """Each left row with the row of `table` whose key is the greatest not above the value."""
+    steps = table.select(F.col(key).cast("double").alias("_on"), *[F.col(c).alias(f"_f_{c}") for c in take])
+    found = as_of_chunked(left.withColumn("_on", F.col(value).cast("double")), steps, [], "_on", [f"_f_{c}" for c in take], width)
+    return found.select(*left.columns, *[F.col(f"_f_{c}").alias(c) for c in take])
 
 
 def _cells(start: Column, end: Column, width: int) -> Column:

@@ -268,7 +268,7 @@ def floor_lookup(spark, sf):
     steps = _t(spark, sf, "part").groupBy("p_size").agg(F.min("p_retailprice").alias("price"))
     steps = steps.withColumn("_n", F.row_number().over(W.partitionBy("price").orderBy("p_size"))).where("_n = 1").drop("_n").withColumnRenamed("p_size", "step")
     left = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 20).alias("v"))
-    return lookup.floor_lookup(left, steps, "v", "price", ["step"]).select("l_orderkey", "l_linenumber", "step")
+    return lookup.floor_lookup(left, steps, "v", "price", ["step"], 16).select("l_orderkey", "l_linenumber", "step")
 
 
 @_add("select l_orderkey, l_linenumber, coalesce(p_name, s_name) as symbol from lineitem left join (select p_partkey, p_name from part where p_size > 25) on l_partkey = p_partkey left join supplier on l_suppkey = s_suppkey")
