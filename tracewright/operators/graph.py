@@ -124,8 +124,12 @@ def time_slice(start: int, end: int, creation: bool = True, deref: bool = False,
 
 # --- annotations
 def below(g: Graph, seeds: DataFrame) -> DataFrame:
-    """The seeds and all pointers derived from them."""
-    return closure.descendants(g.derivations(), seeds.select("vid"), key="vid").select("vid")
+    """The seeds and all pointers derived from them (a pointer has one parent)."""
+    return closure.nearest_marked(_parents(g), seeds.select("vid", F.lit(True).alias("mark"))).select("vid")
+
+
+def _parents(g: Graph) -> DataFrame:
+    return g.derivations().select(F.col("dst").alias("vid"), F.col("src").alias("parent"))
 
 
 def stack_pointers(seed: DataFrame) -> Step:
@@ -170,7 +174,7 @@ def mmap_sources(code: int = MMAP) -> Step:
 
     def step(g: Graph) -> Graph:
         seeds = returned_by(g, system_calls(g, code))
-        reached = closure.descendants(g.derivations(), seeds, ["call"], key="vid").groupBy("vid").agg(F.min_by("call", F.struct("depth", "call")).alias("annotated_mmap"))
+        reached = closure.nearest_marked(_parents(g), seeds.withColumnRenamed("call", "mark")).withColumnRenamed("mark", "annotated_mmap")
         return replace(g, vertices=g.vertices.drop("annotated_mmap").join(reached, "vid", "left").withColumn("annotated_mmap", F.coalesce("annotated_mmap", F.lit(-1))))
 
     return step
