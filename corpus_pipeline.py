@@ -10,25 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Scratch, crc_bucket
+from tracewright.llm.common import Scratch, crc_bucket, small_batches
 from tracewright.llm.op1_line_dedup import without_repeated_lines
 from tracewright.llm.op5_packing import pack_documents
-from tracewright.llm.op6_rules import judge
+from tracewright.llm.op6_rules import rules_of
 from tracewright.llm.op7_jaccard import BROADCAST_ROWS, similar_texts
-from tracewright.llm.op9_langid import LEAST_SCORE, identify, learn
+from tracewright.llm.op9_langid import LEAST_SCORE, language_of, learn
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents in one of the labelled languages."""
     profiles = learn(docs.where(F.coalesce(crc_bucket("doc_id", 4) != 2, F.lit(True))))
-    named = identify(docs.withColumnsRenamed({c: f"_{c}" for c in ("lang_pred", "score") if c in docs.columns}), profiles)
-    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"}).select(*docs.columns)
+    guessed = docs.withColumn("__language", language_of(spark, profiles)(F.col("text")))
+    return guessed.where((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rules and the repetition rules."""
-    return judge(docs).where("rules.kept").select(*docs.columns)
+    small_batches(spark)
+    return docs.withColumn("__rules", rules_of(F.col("text"))).where("__rules.kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each class of similar texts (rows that repeat that id are that document)."""
     scratch = Scratch(spark, "kept")
-    gone = scratch.table(similar_texts(docs, count_links=False).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = scratch.table(similar_texts(docs, count_links=False).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

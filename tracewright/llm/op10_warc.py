@@ -26,18 +26,18 @@ NAME = "urn:page:"
 
 
 def with_originals(pages: DataFrame, scratch: Scratch, id_col: str = "page_id", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """`pages` with _original: the page whose payload it repeats, or null."""
+    """`pages` with __original: the page whose payload it repeats, or null."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     key = F.when(F.octet_length(payload) >= least_bytes, F.sha2(payload, 256))
-    shared = pages.select(key.alias("_key"), F.col(id_col).alias("_id")).where("_key is not null").groupBy("_key").agg(F.max("_id").alias("_first"), F.count("*").alias("_n"))
+    shared = pages.select(key.alias("__key"), F.col(id_col).alias("__id")).where("__key is not null").groupBy("__key").agg(F.max("__id").alias("__first"), F.count("*").alias("__n"))
     # written first, so that the planner knows its size: pages move only if it is too large to broadcast
-    shared = scratch.table(shared.where("_n > 1").drop("_n"), "shared")
-    joined = pages.withColumn("_key", key).join(shared, "_key", "left")
-    return joined.withColumn("_original", F.when(~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first"))).drop("_key", "_first")
+    shared = scratch.table(shared.where("__n > 1").drop("__n"), "shared")
+    joined = pages.withColumn("__key", key).join(shared, "__key", "left")
+    return joined.withColumn("__original", F.when(~F.col(id_col).eqNullSafe(F.col("__first")), F.col("__first"))).drop("__key", "__first")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write a record per row to files in `folder`; (path, bytes, records) of the files. `_original` marks revisits."""
+    """Write a record per row to files in `folder`; (path, bytes, records) of the files. `__original` marks revisits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = ArchiveWriter(folder, f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}")
@@ -48,7 +48,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         yield pd.DataFrame(writer.files, columns=["path", "bytes", "records"]).astype({"path": object, "bytes": "int64", "records": "int64"})
 
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.col("_original").cast("string").alias("original"))
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(payload_col).alias("payload"), F.col("__original").cast("string").alias("original"))
     return rows.mapInPandas(run, "path string, bytes long, records long")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_batches
@@ -88,15 +88,20 @@ def measures(text: str | None, least: int = LEAST) -> tuple:
     return n, chars, sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeated, failed, longest, covered, good and not failed
 
 
-def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and the struct `rules` (n_words ... kept); a column of that name is replaced."""
+def rules_of(text: Column) -> Column:
+    """The struct n_words ... kept of each text."""
 
     @F.pandas_udf(SCHEMA)
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measures(x) for x in texts], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
+    return run(text)
+
+
+def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of `docs` and the struct `rules` (n_words ... kept); a column of that name is replaced."""
     small_batches(docs.sparkSession)
-    return docs.withColumn("rules", run(F.col(text_col)))
+    return docs.withColumn("rules", rules_of(F.col(text_col)))
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,18 +100,23 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     return Profiles(ranked)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and lang_pred, score; a column of either name is replaced."""
-    model = docs.sparkSession.sparkContext.broadcast(profiles)
+def language_of(spark: SparkSession, profiles: Profiles):
+    """A function of a text column whose result is the struct lang_pred, score."""
+    model = spark.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.value.predict(x) for x in texts], columns=["lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
+    small_batches(spark)
+    return predict
+
+
+def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
+    """All columns of `docs` and lang_pred, score; a column of either name is replaced."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.withColumn("_guess", predict(F.col(text_col)))
-    return out.select(*kept, "_guess.lang_pred", "_guess.score")
+    out = docs.withColumn("__guess", language_of(docs.sparkSession, profiles)(F.col(text_col)))
+    return out.select(*kept, "__guess.lang_pred", "__guess.score")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
