@@ -178,10 +178,11 @@ def test_provenance_against_the_sequential_rules(spark, seed, chunk):
         act = rng.choice(["root", "clear", "derive", "copy", "copy", "copy", "store", "load", "wipe", "use"])
         ops.append({"idx": i, "sub": 0, "act": act, "dst": f"r{rng.randint(0, 5)}", "src": f"r{rng.randint(0, 5)}", "addr": rng.choice([16, 32, 48]), "valid": rng.random() < 0.6, "origin": "SETBOUNDS", "pc": 4 * i, "is_kernel": True, "base": rng.choice([0, 4096]), "offset": 0, "length": rng.choice([16, 32]), "perms": 7, "otype": 0, "sealed": False, "flags": 4, "time": i})
     df = spark.createDataFrame([tuple(o[c.split()[0]] for c in provenance.UOP.split(", ")) for o in ops], provenance.UOP)
-    made, parents, events, _ = fold(ops)
+    made, parents, events, free = fold(ops)
     p = provenance.provenance(df, chunk_rows=chunk)
     vertices = p.vertices.cache()
     assert {r.vid: (r.origin, (r.base, r.length, r.perms, r.otype)) for r in vertices.where("vid >= 0").collect()} == made
+    assert {r.vid: r.t_free for r in vertices.where("vid >= 0").collect()} == {v: free.get(v, -1) for v in made}
     assert {r.dst: "initial" if r.src is not None and r.src < 0 else r.src for r in p.edges.collect()} == parents
     assert sorted((r.vid, r.addr, r.type) for r in p.events.collect()) == events
 
