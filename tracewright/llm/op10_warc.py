@@ -66,3 +66,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_archives(spark, manifest=files._scratch_path, payload="false").where(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(NAME) + 1}) as bigint)")
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+#: Twenty bits of the hexadecimal digest are four letters of base32.
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((v >> {s}) & 31 as integer) + 1, 1)" for s in (15, 10, 5, 0))
+ORACLE_SQL = f"""
+with p as (select page_id, coalesce(html, '') as html from pages), f as (select html, max(page_id) as first from p group by html),
+j as (select p.page_id, f.first, strlen(p.html) as payload_bytes, sha1(p.html) as h from p join f on p.html = f.html)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, list_reduce(list_transform(list_transform(range(0, 8), lambda i: cast('0x' || substr(h, cast(5 * i + 1 as integer), 5) as bigint)), lambda v: {_LETTERS}), lambda a, b: a || b) as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from j"""

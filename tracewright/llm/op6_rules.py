@@ -105,4 +105,19 @@ def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*")
+    return judge(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "rules.*").drop("longest_repeat", "covered")
+
+
+#: The same by windows of words: repeats of at least k words cover what the repeated windows of k words cover.
+ORACLE_SQL = f"""
+with w as (select doc_id, coalesce(text, '') as text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+n as (select *, len(ws) as n, greatest({MOST_LONG + 1}, cast(floor({LONG_SHARE} * len(ws)) as bigint) + 1) as m from w),
+g as (select doc_id, k, i, hash(ws[i : i + k - 1]) as g from (select doc_id, ws, n, unnest([3, {LEAST}, m]) as k from n), unnest(range(1, n - k + 2)) as t(i)),
+r as (select doc_id, k, i from (select *, count(*) over (partition by doc_id, k, g) as c from g) where c > 1),
+c as (select doc_id, k, count(distinct i + j) as covered from r, unnest(range(0, k)) as u(j) where k in (3, {LEAST}) group by doc_id, k),
+l as (select doc_id, count(*) - count(distinct x) as dup from (select doc_id, unnest(string_split(text, chr(10))) as x from w) where regexp_matches(x, '[^\\x20\\x09-\\x0D]') group by doc_id),
+o as (select n.doc_id, n.n as n_words, length(text) - length(regexp_replace(text, '[^\\x20\\x09-\\x0D]', '', 'g')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(l.dup, 0) as n_dup_lines, coalesce(a.covered, 0) as n_repeat_words, coalesce(b.covered, 0) as often, exists (select 1 from r where r.doc_id = n.doc_id and r.k = n.m) as long_one
+  from n left join l using (doc_id) left join c a on a.doc_id = n.doc_id and a.k = 3 left join c b on b.doc_id = n.doc_id and b.k = {LEAST})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and often <= {MOST_COVERED} * n_words and not long_one as kept from o"""
