@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -34,13 +35,18 @@ class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A table survives the loss of executors, because every executor can read it
-    again.  `drop` removes one that nothing reads any more.
+    again.  `drop` removes one that nothing reads any more; what is left, since
+    results read it, goes when the driver's program ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
+        atexit.register(self._forget)
+
+    def _forget(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            drop_path(self.spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -49,7 +55,6 @@ class Scratch:
         path = self.path(name)
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
