@@ -287,3 +287,24 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.sql("select * from switches").collect()} == {(1, 2, "k", "u"), (1, 4, "u", "k"), (1, 5, "k", "u"), (2, 2, "u", "k")}
+
+
+def test_operand_values(spark):
+    rows = [(i, i, 4 * i, op, [(r, None, 0) for r in regs], False, False, None, 31, 0, 0, w, v, None) for i, op, regs, w, v in ((1, "li", [4], 4, 7), (2, "addiu", [4, 4, 0], 4, 8), (3, "move", [5, 4, 33], 5, 8))]
+    got = {(r.idx, r.ord): r.gpr_val for r in trace.operand_values(spark.createDataFrame(rows, trace.TRACE)).collect()}
+    assert got == {(1, 0): 7, (2, 0): 8, (2, 1): 7, (2, 2): 0, (3, 0): 8, (3, 1): 8, (3, 2): 0}
+    functions = spark.createDataFrame([("f", 0, 10), ("g", 20, 30)], "name string, lowpc long, highpc long")
+    found = trace.function_at_jumps(spark.createDataFrame([(5,), (15,), (25,)], "pc long"), functions)
+    assert {r.pc: r.function for r in found.collect()} == {5: "f", 15: None, 25: "g"}
+
+
+def test_small_tables(spark):
+    from tracewright.operators import distribution
+
+    assert distribution.baseline_cdf(spark).count() == 3
+    bars = distribution.stacked(spark.createDataFrame([("a", 0, 2), ("a", 1, 3)], "k string, bin int, n long"), ["k"])
+    assert {(r.bin, r["from"], r.to) for r in bars.collect()} == {(0, 0, 2), (1, 2, 5)}
+    caps = "base long, length long, perms int, otype int, valid boolean, sealed boolean"
+    snapshot = spark.createDataFrame([(0, 8, 7, 0, True, False, 5), (0, 8, 7, 0, True, False, 3)], f"{caps}, reg int")
+    got = lookup.compatible_register(spark.createDataFrame([(1, 0, 8, 7, 0, True, False), (2, 1, 8, 7, 0, True, False)], f"id int, {caps}"), snapshot, ["id"])
+    assert {tuple(r) for r in got.collect()} == {(1, 3), (2, None)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,3 +79,14 @@ def headroom(vertices: DataFrame, events: DataFrame, exact: bool = False) -> Dat
 def bucket_members(rooms: DataFrame) -> DataFrame:
     """(bin, n, sizes): the pointers of each headroom bin, largest first."""
     return rooms.groupBy("bin").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("total", "vid")), asc=False).alias("sizes"))
+
+
+def baseline_cdf(spark: SparkSession, step: int = 0x10000000000) -> DataFrame:
+    """(size, n, cumulative) of pointers that all reach over the whole address space: one step."""
+    return spark.createDataFrame([(0, 0, 0.0), (step, 0, 0.0), (step, 1, 1.0)], "size long, n long, cumulative double")
+
+
+def stacked(histogram: DataFrame, by: list[str]) -> DataFrame:
+    """Adds from and to: where each bin's bar begins and ends when a group's bars stand on each other."""
+    own = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    return histogram.withColumn("to", F.sum("n").over(own)).withColumn("from", F.col("to") - F.col("n"))

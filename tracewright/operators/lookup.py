@@ -100,3 +100,9 @@ def nearest_in_time(df: DataFrame, when: float, address: int, spread: float, tim
     """The row whose interval holds the address and whose time is nearest, within the spread."""
     near = df.where(F.abs(F.col(time) - when) <= spread).where((F.col(start) <= address) & (F.col(end) >= address))
     return near.orderBy(F.abs(F.col(time) - when), key).limit(1)
+
+
+def compatible_register(values: DataFrame, snapshot: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., reg): the first register of a snapshot (reg, base, length, perms, otype, valid, sealed) that holds just that capability."""
+    like = ["base", "length", "perms", "otype", "valid", "sealed"]
+    return values.join(snapshot.select(*like, "reg"), like, "left").groupBy(*key).agg(F.min("reg").alias("reg"))

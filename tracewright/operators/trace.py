@@ -224,3 +224,27 @@ def dump_lines(trace: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     named = F.when(F.col("symbol").isNotNull(), F.concat(F.lit(" ("), F.col("symbol"), F.lit(")"))).otherwise("")
     except_ = F.when(F.col("exception") != S.NO_EXCEPTION, F.concat(F.lit(" except:"), F.hex("exception"))).otherwise("")
     return t.select("idx", F.concat(F.format_string("{%d:%d} 0x%x %s", F.coalesce("asid", F.lit(0)), "cycles", "pc", "opcode"), except_, named, access).alias("line"))
+
+
+def operand_values(trace: DataFrame) -> DataFrame:
+    """(idx, ord, reg_num, kind, gpr_val, cap): each operand with the value that its register held.
+
+    The target (operand 0) has the value after the instruction, the others those
+    before it; `$zero` is 0, floating registers are 0, unknown ones null.
+    """
+    from .lookup import as_of_chunked
+
+    asked = trace.select("idx", F.posexplode("ops").alias("ord", "o")).select("idx", "ord", F.col("o.reg_num").alias("reg_num"), (F.col("idx") * 2 + F.when(F.col("ord") == 0, 1).otherwise(0)).cast("double").alias("at"))
+    written = trace.where("reg_num is not null").select("reg_num", (F.col("idx") * 2 + 1).cast("double").alias("at"), F.struct("gpr_val", "cap").alias("value"))
+    found = as_of_chunked(asked, written, ["reg_num"], "at", ["value"], 2_000_000.0)
+    kind = S.register_class(F.col("reg_num"))
+    value = F.when((F.col("reg_num") == 0) | (kind == "fp"), F.lit(0).cast("long")).otherwise(F.col("value.gpr_val"))
+    return found.select("idx", "ord", "reg_num", kind.alias("kind"), value.alias("gpr_val"), F.col("value.cap").alias("cap"))
+
+
+def function_at_jumps(jumps: DataFrame, functions: DataFrame) -> DataFrame:
+    """Each jump with the function whose range [lowpc, highpc) its target is in; functions don't overlap."""
+    from .lookup import floor_lookup
+
+    found = floor_lookup(jumps, functions.select("lowpc", "highpc", F.col("name").alias("function")), "pc", "lowpc", ["function", "highpc"], 1 << 20)
+    return found.withColumn("function", F.when(F.col("pc") < F.col("highpc"), F.col("function"))).drop("highpc")
