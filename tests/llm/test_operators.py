@@ -48,7 +48,7 @@ def brute_lines(rows):
     lines = {(i, n): x for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if x.strip()}
     sets = {x: {m[1] for m in start.finditer(x)} for x in set(lines.values())}
     names = sorted(sets)
-    near = [(a, b) for k, a in enumerate(names) for b in names[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    near = [(a, b) for k, a in enumerate(names) for b in names[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
     root = components(near)
     first = {}
     for at in sorted(lines, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):

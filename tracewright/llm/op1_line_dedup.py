@@ -11,10 +11,11 @@ window is one shingle.
    another permutation (exclusive or with a random word).
 3. Lines that agree in a whole band form a bucket.  Each is compared with the
    least line of its bucket; links join components (union-find).
-4. Where a bucket still holds several components, each line of one is compared
-   with the lines of the others whose signatures are alike enough, so a large
-   group of near copies costs one comparison a line, and links between lines
-   that are both unlike the least one are found too.
+4. The lines of buckets that still hold several components are compared with
+   lines of other components that share one of their rarest shingles, which
+   similar lines must (prefix filter).  So a large group of near copies costs one
+   comparison a line, lines that share a frequent passage never meet for that,
+   and links between lines that are both unlike the least one are found too.
 5. One line of each component stays: the first by document and line number.
 
 At a similarity of 0.8 a pair shares a bucket with probability
@@ -26,7 +27,6 @@ Lines of null texts don't exist; blank lines belong to no class and are kept.
 from __future__ import annotations
 
 import random
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -36,9 +36,6 @@ from .common import Scratch, read
 from .components import connected_components
 
 WINDOW, STEP, BANDS, ROWS, SIMILARITY = 12, 8, 10, 3, 0.8
-#: Of the 30 minima, so many may differ in a pair that is still compared: at a similarity of 0.8, 5.6 are expected
-#: and more than 13 come up once in 3,000 pairs.
-MOST_UNLIKE = 13
 #: Candidates are broadcast up to this many digests of 16 bytes, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -71,55 +68,58 @@ def _bands(lines: DataFrame) -> DataFrame:
     return _signatures(lines).select("lid", F.explode_outer(F.array(*bands)).alias("band"))
 
 
-def _sketches(lines: DataFrame) -> DataFrame:
-    """(lid, s0, s1): four bits of each minimum."""
-    half = BANDS * ROWS // 2
-    packed = [reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.col(f"m{k * half + i}").bitwiseAND(F.lit(15)).cast("long"), 4 * i) for i in range(half)]) for k in range(2)]
-    return _signatures(lines).select("lid", *[x.alias(f"s{k}") for k, x in enumerate(packed)])
+def _rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
+    """(lid, h, size): of each line, the rarest shingles among `lines`, so many that a similar line has one of its own rarest among them.
 
-
-def _alike(x: Column, y: Column) -> Column:
-    """How many of half the minima differ in their four bits."""
-    d = x.bitwiseXOR(y)
-    folded = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
-    return F.bit_count(folded.bitwiseAND(F.lit(0x0111111111111111)))
+    Two sets with Jaccard similarity s have s of each in common; so if either's
+    shingles are put in one order, the first n - ceil(s n) + 1 of both meet.
+    """
+    each = lines.select("lid", F.explode_outer("sh").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("df"))
+    own = W.partitionBy("lid")
+    ranked = each.join(counts, "h").withColumn("place", F.row_number().over(own.orderBy("df", "h"))).withColumn("size", F.count("*").over(own))
+    # a shingle that one line alone has meets nothing, but takes its place in the prefix
+    return ranked.where((F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1) & (F.col("df") > 1)).select("lid", "h", "size")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose lines have at least that Jaccard similarity of shingles."""
-    near = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    bound = F.array(F.struct(F.array_distinct(shingles(F.col("x"))).alias("x"), F.array_distinct(shingles(F.col("y"))).alias("y")))
-    counted = F.transform(bound, lambda s: F.transform(F.array(F.size(F.array_intersect(s.x, s.y))), lambda i: i >= F.lit(similarity) * (F.size(s.x) + F.size(s.y) - i)))
-    return near.where(counted[0][0]).select("a", "b")
+    near = pairs.join(sets.select(F.col("lid").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("lid").alias("b"), F.col("sh").alias("y")), "b")
+    common = F.transform(F.array(F.size(F.array_intersect("x", "y"))), lambda i: i >= F.lit(similarity) * (F.size("x") + F.size("y") - i) - 1e-9)
+    return near.where(common[0]).select("a", "b")
 
 
-def line_components(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, comp) of the different lines that have a near copy and aren't the least of theirs."""
-    spark = lines.sparkSession
+def line_components(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(id, comp) of the different lines that have a near copy and aren't the least of theirs, and all lines (doc_id, line_no, lid)."""
     bucket = W.partitionBy("band")
     banded = _bands(lines).select("lid", "band", F.min("lid").over(bucket).alias("first"), F.max("lid").over(bucket).alias("last"))
     banded = scratch.table(banded.where(F.col("first") != F.col("last")), "buckets")
     star = scratch.table(banded.where("lid <> first").select(F.col("lid").alias("a"), F.col("first").alias("b")).distinct(), "star")
     wanted = banded.select("lid").distinct()
     n = wanted.count()
+    wanted = wanted.withColumn("_wanted", F.lit(True))
     wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-    texts = scratch.table(lines.select("lid", "line").join(wanted, "lid", "left_semi").dropDuplicates(["lid"]), "texts")
-    links = scratch.table(_verified(star, texts, similarity), "links")
+    # one more pass over the texts, for the place of every line and the text of the candidates
+    every = lines.join(wanted, "lid", "left").select("doc_id", "line_no", "lid", F.when(F.col("_wanted"), F.col("line")).alias("line"))
+    every = scratch.table(every, "lines")
+    texts = every.where("line is not null").select("lid", "line").dropDuplicates(["lid"])
+    sets = scratch.table(texts.select("lid", F.array_distinct(shingles(F.col("line"))).alias("sh")), "sets")
+    links = scratch.table(_verified(star, sets, similarity), "links")
     first = connected_components(links, scratch)
     # what is left: buckets with lines of several components
     labelled = banded.select("band", "lid").join(first.withColumnRenamed("id", "lid"), "lid", "left").select("band", "lid", F.coalesce("comp", "lid").alias("comp"))
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    labelled = scratch.table(labelled.join(mixed, "band", "left_semi"), "mixed")
-    sketches = _sketches(texts.join(labelled.select("lid").distinct(), "lid", "left_semi"))
-    labelled = labelled.join(sketches, "lid")
-    x, y = (labelled.select("band", *[F.col(c).alias(k + c) for c in ("lid", "comp", "s0", "s1")]) for k in "ab")
-    # the condition is met inside the join: pairs whose signatures rule them out are never made
-    alike = (F.col("alid") > F.col("blid")) & (F.col("acomp") != F.col("bcomp")) & (_alike(F.col("as0"), F.col("bs0")) + _alike(F.col("as1"), F.col("bs1")) <= MOST_UNLIKE)
-    rest = x.alias("x").join(y.alias("y"), (F.col("x.band") == F.col("y.band")) & alike).select(F.col("alid").alias("a"), F.col("blid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = scratch.table(_verified(rest, texts, similarity), "links")
+    left = labelled.join(mixed, "band", "left_semi").select("lid", "comp").distinct()
+    left = scratch.table(sets.join(left, "lid"), "mixed")
+    met = _rare_prefixes(left, similarity).join(left.select("lid", "comp"), "lid")
+    x, y = (met.select("h", *[F.col(c).alias(k + c) for c in ("lid", "comp", "size")]) for k in "ab")
+    # the conditions are met inside the join: pairs of one component, or of too different sizes, are never made
+    apart = (F.col("alid") > F.col("blid")) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9)
+    rest = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & apart).select(F.col("alid").alias("a"), F.col("blid").alias("b")).distinct()
+    rest = scratch.table(_verified(rest, sets, similarity), "links")
     out = connected_components(links.union(rest), scratch) if rest.take(1) else first
-    scratch.drop(banded, star, texts)
-    return out
+    scratch.drop(banded, left, star, sets)
+    return out, every.select("doc_id", "line_no", "lid")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -131,8 +131,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "lines")
     lines = lines_of(docs, id_col, text_col)
-    comps = line_components(lines, scratch)
-    at = lines.select("doc_id", "line_no", "lid").join(comps.withColumnRenamed("id", "lid"), "lid", "left").select("doc_id", "line_no", F.coalesce("comp", "lid").alias("class"))
+    comps, every = line_components(lines, scratch, similarity)
+    at = every.join(comps.withColumnRenamed("id", "lid"), "lid", "left").select("doc_id", "line_no", F.coalesce("comp", "lid").alias("class"))
     keep = at.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
     out = at.join(keep, "class").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no")))
@@ -144,11 +144,16 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     A document all of whose lines repeat lines of others goes; one that had no
     non-blank line stays as it is.  A null id isn't told from another null id.
     """
-    gone = dedup_lines(docs, id_col, text_col).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    held = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left")
-    cut = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    held = held.withColumn("_cut", F.when(F.col("_gone").isNotNull(), cut))
-    return held.where(r"_cut is null or _cut rlike '\\S'").withColumn(text_col, F.coalesce("_cut", text_col)).select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "lines")
+    gone = dedup_lines(docs, id_col, text_col).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    gone = scratch.table(gone, "gone")
+    # a number for each line that goes, an id for each document: broadcast below a bound, else joined by a shuffle
+    if (gone.agg(F.sum(F.size("__gone") + 8).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS * 4:
+        gone = F.broadcast(gone)
+    held = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
+    cut = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
+    held = held.withColumn("__cut", F.when(F.col("__gone").isNotNull(), cut))
+    return held.where(r"__cut is null or __cut rlike '\\S'").withColumn(text_col, F.coalesce("__cut", text_col)).select(*docs.columns)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
