@@ -8,7 +8,7 @@ window is one shingle.
 
 1. Lines are told apart by a 128-bit digest; exact copies are one class.
 2. A signature has `BANDS * ROWS` minima of the shingles' hashes, each under
-   another permutation (exclusive or with a random word).
+   another permutation of all 32 bits (exclusive or with a random word, then an odd factor).
 3. Lines that agree in a whole band form a bucket.  Each is compared with the
    least line of its bucket; links join components (union-find).
 4. The lines of buckets that still hold several components are compared with
@@ -57,9 +57,11 @@ def shingles(line: Column) -> Column:
 def _signatures(lines: DataFrame) -> DataFrame:
     """(lid, m0, m1, ...): the minima of each different line."""
     rng = random.Random(20)
+    # unsigned words, held as long; the products stay within 62 bits
+    permuted = [(F.col("h").bitwiseXOR(F.lit(rng.getrandbits(32) - (1 << 31))) * F.lit(rng.getrandbits(30) | 1)).bitwiseAND(F.lit(0xFFFFFFFF)) for _ in range(BANDS * ROWS)]
     # explode_outer: explode would make the optimizer evaluate the array once more, as a filter
-    each = lines.select("lid", F.explode_outer(shingles(F.col("line"))).alias("h")).select("lid", F.coalesce(F.shiftright("h", 32).cast("int"), F.lit(0)).alias("h"))
-    return each.groupBy("lid").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(rng.getrandbits(31)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    each = lines.select("lid", F.explode_outer(shingles(F.col("line"))).alias("h")).select("lid", F.coalesce(F.shiftright("h", 32), F.lit(0)).alias("h"))
+    return each.groupBy("lid").agg(*[F.min(p).alias(f"m{i}") for i, p in enumerate(permuted)])
 
 
 def _bands(lines: DataFrame) -> DataFrame:
