@@ -1,10 +1,8 @@
 """Line dedup by MinHash, with DataFrame operations only.
 
-A line's shingles are windows of `WINDOW` characters.  A window starts at every
-word, at every `STEP` characters inside a longer word, and at every character of
-scripts that don't put blanks between words; so all characters of a line lie in
-some window, and an edit moves only the windows near it.  A line shorter than a
-window is one shingle.
+A line's shingles are all its windows of `WINDOW` characters, one from every
+character that has so many from it on.  A line shorter than a window is one
+shingle.
 
 1. Lines are told apart by a 128-bit digest; exact copies are one class.
 2. A signature has `BANDS * ROWS` minima of the shingles' hashes, each under
@@ -35,12 +33,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .components import connected_components
 
-WINDOW, STEP, BANDS, ROWS, SIMILARITY = 12, 8, 10, 3, 0.8
+WINDOW, BANDS, ROWS, SIMILARITY = 12, 10, 3, 0.8
+#: Windows are cut out of pieces with this many, since the cost of a cut grows with its place in the text.
+PIECE = 256
 #: Candidates are broadcast up to this many digests of 16 bytes, else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-#: Scripts from U+2E80 on are taken character by character.
-_STARTS = rf"(?=(.{{1,{WINDOW}}}))(?:[\x{{2E80}}-\x{{10FFFF}}]|[^\s\x{{2E80}}-\x{{10FFFF}}]{{1,{STEP}}})"
+#: A window from every character (one past U+FFFF is consumed whole); no match in a line shorter than a window.
+_WINDOWS = rf"(?s)(?=(.{{{WINDOW}}}))."
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,8 +50,18 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shingles(line: Column) -> Column:
-    """The hashes of a line's shingles, with repeats."""
-    return F.transform(F.regexp_extract_all(line, F.lit(_STARTS), F.lit(1)), lambda x: F.xxhash64(x))
+    """The hashes of a line's different shingles."""
+    each = F.when(F.char_length(line) < WINDOW, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_WINDOWS), F.lit(1)))
+    return F.array_distinct(F.transform(each, lambda x: F.xxhash64(x)))
+
+
+def _each_shingle(lines: DataFrame) -> DataFrame:
+    """(lid, h): the hashes of each line's shingles, with repeats; the values are those of `shingles`, made without arrays of texts."""
+    # explode_outer: explode would make the optimizer evaluate the array once more, as a filter
+    starts = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.char_length("line") - (WINDOW - 1), F.lit(1)), F.lit(PIECE)))
+    pieces = lines.select("lid", "line", starts.alias("at")).select("lid", F.substring("line", F.col("at"), F.lit(PIECE + WINDOW - 1)).alias("piece"))
+    places = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.char_length("piece") - (WINDOW - 1), F.lit(1)), F.lit(1)))
+    return pieces.select("lid", "piece", places.alias("at")).select("lid", F.xxhash64(F.substring("piece", F.col("at"), F.lit(WINDOW))).alias("h"))
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -59,8 +69,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
     rng = random.Random(20)
     # unsigned words, held as long; the products stay within 62 bits
     permuted = [(F.col("h").bitwiseXOR(F.lit(rng.getrandbits(32) - (1 << 31))) * F.lit(rng.getrandbits(30) | 1)).bitwiseAND(F.lit(0xFFFFFFFF)) for _ in range(BANDS * ROWS)]
-    # explode_outer: explode would make the optimizer evaluate the array once more, as a filter
-    each = lines.select("lid", F.explode_outer(shingles(F.col("line"))).alias("h")).select("lid", F.coalesce(F.shiftright("h", 32), F.lit(0)).alias("h"))
+    each = _each_shingle(lines).select("lid", F.shiftright("h", 32).alias("h"))
     return each.groupBy("lid").agg(*[F.min(p).alias(f"m{i}") for i, p in enumerate(permuted)])
 
 
@@ -71,24 +80,26 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 
 def _rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
-    """(lid, h, size): of each line, the rarest shingles among `lines`, so many that a similar line has one of its own rarest among them.
+    """(lid, h, place, size): of each line, the rarest shingles among `lines`, so many that a similar line has one of its own rarest among them.
 
     Two sets with Jaccard similarity s have s of each in common; so if either's
     shingles are put in one order, the first n - ceil(s n) + 1 of both meet.
     """
-    each = lines.select("lid", F.explode_outer("sh").alias("h"))
+    each = _each_shingle(lines).distinct()
     counts = each.groupBy("h").agg(F.count("*").alias("df"))
     own = W.partitionBy("lid")
     ranked = each.join(counts, "h").withColumn("place", F.row_number().over(own.orderBy("df", "h"))).withColumn("size", F.count("*").over(own))
     # a shingle that one line alone has meets nothing, but takes its place in the prefix
-    return ranked.where((F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1) & (F.col("df") > 1)).select("lid", "h", "size")
+    return ranked.where((F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1) & (F.col("df") > 1)).select("lid", "h", "place", "size")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose lines have at least that Jaccard similarity of shingles."""
-    near = pairs.join(sets.select(F.col("lid").alias("a"), F.col("sh").alias("x")), "a").join(sets.select(F.col("lid").alias("b"), F.col("sh").alias("y")), "b")
-    common = F.transform(F.array(F.size(F.array_intersect("x", "y"))), lambda i: i >= F.lit(similarity) * (F.size("x") + F.size("y") - i) - 1e-9)
-    return near.where(common[0]).select("a", "b")
+    near = pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
+    # texts are shuffled and the sets made here: a set is many times larger than its text.  Inside lambdas, so that each is made once
+    sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
+    counts = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("all")))
+    return near.where(F.exists(counts, lambda n: n["both"] >= F.lit(similarity) * (n["all"] - n["both"]) - 1e-9)).select("a", "b")
 
 
 def line_components(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -104,23 +115,23 @@ def line_components(lines: DataFrame, scratch: Scratch, similarity: float = SIMI
     # one more pass over the texts, for the place of every line and the text of the candidates
     every = lines.join(wanted, "lid", "left").select("doc_id", "line_no", "lid", F.when(F.col("_wanted"), F.col("line")).alias("line"))
     every = scratch.table(every, "lines")
-    texts = every.where("line is not null").select("lid", "line").dropDuplicates(["lid"])
-    sets = scratch.table(texts.select("lid", F.array_distinct(shingles(F.col("line"))).alias("sh")), "sets")
-    links = scratch.table(_verified(star, sets, similarity), "links")
+    texts = scratch.table(every.where("line is not null").select("lid", "line").dropDuplicates(["lid"]), "texts")
+    links = scratch.table(_verified(star, texts, similarity), "links")
     first = connected_components(links, scratch)
     # what is left: buckets with lines of several components
     labelled = banded.select("band", "lid").join(first.withColumnRenamed("id", "lid"), "lid", "left").select("band", "lid", F.coalesce("comp", "lid").alias("comp"))
     mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
     left = labelled.join(mixed, "band", "left_semi").select("lid", "comp").distinct()
-    left = scratch.table(sets.join(left, "lid"), "mixed")
+    left = scratch.table(texts.join(left, "lid"), "mixed")
     met = _rare_prefixes(left, similarity).join(left.select("lid", "comp"), "lid")
-    x, y = (met.select("h", *[F.col(c).alias(k + c) for c in ("lid", "comp", "size")]) for k in "ab")
-    # the conditions are met inside the join: pairs of one component, or of too different sizes, are never made
-    apart = (F.col("alid") > F.col("blid")) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9)
+    x, y = (met.select("h", *[F.col(c).alias(k + c) for c in ("lid", "comp", "place", "size")]) for k in "ab")
+    # the conditions are met inside the join: pairs of one component, of too different sizes, or with too few shingles from this place on, are never made
+    after = 1 + F.least(F.col("asize") - F.col("aplace"), F.col("bsize") - F.col("bplace"))
+    apart = (after >= F.lit(similarity / (1 + similarity)) * (F.col("asize") + F.col("bsize")) - 1e-9) & (F.col("alid") > F.col("blid")) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9)
     rest = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & apart).select(F.col("alid").alias("a"), F.col("blid").alias("b")).distinct()
-    rest = scratch.table(_verified(rest, sets, similarity), "links")
+    rest = scratch.table(_verified(rest, texts, similarity), "links")
     out = connected_components(links.union(rest), scratch) if rest.take(1) else first
-    scratch.drop(banded, left, star, sets)
+    scratch.drop(banded, left, star, texts)
     return out, every.select("doc_id", "line_no", "lid")
 
 
