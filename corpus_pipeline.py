@@ -38,11 +38,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class of similar texts (rows that repeat that id are that document)."""
+    """Keeps one row of each class of similar texts: that of the least doc_id, nulls last, then of the least key of its own."""
     scratch = Scratch(spark, "kept")
-    gone = scratch.table(similar_texts(docs, count_links=False).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    rows = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    classes = scratch.table(similar_texts(rows, id_col="__row", count_links=False).withColumnRenamed("doc_id", "__row"), "classes")
+    several = classes.where("__row <> class_id").select("class_id").distinct()
+    members = classes.join(several, "class_id", "left_semi").join(rows.select("__row", "doc_id"), "__row")
+    kept = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__kept"))
+    gone = scratch.table(members.join(kept, "class_id").where("__row <> __kept").select(F.col("__row").alias("__gone")), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,19 @@ def test_near_copies_leave_one(spark, corpus):
     assert {2, 3} <= out and not {50, 51} & out
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(400)]
+    shared, texts = prose(rng, 20, words), [prose(rng, 60, words) for _ in range(6)]
+    rows = [(None, f"{shared}\n{texts[0]}"), (None, f"{texts[1]}\n{shared}"), (None, f"{shared}\n{texts[2]}"), (7, f"{texts[3]}\n{shared}"), (7, f"{shared}\n{texts[4]}"), (None, texts[5]), (None, texts[5]), (7, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()]
+    assert sorted(line for text in out for line in text.split("\n")) == sorted([shared, *texts])
+    copies = spark.createDataFrame([(None, texts[0]), (None, texts[0]), (7, texts[1]), (7, texts[2]), (3, texts[2]), (9, texts[0]), (5, texts[3]), (5, texts[3])], "doc_id long, text string")
+    out = sorted((r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard(spark, copies, "").collect())
+    assert out == sorted([(9, texts[0]), (7, texts[1]), (3, texts[2]), (5, texts[3])])
+
+
 def test_run_equals_its_stages(spark, corpus):
     path, _, _ = corpus
     assert corpus_pipeline.run(spark, f"file://{path}").count() >= 44

@@ -43,9 +43,9 @@ BROADCAST_ROWS = 1_000_000
 _WINDOWS = rf"(?s)(?=(.{{{WINDOW}}}))."
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line, lid): the non-blank lines; lid is the digest of the line."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(doc_id, row, line_no, line, lid): the non-blank lines; lid is the digest of the line, row the key of the document's row (0 without one)."""
+    cut = docs.select(F.col(id_col).alias("doc_id"), (F.col(row_col) if row_col else F.lit(0)).cast("long").alias("row"), F.posexplode_outer(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
     return cut.where(r"line rlike '\\S'").withColumn("lid", F.unhex(F.md5("line")))
 
 
@@ -103,7 +103,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def line_components(lines: DataFrame, scratch: Scratch, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(id, comp) of the different lines that have a near copy and aren't the least of theirs, and all lines (doc_id, line_no, lid)."""
+    """(id, comp) of the different lines that have a near copy and aren't the least of theirs, and all lines (doc_id, row, line_no, lid)."""
     bucket = W.partitionBy("band")
     banded = _bands(lines).select("lid", "band", F.min("lid").over(bucket).alias("first"), F.max("lid").over(bucket).alias("last"))
     banded = scratch.table(banded.where(F.col("first") != F.col("last")), "buckets")
@@ -113,7 +113,7 @@ def line_components(lines: DataFrame, scratch: Scratch, similarity: float = SIMI
     wanted = wanted.withColumn("_wanted", F.lit(True))
     wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
     # one more pass over the texts, for the place of every line and the text of the candidates
-    every = lines.join(wanted, "lid", "left").select("doc_id", "line_no", "lid", F.when(F.col("_wanted"), F.col("line")).alias("line"))
+    every = lines.join(wanted, "lid", "left").select("doc_id", "row", "line_no", "lid", F.when(F.col("_wanted"), F.col("line")).alias("line"))
     every = scratch.table(every, "lines")
     texts = scratch.table(every.where("line is not null").select("lid", "line").dropDuplicates(["lid"]), "texts")
     links = scratch.table(_verified(star, texts, similarity), "links")
@@ -132,7 +132,17 @@ def line_components(lines: DataFrame, scratch: Scratch, similarity: float = SIMI
     rest = scratch.table(_verified(rest, texts, similarity), "links")
     out = connected_components(links.union(rest), scratch) if rest.take(1) else first
     scratch.drop(banded, left, star, texts)
-    return out, every.select("doc_id", "line_no", "lid")
+    return out, every.select("doc_id", "row", "line_no", "lid")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float, row_col: str | None = None) -> DataFrame:
+    """(doc_id, row, line_no, keep): each line and the one (doc_id, row, line_no) that stays for its component."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    lines = lines_of(docs, id_col, text_col, row_col)
+    comps, every = line_components(lines, scratch, similarity)
+    at = every.join(comps.withColumnRenamed("id", "lid"), "lid", "left").select("doc_id", "row", "line_no", F.coalesce("comp", "lid").alias("class"))
+    keep = at.groupBy("class").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("keep"))
+    return at.join(keep, "class").select("doc_id", "row", "line_no", "keep")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -142,12 +152,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one document id are told apart by nothing, so their lines of one number are
     all kept or all dropped.  Null ids come before all others.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
-    lines = lines_of(docs, id_col, text_col)
-    comps, every = line_components(lines, scratch, similarity)
-    at = every.join(comps.withColumnRenamed("id", "lid"), "lid", "left").select("doc_id", "line_no", F.coalesce("comp", "lid").alias("class"))
-    keep = at.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
-    out = at.join(keep, "class").select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
+    out = _decided(docs, id_col, text_col, similarity).select("doc_id", "line_no", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line_no").alias("keep_line_no"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("line_no") == F.col("keep_line_no")))
 
 
@@ -155,15 +160,18 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """The documents without the lines that `dedup_lines` doesn't keep; all columns stay.
 
     A document all of whose lines repeat lines of others goes; one that had no
-    non-blank line stays as it is.  A null id isn't told from another null id.
+    non-blank line stays as it is.  Every row has a key of its own, so rows that
+    repeat an id, or have none, are different documents; the least key breaks ties.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    gone = dedup_lines(docs, id_col, text_col).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    rows = scratch.table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    other = (F.col("row") != F.col("keep.row")) | (F.col("line_no") != F.col("keep.line_no"))
+    gone = _decided(rows, id_col, text_col, SIMILARITY, "__row").where(other).groupBy("row").agg(F.collect_list("line_no").alias("__gone"))
     gone = scratch.table(gone, "gone")
-    # a number for each line that goes, an id for each document: broadcast below a bound, else joined by a shuffle
+    # a number for each line that goes, a key for each document: broadcast below a bound, else joined by a shuffle
     if (gone.agg(F.sum(F.size("__gone") + 8).alias("n")).first()["n"] or 0) <= BROADCAST_ROWS * 4:
         gone = F.broadcast(gone)
-    held = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
+    held = rows.join(gone.withColumnRenamed("row", "__row"), "__row", "left")
     cut = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     held = held.withColumn("__cut", F.when(F.col("__gone").isNotNull(), cut))
     return held.where(r"__cut is null or __cut rlike '\\S'").withColumn(text_col, F.coalesce("__cut", text_col)).select(*docs.columns)
