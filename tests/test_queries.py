@@ -34,6 +34,18 @@ def test_query(spark, duck, name):
     assert _norm([tuple(r[c] for c in names) for r in df.collect()]) == _norm(want)
 
 
+def test_edge_call_times_of_all_users(spark, tmp_path):
+    rows = [(n, u, ["view", "purchase", "error"][(n * 7 + u) % 3]) for n, u in enumerate([3, 25, 3, 1000, 25, 25, 3, 1000, 19, 20, 20, 25])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"file://{tmp_path}/events.parquet")
+    times, last = {}, {}
+    for n, u, kind in rows:
+        if u in last:
+            times.setdefault((last[u], kind, u), []).append(str(n))
+        last[u] = kind
+    got = catalog.queries()["edge_call_times"](spark, f"file://{tmp_path}")
+    assert sorted(tuple(r) for r in got.select("src", "dst", "calls", "times").collect()) == sorted((s, d, len(t), ",".join(t)) for (s, d, _), t in times.items())
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -363,7 +363,7 @@ def axis_transform(spark, sf):
 def edge_call_times(spark, sf):
     from pyspark.sql import Window as W
 
-    e = _t(spark, sf, "events").where("user_id < 20").select("user_id", F.col("event_type").alias("dst"), F.col("event_id").alias("t"), F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id")).alias("src"))
+    e = _t(spark, sf, "events").select("user_id", F.col("event_type").alias("dst"), F.col("event_id").alias("t"), F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id")).alias("src"))
     return e.where("src is not null").groupBy("src", "dst", "user_id").agg(F.count("*").alias("calls"), F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda x: x.cast("string")), ",").alias("times")).select("src", "dst", "calls", "times")
 
 
