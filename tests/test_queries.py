@@ -46,6 +46,32 @@ def test_edge_call_times_of_all_users(spark, tmp_path):
     assert sorted(tuple(r) for r in got.select("src", "dst", "calls", "times").collect()) == sorted((s, d, len(t), ",".join(t)) for (s, d, _), t in times.items())
 
 
+@pytest.fixture(scope="module")
+def few_parts(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("parts")
+    parts = [(1, 900.5, 10), (2, 905.25, 50), (3, 1000.0, 11), (7, 1100.5, 5), (8, 1200.0, 20), (14, 1210.75, 30)]
+    lines = [(1, 1, 900.52), (1, 2, 905.27), (2, 1, 1000.0), (2, 2, 1000.06), (3, 1, 1100.55), (3, 2, 1210.79), (4, 1, None)]
+    spark.createDataFrame(parts, "p_partkey long, p_retailprice double, p_size int").write.parquet(f"file://{path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"file://{path}/lineitem.parquet")
+    return f"file://{path}", parts, lines
+
+
+def test_range_join_point_of_all_parts(spark, few_parts):
+    path, parts, lines = few_parts
+    got = catalog.queries()["range_join_point"](spark, path)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((o, n, k) for o, n, x in lines for k, lo, _ in parts if x is not None and lo <= x <= lo + 0.05)
+
+
+def test_axis_transform_of_all_parts(spark, few_parts):
+    path, parts, _ = few_parts
+    # kept: [900, 955), [1000, 1011), [1100, 1105), [1200, 1240); gaps of 45, 89 and 95 share 5 % of the kept 111
+    scale = 0.05 * 111 / 229
+    starts = [(900, 955, 0.0), (1000, 1011, 55 + 45 * scale), (1100, 1105, 66 + 134 * scale), (1200, 1240, 71 + 229 * scale)]
+    want = {k: next(x0 + v - a for a, b, x0 in starts if a <= v < b) for k, v, _ in parts}
+    got = {r.p_partkey: r.x for r in catalog.queries()["axis_transform"](spark, path).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -250,7 +250,7 @@ def fuse_pairs(spark, sf):
 # --- range joins and lookups (C10, C11)
 @_add("select l_orderkey, l_linenumber, p_partkey from lineitem join part on l_extendedprice between p_retailprice and p_retailprice + 0.05 where p_size <= 10")
 def range_join_point(spark, sf):
-    bands = _t(spark, sf, "part").where("p_size <= 10").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 0.05).alias("hi"))
+    bands = _t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 0.05).alias("hi"))
     return lookup.points_in_intervals(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), bands, "l_extendedprice", "lo", "hi", 8).select("l_orderkey", "l_linenumber", "p_partkey")
 
 
@@ -354,7 +354,7 @@ o as (select *, coalesce(sum(size * scale) over (order by a rows between unbound
 select p_partkey, round(x0 + (p_retailprice - a) * scale, 6) as x from part left join o on p_retailprice >= a and p_retailprice < b""")
 def axis_transform(spark, sf):
     p = _t(spark, sf, "part")
-    spans = p.where("p_partkey % 7 = 0").select(F.floor("p_retailprice").cast("bigint").alias("s"), (F.floor("p_retailprice").cast("bigint") + F.col("p_size")).alias("e"))
+    spans = p.select(F.floor("p_retailprice").cast("bigint").alias("s"), (F.floor("p_retailprice").cast("bigint") + F.col("p_size")).alias("e"))
     return intervals.to_axis(p.select("p_partkey", "p_retailprice"), intervals.segments(spans, "s", "e"), "p_retailprice").select("p_partkey", F.round("x", 6).alias("x"))
 
 
