@@ -146,6 +146,13 @@ def test_additive_model_learns_an_interaction():
 
 
 # --- 3
+def test_nearest_with_a_repeated_id(spark):
+    rows = [(1, [1.0, 2.0])] * 40 + [(2, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [2.0, -1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    reps = {tuple(r.v): r.ids for r in op3_ann.representatives(df, 5, Scratch(spark, "t")).collect()}
+    assert reps == {(1.0, 2.0): [1, 2, 3], (2.0, -1.0): [4]}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 16)).astype(np.float32)

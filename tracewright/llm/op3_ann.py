@@ -40,8 +40,8 @@ def representatives(rows: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(ids, v, width): each different vector with its k + 1 least ids."""
     keyed = rows.select("id", "v", F.xxhash64("v").alias("h0"), F.xxhash64(F.lit(1), "v").alias("h1"))
     place = F.row_number().over(W.partitionBy("h0", "h1").orderBy("id"))
-    # the limit by group is applied before the shuffle too
-    few = keyed.withColumn("place", place).where(F.col("place") <= 2 * k + 2)
+    # ids are made distinct first: rows that repeat one id must not take the places of others
+    few = keyed.dropDuplicates(["h0", "h1", "id"]).withColumn("place", place).where(F.col("place") <= k + 1)
     reps = few.groupBy("h0", "h1").agg(F.slice(F.array_sort(F.array_distinct(F.collect_list("id"))), 1, k + 1).alias("ids"), F.first("v").alias("v"))
     return scratch.table(reps.select("ids", "v", F.size("v").alias("width")), "vectors")
 
