@@ -2,10 +2,10 @@
 
 1. A text is its set of 5-word shingles.  Texts with equal sets are one set.
 2. Each of `TREES` trees orders the sets by their minima under `DEEP` own
-   permutations.  Sets that share a prefix of the minima stand together in the
-   sorted trie.  The prefix is first taken whole, then shortened to the longest
-   length at which a pair of the wanted similarity shares one with at least the
-   probability `RECALL`.
+   permutations.  Two prefix lengths stand for a descent in sorted tries: the
+   whole prefix, and the longest one that a pair of the wanted similarity shares
+   with at least the probability `RECALL` if permutations were independent.  They
+   are exclusive ors, so pairs of short texts are missed somewhat more often.
 3. At each length, a set is compared with the least set of its trie node, unless
    they are in one component already; exact Jaccard similarities make links.
 4. Trie nodes that then still hold several components are compared set by set,
