@@ -41,12 +41,14 @@ def test_components(spark):
 
 
 # --- 1
-def brute_lines(rows):
-    import re
+def all_windows(line):
+    return {line[i : i + 12] for i in range(max(len(line) - 11, 1))}
 
-    start = re.compile(r"(?=(.{1,12}))(?:[⺀-\U0010FFFF]|[^\s⺀-\U0010FFFF]{1,8})")
+
+def brute_lines(rows):
+    """Each line and the one that stays, from the sets of all windows of 12 characters."""
     lines = {(i, n): x for i, t in rows if t is not None for n, x in enumerate(t.split("\n")) if x.strip()}
-    sets = {x: {m[1] for m in start.finditer(x)} for x in set(lines.values())}
+    sets = {x: all_windows(x) for x in set(lines.values())}
     names = sorted(sets)
     near = [(a, b) for k, a in enumerate(names) for b in names[:k] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
     root = components(near)
@@ -78,8 +80,8 @@ def missed_pairs(spark, n, edited):
         line = "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
         rows += [(2 * i, line), (2 * i + 1, "".join(chr(ord(x) ^ 1) for x in line[:edited]) + line[edited:])]
     seen = defaultdict(set)
-    for r in op1_line_dedup._bands(spark.createDataFrame(rows, "lid long, line string")).collect():
-        seen[r.lid].add(r.band)
+    for r in op1_line_dedup.signed(spark.createDataFrame(rows, "lid long, line string")).collect():
+        seen[r.lid] = set(r.bands)
     return sum(not seen[2 * i] & seen[2 * i + 1] for i in range(3000))
 
 
@@ -88,10 +90,6 @@ def test_short_lines_share_a_bucket(spark):
     assert missed_pairs(spark, 20, 1) <= 9
 
 
-def all_windows(line):
-    return {line[i : i + 12] for i in range(max(len(line) - 11, 1))}
-
-
 def test_lines_against_all_windows(spark):
     rng, abc = random.Random(8), "abcdefghijklmnopqrstuvwxyz"
     words = ["".join(rng.choice(abc) for _ in range(rng.randint(2, 11))) for _ in range(400)]
@@ -111,7 +109,25 @@ def test_lines_against_all_windows(spark):
     table = docs.select(F.col("doc_id").alias("lid"), F.col("text").alias("line"))
     arrays = {r.lid: set(r.h) for r in table.select("lid", op1_line_dedup.shingles(F.col("line")).alias("h")).collect()}
     assert {i: len(h) for i, h in arrays.items()} == {i: len(x) for i, x in enumerate(sets)}
-    assert arrays == {r.lid: set(r.h) for r in op1_line_dedup._each_shingle(table).groupBy("lid").agg(F.collect_set("h").alias("h")).collect()}
+    each = op1_line_dedup._hashed(table)
+    each = each.select("lid", F.explode(F.array(*[c for c in each.columns if c != "lid"])).alias("h"))
+    assert arrays == {r.lid: set(r.h) for r in each.groupBy("lid").agg(F.collect_set("h").alias("h")).collect()}
+
+
+def test_lines_that_share_a_passage_and_a_large_near_group(spark, monkeypatch):
+    rng, abc = random.Random(14), "abcdefghijklmnopqrstuvwxyz"
+    text = lambda n: "".join(rng.choice(abc) for _ in range(n))
+    passage, base = text(400), text(240)
+    lines = [text(rng.randint(60, 500)) + passage + text(rng.randint(60, 500)) for _ in range(60)]
+    for _ in range(140):
+        edited = list(base)
+        for _ in range(rng.randint(1, 3)):
+            edited[rng.randrange(240)] = "#"
+        lines.append("".join(edited))
+    monkeypatch.setattr(op1_line_dedup, "CROWD", 8)
+    want = {(at[0], first[0]) for at, first in brute_lines(list(enumerate(lines)))}
+    got = {(r.doc_id, r.keep_doc_id) for r in op1_line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_lines_runs_without_python(docs):

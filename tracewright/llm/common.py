@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch: bounds a Python worker's memory by rows and by bytes.
 BATCH_ROWS = 1000
+#: A table of a few short columns is broadcast up to this many rows, about 30 MB in memory.
+BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,3 +77,8 @@ def crc_bucket(col: str, n: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def smaller_side(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table to join with, broadcast if it is counted not to exceed the bound; else a shuffled join, which adaptive execution can split."""
+    return F.broadcast(table) if table.count() <= rows else table
