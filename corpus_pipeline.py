@@ -1,8 +1,12 @@
 """A training corpus out of `documents`: stages of operators, each on what the one before kept.
 
 Every stage is written as Parquet and read again for the next.  Rows with a null
-text, or one without a letter, go at the first stage.  A text's n_chars follows
-its text.  Columns beyond those of `documents` pass through all but the last stage.
+text, or one without a letter (an empty one too), go at the first stage.  A text's
+n_chars follows its text.  Columns beyond those of `documents` pass through all but
+the last stage, whatever their names.  Repeated rows are documents of their own at
+every stage.  Ties: of like lines or documents the one with the least doc_id stays
+(nulls first among lines, last among documents), then the first read.  An empty
+table gives an empty one at every stage.
 """
 
 from __future__ import annotations
@@ -10,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import Scratch, crc_bucket, small_batches
+from tracewright.llm.common import Scratch, crc_bucket, small_batches, smaller_side
 from tracewright.llm.op1_line_dedup import without_repeated_lines
 from tracewright.llm.op5_packing import pack_documents
 from tracewright.llm.op6_rules import rules_of
-from tracewright.llm.op7_jaccard import BROADCAST_ROWS, similar_texts
+from tracewright.llm.op7_jaccard import similar_texts
 from tracewright.llm.op9_langid import LEAST_SCORE, language_of, learn
 
 
@@ -46,7 +50,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     members = classes.join(several, "class_id", "left_semi").join(rows.select("__row", "doc_id"), "__row")
     kept = members.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))["__row"].alias("__kept"))
     gone = scratch.table(members.join(kept, "class_id").where("__row <> __kept").select(F.col("__row").alias("__gone")), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    gone = smaller_side(gone)
     return rows.join(gone, rows["__row"] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
