@@ -1,20 +1,27 @@
-"""Join of texts with similar word n-grams, by a forest of MinHash prefixes.
+"""Join of texts with similar word n-grams, by a forest of MinHash tries.
 
 1. A text is its set of 5-word shingles.  Texts with equal sets are one set.
-2. Each of `TREES` trees orders the sets by their minima under `DEEP` own
-   permutations.  Two prefix lengths stand for a descent in sorted tries: the
-   whole prefix, and the longest one that a pair of the wanted similarity shares
-   with at least the probability `RECALL` if permutations were independent.  They
-   are exclusive ors, so pairs of short texts are missed somewhat more often.
-3. At each length, a set is compared with the least set of its trie node, unless
-   they are in one component already; exact Jaccard similarities make links.
-4. Trie nodes that then still hold several components are compared set by set,
-   in blocks, so no link that the forest shows is missed.
+2. Each of `TREES` trees holds every set's path: its minima under `DEEP` own
+   permutations.  The paths of all trees are sorted together by ranges, so a node
+   of a trie is a run of rows with a common prefix, and one pass over the sorted
+   rows finds, for every set, the longest prefix that it shares and the first set
+   of its node at each shorter one.
+3. Matched prefixes are shortened level by level, from the whole path to the
+   longest prefix by which a pair of the wanted similarity meets with at least
+   the probability `RECALL`.  On each level a set is compared with the first set
+   of its node unless they are in one component already; exact Jaccard
+   similarities make links.
+4. Nodes that then still hold several components are compared set by set, in
+   blocks, so no link that the forest shows is missed.
 5. Within each component all sets are compared in blocks, exactly, for the number
    of links of each; pairs are counted, never listed.
 
-Texts without words (nulls too) are each alone.  Repeated rows of a document are
-documents of their own, with one id.
+A permutation is an exclusive or with a random word, then an odd factor, modulo 2^32.
+
+Texts without words (nulls and empty ones too) are each alone.  Repeated rows of a
+document are documents of their own, with one id.  The class is named by its least
+id, whatever the order of rows; an empty table gives an empty one; columns beyond
+the id and the text aren't read.
 """
 
 from __future__ import annotations
@@ -24,19 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read, small_batches
+from .common import Scratch, read, small_batches, smaller_side
 from .components import connected_components
 from .shingles import shingle_sets, similar
 
 WORDS, SIMILARITY, TREES, DEEP, RECALL = 5, 0.8, 16, 8, 0.999
-#: So many sets are compared with so many others in one task.
-BLOCK = 256
-#: Candidates are broadcast up to this many short rows, else joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Two blocks are compared in one task; a block has about so many sets, and about so many shingles.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def shortest_prefix(similarity: float = SIMILARITY, trees: int = TREES, deep: int = DEEP, recall: float = RECALL) -> int:
@@ -44,66 +49,142 @@ def shortest_prefix(similarity: float = SIMILARITY, trees: int = TREES, deep: in
     return max((d for d in range(1, deep + 1) if 1 - (1 - similarity**d) ** trees >= recall), default=1)
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """(doc_id, sid, n, deep, flat): a text's set, its size, and its node in each tree at both prefix lengths."""
-    seeds = np.random.default_rng(7).integers(0, 1 << 32, TREES * DEEP, np.uint32)
-    flat = shortest_prefix(similarity)
-    power = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) * (i + 3) % (1 << 64) | 1 for i in range(DEEP)], np.uint64)
-    trees = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, sid, n, paths): a text's set, its size, and its path in each tree: a byte for the tree, four for each minimum."""
+    rng = np.random.default_rng(7)
+    words, odd = (rng.integers(0, 1 << 32, TREES * DEEP, np.uint32) for _ in range(2))
+    odd |= np.uint32(1)
+    trees = [bytes([t]) for t in range(TREES)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for s in shingle_sets(pdf["text"].tolist(), WORDS):
                 if not len(s):
-                    rows.append((None, 0, [], []))
+                    rows.append((None, 0, []))
                     continue
                 h = (s >> np.uint64(32)).astype(np.uint32)
-                least = np.full(len(seeds), 0xFFFFFFFF, np.uint32)
+                least = np.full(len(words), 0xFFFFFFFF, np.uint32)
                 for a in range(0, len(h), 4096):
-                    np.minimum(least, (h[a : a + 4096, None] ^ seeds).min(0), out=least)
-                terms = least.reshape(TREES, DEEP).astype(np.uint64) * power
-                nodes = [((terms[:, :d].sum(1) ^ (trees + np.uint64(d))) * np.uint64(0xFF51AFD7ED558CCD)).astype(np.int64) for d in (DEEP, flat)]
-                rows.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s), *nodes))
-            out = pd.DataFrame(rows, columns=["sid", "n", "deep", "flat"])
+                    np.minimum(least, ((h[a : a + 4096, None] ^ words) * odd).min(0), out=least)
+                flat = least.astype(">u4").tobytes()
+                rows.append((_digest(s), len(s), [t + flat[4 * DEEP * i : 4 * DEEP * (i + 1)] for i, t in enumerate(trees)]))
+            out = pd.DataFrame(rows, columns=["sid", "n", "paths"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, sid binary, n long, deep array<long>, flat array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, sid binary, n long, paths array<binary>")
 
 
-def _nodes(sets: DataFrame, depth: str) -> DataFrame:
-    """(node, sid, first, last) of the trie nodes with several sets."""
-    own = W.partitionBy("node")
-    rows = sets.select("sid", F.explode_outer(depth).alias("node"))
-    return rows.select("node", "sid", F.min("sid").over(own).alias("first"), F.max("sid").over(own).alias("last")).where(F.col("first") != F.col("last"))
+def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many minima from the first on are equal in each pair of paths (rows of bytes); none in different trees."""
+    x, y = (np.ascontiguousarray(v[:, 1:]).view(np.uint32) for v in (a, b))
+    return np.cumprod(x == y, axis=1).sum(1) * (a[:, 0] == b[:, 0])
 
 
-def _grouped(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Of star pairs (a, b) those that are similar; the sets around one b are dealt to groups of about `BLOCK`."""
-    size = pairs.groupBy("b").agg(F.count("*").alias("size"))
-    dealt = pairs.join(size, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("size") / BLOCK)).cast("int")).select("b", "part", F.col("a").alias("sid"))
+def _matched(sets: DataFrame, flat: int) -> DataFrame:
+    """(part, depth, node, a, b, path): set `b` is the first of the node at that depth in which the set `a` is; node: at the least depth.
+
+    Depth -1 and -2 mark the first and the last row of a part of the sorted rows;
+    the last one's `b` holds the first sets of its nodes.
+    """
+    depths = list(range(flat, DEEP + 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, before, firsts = TaskContext.get().partitionId(), None, []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sids = [bytes(x) for x in pdf["sid"]]
+            path = np.frombuffer(b"".join(map(bytes, pdf["path"])), np.uint8).reshape(len(sids), -1)
+            if before is None:
+                firsts = [sids[0]] * len(depths)
+                yield pd.DataFrame([(part, -1, 0, sids[0], None, path[0].tobytes())], columns=_MATCHED)
+            lcp = common_prefix(path, np.concatenate([path[:1] if before is None else before, path[:-1]]))
+            if before is None:
+                lcp[0] = 0
+            node = path[:, : 1 + 4 * flat]
+            rows, held = [], [None] * len(sids)
+            for k in range(len(depths) - 1, -1, -1):  # from the deepest node, so that a first set is met once
+                at = np.maximum.accumulate(np.where(lcp < depths[k], np.arange(len(sids)), -1))
+                for i in np.flatnonzero(lcp >= depths[k]).tolist():
+                    first = firsts[k] if at[i] < 0 else sids[at[i]]
+                    if first != held[i]:
+                        held[i] = first
+                        rows.append((part, depths[k], int.from_bytes(hashlib.blake2b(node[i].tobytes(), digest_size=8).digest(), "big", signed=True), sids[i], first, None))
+                if at[-1] >= 0:
+                    firsts[k] = sids[at[-1]]
+            before = path[-1:]
+            yield pd.DataFrame(rows, columns=_MATCHED)
+        if before is not None:
+            yield pd.DataFrame([(part, -2, 0, sids[-1], b"".join(firsts), before.tobytes())], columns=_MATCHED)
+
+    rows = sets.select("sid", F.explode_outer("paths").alias("path"))
+    return rows.repartitionByRange("path").sortWithinPartitions("path", "sid").mapInPandas(run, "part int, depth int, node long, a binary, b binary, path binary")
+
+
+_MATCHED = ["part", "depth", "node", "a", "b", "path"]
+
+
+def across_parts(ends: list, flat: int) -> list[tuple]:
+    """(depth, node, a, b) for nodes that go on in the next part: its first set and the node's first one.  Two rows a part, in order."""
+    out, before, carried = [], None, {}
+    for head, tail in zip(ends[::2], ends[1::2], strict=True):
+        width = len(tail["b"]) // (DEEP + 1 - flat)
+        own = {d: bytes(tail["b"][i * width : (i + 1) * width]) for i, d in enumerate(range(flat, DEEP + 1))}
+        paths = [np.frombuffer(bytes(x["path"]), np.uint8)[None, :] for x in (head, tail)]
+        shared = int(common_prefix(before, paths[0])[0]) if before is not None else 0
+        met = None
+        for d in range(min(shared, DEEP), flat - 1, -1):
+            if carried[d] != met:
+                met = carried[d]
+                node = int.from_bytes(hashlib.blake2b(paths[0][0, : 1 + 4 * flat].tobytes(), digest_size=8).digest(), "big", signed=True)
+                out.append((d, node, bytes(head["a"]), met))
+        # a node that fills the part from its first row on keeps the first set of the part before
+        whole = int(common_prefix(paths[0], paths[1])[0])
+        carried = {d: carried[d] if d <= min(shared, whole) else own[d] for d in own}
+        before = paths[1]
+    return out
+
+
+def _sets(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+
+
+def _grouped(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of star pairs (a, b) those that are similar; the sets around one b are dealt to groups of about a block."""
+    weight = pairs.join(sets.select(F.col("sid").alias("a"), "n"), "a")
+    size = weight.groupBy("b").agg(_blocks().alias("parts"))
+    dealt = pairs.join(size, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).select("b", "part", F.col("a").alias("sid"))
     centres = dealt.select("b", "part").distinct().withColumn("sid", F.col("b"))
-    rows = dealt.union(centres).join(texts, "sid")
+    rows = dealt.union(centres).join(sets, "sid")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets(pdf["text"].tolist(), WORDS)
-        sids = [bytes(x) for x in pdf["sid"]]
+        own, sids = _sets(pdf), [bytes(x) for x in pdf["sid"]]
         centre = sids.index(bytes(key[0]))
-        near = similar(sets, [sets[centre]], similarity)[:, 0]
+        near = similar(own, [own[centre]], similarity)[:, 0]
         found = [s for i, s in enumerate(sids) if near[i] and i != centre]
         return pd.DataFrame({"a": found, "b": [bytes(key[0])] * len(found)}, columns=["a", "b"])
 
     return rows.groupBy("b", "part").applyInPandas(run, "a binary, b binary")
 
 
-def _in_blocks(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """(group, low, high, block, ...) rows: each member of a group in each pair of blocks that holds it, with its text."""
-    size = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(size, "group").withColumn("block", F.pmod(F.xxhash64("sid", "group"), F.col("blocks")).cast("int"))
+def _blocks() -> Column:
+    """How many blocks the sets of a group make, by their number and their shingles."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
+def _in_blocks(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, low, high, block, ...) rows: each member of a group in each pair of blocks that holds it, with its shingles."""
+    members = groups.join(sets.select("sid", "n"), "sid")
+    dealt = members.join(members.groupBy("group").agg(_blocks().alias("blocks")), "group").withColumn("block", F.pmod(F.xxhash64("sid", "group"), F.col("blocks")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks").join(texts, "sid")
+    return other.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", "blocks", "n").join(sets.select("sid", "shingles"), "sid")
 
 
 def _halves(key: tuple, pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -116,7 +197,7 @@ def _cross_links(rows: DataFrame, similarity: float) -> DataFrame:
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.reset_index(drop=True)
         left, right = _halves(key, pdf)
-        sets = shingle_sets(pdf["text"].tolist(), WORDS)
+        sets = _sets(pdf)
         comps = pd.factorize(pdf["comp"].map(bytes))[0]
         i, j = left.index.to_numpy(), right.index.to_numpy()
         near = similar([sets[x] for x in i], [sets[x] for x in j], similarity) if len(i) and len(j) else np.zeros((len(i), len(j)), bool)
@@ -145,7 +226,7 @@ def _link_counts(rows: DataFrame, similarity: float) -> DataFrame:
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = _halves(key, pdf)
-        x, y = shingle_sets(left["text"].tolist(), WORDS), shingle_sets(right["text"].tolist(), WORDS)
+        x, y = _sets(left), _sets(right)
         near = similar(x, y, similarity) if x and y else np.zeros((len(x), len(y)), bool)
         if key[1] == key[2]:
             np.fill_diagonal(near, False)
@@ -159,54 +240,68 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: doc_id, class_id (the least doc_id of its class), n_links (documents at least so similar)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    signed = scratch.table(_signed(docs, id_col, text_col, similarity), "signed")
-    sets = signed.where("sid is not null").groupBy("sid").agg(F.first("deep").alias("deep"), F.first("flat").alias("flat"), F.count("*").alias("copies"), F.min("doc_id").alias("own"))
+    signed = scratch.table(_signed(docs, id_col, text_col), "signed")
+    sets = signed.where("sid is not null").groupBy("sid").agg(F.first("paths").alias("paths"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("own"))
     sets = scratch.table(sets, "sets")
-    flat = scratch.table(_nodes(sets, "flat"), "nodes")
-    # one text for each set that shares a node
-    wanted = sets.join(flat.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("own").alias("_own"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(wanted, F.col("_id").eqNullSafe(F.col("_own"))).select("sid", "text")
-    texts = scratch.table(_own_text(texts), "texts")
-    links, comps = None, None
-    for nodes in (_nodes(sets, "deep"), flat):
-        pairs = nodes.where("sid <> first").select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct()
+    flat = shortest_prefix(similarity)
+    matched = scratch.table(_matched(sets, flat), "matched")
+    ends = matched.where("depth < 0").orderBy("part", F.desc("depth")).collect()  # two rows a part
+    more = spark.createDataFrame(across_parts(ends, flat), "depth int, node long, a binary, b binary")
+    matched = scratch.table(matched.where("depth > 0").select("depth", "node", "a", "b").union(more), "pairs")
+    # the shingles of each set that shares a node
+    wanted = matched.select(F.col("a").alias("sid")).union(matched.select(F.col("b").alias("sid"))).distinct()
+    wanted = sets.select("sid", "n", F.col("own").alias("_own")).join(wanted, "sid", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(smaller_side(wanted), F.col("_id").eqNullSafe(F.col("_own"))).select("sid", "n", "text")
+    held = scratch.table(_own_sets(texts), "shingles")
+    comps = None
+    for depth in range(DEEP, flat - 1, -1):
+        pairs = matched.where(F.col("depth") == depth).select("a", "b").distinct()
         if comps is not None:
             pairs = pairs.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
             pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        found = scratch.table(_grouped(scratch.table(pairs, "pairs"), texts, similarity), "links")
-        links = found if links is None else links.union(found)
-        comps = connected_components(links, scratch)
+        found = scratch.table(_grouped(scratch.table(pairs, "star"), held, similarity), "links")
+        comps = _joined(comps, found, scratch)
     # nodes that hold several components; equal nodes of different trees once
-    labelled = flat.select("node", "sid").join(comps.withColumnRenamed("id", "sid"), "sid", "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"))
+    members = matched.select("node", F.col("a").alias("sid")).union(matched.select("node", F.col("b").alias("sid"))).distinct()
+    labelled = members.join(comps.withColumnRenamed("id", "sid"), "sid", "left").select("node", "sid", F.coalesce("comp", "sid").alias("comp"))
     mixed = labelled.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.sum(F.xxhash64("sid").cast("decimal(38,0)")).alias("y"), F.count("*").alias("n")).where("lo <> hi")
     once = mixed.groupBy("x", "y", "n").agg(F.min("node").alias("node")).select("node")
     groups = scratch.table(labelled.join(once, "node", "left_semi").withColumnRenamed("node", "group"), "mixed")
-    more = scratch.table(_cross_links(_in_blocks(groups, texts), similarity), "links")
+    more = scratch.table(_cross_links(_in_blocks(groups, held), similarity), "links")
     if more.take(1):
-        comps = connected_components(links.union(more), scratch)
-    scratch.drop(flat, groups)
+        comps = _joined(comps, more, scratch)
+    scratch.drop(matched, groups)
     member = comps.select("id", "comp").union(comps.select(F.col("comp").alias("id"), "comp").distinct())
     least = sets.select("sid", "own").join(member, F.col("sid") == F.col("id")).groupBy("comp").agg(F.min("own").alias("class"))
     of = member.join(least, "comp").select(F.col("id").alias("sid"), "class")
     if count_links:
         groups = member.join(sets.select(F.col("sid").alias("id"), "copies"), "id").select(F.col("comp").alias("group"), F.col("id").alias("sid"), "copies")
-        of = of.join(_link_counts(_in_blocks(groups, texts), similarity), "sid", "left")
+        of = of.join(_link_counts(_in_blocks(groups, held), similarity), "sid", "left")
     else:
         of = of.withColumn("links", F.lit(None).cast("long"))
     each = sets.select("sid", "own", "copies").join(of, "sid", "left").select("sid", F.coalesce("class", "own").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return signed.select("doc_id", "sid").join(each, "sid", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _own_text(texts: DataFrame) -> DataFrame:
-    """One row per set, and of rows that repeat an id only that whose text is the set's."""
+def _joined(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after more links."""
+    if comps is not None:
+        if not links.take(1):
+            return comps
+        links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(links)
+    return connected_components(links, scratch)
+
+
+def _own_sets(texts: DataFrame) -> DataFrame:
+    """(sid, n, shingles): one row per set; of rows that repeat an id only that whose text is the set's counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(pdf["text"].tolist(), WORDS)]
-            yield pdf[[x == bytes(y) for x, y in zip(own, pdf["sid"], strict=True)]]
+            sets = shingle_sets(pdf["text"].tolist(), WORDS)
+            own = np.array([_digest(x) == bytes(y) for x, y in zip(sets, pdf["sid"], strict=True)], bool)
+            yield pd.DataFrame({"sid": pdf["sid"][own], "n": pdf["n"][own], "shingles": [x.tobytes() for x, good in zip(sets, own.tolist(), strict=True) if good]})
 
-    return texts.mapInPandas(run, "sid binary, text string").dropDuplicates(["sid"])
+    return texts.mapInPandas(run, "sid binary, n long, shingles binary").dropDuplicates(["sid"])
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
