@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -171,20 +172,42 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes texts as the tokenizers library does with the file at `path` and no special tokens added."""
+    """Encodes texts as the tokenizers library does with the file at `path` and no special tokens added.
+
+    The ids of words that the lexicon lacks are merged once and held; when those
+    words have more than `HELD` characters, all are let go.
+    """
+
+    HELD = 4 << 20
 
     def __init__(self, lexicon: Lexicon):
         self.splitter = Splitter(lexicon.path)
         self.automaton = transducer.Transducer(lexicon.data)
-        self.ids, self.counts = lexicon.ids, lexicon.counts.astype(np.int32)
-        self.first = np.cumsum(lexicon.counts) - lexicon.counts
-
-    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of the different words, first and count for each word)."""
-        number: dict[bytes, int] = {}
-        place = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-        ids, n = self.splitter.merges.encode(list(number))
-        return ids, (np.cumsum(n) - n)[place], n[place]
+        self.known = len(lexicon.counts)
+        self._lexicon = lexicon
+        self._forget()
+
+    def _forget(self) -> None:
+        """Ids, and for each word its first id and their count: the lexicon's words, then the held ones."""
+        self.ids, self.counts = self._lexicon.ids.astype(np.int32), self._lexicon.counts.astype(np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.held: dict[str | bytes, int] = {}
+        self.size = 0
+
+    def _places(self, words: list) -> np.ndarray:
+        """The number of each word among all that are known, after merging those that are new."""
+        held = self.held
+        before = len(held)
+        base = self.known
+        places = np.fromiter((held.setdefault(w, base + len(held)) for w in words), np.int64, len(words))
+        if len(held) > before:
+            fresh = list(islice(reversed(held), len(held) - before))[::-1]
+            ids, n = self.splitter.merges.encode([w.encode() if isinstance(w, str) else w for w in fresh])
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
+            self.counts = np.concatenate([self.counts, n])
+            self.ids = np.concatenate([self.ids, ids])
+            self.size += sum(map(len, fresh))
+        return places
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, count of ids of each text); a null text is empty."""
@@ -197,19 +220,19 @@ class Encoder:
                 parts.append(np.array([x[1]], np.int32))
                 owners.append(np.array([x[0]]))
                 continue
+            if self.size > self.HELD:
+                self._forget()
             if kind == "words":
-                owner, words = np.full(len(x[1]), x[0]), x[1]
-                pool, first, n = self._merged(words)
+                owner = np.full(len(x[1]), x[0])
+                place = self._places(x[1])
             else:
                 owner, codes, start, end, text = x
-                known = self.automaton.numbers(codes, start, end)
-                new = np.flatnonzero(known < 0)
-                ids, f, c = self._merged([text[s:e].encode() for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-                pool = np.concatenate([self.ids, ids])
-                first, n = self.first[known], self.counts[known].astype(np.int64)
-                first[new], n[new] = f + len(self.ids), c
+                place = self.automaton.numbers(codes, start, end).astype(np.int64)
+                new = np.flatnonzero(place < 0)
+                place[new] = self._places([text[s:e] for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)])
+            first, n = self.first[place], self.counts[place]
             total = int(n.sum())
-            parts.append(pool[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)])
+            parts.append(self.ids[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)])
             owners.append(np.repeat(owner, n))
         if not parts:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)

@@ -7,8 +7,10 @@
    has a row per block, and a sum over the ranges says where each begins.
 4. Reading goes by the manifest: any task can decode any block.
 
-A null text is the end id alone.  Rows that repeat a doc_id each have their own
-place, in any order among them.  Only files of finished tasks are in the manifest.
+A null or empty text is the end id alone.  Rows that repeat a doc_id each have their
+own place, in the order in which they were read, and may fill several ranges; so may
+null ids, which come first.  A task streams its range block by block, so a range's
+size is no matter of memory.  Only files of finished tasks are in the manifest.
 """
 
 from __future__ import annotations
@@ -40,7 +42,9 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, path: str, end: int =
     lexicon = compiled(docs, text_col, path)
     small_batches(docs.sparkSession)
     ranges = 1 + docs.count() // RANGE_ROWS
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).repartitionByRange(ranges, "key").sortWithinPartitions("key")
+    # the place among all rows splits an id that very many rows have, or the null ids
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange(ranges, "key", "place").sortWithinPartitions("key", "place").drop("place")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(lexicon.value)
