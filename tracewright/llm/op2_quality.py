@@ -9,7 +9,11 @@ sets of bins, boosted likewise with trees of one cut on each side.  A score is
 the logistic function of the tables' sums, looked up for whole batches.
 
 A null text counts as empty; an empty text has a score like any other.  Without
-labels of both kinds the score is their share, or 0.5 without labels.
+labels of both kinds the score is their share, or 0.5 without labels.  Repeated
+rows are each scored, alike; of documents with one id, a label is learned with
+one, so no more than the bounded number of labels reaches the driver.  Ties among
+splits and pairs go to the first feature, equal labels of one document count each.
+An empty table gives an empty one; only the id and the text are read for a score.
 """
 
 from __future__ import annotations
@@ -154,11 +158,13 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", key_col: s
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"x": list(_matrix(pdf["text"])), "_label": pdf["_label"].astype("float64")})
+            yield pd.DataFrame({"x": list(_matrix(pdf["text"])), "_place": pdf["_place"], "_label": pdf["_label"].astype("float64")})
 
     small_batches(docs.sparkSession)
-    joined = docs.join(F.broadcast(drawn), docs[key_col] == drawn["_key"]).select(F.col(text_col).alias("text"), "_label")
-    got = joined.mapInPandas(measure, "x array<double>, _label double").toPandas()
+    drawn = drawn.withColumn("_place", F.monotonically_increasing_id())
+    joined = docs.join(F.broadcast(drawn), docs[key_col] == drawn["_key"]).select(F.col(text_col).alias("text"), "_place", "_label")
+    each = joined.mapInPandas(measure, "x array<double>, _place long, _label double")
+    got = each.groupBy("_place", "_label").agg(F.min("x").alias("x")).toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     order = np.lexsort((*x.T, got["_label"])) if len(got) else []
     return AdditiveModel().fit(x[order], got["_label"].to_numpy()[order])
