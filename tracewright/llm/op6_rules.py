@@ -7,7 +7,10 @@ Repeats of `LEAST` words or more are united; a text fails if they cover more tha
 `MOST_COVERED` of its words, or if one repeat has more than `MOST_LONG` words and
 more than `LONG_SHARE` of the text.
 
-Null texts have no words.  Words are split at the six ASCII blanks.
+Null and empty texts have no words, and fail by the base rule.  Words are split at
+the six ASCII blanks.  Equal words are one symbol; a repeat counts wherever it
+occurs, overlapping itself too, so there are no ties to break.  Repeated rows are
+each judged, alike; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,40 +23,57 @@ from pyspark.sql import functions as F
 from .common import read, small_batches
 
 LEAST, MOST_COVERED, MOST_LONG, LONG_SHARE = 6, 0.4, 50, 0.2
+LARGE = 1 << 20
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, longest_repeat long, covered double, kept boolean"
 )
 
 
+def _doubled(rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks by 2 k symbols, suffixes in that order) from ranks by k symbols."""
+    n = len(rank)
+    key = np.zeros(n, np.int64)
+    if k < n:
+        key[: n - k] = rank[k:] + np.int64(1)
+    key += rank * np.int64(n + 1)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.empty(n, np.int32)
+    new[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+    return new, order
+
+
 def longest_repeats(symbols: np.ndarray) -> np.ndarray:
-    """For each place, the length of the longest substring from there that occurs elsewhere too."""
+    """For each place, the length of the longest substring from there that occurs elsewhere too.
+
+    The ranks of a text of more than `LARGE` symbols are held for every fourth
+    doubling alone, and made again from those, so memory stays in proportion.
+    """
     n = len(symbols)
     if n < 2:
         return np.zeros(n, np.int64)
-    levels, k = [], 1
-    rank = symbols.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
+    held, every = {}, 4 if n > LARGE else 1
+    rank, level = symbols.astype(np.int32), 0
     while True:
-        levels.append(np.append(rank, -1))
-        key = np.zeros(n, np.int64)
-        if k < n:
-            key[: n - k] = rank[k:] + 1
-        key += rank * (n + 1)
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
-        rank, k = new, 2 * k
+        if level % every == 0:
+            held[level] = rank
+        rank, order = _doubled(rank, 1 << level)
+        level += 1
         if rank[order[-1]] == n - 1:
             break
     i, j = order[:-1].copy(), order[1:].copy()
     common = np.zeros(n - 1, np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        same = (levels[level][i] == levels[level][j]) << level
-        common += same
-        i += same
-        j += same
+    for base in sorted(held, reverse=True):
+        run = [held.pop(base)]
+        while base + len(run) < min(base + every, level):
+            run.append(_doubled(run[-1], 1 << (base + len(run) - 1))[0])
+        while run:
+            ranks = np.append(run.pop(), -1)
+            same = (ranks[i] == ranks[j]).astype(np.int64) << (base + len(run))
+            common += same
+            i += same
+            j += same
     out = np.zeros(n, np.int64)
     out[order[:-1]] = common
     out[order[1:]] = np.maximum(out[order[1:]], common)
