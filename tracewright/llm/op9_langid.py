@@ -7,7 +7,11 @@ over the text's n-grams, of how far their ranks differ, with `TOP` for those tha
 the profile lacks.  The nearest language is predicted (ties: the first by name).
 
 The score is 1 less the distance as a share of the largest possible one.  Texts
-that are null or have no letter get `und` and score 0.
+that are null or have no letter get `und` and score 0.  A letter is a character
+of category L (`str.isalpha`): digits of all kinds, numerals such as "Ⅷ" or "½",
+and marks alone are none.  Repeated rows are each predicted, alike; whole texts
+count, however long; an empty table gives an empty one, and without labelled
+texts every text is `und`.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def gram_codes(text: str) -> np.ndarray:
     """A code for each n-gram of the text: three 21-bit characters, absent ones 0."""
     words = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    if not words:
+    if not any(map(str.isalpha, words)):
         return np.zeros(0, np.uint64)
     c = code_points(f" {words} ").astype(np.uint64)
     two = (c[:-1] << np.uint64(21)) | c[1:]
