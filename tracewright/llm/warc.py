@@ -100,8 +100,27 @@ def _skip_length(head: bytes) -> int | None:
     return None
 
 
-def records(file: Any, wanted=lambda headers: True) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records whose headers are wanted; other blocks aren't unpacked or kept."""
+def _top(block: bytes) -> bytes:
+    """The block up to the end of its first blank line."""
+    top, blank, _ = block.partition(b"\r\n\r\n")
+    return top + blank
+
+
+def _length(headers: dict[str, str]) -> int:
+    """The length of a record's block."""
+    value = headers.get("content-length", "")
+    if not re.fullmatch("[0-9]+", value):
+        raise ValueError(f"the WARC record {headers.get('warc-record-id')} has no valid Content-Length: {value!r}")
+    return int(value)
+
+
+def records(file: Any, wanted=lambda headers: True, whole: bool = True) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records whose headers are wanted; other blocks aren't unpacked or kept.
+
+    Not `whole`: of a block only what stands before its first blank line and the
+    line's end; nothing behind the piece that has it is unpacked where the member
+    says how long it is.
+    """
     source = _Source(file)
     while True:
         head = source.fill(1 << 16)
@@ -121,6 +140,16 @@ def records(file: Any, wanted=lambda headers: True) -> Iterator[tuple[dict[str,
             if not good and length:
                 source.skip(length)
                 continue
+            if good and not whole and length:
+                while b"\r\n\r\n" not in block and len(block) < _length(headers) and not unpacker.eof:
+                    part = source.fill(used + 1)[used : used + (1 << 12)]
+                    if not part:
+                        raise ValueError("a WARC record ends within its gzip member")
+                    block += unpacker.decompress(part)
+                    used += len(part)
+                source.skip(length)
+                yield headers, _top(block[: _length(headers)])
+                continue
             pieces = [block]
             while not unpacker.eof:
                 part = source.fill(used + 1)[used:]
@@ -132,7 +161,8 @@ def records(file: Any, wanted=lambda headers: True) -> Iterator[tuple[dict[str,
                     pieces.append(piece)
             source.skip(used - len(unpacker.unused_data))
             if good:
-                yield headers, b"".join(pieces)[: int(headers.get("content-length", 0))]
+                block = b"".join(pieces)[: _length(headers)]
+                yield headers, block if whole else _top(block)
             continue
         n = 1 << 16
         while b"\r\n\r\n" not in head and len(head) >= n:
@@ -140,10 +170,15 @@ def records(file: Any, wanted=lambda headers: True) -> Iterator[tuple[dict[str,
             head = source.fill(n)
         top, _, _ = head.partition(b"\r\n\r\n")
         headers = _parsed(top)
-        size = int(headers.get("content-length", 0))
+        size = _length(headers)
         source.skip(len(top) + 4)
-        if wanted(headers):
+        if wanted(headers) and whole:
             yield headers, source.fill(size)[:size]
+        elif wanted(headers):
+            n = 1 << 12
+            while b"\r\n\r\n" not in (block := source.fill(min(n, size))[:size]) and n < size:
+                n *= 2
+            yield headers, _top(block)
         source.skip(size + 4)
 
 
@@ -153,7 +188,12 @@ class _Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Options: manifest (a Parquet table with a column path) or path (a file or folder); payload: true or false; verify: true or false."""
+    """Options: manifest (a Parquet table with a column path) or path (a file or folder); payload: true or false; verify: true or false.
+
+    With neither payload nor verify, blocks are passed over after their HTTP
+    headers; payload_bytes then follows from the two headers.  A record without a
+    valid length, or one that ends too soon, fails the read by name.
+    """
 
     def __init__(self, options: dict[str, str]):
         self.options = {k.lower(): v for k, v in options.items()}
@@ -201,15 +241,20 @@ class WarcReader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         with_payload, verify = (self.options.get(k, "true").lower() == "true" for k in ("payload", "verify"))
+        whole = with_payload or verify
         for path in partition.paths:
             store, name = fs.FileSystem.from_uri(_uri(path))
             with store.open_input_file(name) as f:
-                for headers, block in records(f, self._wanted):
-                    top, _, payload = block.partition(b"\r\n\r\n")
+                for headers, block in records(f, self._wanted, whole):
+                    top, blank, payload = block.partition(b"\r\n\r\n")
                     own = column_of(headers, "record_type") == "response"
                     if own and verify and digest(payload) != column_of(headers, "payload_digest"):
                         raise ValueError(f"the digest of {headers.get('warc-record-id')} in {path} isn't that of its payload")
-                    size = len(payload) if own else int(_parsed(top).get("content-length", 0))
+                    if own:
+                        size = _length(headers) - len(top) - len(blank)
+                    else:  # a revisit's block is the HTTP headers, which say how long the payload was; other records have none
+                        said = _parsed(top).get("content-length", "")
+                        size = int(said) if said.isdigit() else None
                     yield (*(column_of(headers, c) for c in HEADERS), size, payload if own and with_payload else None, headers)
 
 
