@@ -5,7 +5,10 @@ automaton that every worker maps into memory; all other words are merged exactly
 The ids are those of the tokenizers library; decoding joins the tokens' texts as
 the library's decode does for a file without a decoder.
 
-Null texts are empty: no ids, an empty decoded text.
+Null texts are empty: no ids, an empty decoded text.  Repeated rows are each
+encoded, alike; words that are equally frequent enter the lexicon in sorted order,
+and the lexicon changes no id.  An empty table gives an empty one; columns beyond
+the id and the text aren't read.
 """
 
 from __future__ import annotations
