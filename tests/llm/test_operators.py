@@ -347,6 +347,15 @@ def test_rules_against_brute_force(docs, texts, no_docs):
     assert op6_rules.judge(no_docs).collect() == []
 
 
+def test_long_repeats_with_few_ranks_held(monkeypatch):
+    rng = np.random.default_rng(6)
+    cases = [rng.integers(0, 3, 500), np.zeros(700, np.int64), np.tile(rng.integers(0, 50, 90), 9), rng.permutation(400)]
+    want = [op6_rules.longest_repeats(x) for x in cases]
+    monkeypatch.setattr(op6_rules, "LARGE", 10)
+    assert all((op6_rules.longest_repeats(x) == y).all() for x, y in zip(cases, want, strict=True))
+    assert want[1].tolist() == [699, *range(699, 0, -1)]
+
+
 # --- 7
 def brute_classes(rows):
     def shingles(text):
@@ -383,6 +392,40 @@ def test_similar_texts_in_a_large_group(spark, monkeypatch):
     assert op7_jaccard.shortest_prefix() == 4
 
 
+def test_prefixes_across_parts(spark):
+    rng = np.random.default_rng(3)
+    flat, deep = 4, op7_jaccard.DEEP
+    paths = [bytes([int(t)]) + rng.integers(0, 2, deep).astype(">u4").tobytes() for t in rng.integers(0, 3, 400)]
+    sets = spark.createDataFrame([(i.to_bytes(2, "big"), [p]) for i, p in enumerate(paths)], "sid binary, paths array<binary>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = op7_jaccard._matched(sets, flat).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ends = sorted((r for r in rows if r.depth < 0), key=lambda r: (r.part, -r.depth))
+    assert len({r.part for r in ends}) > 1
+    pairs = {(r.depth, bytes(r.a), bytes(r.b)) for r in rows if r.depth > 0} | {(d, a, b) for d, _, a, b in op7_jaccard.across_parts(ends, flat)}
+    lcp = lambda x, y: next((k for k in range(deep) if x[: 5 + 4 * k] != y[: 5 + 4 * k]), deep)
+    own = {i.to_bytes(2, "big"): p for i, p in enumerate(paths)}
+    assert all(lcp(own[a], own[b]) >= d for d, a, b in pairs)
+    for depth in range(flat, deep + 1):
+        linked = components([(a, b) for d, a, b in pairs if d >= depth])
+        nodes = defaultdict(set)
+        for i, p in own.items():
+            nodes[p[: 1 + 4 * depth]].add(linked.get(i, i))
+        assert all(len(x) == 1 for x in nodes.values())
+
+
+def test_recall_of_short_texts(spark):
+    rng = random.Random(31)
+    rows = []
+    for i in range(1500):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(13)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-1], "other"]))]  # 8 of 10 shingles in common
+    got = {r.doc_id: r.class_id for r in op7_jaccard.similar_texts(spark.createDataFrame(rows, "doc_id long, text string"), count_links=False).collect()}
+    assert sum(got[2 * i + 1] != 2 * i for i in range(1500)) <= 5
+
+
 # --- 9
 def test_language_id(spark, docs, no_docs):
     rng = random.Random(6)
@@ -395,6 +438,37 @@ def test_language_id(spark, docs, no_docs):
     odd = {r.doc_id: (r.lang_pred, r.score) for r in op9_langid.identify(docs, profiles).collect()}
     assert odd[46] == odd[47] == odd[48] == odd[52] == ("und", 0.0)
     assert {r.lang_pred for r in op9_langid.identify(docs, op9_langid.learn(no_docs)).collect()} == {"und"}
+    none = spark.createDataFrame([(i, t) for i, t in enumerate(["\u00b2\u00b3\u00bd", "\u2460\u2461", "\u2167 _ 12", "\u0301"])], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in op9_langid.identify(none, profiles).collect()} == {("und", 0.0)}
+
+
+def test_language_id_against_brute_force(spark):
+    rng = random.Random(16)
+    sounds = {"aa": "kato", "bb": "mire", "cc": "sulo"}
+    rows = [(i, lang, " ".join("".join(rng.choice(sounds[lang] + "xe") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 300)))) for i in range(60) for lang in [sorted(sounds)[i % 3]]]
+    rows += [(100, "aa", rows[0][2]), (100, "aa", rows[0][2]), (101, "bb", "zz zz"), (102, "cc", "ka" * 20_000)]
+
+    def grams(text):
+        words = f" {' '.join(text.split())} "
+        return [words[i : i + n] for n in (1, 2, 3) for i in range(len(words) - n + 1) if words[i : i + n] != " " and (n < 3 or words[i + 1] != " ")]
+
+    code = lambda g: sum(ord(c) << (21 * (len(g) - 1 - k)) for k, c in enumerate(g))
+    mixed = lambda c: c * 0x9E3779B97F4A7C15 % (1 << 64)
+    profiles = {}
+    for lang in sounds:
+        n = Counter(code(g) for _, own, t in rows if own == lang for g in grams(t))
+        profiles[lang] = {c: k for k, c in enumerate(sorted(n, key=lambda c: (-n[c], c))[:300])}
+
+    def predict(text):
+        n = Counter(map(code, grams(text)))
+        own = sorted(n, key=lambda c: (-n[c], mixed(c)))[:300]
+        far = {lang: sum(abs(p[c] - k) if c in p else 300 for k, c in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        return best, round(1 - far[best] / (300 * len(own)), 9)
+
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = Counter((r.doc_id, r.lang_pred, round(r.score, 9)) for r in op9_langid.identify(df, op9_langid.learn(df)).collect())
+    assert got == Counter((i, *predict(t)) for i, _, t in rows)
 
 
 # --- 10
@@ -420,6 +494,23 @@ def test_archives(spark):
     assert op10_warc.read_archives(spark, manifest=empty._scratch_path).collect() == []
 
 
+def test_reader_stops_after_the_headers():
+    import io
+
+    class Counted(io.BytesIO):
+        got = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            Counted.got += len(data)
+            return data
+
+    rng = random.Random(4)
+    data = b"".join(warc.member(warc.record(f"urn:page:{i}", None, rng.randbytes(6_000_000))) for i in range(3))
+    assert [int(warc._parsed(b)["content-length"]) for _, b in warc.records(Counted(data), whole=False)] == [6_000_000] * 3
+    assert Counted.got < len(data) / 3
+
+
 def test_reader_skips_what_is_not_wanted(tmp_path):
     import io
 
@@ -427,5 +518,10 @@ def test_reader_skips_what_is_not_wanted(tmp_path):
     for packed in (b"".join(map(warc.member, data)), b"".join(data)):
         assert [h["warc-record-id"] for h, _ in warc.records(io.BytesIO(packed))] == [f"<urn:page:{i}>" for i in range(4)]
         assert [len(b.partition(b"\r\n\r\n")[2]) for _, b in warc.records(io.BytesIO(packed), lambda h: h["warc-type"] == "response")] == [0, 10_000, 30_000]
+    for packed in (b"".join(map(warc.member, data)), b"".join(data)):
+        tops = [b for _, b in warc.records(io.BytesIO(packed), whole=False)]
+        assert [int(warc._parsed(b)["content-length"]) for b in tops] == [0, 10_000, 20_000, 30_000] and all(b.endswith(b"\r\n\r\n") for b in tops)
+    with pytest.raises(ValueError, match="Content-Length"):
+        list(warc.records(io.BytesIO(data[1].replace(b"\r\nContent-Length: 10069", b"\r\nContent-Length: many").replace(b"\r\nContent-Length: 100", b"\r\nContent-Length: x100"))))
     with pytest.raises(ValueError, match="ends within"):
         list(warc.records(io.BytesIO(warc.member(data[1])[:-20])))
