@@ -11,10 +11,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import closure
+from . import closure, lookup
 
 # Edge operations, system calls, allocators.
 CALL, SYSCALL, CALL_TARGET, VISIBLE, RETURN = 1, 2, 3, 4, 5
@@ -199,10 +200,15 @@ def kernel_pointers(g: Graph, after: int = 0, registers: int = 34) -> Graph:
     return g.annotate("ksyscall", seen(RETURN).join(seen(VISIBLE), ["vid", "call"], "left_anti"))
 
 
+def first_moves(events: DataFrame) -> DataFrame:
+    """(vid, type, time): the first load or store of each pointer itself."""
+    moves = events.where(S.has_any(F.col("type"), S.EVENTS["load"] | S.EVENTS["store"]))
+    return moves.groupBy("vid").agg(F.min_by("type", "time").alias("type"), F.min("time").alias("time"))
+
+
 def first_used_by_user(g: Graph, after: int = 0) -> Graph:
     """Marks kernel pointers whose first memory event by user code after the time is a load."""
-    moves = g.events.where(S.has_any(F.col("type"), S.EVENTS["usr"]) & S.has_any(F.col("type"), S.EVENTS["load"] | S.EVENTS["store"]) & (F.col("time") >= after))
-    first = moves.groupBy("vid").agg(F.min_by("type", "time").alias("type")).where(S.has_any(F.col("type"), S.EVENTS["load"]))
+    first = first_moves(g.events.where(S.has_any(F.col("type"), S.EVENTS["usr"]) & (F.col("time") >= after))).where(S.has_any(F.col("type"), S.EVENTS["load"]))
     return g.annotate("korigin", first.join(g.vertices.where("is_kernel").select("vid"), "vid", "left_semi"))
 
 
@@ -221,9 +227,15 @@ def global_pointers(tables: DataFrame) -> Step:
     """Marks pointers loaded from capability tables (ends included), pointers to tables, and what is derived from the first."""
 
     def step(g: Graph) -> Graph:
-        t = F.broadcast(tables.select(F.col("start").alias("_start"), F.col("end").alias("_end")))  # one row per mapped file
-        loaded = g.events.where(S.has_any(F.col("type"), S.EVENTS["load"])).join(t, F.col("addr").between(F.col("_start"), F.col("_end"))).select("vid").distinct()
-        table = g.vertices.join(t, (F.col("base") >= F.col("_start")) & (_top() <= F.col("_end"))).select("vid").distinct()
+        from .verify import in_some_range
+
+        ranges = tables.select("start", "end")
+        loads = g.events.where(S.has_any(F.col("type"), S.EVENTS["load"])).select("vid", "addr")
+        loaded = in_some_range(loads, ranges, "addr", "_in").where("_in").select("vid").distinct()
+        # of the tables that begin before a pointer, the one that reaches furthest
+        spans = ranges.withColumn("_reach", F.max("end").over(W.orderBy("start").rowsBetween(W.unboundedPreceding, 0))).groupBy("start").agg(F.max("_reach").alias("_reach"))
+        bounded = lookup.floor_lookup(g.vertices.select("vid", "base", _top().alias("_top")), spans, "base", "start", ["_reach"], float(1 << 24))
+        table = bounded.where(F.col("_top") <= F.col("_reach")).select("vid").distinct()
         return g.annotate("globptr", loaded).annotate("captblptr", table).annotate("globderived", below(g, loaded).join(loaded, "vid", "left_anti"))
 
     return step
@@ -281,19 +293,29 @@ def active_memory(events: DataFrame) -> DataFrame:
 
 
 # --- numbers and dumps
+def event_summary(events: DataFrame, key: str = "vid") -> DataFrame:
+    """(key, flags, derefs, deref_loads, deref_stores, stored): all kinds of a pointer's events, how often it was dereferenced, and at how many addresses it was stored."""
+    t = F.col("type")
+    count = lambda *kinds: F.count_if(S.has_any(t, sum(S.EVENTS[k] for k in kinds)))
+    return events.groupBy(key).agg(
+        F.bit_or("type").alias("flags"), count("deref_load", "deref_store").alias("derefs"), count("deref_load").alias("deref_loads"), count("deref_store").alias("deref_stores"),
+        F.count_distinct(F.when(S.has_any(t, S.EVENTS["store"]), F.col("addr"))).alias("stored"),
+    )
+
+
 def statistics(g: Graph, stack: tuple[int, int] | None = None) -> DataFrame:
     """One row: dereferences, stored addresses, readers of the argument area, set-bounds pointers, and those in the stack, malloc and mmap results."""
     e, v = g.events, g.vertices
-    deref = e.agg(F.count_if(S.has_any(F.col("type"), 4)).alias("deref_loads"), F.count_if(S.has_any(F.col("type"), 8)).alias("deref_stores"))
-    stored = e.where(S.has_any(F.col("type"), 2)).groupBy("vid").agg(F.count_distinct("addr").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("stored_addresses"))
+    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    sums = event_summary(e).agg(zero("deref_loads", "deref_loads"), zero("deref_stores", "deref_stores"), zero("stored", "stored_addresses"))
     area = e.where(S.has_any(F.col("type"), 4)).join(v.select("vid", "base", "offset", "length"), "vid").where(F.col("addr").between(F.col("base") + F.col("offset"), _top()))
     readers = area.agg(F.count_distinct("vid").alias("argument_readers"))
     inside = (F.col("base") >= stack[0]) & (_top() <= stack[1]) if stack else F.lit(False)
     bounds = v.where(F.col("origin").isin("SETBOUNDS", "PTR_SETBOUNDS")).agg(F.count("*").alias("set_bounds"), F.count_if(inside).alias("stack_bounds"))
     mallocs = returned_by(g, g.calls.where(F.col("symbol").isin(*ALLOCATORS))).agg(F.count("*").alias("mallocs"))
     mmaps = returned_by(g, system_calls(g, MMAP)).agg(F.count("*").alias("mmaps"))
-    out = deref
-    for part in (stored, readers, bounds, mallocs, mmaps):  # one row each
+    out = sums
+    for part in (readers, bounds, mallocs, mmaps):  # one row each
         out = out.join(F.broadcast(part), F.lit(True))
     return out
 

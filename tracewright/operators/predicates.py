@@ -82,6 +82,11 @@ def is_canonical_nop(code: int | None = None) -> Column:
     return own if code is None else own & (F.col("ops")[1]["imm"] == code)
 
 
+def in_user_code() -> Column:
+    """Not in the upper half of the address space."""
+    return ~S.is_kernel(F.col("pc"))
+
+
 # --- vertices
 def origin_is(origin: str) -> Column:
     return F.col("origin") == origin

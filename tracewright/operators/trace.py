@@ -19,21 +19,32 @@ TRACE = (
     f"mem_addr long, exception int, asid int, hwthread int, reg_num int, gpr_val long, cap {CAP}"
 )
 
-# The classes of opcodes as patterns, and the numbers of special registers.
+# The opcodes of each class of capability instructions, as patterns, and the numbers of special registers.
 CLASSES = {
-    "load": r"^c?l[bhwdc][a-z]*$", "store": r"^c?s[bhwdc][a-z]*$", "cast": r"^c(toptr|fromptr|fromddc)$", "arith": r"^c(incoffset|setoffset|getandaddr|andaddr|move|incoffsetimm|setaddr)$",
-    "bound": r"^csetbounds(exact|imm)?$", "flow": r"^(c?j(al)?r|cb[a-z]+|ccall|creturn|j|jal|b[a-z]+)$", "cpreg": r"^c([gs]et(ddc|kcc|kdc|epcc|kr1c|kr2c)|readhwr|writehwr)$", "cmp": r"^c(eq|ne|lt|le|ltu|leu|exeq)$",
+    "load": r"^(cl[dc][ri]?|cl[bhw]u?[ri]?|cll[cd]|cll[bhw]u?|clcbi)$",
+    "store": r"^(cs[bhwdc][ri]?|csc[cbhwd]|cscbi)$",
+    "cast": r"^(ctoptr|cfromptr|cfromddc)$",
+    "arith": r"^(cincoffset|csetoffset|csub|cmove|csetaddr)$",
+    "bound": r"^(csetbounds|csetboundsexact|candperm)$",
+    "flow": r"^(cbtu|cbts|cjr|cjalr|ccall|creturn|cbez|cbnz)$",
+    "cpreg": r"^(csetdefault|cgetdefault|cgetepcc|csetepcc|cgetkcc|csetkcc|cgetkdc|csetkdc|cgetpcc|cgetpccsetoffset)$",
+    "cmp": r"^(ceq|cne|clt|cle|cltu|cleu|cexeq)$",
+    "other": (
+        r"^(cgetperm|cgettype|cgetbase|cgetlen|cgettag|cgetsealed|cgetoffset|cseal|cunseal|ccleartag|cclearregs|cgetcause|csetcause|ccheckperm|cchecktype"
+        r"|clearlo|clearhi|cclearlo|cclearhi|fpclearlo|fpclearhi|creadhwr|cwritehwr|cgetnull)$"
+    ),
 }
+#: Branches with a delay slot that aren't capability instructions.
+PLAIN_FLOW = r"^(j|jal|jr|jalr|b[a-z]+)$"
 DDC, KCC, KDC, EPCC, PCC = "r32", "r61", "r62", "r63", "r64"
 STACK_CAP, LINK_CAP, RETURN_CAP = 11, 17, 3
 
 
 def classified(trace: DataFrame) -> DataFrame:
-    """Adds `classes`: all classes of the opcode; `cap` joins all of capability instructions, `other` has the rest."""
+    """Adds `classes`: the class of a capability instruction and `cap`, which joins them; and for every instruction `all`."""
     found = F.filter(F.array(*[F.when(F.col("opcode").rlike(p), F.lit(c)) for c, p in CLASSES.items()]), lambda x: x.isNotNull())
-    capability = F.when(F.col("opcode").startswith("c"), F.array(F.lit("cap"))).otherwise(F.array().cast("array<string>"))
-    both = F.concat(found, capability)
-    return trace.withColumn("classes", F.concat(F.when(F.size(both) > 0, both).otherwise(F.array(F.lit("other"))), F.array(F.lit("all"))))
+    both = F.when(F.size(found) > 0, F.concat(found, F.array(F.lit("cap")))).otherwise(found)
+    return trace.withColumn("classes", F.concat(both, F.array(F.lit("all"))))
 
 
 def scanned(trace: DataFrame, start: int | None = None, end: int | None = None, backward: bool = False) -> DataFrame:
@@ -64,7 +75,7 @@ def with_delay_slots(trace: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     ends = rows.groupBy("_chunk").agg(F.max_by(held, "idx").alias("_end"))
     ends = ends.select("_chunk", F.lag("_end").over(W.orderBy("_chunk")).alias("_carry"))
     joined = rows.join(ends, "_chunk", "left").withColumn("_last", F.coalesce("_last", "_carry"))
-    return joined.withColumn("last_opcode", F.col("_last.o")).withColumn("last_pc", F.col("_last.p")).withColumn("in_delay_slot", F.coalesce(F.col("last_opcode").rlike(CLASSES["flow"]), F.lit(False))).drop("_chunk", "_last", "_carry")
+    return joined.withColumn("last_opcode", F.col("_last.o")).withColumn("last_pc", F.col("_last.p")).withColumn("in_delay_slot", F.coalesce(F.col("last_opcode").rlike(CLASSES["flow"]) | F.col("last_opcode").rlike(PLAIN_FLOW), F.lit(False))).drop("_chunk", "_last", "_carry")
 
 
 def register_versions(trace: DataFrame) -> DataFrame:
@@ -149,10 +160,13 @@ def unsupported(trace: DataFrame) -> DataFrame:
 
 
 def violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Derived pointers that reach beyond their parent or have permissions that it lacks."""
-    p = vertices.select(F.col("vid").alias("src"), F.col("base").alias("_b"), (F.col("base") + F.col("length")).alias("_t"), F.col("perms").alias("_p"))
-    joined = edges.join(p, "src").join(vertices.withColumnRenamed("vid", "dst"), "dst")
-    return joined.where((F.col("base") < F.col("_b")) | (F.col("base") + F.col("length") > F.col("_t")) | (F.col("perms").bitwiseAND(F.bitwise_not("_p")) != 0)).select(F.col("dst").alias("vid"), F.col("src").alias("parent"))
+    """(vid, parent, base, top, parent_base, parent_top): derived pointers that reach beyond their parent or have permissions that it lacks."""
+    top = F.col("base") + F.col("length")
+    p = vertices.select(F.col("vid").alias("src"), F.col("base").alias("parent_base"), top.alias("parent_top"), F.col("perms").alias("_p"))
+    v = vertices.select(F.col("vid").alias("dst"), "base", top.alias("top"), "perms")
+    joined = edges.select("src", "dst").join(p, "src").join(v, "dst")
+    beyond = (F.col("base") < F.col("parent_base")) | (F.col("top") > F.col("parent_top")) | (F.col("perms").bitwiseAND(F.bitwise_not("_p")) != 0)
+    return joined.where(beyond).select(F.col("dst").alias("vid"), F.col("src").alias("parent"), "base", "top", "parent_base", "parent_top")
 
 
 def call_events(trace: DataFrame) -> DataFrame:
@@ -169,14 +183,23 @@ def call_events(trace: DataFrame) -> DataFrame:
     return t.select("idx", F.col("cycles").alias("time"), kind.alias("kind"), "pc", target.alias("target"), expected.alias("expected")).where("kind is not null")
 
 
-def visible_pointers(calls: DataFrame, register_pointers: DataFrame) -> DataFrame:
-    """(call, vid, offset, regs): the pointers in registers at each call.
+def visible_pointers(calls: DataFrame, register_pointers: DataFrame, by: list[str] | None = None, registers: int = 64, chunk: float = 2_000_000.0) -> DataFrame:
+    """(by..., call, vid, offset, regs): the pointers in registers at each call.
 
-    register_pointers: (reg, idx, until, vid, offset), the spans in which registers hold pointers.
+    register_pointers: (by..., reg, idx, until, vid, offset), the spans in which
+    registers hold pointers.  Each call asks each register that ever holds one, at
+    most `registers`, for the last span before it.
     """
-    hit = (F.col("idx") < F.col("call_idx")) & (F.col("until").isNull() | (F.col("until") >= F.col("call_idx")))
-    spans = register_pointers.where("reg < 64")
-    return calls.select("call", F.col("idx").alias("call_idx")).join(spans, hit).groupBy("call", "vid", "offset").agg(F.sort_array(F.collect_set("reg")).alias("regs"))
+    from .lookup import as_of_chunked
+
+    by = by or []
+    spans = register_pointers.where(F.col("reg") < registers)
+    names = spans.select("reg").distinct()  # at most `registers` rows
+    asked = calls.select(*by, "call", F.col("idx").cast("double").alias("idx")).join(F.broadcast(names), F.lit(True))
+    held = spans.select(*by, "reg", F.col("idx").cast("double").alias("idx"), "until", "vid", "offset")
+    found = as_of_chunked(asked, held, [*by, "reg"], "idx", ["vid", "offset", "until"], chunk, strict=True)
+    live = found.where(F.col("vid").isNotNull() & (F.col("until").isNull() | (F.col("until") >= F.col("idx"))))
+    return live.groupBy(*by, "call", "vid", "offset").agg(F.sort_array(F.collect_set("reg")).alias("regs"))
 
 
 def frame_sizes(trace: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import intervals, lookup
 
 LARGE = 4096
 CHECKS = ("function", "notype", "exact", "too_short", "too_long", "padded", "misaligned", "outside", "unknown")
@@ -41,6 +42,16 @@ def counted(df: DataFrame, key: str, names: tuple[str, ...] = CHECKS, only: Colu
     return keys.join(rows.groupBy(key).agg(F.count("*").alias("n")), key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+def in_some_range(points: DataFrame, ranges: DataFrame, value: str, name: str) -> DataFrame:
+    """`points` with the column `name`: whether the value is in one of the ranges (start, end; ends included).
+
+    The ranges are united first, so that each value meets the one that begins last before it.
+    """
+    united = intervals.union(ranges, "start", "end").select(F.col("start").alias("_s"), F.col("end").alias("_e"))
+    found = lookup.floor_lookup(points, united, value, "_s", ["_e"], float(1 << 24))
+    return found.withColumn(name, F.coalesce(F.col(value) <= F.col("_e"), F.lit(False))).drop("_e")
+
+
 def object_files(points: DataFrame, files: DataFrame, address: str) -> DataFrame:
     """Each row with the first object file whose range holds the address.  files: ordinal, objfile, file_base, tops; a row per file."""
     f = F.broadcast(files)
@@ -58,8 +69,8 @@ def symbols_of(pointers: DataFrame, symbols: DataFrame, relocs: DataFrame) -> Da
 
 
 def size_conflicts(symbols: DataFrame) -> DataFrame:
-    """Addresses whose symbols have different sizes."""
-    return symbols.groupBy("objfile", "addr").agg(F.count_distinct("size").alias("sizes"), F.sort_array(F.collect_set("name")).alias("names")).where("sizes > 1")
+    """(objfile, addr, sizes, least, most): addresses whose symbols have different sizes."""
+    return symbols.groupBy("objfile", "addr").agg(F.count_distinct("size").alias("sizes"), F.min("size").alias("least"), F.max("size").alias("most")).where("sizes > 1")
 
 
 def pending(uses: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -92,6 +103,16 @@ def call_checks(calls: DataFrame) -> DataFrame:
 
 
 def table_pointer_checks(pointers: DataFrame, tables: DataFrame) -> DataFrame:
-    """Whether pointers made from the program counter point into a capability table (ends included)."""
-    t = F.broadcast(tables.select(F.col("start").alias("_s"), F.col("end").alias("_e")))
-    return pointers.join(t, (F.col("cursor") >= F.col("_s")) & (F.col("cursor") <= F.col("_e")), "left").withColumn("in_table", F.col("_s").isNotNull()).drop("_s", "_e")
+    """Whether pointers made from the program counter point into a capability table (ends included): `in_table`."""
+    return in_some_range(pointers, tables.select("start", "end"), "cursor", "in_table")
+
+
+def static_table_check(table: DataFrame, symbols: DataFrame, file_base: Column, tops: Column) -> DataFrame:
+    """The entries of a capability table (slot, base, length) with the verdict on the symbol at their slot's address, and its name.
+
+    symbols: objfile, name, addr, size, type.  An address with several symbols is
+    checked against the largest.  `counted` sums the verdicts.
+    """
+    s = symbols.groupBy(F.col("addr").alias("slot")).agg(F.max(F.struct("size", "type", "objfile", "name")).alias("_s"))
+    joined = table.join(s, "slot", "left").withColumn("size", F.col("_s.size")).withColumn("type", F.col("_s.type")).withColumn("objfile", F.col("_s.objfile")).withColumn("name", F.col("_s.name")).drop("_s")
+    return bound_verdict(joined.withColumn("file_base", file_base).withColumn("tops", tops)).drop("file_base", "tops")

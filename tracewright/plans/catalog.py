@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import closure, context, distribution, intervals, lookup, predicates
-from . import graph_queries
+from ..operators import closure, context, distribution, intervals, lookup, predicates, trace, verify
+from ..operators import graph as G
+from . import graph_queries, trace_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -27,11 +28,11 @@ def _add(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | graph_queries.QUERIES
+    return _QUERIES | graph_queries.QUERIES | trace_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | graph_queries.SQL
+    return _SQL | graph_queries.SQL | trace_queries.SQL
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -92,20 +93,19 @@ def pc_jumps(spark, sf):
 from (select user_id, {0} as k, case event_type when 'view' then 1 when 'purchase' then 2 when 'click' then 4 when 'signup' then 8 else 64 end as flag from events) group by user_id""".format(_DUCK_K))
 def event_flags(spark, sf):
     flag = F.create_map(*[F.lit(x) for p in (("view", 1), ("purchase", 2), ("click", 4), ("signup", 8), ("error", 64)) for x in p])[F.col("event_type")]
-    e = _t(spark, sf, "events").select("user_id", _k().alias("k"), flag.alias("flag"))
-    return e.groupBy("user_id").agg(F.bit_or("flag").cast("bigint").alias("flags"), F.count_if(S.has_any(F.col("flag"), 12)).alias("derefs"), F.count_distinct(F.when(F.col("flag") == 2, F.col("k"))).alias("stored"))
+    events = _t(spark, sf, "events").select("user_id", _k().alias("addr"), flag.alias("type"))
+    return G.event_summary(events, "user_id").select("user_id", F.col("flags").cast("bigint").alias("flags"), "derefs", "stored")
 
 
 @_add("""select cast(sum(case when event_type = 'click' then 1 else 0 end) as bigint) as deref_loads, cast(sum(case when event_type = 'signup' then 1 else 0 end) as bigint) as deref_stores,
   (select cast(sum(n) as bigint) from (select count(distinct {0}) as n from events where event_type = 'purchase' group by user_id)) as stored_addresses,
   count(distinct case when value between 50 and 60 then user_id end) as argument_readers from events""".format(_DUCK_K))
 def stats_row(spark, sf):
-    e = _t(spark, sf, "events").withColumn("k", _k())
-    per_user = e.groupBy("user_id").agg(
-        F.count_if(F.col("event_type") == "click").alias("l"), F.count_if(F.col("event_type") == "signup").alias("s"),
-        F.count_distinct(F.when(F.col("event_type") == "purchase", F.col("k"))).alias("d"), F.max(predicates.in_range(F.col("value"), 50, 60)).alias("a"),
-    )
-    return per_user.agg(F.sum("l").alias("deref_loads"), F.sum("s").alias("deref_stores"), F.sum("d").alias("stored_addresses"), F.count_if("a").alias("argument_readers"))
+    flag = F.when(F.col("event_type") == "click", 4).when(F.col("event_type") == "signup", 8).when(F.col("event_type") == "purchase", 2).otherwise(1)
+    e = _t(spark, sf, "events").select("user_id", "value", _k().alias("addr"), flag.alias("type"))
+    readers = e.where(predicates.in_range(F.col("value"), 50, 60)).agg(F.count_distinct("user_id").alias("argument_readers"))
+    sums = G.event_summary(e, "user_id").agg(F.sum("deref_loads").alias("deref_loads"), F.sum("deref_stores").alias("deref_stores"), F.sum("stored").alias("stored_addresses"))
+    return sums.join(F.broadcast(readers), F.lit(True))  # one row each
 
 
 # --- as-of joins and liveness (C2, C3, C6)
@@ -133,8 +133,12 @@ def liveness(spark, sf):
 
 @_add("select l_orderkey, l_linenumber, l_extendedprice, o_totalprice from lineitem join orders on l_orderkey = o_orderkey where l_extendedprice > o_totalprice")
 def monotonic_check(spark, sf):
-    joined = _t(spark, sf, "lineitem").join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.where("l_extendedprice > o_totalprice").select("l_orderkey", "l_linenumber", "l_extendedprice", "o_totalprice")
+    key = lambda line: F.struct(F.col("key"), line.cast("int").alias("line"))
+    held = lambda vid, top: [vid.alias("vid"), F.lit(0.0).alias("base"), top.alias("length"), F.lit(0).alias("perms")]
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice").select(*held(key(F.lit(0)), F.col("o_totalprice")))
+    lines = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_extendedprice").select(*held(key(F.col("l_linenumber")), F.col("l_extendedprice")))
+    edges = lines.select(F.struct(F.col("vid.key").alias("key"), F.lit(0).alias("line")).alias("src"), F.col("vid").alias("dst")).distinct()  # lines repeat their keys
+    return trace.violations(orders.unionByName(lines), edges).select(F.col("vid.key").alias("l_orderkey"), F.col("vid.line").alias("l_linenumber"), F.col("top").alias("l_extendedprice"), F.col("parent_top").alias("o_totalprice"))
 
 
 # --- lineage (C8)
@@ -190,49 +194,66 @@ def visible_set(spark, sf):
     from pyspark.sql import Window as W
 
     regs = ("click", "purchase", "signup", "view")
-    own = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("event_type") == r, F.col("event_id")), ignorenulls=True).over(own).alias(f"_{r}") for r in regs]
-    seen = _t(spark, sf, "events").select("event_id", "user_id", "event_type", *last).where("event_type = 'error'")
-    held = F.filter(F.array(*[F.when(F.col(f"_{r}").isNotNull(), F.concat(F.lit(f"{r}:"), F.col(f"_{r}").cast("string"))) for r in regs]), lambda x: x.isNotNull())
-    return seen.withColumn("held", held).where(F.size("held") > 0).select("event_id", "user_id", F.size("held").cast("bigint").alias("n_visible"), F.array_join("held", ",").alias("visible"))
+    e = _t(spark, sf, "events").select("event_id", "user_id", "event_type")
+    reg = F.array_position(F.array(*map(F.lit, regs)), F.col("event_type")).cast("int") - 1
+    spans = e.where(F.col("event_type").isin(*regs)).select("user_id", reg.alias("reg"), F.col("event_id").alias("idx"), F.col("event_id").alias("vid"), F.lit(0).alias("offset"))
+    spans = spans.withColumn("until", F.lead("idx").over(W.partitionBy("user_id", "reg").orderBy("idx")))
+    calls = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("call"), F.col("event_id").alias("idx"))
+    seen = trace.visible_pointers(calls, spans, ["user_id"])
+    named = F.transform(F.array_sort(F.collect_list(F.struct(F.col("regs")[0].alias("reg"), "vid"))), lambda x: F.concat(F.element_at(F.array(*map(F.lit, regs)), x["reg"] + 1), F.lit(":"), x["vid"].cast("string")))
+    return seen.groupBy("user_id", F.col("call").alias("event_id")).agg(F.count("*").alias("n_visible"), F.array_join(named, ",").alias("visible")).select("event_id", "user_id", "n_visible", "visible")
 
 
 # --- masks
+def _only_vertices(vertices: DataFrame) -> G.Graph:
+    """A graph of vertices alone, for what reads no more."""
+    return G.Graph(vertices, vertices, vertices, vertices)
+
+
 @_add("select l_orderkey, l_linenumber from lineitem where not ((l_discount = 0 and l_tax = 0) or l_returnflag = 'R')")
 def mask_null(spark, sf):
-    return _t(spark, sf, "lineitem").where(~(((F.col("l_discount") == 0) & (F.col("l_tax") == 0)) | (F.col("l_returnflag") == "R"))).select("l_orderkey", "l_linenumber")
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("length"), F.col("l_tax").alias("base"), (F.col("l_returnflag") != "R").alias("valid"))
+    return G.without_null(_only_vertices(lines)).vertices.select("l_orderkey", "l_linenumber")
 
 
 @_add("select o_orderkey, o_orderpriority from orders where o_orderpriority not in ('1-URGENT', '5-LOW')")
 def mask_origin(spark, sf):
-    return _t(spark, sf, "orders").where(~F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).select("o_orderkey", "o_orderpriority")
+    orders = _t(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("origin"))
+    return G.without_origin("1-URGENT", "5-LOW")(_only_vertices(orders)).vertices.select("o_orderkey", F.col("origin").alias("o_orderpriority"))
 
 
 @_add("select p_partkey, p_retailprice from part where not (p_retailprice >= 1000 and p_retailprice + p_size <= 1200)")
 def mask_range(spark, sf):
-    return _t(spark, sf, "part").where(~((F.col("p_retailprice") >= 1000) & (F.col("p_retailprice") + F.col("p_size") <= 1200))).select("p_partkey", "p_retailprice")
+    parts = _t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("base"), F.col("p_size").alias("length"))
+    return G.without_stack(1000, 1200)(_only_vertices(parts)).vertices.select("p_partkey", F.col("base").alias("p_retailprice"))
 
 
 @_add("select o_orderkey from orders o where o_orderdate between timestamp '1996-01-01' and timestamp '1996-03-31' or exists (select 1 from lineitem where l_orderkey = o_orderkey and l_shipdate between timestamp '1996-01-01' and timestamp '1996-03-31')")
 def time_slice(spark, sf):
-    between = lambda c: F.col(c).between("1996-01-01", "1996-03-31")
-    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    shipped = _t(spark, sf, "lineitem").where(between("l_shipdate")).select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(True))
-    return orders.join(shipped, "o_orderkey", "left").where(between("o_orderdate") | F.col("hit")).select("o_orderkey")
+    number = lambda c: F.date_format(c, "yyyyMMddHHmmss").cast("long")
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("vid"), number("o_orderdate").alias("t_alloc"))
+    shipped = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("vid"), number("l_shipdate").alias("time"), F.lit(S.EVENTS["deref_load"]).alias("type"))
+    g = G.Graph(orders, shipped, orders, orders)
+    return G.time_slice(19960101000000, 19960331000000, deref=True)(g).vertices.select(F.col("vid").alias("o_orderkey"))
 
 
 @_add("""with b as (select user_id, min(event_id) as at from events where event_type = 'signup' group by user_id)
 select distinct e.user_id, e.event_type from events e join b using (user_id) where e.event_id > b.at and not exists (select 1 from events f where f.user_id = e.user_id and f.event_type = e.event_type and f.event_id < b.at)""")
 def new_visible(spark, sf):
     e = _t(spark, sf, "events").select("user_id", "event_id", "event_type")
-    at = e.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "signup", F.col("event_id"))).alias("at")).where("at is not null")
-    seen = e.join(at, "user_id").groupBy("user_id", "event_type").agg(F.max(F.col("event_id") > F.col("at")).alias("after"), F.max(F.col("event_id") < F.col("at")).alias("before"))
-    return seen.where("after and not before").select("user_id", "event_type")
+    at = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("at"))
+    seen = e.join(at, "user_id").where("event_id <> at").select(F.struct("user_id", "event_type").alias("src"), F.col("user_id").alias("dst"), F.when(F.col("event_id") < F.col("at"), G.VISIBLE).otherwise(G.RETURN).alias("op"), F.col("event_id").alias("time"), F.array(F.lit(0)).alias("regs"))
+    calls = at.select(F.lit(None).cast(seen.schema["src"].dataType).alias("src"), F.col("user_id").alias("dst"), F.lit(G.SYSCALL).alias("op"), F.col("at").alias("time"), F.array(F.lit(0)).alias("regs"))
+    vertices = seen.select(F.col("src").alias("vid")).distinct()
+    g = G.kernel_pointers(G.Graph(vertices, vertices, at, seen.unionByName(calls)))
+    return g.vertices.where("annotated_ksyscall").select("vid.user_id", "vid.event_type")
 
 
 @_add("select user_id, arg_min(event_type, event_id) as first_type, min(event_id) as first_id from events where event_type in ('view', 'purchase') group by user_id")
 def first_touch(spark, sf):
-    return _t(spark, sf, "events").where("event_type in ('view', 'purchase')").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type"), F.min("event_id").alias("first_id"))
+    e = _t(spark, sf, "events").select(F.col("user_id").alias("vid"), F.col("event_id").alias("time"), F.when(F.col("event_type") == "view", S.EVENTS["load"]).when(F.col("event_type") == "purchase", S.EVENTS["store"]).otherwise(0).alias("type"))
+    first = G.first_moves(e)
+    return first.select(F.col("vid").alias("user_id"), F.when(S.has_any(F.col("type"), S.EVENTS["load"]), "view").otherwise("purchase").alias("first_type"), F.col("time").alias("first_id"))
 
 
 @_add("""with w as (select *, lead(event_type) over u as nt, lead(event_id) over u as ni, lead(value) over u as nv, lag(event_type) over u as pt from events window u as (partition by user_id order by event_id))
@@ -241,14 +262,17 @@ from w where not (event_type = 'purchase' and coalesce(pt = 'view', false))""")
 def fuse_pairs(spark, sf):
     from pyspark.sql import Window as W
 
-    u = W.partitionBy("user_id").orderBy("event_id")
-    w = _t(spark, sf, "events").select("event_id", "user_id", "event_type", F.lead("event_type").over(u).alias("nt"), F.lead("event_id").over(u).alias("ni"), F.lag("event_type").over(u).alias("pt"))
-    pair = (F.col("event_type") == "view") & F.coalesce(F.col("nt") == "purchase", F.lit(False))
-    return w.where(~((F.col("event_type") == "purchase") & F.coalesce(F.col("pt") == "view", F.lit(False)))).select("event_id", "user_id", F.when(pair, "fused").otherwise(F.col("event_type")).alias("kind"), F.when(pair, F.col("ni")).alias("fused_with"))
+    e = _t(spark, sf, "events").withColumn("up", F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id")))
+    origin = F.when(F.col("event_type") == "view", "FROMPTR").when(F.col("event_type") == "purchase", "SETBOUNDS").otherwise(F.col("event_type"))
+    vertices = e.select(F.col("event_id").alias("vid"), "user_id", "event_type", origin.alias("origin"), F.col("event_id").alias("t_alloc"), F.lit(-1).cast("long").alias("t_free"))
+    edges = e.where("up is not null").select(F.col("up").alias("src"), F.col("event_id").alias("dst"), F.lit(0).alias("op"))
+    fused = F.col("origin") == "PTR_SETBOUNDS"
+    out = G.fuse_bounds(G.Graph(vertices, vertices, vertices, edges)).vertices
+    return out.select(F.when(fused, F.col("t_alloc")).otherwise(F.col("vid")).alias("event_id"), "user_id", F.when(fused, "fused").otherwise(F.col("event_type")).alias("kind"), F.when(fused, F.col("vid")).alias("fused_with"))
 
 
 # --- range joins and lookups (C10, C11)
-@_add("select l_orderkey, l_linenumber, p_partkey from lineitem join part on l_extendedprice between p_retailprice and p_retailprice + 0.05 where p_size <= 10")
+@_add("select l_orderkey, l_linenumber, p_partkey from lineitem join part on l_extendedprice between p_retailprice and p_retailprice + 0.05")
 def range_join_point(spark, sf):
     bands = _t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 0.05).alias("hi"))
     return lookup.points_in_intervals(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), bands, "l_extendedprice", "lo", "hi", 8).select("l_orderkey", "l_linenumber", "p_partkey")
@@ -345,7 +369,7 @@ def sweep_counts(spark, sf):
     return intervals.sweep(_spans(spark, sf), "s", "e", ["user_id"])
 
 
-@_add("""with v as (select cast(floor(p_retailprice) as bigint) as s, cast(floor(p_retailprice) as bigint) + p_size as e from part where p_partkey % 7 = 0),
+@_add("""with v as (select cast(floor(p_retailprice) as bigint) as s, cast(floor(p_retailprice) as bigint) + p_size as e from part),
 f as (select *, case when s > max(e) over (order by s, e rows between unbounded preceding and 1 preceding) then 1 else 0 end as n from v),
 i as (select *, sum(n) over (order by s, e rows unbounded preceding) as g from f), u as (select min(s) as a, max(e) as b, true as kept from i group by g),
 g as (select lag(b) over (order by a) as a, a as b, false as kept from u), x as (select * from u union all select * from g where a is not null and b > a),
@@ -359,12 +383,16 @@ def axis_transform(spark, sf):
 
 
 # --- call graph and verification analogues
-@_add("""select src, dst, count(*) as calls, string_agg(cast(t as varchar), ',' order by t) as times from (select event_type as dst, lag(event_type) over (partition by user_id order by event_id) as src, user_id, event_id as t from events where user_id < 20) where src is not null group by src, dst, user_id""")
+@_add("""select src, dst, count(*) as calls, string_agg(cast(t as varchar), ',' order by t) as times from (select event_type as dst, lag(event_type) over (partition by user_id order by event_id) as src, user_id, event_id as t from events) where src is not null group by src, dst, user_id""")
 def edge_call_times(spark, sf):
     from pyspark.sql import Window as W
 
-    e = _t(spark, sf, "events").select("user_id", F.col("event_type").alias("dst"), F.col("event_id").alias("t"), F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id")).alias("src"))
-    return e.where("src is not null").groupBy("src", "dst", "user_id").agg(F.count("*").alias("calls"), F.array_join(F.transform(F.sort_array(F.collect_list("t")), lambda x: x.cast("string")), ",").alias("times")).select("src", "dst", "calls", "times")
+    e = _t(spark, sf, "events").select("user_id", "event_type", "event_id", F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id")).alias("up"))
+    name = lambda c: F.struct("user_id", F.col(c).alias("name"))
+    calls = e.select(name("event_type").alias("vid")).distinct().withColumn("address", F.col("vid"))
+    edges = e.where("up is not null").select(name("up").alias("src"), name("event_type").alias("dst"), F.lit(G.CALL).alias("op"), F.col("event_id").alias("time"))
+    counted = G.call_counts(G.Graph(calls, calls, calls, edges))
+    return counted.select(F.col("src.name").alias("src"), F.col("dst.name").alias("dst"), "calls", F.array_join(F.transform("times", lambda x: x.cast("string")), ",").alias("times"))
 
 
 _CHECK = """case when p_size < 10 then case when l_quantity = p_size then 'exact' else 'mismatch' end
@@ -387,8 +415,7 @@ def bound_check(spark, sf):
 @_add(f"""with k as (select unnest(['exact', 'mismatch', 'padded', 'short', 'loose', 'skipped', 'unknown']) as verdict), c as (select {_CHECK} as verdict from lineitem join part on l_partkey = p_partkey)
 select k.verdict, count(c.verdict) as n from k left join c on c.verdict = k.verdict group by k.verdict""")
 def bound_check_counts(spark, sf):
-    keys = spark.createDataFrame([(k,) for k in ("exact", "mismatch", "padded", "short", "loose", "skipped", "unknown")], "verdict string")
-    return keys.join(_checked(spark, sf).groupBy("verdict").agg(F.count("*").alias("n")), "verdict", "left").select("verdict", F.coalesce("n", F.lit(0)).alias("n"))
+    return verify.counted(_checked(spark, sf), "verdict", ("exact", "mismatch", "padded", "short", "loose", "skipped", "unknown"))
 
 
 @_add("""with s as (select event_id, user_id from events where event_type = 'signup')
@@ -401,7 +428,8 @@ def pending_use(spark, sf):
 
 @_add("select p_brand, p_type, count(distinct p_size) as sizes, min(p_size) as least, max(p_size) as most from part group by p_brand, p_type having count(distinct p_size) > 1")
 def conflict_keys(spark, sf):
-    return _t(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count_distinct("p_size").alias("sizes"), F.min("p_size").alias("least"), F.max("p_size").alias("most")).where("sizes > 1")
+    symbols = _t(spark, sf, "part").select(F.col("p_brand").alias("objfile"), F.col("p_type").alias("addr"), F.col("p_size").alias("size"))
+    return verify.size_conflicts(symbols).select(F.col("objfile").alias("p_brand"), F.col("addr").alias("p_type"), "sizes", "least", "most")
 
 
 @_add("""select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) as host, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, length(html) - length(replace(html, '<', '')) as tags from pages""")
