@@ -13,16 +13,18 @@ hardly any chance pairs however many lines there are.
    least line of its bucket; links join components (union-find).  In buckets of
    more than `CROWD` lines, every line outside the bucket's largest component is
    compared with `CENTRES` more of its lines.
-4. Lines that have met only the centres of their buckets, in buckets that hold
-   several components, are compared with lines of other components that share one
-   of their rarest shingles, which similar lines must (prefix filter).  So a large
-   group of near copies costs a few comparisons a line, lines that share a
-   frequent passage never meet for that, and no link within a bucket is missed.
+4. Where buckets still hold several components, their other lines have met only
+   the centre.  Those of buckets with at most `FEW` are compared with each other;
+   those of larger ones with lines of other components that share one of their
+   rarest shingles, which similar lines must (prefix filter).  So a large group of
+   near copies costs a few comparisons a line, and lines that share a frequent
+   passage never meet for that.
 5. One line of each component stays: the first by document and line number.
 
 At a similarity of 0.8 a pair shares a bucket with probability
 1 - (1 - 0.8^3)^10 = 0.9992; simulated with these rotations, 0.9990 to 0.9995 for
-unions of 5 to 200 shingles.
+unions of 5 to 200 shingles.  Pairs that agree in at most `UNLIKE` of the 30 minima
+aren't compared: at 0.8 that loses a pair with a probability below 0.00002.
 
 Nulls and empty texts: lines of null texts don't exist; blank lines belong to no
 class and are kept.  Ties: among lines of one place the least row key stays.
@@ -45,7 +47,9 @@ WINDOW, BANDS, ROWS, SIMILARITY = 12, 10, 3, 0.8
 #: Sequences of places are made for pieces of a line with this many windows; so many windows are hashed in one row.
 PIECE, STEP = 4096, 16
 #: Buckets with more lines than this get so many more centres.
-CROWD, CENTRES = 64, 3
+CROWD, CENTRES = 64, 4
+#: So many lines of a bucket are compared with each other; pairs with so few minima in common aren't similar.
+FEW, UNLIKE = 8, 13
 #: Numbers of lines that go and keys of their documents are broadcast up to this many, else joined by a shuffle.
 GONE = 2_000_000
 
@@ -74,12 +78,15 @@ def shingles(line: Column) -> Column:
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """(lid, h0, h1, ...): the hashes of a line's windows, `STEP` in a row; the last row repeats the last window."""
+    # an exploded struct is made once; plain columns beside an exploded one would be evaluated for every row of it
     # explode_outer: explode would make the optimizer evaluate the array once more, as a filter
-    coded = lines.select("lid", F.encode("line", "UTF-32").alias("code")).withColumn("n", _windows(F.col("code")))
-    pieces = coded.withColumn("at", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1, F.lit(PIECE))))
-    pieces = pieces.select("lid", F.substring("code", F.col("at") * 4 + 1, F.lit(4 * (PIECE + WINDOW - 1))).alias("piece"), F.least(F.lit(PIECE), F.col("n") - F.col("at")).alias("n"))
-    places = pieces.withColumn("at", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))))
-    return places.select("lid", *[_hash_at(F.col("piece"), F.least(F.col("at") + j, F.col("n") - 1)).alias(f"h{j}") for j in range(STEP)])
+    coded = lines.select(F.explode_outer(F.array(F.struct("lid", F.encode("line", "UTF-32").alias("code")))).alias("x")).select("x.lid", "x.code")
+    at = F.sequence(F.lit(0), _windows(F.col("code")) - 1, F.lit(PIECE))
+    piece = lambda i: F.struct("lid", F.substring("code", i * 4 + 1, F.lit(4 * (PIECE + WINDOW - 1))).alias("piece"))
+    pieces = coded.select(F.explode_outer(F.transform(at, piece)).alias("x")).select("x.lid", "x.piece")
+    places = pieces.select("lid", "piece", F.explode_outer(F.sequence(F.lit(0), F.least(F.lit(PIECE), _windows(F.col("piece"))) - 1, F.lit(STEP))).alias("at"))
+    last = F.least(F.lit(PIECE), _windows(F.col("piece"))) - 1
+    return places.select("lid", *[_hash_at(F.col("piece"), F.least(F.col("at") + j, last)).alias(f"h{j}") for j in range(STEP)])
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -95,8 +102,21 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """(lid, bands): the keys of each different line's bands."""
-    return _signatures(lines).select("lid", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("bands"))
+    """(lid, bands, sketch): of each different line the keys of its bands, and a byte of each minimum."""
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    sketch = F.array(*[(F.col(f"m{i}").bitwiseAND(0xFF) - 128).cast("tinyint") for i in range(BANDS * ROWS)])
+    return _signatures(lines).select("lid", bands.alias("bands"), sketch.alias("sketch"))
+
+
+def _agree(x: Column, y: Column) -> Column:
+    """Whether two sketches have more than `UNLIKE` minima in common."""
+    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda z: z)) > UNLIKE
+
+
+def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches agree."""
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    return both.where(_agree(F.col("x"), F.col("y"))).select("a", "b")
 
 
 def _rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
@@ -106,7 +126,8 @@ def _rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
     shingles are put in one order, the first n - ceil(s n) + 1 of both meet.
     A shingle that one line alone has meets nothing: such are counted, not ranked.
     """
-    each = lines.withColumn("hs", shingles(F.col("line"))).select("id", "comp", F.size("hs").alias("size"), F.explode_outer("hs").alias("h"))
+    held = lines.withColumn("hs", shingles(F.col("line"))).select("id", "comp", F.size("hs").alias("size"), "hs")
+    each = held.select("id", "comp", "size", F.explode_outer("hs").alias("h"))
     counts = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(counts, "h")
     ranked = shared.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "h")) + F.col("size") - F.count("*").over(W.partitionBy("id")))
@@ -127,28 +148,43 @@ def _labelled(banded: DataFrame, comps: DataFrame) -> DataFrame:
     return banded.select("band", "id").join(comps, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
 
 
-def _crowd_links(crowds: DataFrame, comps: DataFrame, texts: DataFrame, similarity: float, turn: int, scratch: Scratch) -> DataFrame:
+def _crowd_links(crowds: DataFrame, comps: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, turn: int, scratch: Scratch) -> DataFrame:
     """Links of the lines outside their bucket's largest component with another line of that, another one each turn."""
     labelled = scratch.table(_labelled(crowds, comps), "crowds")
     parts = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id"))["id"].alias("centre"))
     centres = parts.groupBy("band").agg(F.max(F.struct("n", "comp", "centre")).alias("most"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("most.comp").alias("main"), F.col("most.centre").alias("b"))
     centres = scratch.table(centres, "centres")
     pairs = labelled.join(smaller_side(centres), "band").where("comp <> main").select(F.col("id").alias("a"), "b").distinct()
-    found = scratch.table(_verified(pairs, texts, similarity), "links")
+    found = scratch.table(_verified(_likely(pairs, known), texts, similarity), "links")
     scratch.drop(labelled, centres)
     return found
 
 
-def _rest_links(banded: DataFrame, comps: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The links that no comparison with a centre shows, as pairs of lines that share a rare shingle."""
-    met = _labelled(banded.where("id <> first"), comps)  # the centre has met every line of its bucket
-    mixed = met.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-    left = scratch.table(met.join(mixed, "band", "left_semi").select("id", "comp").distinct(), "mixed")
-    prefixes = scratch.table(_rare_prefixes(texts.join(left, "id"), similarity), "prefixes")
-    x, y = (prefixes.select("h", *[F.col(c).alias(k + c) for c in ("id", "comp", "place", "size")]) for k in "ab")
-    # the conditions are met inside the join: pairs of one component, of too different sizes, or with too few shingles from this place on, are never made
+def _mixed(banded: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, id, comp, n) of the buckets that without their centre, which has met every line of them, hold several components; n lines."""
+    met = scratch.table(_labelled(banded.where("id <> first"), comps), "met")
+    mixed = met.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
+    out = scratch.table(met.join(smaller_side(scratch.table(mixed, "mixed")), "band"), "mixed")
+    scratch.drop(met)
+    return out
+
+
+def _few_links(mixed: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The links among lines of different components of buckets with at most `FEW` lines: each meets fewer than `FEW` others."""
+    held = mixed.where(F.col("n") <= FEW).groupBy("band").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
+    each = F.flatten(F.transform("m", lambda x: F.transform("m", lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), ((x["id"] > y["id"]) & (x["comp"] != y["comp"])).alias("apart")))))
+    pairs = held.select(F.explode_outer(F.filter(each, lambda p: p["apart"])).alias("p")).where("p is not null").select("p.a", "p.b").distinct()
+    return scratch.table(_verified(_likely(pairs, known), texts, similarity), "links")
+
+
+def _rest_links(mixed: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The links that no comparison with a centre shows in larger buckets, as pairs of lines that share a rare shingle."""
+    left = scratch.table(mixed.where(F.col("n") > FEW).select("id", "comp").distinct(), "rest")
+    prefixes = scratch.table(_rare_prefixes(texts.join(left, "id"), similarity).join(known.select("id", "sketch"), "id"), "prefixes")
+    x, y = (prefixes.select("h", *[F.col(c).alias(k + c) for c in ("id", "comp", "place", "size", "sketch")]) for k in "ab")
+    # the conditions are met inside the join: pairs of one component, of too different sizes, with unlike sketches, or with too few shingles from this place on, are never made
     after = 1 + F.least(F.col("asize") - F.col("aplace"), F.col("bsize") - F.col("bplace"))
-    apart = (after >= F.lit(similarity / (1 + similarity)) * (F.col("asize") + F.col("bsize")) - 1e-9) & (F.col("aid") > F.col("bid")) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9)
+    apart = (after >= F.lit(similarity / (1 + similarity)) * (F.col("asize") + F.col("bsize")) - 1e-9) & (F.col("aid") > F.col("bid")) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9) & _agree(F.col("asketch"), F.col("bsketch"))
     pairs = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & apart).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
     found = scratch.table(_verified(pairs, texts, similarity), "links")
     scratch.drop(left, prefixes)
@@ -166,21 +202,24 @@ def line_classes(lines: DataFrame, scratch: Scratch, similarity: float = SIMILAR
     each = own.select("id", F.explode_outer("bands").alias("band"))
     shared = scratch.table(each.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
     banded = scratch.table(each.join(smaller_side(shared), "band"), "buckets")
-    wanted = scratch.table(own.select("id", "lid").join(smaller_side(banded.select("id").distinct()), "id", "left_semi"), "wanted")
+    wanted = scratch.table(own.select("id", "lid", "sketch").join(smaller_side(banded.select("id").distinct()), "id", "left_semi"), "wanted")
     # one more pass over the texts, for those of the candidates
-    texts = scratch.table(lines.select("lid", "line").join(smaller_side(wanted), "lid").select("id", "line").dropDuplicates(["id"]), "texts")
+    texts = scratch.table(lines.select("lid", "line").join(smaller_side(wanted.select("id", "lid")), "lid").select("id", "line").dropDuplicates(["id"]), "texts")
     star = banded.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    links = scratch.table(_verified(star, texts, similarity), "links")
+    links = scratch.table(_verified(_likely(star, wanted), texts, similarity), "links")
     comps = connected_components(links, scratch)
     crowds = scratch.table(banded.where(F.col("n") > CROWD).select("band", "id"), "crowded")
     for turn in range(CENTRES if crowds.take(1) else 0):
-        more = _crowd_links(crowds, comps, texts, similarity, turn, scratch)
+        more = _crowd_links(crowds, comps, wanted, texts, similarity, turn, scratch)
         if not more.take(1):
             break
         comps = _joined(comps, more, scratch)
-    rest = _rest_links(banded, comps, texts, similarity, scratch)
-    if rest.take(1):
-        comps = _joined(comps, rest, scratch)
+    for links_of in (_few_links, _rest_links):
+        mixed = _mixed(banded, comps, scratch)
+        more = links_of(mixed, wanted, texts, similarity, scratch)
+        if more.take(1):
+            comps = _joined(comps, more, scratch)
+        scratch.drop(mixed)
     known = wanted.select("id", "lid")
     out = comps.join(known, "id").select("lid", "comp").join(known.select(F.col("id").alias("comp"), F.col("lid").alias("class")), "comp").select("lid", "class")
     out = scratch.table(out, "classes")
