@@ -47,6 +47,32 @@ def as_of_chunked(left: DataFrame, right: DataFrame, by: list[str], on: str, tak
     return joined.select(*left.columns, *[F.when(F.col("_own"), F.col(n)).otherwise(F.col(f"_before.{n}")).alias(c) for c, n in zip(take, names, strict=True)])
 
 
+def with_next(df: DataFrame, by: list[str], on: str, take: dict[str, str], width: float) -> DataFrame:
+    """Adds the columns `take` (new name: column) of the key's next row along `on`, null for its last.
+
+    For keys with very many rows: a row looks in its own chunk of `width`; the
+    last one of a chunk takes the first row of the key's next chunk, which a table
+    with a row per key and chunk tells.
+    """
+    chunk = F.floor(F.col(on) / width).cast("long")
+    held = F.struct(*[F.col(c).alias(n) for n, c in take.items()])
+    rows = df.withColumn("_chunk", chunk).withColumn("_held", held)
+    ends = rows.groupBy(*by, "_chunk").agg(F.min_by("_held", on).alias("_first"))
+    coming = ends.select(*by, "_chunk", F.lead("_first").over(W.partitionBy(*by).orderBy("_chunk")).alias("_coming"))
+    inner = rows.withColumn("_next", F.lead("_held").over(W.partitionBy(*by, "_chunk").orderBy(on)))
+    joined = inner.join(coming, [*by, "_chunk"], "left").withColumn("_next", F.coalesce("_next", "_coming"))
+    return joined.select(*df.columns, *[F.col(f"_next.{n}").alias(n) for n in take])
+
+
+def with_running_sum(df: DataFrame, by: list[str], on: str, value: str, name: str, width: float) -> DataFrame:
+    """Adds the sum of `value` over the key's rows up to each, along `on`; chunks as in `with_next`."""
+    rows = df.withColumn("_chunk", F.floor(F.col(on) / width).cast("long"))
+    sums = rows.groupBy(*by, "_chunk").agg(F.sum(value).alias("_sum"))
+    before = sums.select(*by, "_chunk", F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = rows.withColumn("_own", F.sum(value).over(W.partitionBy(*by, "_chunk").orderBy(on).rowsBetween(W.unboundedPreceding, 0)))
+    return inner.join(before, [*by, "_chunk"]).withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
+
+
 def floor_lookup(left: DataFrame, table: DataFrame, value: str, key: str, take: list[str], width: float) -> DataFrame:
     """Each left row with the row of `table` whose key is the greatest not above the value."""
     steps = table.select(F.col(key).cast("double").alias("_on"), *[F.col(c).alias(f"_f_{c}") for c in take])

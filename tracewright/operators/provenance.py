@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .closure import _written
-from .lookup import as_of_chunked
+from .lookup import as_of_chunked, with_next, with_running_sum
 
 UOP = (
     "idx long, sub int, act string, dst string, src string, addr long, valid boolean, origin string, pc long, is_kernel boolean, "
@@ -45,6 +45,8 @@ class Provenance:
     vertices: DataFrame
     edges: DataFrame
     events: DataFrame
+    #: (reg, idx, until, vid): the spans in which registers hold pointers.
+    registers: DataFrame | None = None
 
 
 def _at(idx: Column, sub: Column, place: int = 0) -> Column:
@@ -139,9 +141,12 @@ def provenance(uops: DataFrame, chunk_rows: int = 1_000_000) -> Provenance:
     begin = parents.where("to is null").join(made, "vid").groupBy("_initial").agg(F.min("base").alias("base"), F.max(F.col("base") + F.col("length")).alias("_top"), F.bit_or("perms").alias("perms"), F.min("otype").alias("otype"))
     begin = begin.select(F.col("_initial").alias("vid"), F.lit("INITIAL_ROOT").alias("origin"), F.lit(0).cast("long").alias("pc"), F.lit(False).alias("is_kernel"), "base", F.lit(0).cast("long").alias("offset"), (F.col("_top") - F.col("base")).alias("length"), "perms", "otype", F.lit(True).alias("valid"), F.lit(False).alias("sealed"), F.lit(-1).cast("long").alias("t_alloc"))
     events = _events(uops, v, resolved, chunk)
-    ends = _ends(known, resolved, events, v, chunk)
+    spans = _written(_spans(known, resolved, v, chunk))
+    ends = _ends(spans, events, chunk)
     vertices = vertices.unionByName(begin).join(ends, "vid", "left").withColumn("t_free", F.coalesce("t_free", F.lit(-1)))
-    return Provenance(vertices, edges, events.select("vid", "time", "addr", "type", "at"))
+    place = lambda c: F.floor(F.col(c) / (_SUBS * _PLACES)).cast("long")
+    registers = spans.where("vertex is not null").select(F.substring("loc", 2, 10).cast("int").alias("reg"), place("at").alias("idx"), place("_to").alias("until"), F.col("vertex").alias("vid"))
+    return Provenance(vertices, edges, events.select("vid", "time", "addr", "type", "at"), registers)
 
 
 def _events(uops: DataFrame, v: DataFrame, resolved: DataFrame, chunk: float) -> DataFrame:
@@ -162,12 +167,16 @@ def _events(uops: DataFrame, v: DataFrame, resolved: DataFrame, chunk: float) ->
     return found.join(resolved.select(F.col("vid").alias("to"), F.col("vertex").alias("vid")), "to").select("vid", "time", "addr", "type", "at")
 
 
-def _ends(known: DataFrame, resolved: DataFrame, events: DataFrame, v: DataFrame, chunk: float) -> DataFrame:
+def _spans(known: DataFrame, resolved: DataFrame, v: DataFrame, chunk: float) -> DataFrame:
+    """(loc, at, vertex, _to, _next, _when): what each version of a register holds, and the version after it."""
+    held = known.where("loc like 'r%'").join(resolved, "vid").select("loc", F.col("vid").alias("at"), "vertex")
+    every = v.where("loc like 'r%'").select("loc", "at", "time").join(held, ["loc", "at"], "left")
+    return with_next(every, ["loc"], "at", {"_next": "vertex", "_to": "at", "_when": "time"}, chunk)
+
+
+def _ends(spans: DataFrame, events: DataFrame, chunk: float) -> DataFrame:
     """(vid, t_free): the last moment at which a version of the vertex went and none was left."""
-    held = known.where("loc like 'r%'").join(resolved, "vid").select("loc", F.col("vid").alias("at"), "vertex", "time")
-    every = v.where("loc like 'r%'").select("loc", "at", "time").join(held.select("loc", "at", "vertex"), ["loc", "at"], "left")
-    own = W.partitionBy("loc").orderBy("at")
-    spans = every.withColumn("_next", F.lead("vertex").over(own)).withColumn("_to", F.lead("at").over(own)).withColumn("_when", F.lead("time").over(own)).where("vertex is not null")
+    spans = spans.where("vertex is not null")
     moves = spans.select(F.explode(F.array(
         F.struct(F.col("vertex").alias("vid"), F.col("at"), F.lit(1).alias("step"), F.lit(None).cast("long").alias("free")),
         F.struct(F.col("vertex").alias("vid"), F.col("_to").alias("at"), F.lit(-1).alias("step"), F.when(~F.col("_next").eqNullSafe(F.col("vertex")) & F.col("_next").isNotNull(), F.col("_when")).alias("free")),
@@ -179,5 +188,5 @@ def _ends(known: DataFrame, resolved: DataFrame, events: DataFrame, v: DataFrame
     step = F.when(stored, F.when(F.coalesce(was, F.lit(0)) == 1, 0).otherwise(1)).otherwise(F.when(F.coalesce(was, F.lit(0)) == 1, -1).otherwise(0))
     memory = memory.select("vid", "at", step.alias("step"), F.when(~stored, F.col("time")).alias("free"))
     points = moves.unionByName(memory).groupBy("vid", "at").agg(F.sum("step").alias("step"), F.max("free").alias("free"))
-    live = points.withColumn("live", F.sum("step").over(W.partitionBy("vid").orderBy("at")))
+    live = with_running_sum(points, ["vid"], "at", "step", "live", chunk)
     return live.where("live = 0 and free is not null").groupBy("vid").agg(F.max("free").alias("t_free"))

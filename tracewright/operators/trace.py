@@ -84,74 +84,130 @@ def register_versions(trace: DataFrame) -> DataFrame:
     return trace.where("reg_num is not null").select("reg_num", "idx", "gpr_val", "cap", F.lead("idx").over(own).alias("until"))
 
 
-def committed(trace: DataFrame) -> DataFrame:
-    """Adds group and committed: what becomes of rows with an exception.
+def _is(*kinds: str) -> Column:
+    """Whether the opcode is in one of the classes."""
+    return S.any_of(*[F.col("opcode").rlike(CLASSES[k]) for k in kinds])
 
-    Rows that an exception (neither none nor an interrupt) holds back wait for the
-    next read of the fault address, `dmfc0 _, $8`.  All that wait there are dropped
-    if that address is the one of any of them: of a load or store the memory
-    address, else the pc.  Those after the last such read stay pending (null).
+
+def fault_reads() -> Column:
+    """`dmfc0 _, $8`: reads of the address of the last fault."""
+    return (F.col("opcode") == "dmfc0") & F.coalesce((F.get("ops", F.lit(1))["reg_num"] == 8) | F.exists("ops", lambda o: o["imm"] == 8), F.lit(False))
+
+
+def committed(trace: DataFrame, chunk: int = 1_000_000) -> DataFrame:
+    """Adds group, committed and bad_addr: what becomes of rows with an exception.
+
+    Capability instructions and stores that an exception (neither none nor an
+    interrupt) holds back wait for the next read of the fault address.  All that
+    wait there are dropped if that address is the one of any of them: of a
+    capability load or store the memory address, else the pc.  Those after the last
+    such read stay pending (null).  bad_addr is the address read next after a row
+    with an exception.  Branches act at once, whatever their exception.
     """
-    fault = (F.col("opcode") == "dmfc0") & F.exists("ops", lambda o: o["imm"] == 8)
-    waits = ~F.col("exception").isin(S.NO_EXCEPTION, 0)
-    own = W.orderBy("idx")
-    held = trace.where(waits | fault).select("idx", F.when(waits & ~fault, F.when(F.col("is_load") | F.col("is_store"), F.col("mem_addr")).otherwise(F.col("pc"))).alias("_addr"), F.when(fault, F.col("gpr_val")).alias("_bad"), fault.alias("_fault"))
-    # only rows with exceptions are put in one order
-    grouped = held.withColumn("group", F.coalesce(F.sum(F.col("_fault").cast("int")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    verdict = grouped.groupBy("group").agg(F.max("_bad").alias("_bad"), F.collect_set("_addr").alias("_addrs"), F.max("_fault").alias("_read"), F.max("idx").alias("decided_at"))
-    verdict = verdict.select("group", F.when(F.col("_read"), ~F.array_contains("_addrs", F.col("_bad"))).alias("_ok"), F.when(F.col("_read"), F.col("decided_at")).alias("decided_at"))
-    waiting = grouped.where("not _fault").select("idx", "group").join(verdict, "group")
-    out = trace.join(waiting, "idx", "left")
-    return out.withColumn("committed", F.when(F.col("group").isNull(), F.lit(True)).otherwise(F.col("_ok"))).drop("_ok")
+    fault = fault_reads()
+    raised = F.col("exception") != S.NO_EXCEPTION
+    waits = raised & (F.col("exception") != 0) & ~fault & (_is("load", "store", "cast", "arith", "bound", "cpreg", "cmp", "other") | F.col("opcode").isin("cmovn", "cmovz") | F.coalesce("is_store", F.lit(False)))
+    addr = F.when(_is("load", "store"), F.coalesce("mem_addr", "pc")).otherwise(F.col("pc"))
+    held = trace.where(raised | fault).select("idx", F.when(waits, addr).alias("_addr"), F.when(fault, F.col("gpr_val")).alias("_bad"), fault.alias("_fault"), waits.alias("_waits"))
+    # how many fault reads come before: within the row's chunk, and in the chunks before, which a table of sums tells
+    held = held.withColumn("_chunk", F.floor(F.col("idx") / chunk).cast("long"))
+    own = W.partitionBy("_chunk").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    inner = held.withColumn("_own", F.coalesce(F.sum(F.col("_fault").cast("long")).over(own), F.lit(0)))
+    sums = held.groupBy("_chunk").agg(F.count_if("_fault").alias("_n"))
+    before = sums.select("_chunk", F.coalesce(F.sum("_n").over(W.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    grouped = inner.join(before, "_chunk").withColumn("group", (F.col("_own") + F.col("_before")).cast("long"))
+    reads = grouped.where("_fault").select("group", F.col("_bad").alias("bad_addr"), F.col("idx").alias("decided_at"))
+    met = grouped.where("not _fault").select("idx", "group", "_addr", "_waits").join(reads, "group", "left")
+    dropped = met.where("_waits and decided_at is not null").groupBy("group").agg(F.max(F.col("_addr").eqNullSafe(F.col("bad_addr"))).alias("_dropped"))
+    verdict = met.join(dropped, "group", "left").select("idx", "group", "bad_addr", "_waits", F.when(F.col("decided_at").isNotNull(), ~F.coalesce("_dropped", F.lit(False))).alias("_ok"))
+    out = trace.join(verdict, "idx", "left")
+    return out.withColumn("committed", F.when(F.coalesce("_waits", F.lit(False)), F.col("_ok")).otherwise(F.lit(True))).withColumn("group", F.when(F.col("_waits"), F.col("group"))).drop("_ok", "_waits")
+
+
+_MICRO = "array<struct<at:bigint,sub:int,act:string,dst:string,src:string,origin:string,flags:int,weak:boolean>>"
 
 
 def micro_ops(trace: DataFrame, exact_bounds: bool = False) -> DataFrame:
     """The micro-operations of committed instructions, in the schema of `provenance.UOP`.
 
-    Operands are ops[0] (target), ops[1], ...; a deferred instruction acts where it
-    was decided but keeps its own cycle count.  Opcodes without a rule make none.
+    Operands are ops[0] (target), ops[1], ...  What an instruction does comes in
+    the order of `sub`: dereference, its own rule, what a plain store overwrites,
+    the branch whose delay slot it is in, its exception.  A held-back instruction
+    that commits acts in its own place.  Opcodes without a rule make none.
     """
-    t = committed(trace).where("committed")
-    o = lambda i: F.col("ops")[i]["reg_num"]
+    rows = committed(trace)
+    # a branch waits for its delay slot; without one there is no branch
+    slots = rows.select((F.col("idx") - 1).alias("idx"), F.lit(True).alias("_slot"), F.col("committed").alias("_slot_ok"))
+    branch = rows.where(F.col("opcode").isin("cjr", "cjalr")).select("idx").join(slots, "idx", "left")
+    moves = conditional_moves(rows)
+    t = rows.where("committed").join(branch, "idx", "left").join(moves, "idx", "left")
+    o = lambda i: F.get("ops", F.lit(i))["reg_num"]
     r = lambda x: F.concat(F.lit("r"), (x - 64).cast("string"))
-    op, none = F.col("opcode"), F.lit(None).cast("string")
+    op, none, here = F.col("opcode"), F.lit(None).cast("string"), F.col("idx")
     deref = F.when(F.col("is_load"), S.EVENTS["deref_load"]).otherwise(S.EVENTS["deref_store"])
-    is_cap_access = op.rlike("^(clc.*|csc|cscbi|csci|cscr)$")
-    row = lambda sub, act, dst=none, src=none, origin=none, flags=None: F.struct(F.lit(sub).alias("sub"), F.lit(act).alias("act"), dst.alias("dst"), src.alias("src"), origin.alias("origin"), (F.lit(0) if flags is None else flags).cast("int").alias("flags"))
-    bounds = op.rlike(r"^csetbounds(imm)?$") | (op.rlike(r"^csetboundsexact$") if exact_bounds else F.lit(False))
-    pointer = F.when(op.rlike("^(clc|csc)"), F.element_at("ops", -1)["reg_num"]).otherwise(F.element_at("ops", -1)["reg_num"])
+
+    def row(sub, act, dst=none, src=none, origin=none, flags=None, at=here, weak=False):
+        return F.struct(at.alias("at"), F.lit(sub).alias("sub"), F.lit(act).alias("act"), dst.alias("dst"), src.alias("src"), origin.alias("origin"), (F.lit(0) if flags is None else flags).cast("int").alias("flags"), F.lit(weak).alias("weak"))
+
+    bounds = op.isin("csetbounds", "csetboundsimm") | (op.isin("csetboundsexact") if exact_bounds else F.lit(False))
+    special = F.when(op.rlike("(ddc|default)$"), DDC).when(op.rlike("kcc$"), KCC).when(op.rlike("kdc$"), KDC).when(op.rlike("epcc$"), EPCC)
+    # the register with the address, by the opcode's last letters
+    last_or = lambda i: F.coalesce(o(i), F.element_at("ops", -1)["reg_num"])
+    short = op.rlike("[ri]$")
+    pointer = F.when(op.startswith("cll"), last_or(1)).when(_is("load"), F.when(short, last_or(2)).otherwise(last_or(3)))
+    pointer = pointer.when(_is("store"), F.when((op != "csc") & op.startswith("csc"), last_or(2)).when(short, last_or(2)).otherwise(last_or(3)))
+    is_cap = op.rlike("^(clc.*|csc|cscbi)$")
+    use = row(0, "use", none, r(pointer), none, F.when(is_cap, deref.bitwiseOR(S.EVENTS["deref_is_cap"])).otherwise(deref))
+    # a branch with an exception acts at once, and its target is undone if the fault is in the branch or its slot
+    faulted = F.col("exception") != S.NO_EXCEPTION
+    goes = F.when(faulted, ~F.coalesce((F.col("bad_addr") == F.col("pc")) | (F.col("bad_addr") == F.col("pc") + 4), F.lit(False))).otherwise(F.coalesce(F.col("_slot") & F.col("_slot_ok"), F.lit(False)))
+    at = F.when(faulted, here).otherwise(here + 1)
+    link = F.when(faulted | goes, F.array(row(4, "copy", r(o(0)), F.lit(PCC), at=at)))
+    to = lambda reg: F.when(goes, F.array(row(5, "copy", F.lit(PCC), r(reg), at=at, weak=True)))
+    empty = F.array().cast(_MICRO)
+    either = lambda *parts: F.concat(*[F.coalesce(x.cast(_MICRO), empty) for x in parts])
+    mask, first = F.get("ops", F.lit(0))["imm"], F.when(op == "cclearhi", 16).otherwise(0)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda b: F.shiftright(mask, 0).bitwiseAND(F.pow(F.lit(2.0), b.cast("double")).cast("bigint")) != 0)
+    cleared = F.transform(bits, lambda b: row(1, "clear", F.when((op == "cclearlo") & (b == 0), F.lit(DDC)).otherwise(F.concat(F.lit("r"), (first + b).cast("string")))))
     made = (
         F.when(bounds, F.array(row(1, "derive", r(o(0)), r(o(1)), F.lit("SETBOUNDS"))))
         .when(op == "cfromptr", F.array(row(1, "derive", r(o(0)), r(o(1)), F.lit("FROMPTR"))))
         .when(op == "cfromddc", F.array(row(1, "derive", r(o(0)), F.lit(DDC), F.lit("FROMPTR"))))
         .when(op == "candperm", F.array(row(1, "derive", r(o(0)), r(o(1)), F.lit("ANDPERM"))))
-        .when(op.rlike(CLASSES["arith"]) | op.isin("cmovn", "cmovz"), F.array(row(1, "copy", r(o(0)), r(o(1)))))
-        .when(op.rlike("^cget(ddc|kcc|kdc|epcc)$"), F.array(row(1, "copy", r(o(0)), F.when(op == "cgetddc", DDC).when(op == "cgetkcc", KCC).when(op == "cgetkdc", KDC).otherwise(EPCC))))
-        .when(op.rlike("^cset(ddc|kcc|kdc|epcc)$"), F.array(row(1, "copy", F.when(op == "csetddc", DDC).when(op == "csetkcc", KCC).when(op == "csetkdc", KDC).otherwise(EPCC), r(o(0)))))
+        .when(op.isin("cmovn", "cmovz"), F.when(F.col("_moves"), F.array(row(1, "copy", r(o(0)), r(o(1))))))
+        .when(_is("arith") | op.isin("cincoffsetimm"), F.array(row(1, "copy", r(o(0)), r(o(1)))))
+        .when(op.rlike("^cget(ddc|default|kcc|kdc|epcc)$"), F.array(row(1, "copy", r(o(0)), special)))
+        .when(op.rlike("^cset(ddc|default|kcc|kdc|epcc)$"), F.array(row(1, "copy", special, r(o(0)))))
+        .when(op.isin("creadhwr", "cwritehwr"), F.array(row(1, "copy", r(o(0)), r(o(1)))))
         .when(op.rlike("^cgetpcc"), F.array(row(1, "copy", r(o(0)), F.lit(PCC))))
         .when(op == "cgetnull", F.array(row(1, "clear", r(o(0)))))
-        .when(op == "cjalr", F.array(row(1, "copy", r(o(1)), F.lit(PCC)), row(2, "copy", F.lit(PCC), r(o(0)))))
-        .when(op == "cjr", F.array(row(1, "copy", F.lit(PCC), r(o(0)))))
-        .when(op == "eret", F.array(row(1, "copy", F.lit(PCC), F.lit(EPCC))))
-        .when(op.rlike("^clc"), F.array(row(0, "use", none, r(pointer), none, deref.bitwiseOR(S.EVENTS["deref_is_cap"])), row(1, "load", r(o(0)))))
-        .when(op.rlike("^csc"), F.array(row(0, "use", none, r(pointer), none, deref.bitwiseOR(S.EVENTS["deref_is_cap"])), row(1, "store", none, r(o(0)))))
-        .when((F.col("is_load") | F.col("is_store")) & op.startswith("c") & (pointer >= 64), F.array(row(0, "use", none, r(pointer), none, F.when(is_cap_access, deref.bitwiseOR(S.EVENTS["deref_is_cap"])).otherwise(deref))))
+        .when(op.isin("cclearlo", "cclearhi"), cleared)
+        .when(op == "cjalr", either(link, to(o(1))))
+        .when(op == "cjr", to(o(0)))
+        .when(op == "eret", F.array(row(1, "copy", F.lit(PCC), F.lit(EPCC), weak=True)))
+        .when(op.rlike("^(clc[ri]?|clcbi)$"), F.array(use, row(1, "load", r(o(0)))))
+        .when(op.rlike("^(csc[ri]?|cscbi)$"), F.array(use, row(1, "store", none, r(o(0)))))
+        .when(_is("load", "store") & (F.col("is_load") | F.col("is_store")), F.array(use))
     )
-    wiped = F.when(F.col("is_store") & (op != "csc"), F.array(row(3, "wipe"))).otherwise(F.array().cast("array<struct<sub:int,act:string,dst:string,src:string,origin:string,flags:int>>"))
-    taken = F.when(~F.col("exception").isin(S.NO_EXCEPTION, 0) & op.isin("syscall"), F.array(row(4, "copy", F.lit(EPCC), F.lit(PCC)), row(5, "copy", F.lit(PCC), F.lit(KCC)))).otherwise(F.array().cast("array<struct<sub:int,act:string,dst:string,src:string,origin:string,flags:int>>"))
-    all_ = F.concat(F.coalesce(made, F.array().cast("array<struct<sub:int,act:string,dst:string,src:string,origin:string,flags:int>>")), wiped, taken)
-    addr = F.when(op.rlike("^[cl]*[cs]?[ls]") & F.col("mem_addr").isNotNull(), F.col("mem_addr"))
-    rows = t.withColumn("_u", F.explode(all_))
-    at = F.coalesce("decided_at", "idx")
+    wiped = F.when(F.col("is_store") & (op != "csc"), F.array(row(3, "wipe")))
+    taken = F.when(faulted, F.array(row(6, "copy", F.lit(EPCC), F.lit(PCC), weak=True), row(7, "copy", F.lit(PCC), F.lit(KCC), weak=True)))
+    each = t.withColumn("_u", F.explode(either(made, wiped, taken)))
+    addr = F.when(F.col("is_load") | F.col("is_store"), F.col("mem_addr"))
     word = F.when(F.col("_u.act").isin("wipe", "load", "store"), S.align_down(addr, 16)).otherwise(addr)
     cap = lambda c: F.col(f"cap.{c}").alias(c)
-    return rows.select(at.alias("idx"), F.col("_u.sub").alias("sub"), F.col("_u.act").alias("act"), F.col("_u.dst").alias("dst"), F.col("_u.src").alias("src"), word.alias("addr"), F.coalesce("cap.valid", F.lit(False)).alias("valid"), F.col("_u.origin").alias("origin"), "pc", S.is_kernel(F.col("pc")).alias("is_kernel"), cap("base"), cap("offset"), cap("length"), cap("perms"), cap("otype"), cap("sealed"), F.col("_u.flags").alias("flags"), F.col("cycles").alias("time"))
+    valid = F.coalesce("cap.valid", F.lit(False)) & ~F.col("_u.weak")
+    return each.select(F.col("_u.at").alias("idx"), F.col("_u.sub").alias("sub"), F.col("_u.act").alias("act"), F.col("_u.dst").alias("dst"), F.col("_u.src").alias("src"), word.alias("addr"), valid.alias("valid"), F.col("_u.origin").alias("origin"), "pc", S.is_kernel(F.col("pc")).alias("is_kernel"), cap("base"), cap("offset"), cap("length"), cap("perms"), cap("otype"), cap("sealed"), F.col("_u.flags").alias("flags"), F.col("cycles").alias("time"))
 
 
-def cleared_registers(trace: DataFrame) -> DataFrame:
-    """(idx, reg): the registers that bulk clears name: bit n of the mask is register n, of the high one 16 + n."""
-    masks = trace.where(F.col("opcode").isin("cclearlo", "cclearhi")).select("idx", F.when(F.col("opcode") == "cclearhi", 16).otherwise(0).alias("_first"), F.col("ops")[0]["imm"].alias("_mask"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_bit"))
-    return masks.where(F.getbit("_mask", F.col("_bit")) == 1).select("idx", F.when((F.col("_first") == 0) & (F.col("_bit") == 0), 32).otherwise(F.col("_first") + F.col("_bit")).alias("reg"))
+def conditional_moves(trace: DataFrame) -> DataFrame:
+    """(idx, _moves): whether a `cmovn` or `cmovz` moved: the target has the source's value, and the third operand isn't zero, or is."""
+    asked = trace.where(F.col("opcode").isin("cmovn", "cmovz"))
+    values = operand_values(trace, asked)
+    pick = lambda n, c: F.max(F.when(F.col("ord") == n, F.col(c)))
+    by_row = values.withColumn("_cap", F.to_json("cap")).groupBy("idx").agg(pick(0, "_cap").alias("_to"), pick(1, "_cap").alias("_from"), pick(2, "gpr_val").alias("_test"))
+    held = asked.select("idx", "opcode").join(by_row, "idx")
+    test = F.when(F.col("opcode") == "cmovn", F.col("_test") != 0).otherwise(F.col("_test") == 0)
+    return held.select("idx", F.coalesce((F.col("_to") == F.col("_from")) & test, F.lit(False)).alias("_moves"))
 
 
 def unsupported(trace: DataFrame) -> DataFrame:
@@ -170,17 +226,35 @@ def violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def call_events(trace: DataFrame) -> DataFrame:
-    """(idx, time, kind, pc, target, expected): calls, system calls and returns in order; what a call expects to return to."""
-    t = with_delay_slots(committed(trace).where("committed"))
-    op, none = F.col("opcode"), F.lit(None).cast("long")
-    code = S.syscall_code(F.col("gpr_val"), F.col("gpr_val"))
+    """(idx, time, kind, pc, target, expected, raised): calls, system calls, returns and exceptions in order.
+
+    target is the called address, the system call's code, or where a return goes;
+    expected is where a call expects to return to; raised: the row has an exception.
+    """
+    from .lookup import as_of_chunked
+
+    t = committed(trace).where("committed")
+    op = F.col("opcode")
+    raised = F.col("exception") != S.NO_EXCEPTION
+    first = F.get("ops", F.lit(0))["reg_num"]
     kind = (
-        F.when(op.isin("cjalr", "jalr") & (F.col("exception") == S.NO_EXCEPTION), "call").when((op == "cjr") & (F.col("ops")[0]["reg_num"] == 64 + LINK_CAP), "return").when(op == "jr", "return")
-        .when((op == "syscall") & (F.col("exception") == 8), "syscall").when(op == "eret", "eret")
+        F.when(op.isin("cjalr", "jalr") & ~raised, "call").when(((op == "cjr") & (first == 64 + LINK_CAP) | (op == "jr")) & ~raised, "return")
+        .when(op == "syscall", "syscall").when(op == "eret", "eret").when(raised, "exception")
     )
-    target = F.when(op == "syscall", code).otherwise(F.coalesce(F.col("cap.base") + F.col("cap.offset"), F.col("gpr_val")))
-    expected = F.when(op.isin("cjalr", "jalr"), F.col("pc") + 8).otherwise(none)
-    return t.select("idx", F.col("cycles").alias("time"), kind.alias("kind"), "pc", target.alias("target"), expected.alias("expected")).where("kind is not null")
+    rows = t.select("idx", F.col("cycles").alias("time"), kind.alias("kind"), "pc", raised.alias("raised")).where("kind is not null")
+    values = operand_values(trace, t.where(op.isin("cjalr", "jalr", "cjr", "jr")))
+    address = F.coalesce(S.cursor(F.col("cap.base"), F.col("cap.offset")), F.col("gpr_val"))
+    pick = lambda n: F.max(F.when(F.col("ord") == n, address))
+    where = values.groupBy("idx").agg(pick(0).alias("_first"), pick(1).alias("_second"))
+    # the code of a system call: what $v0 and $a0 hold then
+    gpr = lambda n, name: trace.where(F.col("reg_num") == n).select(F.col("idx").cast("double").alias("at"), F.col("gpr_val").alias(name))
+    codes = t.where("opcode = 'syscall'").select("idx", F.col("idx").cast("double").alias("at"))
+    for n, name in ((2, "_v0"), (4, "_a0")):
+        codes = as_of_chunked(codes, gpr(n, name), [], "at", [name], 2_000_000.0)
+    codes = codes.select("idx", S.syscall_code(F.col("_v0"), F.col("_a0")).alias("_code"))
+    joined = rows.join(where, "idx", "left").join(codes, "idx", "left")
+    target = F.when(F.col("kind") == "call", F.col("_second")).when(F.col("kind") == "return", F.col("_first")).when(F.col("kind") == "syscall", F.col("_code"))
+    return joined.select("idx", "time", "kind", "pc", target.alias("target"), F.when(F.col("kind") == "call", F.col("_first")).alias("expected"), "raised")
 
 
 def visible_pointers(calls: DataFrame, register_pointers: DataFrame, by: list[str] | None = None, registers: int = 64, chunk: float = 2_000_000.0) -> DataFrame:
@@ -217,23 +291,73 @@ def initial_stack(trace: DataFrame) -> DataFrame:
 
 def backtrace(events: DataFrame, end: int, depth: int | None = None) -> DataFrame:
     """(backtrace, pc, target): the calls still open at `end`, the latest first, at most `depth`."""
-    from .closure import match_brackets
+    open_ = call_graph(events.where(F.col("idx") <= end)).where("op <> 0 and closed is null")
+    frames = open_.select(F.row_number().over(W.orderBy(F.desc("call"))).alias("backtrace"), F.col("addr_call").alias("pc"), F.col("address").alias("target"))
+    return frames.where(F.col("backtrace") <= depth) if depth is not None else frames
+
 
-    past = events.where(F.col("idx") <= end).withColumn("opens", F.col("kind").isin("call", "syscall")).withColumn("closes", F.col("kind").isin("return", "eret"))
-    open_ = match_brackets(past, [], ["idx"], "opens", "closes").where("closed is null").select(F.col("opened").alias("idx"))
-    frames = past.join(open_, "idx").select("idx", "pc", "target").orderBy(F.desc("idx"))
-    frames = frames.limit(depth) if depth is not None else frames
-    return frames.select(F.row_number().over(W.orderBy(F.desc("idx"))).alias("backtrace"), "pc", "target")
+_FRAMES = "call long, parent long, op int, address long, t_call long, addr_call long, t_return long, addr_return long, closed long, depth int"
 
 
 def call_graph(events: DataFrame) -> DataFrame:
-    """(opened, closed, depth, pc, target, kind): every call with its return, if it has one that goes where the call expects."""
-    from .closure import match_brackets
+    """Rows of `_FRAMES`: every call (named by its row) with its caller and its return; op 0 marks roots, which are below 0.
 
-    e = events.withColumn("opens", F.col("kind").isin("call", "syscall")).withColumn("closes", F.col("kind").isin("return", "eret"))
-    e = e.withColumn("want", F.coalesce("expected", F.lit(-1))).withColumn("got", F.when(F.col("kind") == "eret", -1).otherwise(F.col("target")))
-    spans = match_brackets(e, [], ["idx"], "opens", "closes", "want", "got")
-    return spans.join(e.select(F.col("idx").alias("opened"), "pc", "target", "kind"), "opened")
+    A return closes the latest call if it goes where that expects, and no open
+    system call is on top.  An eret that ends the last exception closes all up to
+    the latest system call.  What closes the root makes a new root above it.
+    The rows of `call_events`, a small part of a trace, are read in order by one
+    task, which holds the open calls alone.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    from .graph import CALL, SYSCALL
+
+    names = [x.split()[0] for x in _FRAMES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stack: list[list] = [[-1, None, 0, None, None, None, None, None]]  # call, parent, op, address, t_call, addr_call, expected, is_root
+        roots, depth, within, out = 1, 0, False, []
+
+        def close(r) -> int:
+            nonlocal roots
+            call, parent, op, address, t_call, addr_call, _, _ = stack.pop()
+            if not stack:
+                roots += 1
+                parent = -roots
+                stack.append([parent, None, 0, None, None, None, None, None])
+            out.append((call, parent, op, address, t_call, addr_call, r.time, r.pc, r.idx, len(stack) - 1))
+            return op
+
+        def number(x):
+            return None if x is None or x != x else int(x)
+
+        for pdf in batches:
+            for r in pdf.astype(object).itertuples(index=False):
+                if r.kind in ("call", "syscall"):
+                    within |= r.kind == "syscall"
+                    stack.append([r.idx, stack[-1][0], SYSCALL if r.kind == "syscall" else CALL, number(r.target), r.time, r.pc, number(r.expected), None])
+                elif r.kind == "return":
+                    expected = stack[-1][6]
+                    if not (expected is None and within) and (expected is None or expected == number(r.target)):
+                        close(r)
+                elif r.kind == "eret":
+                    depth -= 1
+                    if within and depth == 0 and not r.raised:
+                        within, ended = False, False
+                        while len(stack) > 1 and not ended:
+                            ended = close(r) == SYSCALL
+                        if not ended:
+                            close(r)
+                    depth = max(depth, 0)
+                depth += bool(r.raised)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+            out = []
+        left = [(call, parent, op, address, t_call, addr_call, None, None, None, i) for i, (call, parent, op, address, t_call, addr_call, _, _) in enumerate(stack)]
+        yield pd.DataFrame(left, columns=names, dtype=object)
+
+    return events.select("idx", "time", "kind", "pc", "target", "expected", "raised").coalesce(1).sortWithinPartitions("idx").mapInPandas(run, _FRAMES)
 
 
 def dump_lines(trace: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -249,15 +373,15 @@ def dump_lines(trace: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     return t.select("idx", F.concat(F.format_string("{%d:%d} 0x%x %s", F.coalesce("asid", F.lit(0)), "cycles", "pc", "opcode"), except_, named, access).alias("line"))
 
 
-def operand_values(trace: DataFrame) -> DataFrame:
-    """(idx, ord, reg_num, kind, gpr_val, cap): each operand with the value that its register held.
+def operand_values(trace: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(idx, ord, reg_num, kind, gpr_val, cap): each operand, of the rows `asked` or of all, with the value that its register held.
 
     The target (operand 0) has the value after the instruction, the others those
     before it; `$zero` is 0, floating registers are 0, unknown ones null.
     """
     from .lookup import as_of_chunked
 
-    asked = trace.select("idx", F.posexplode("ops").alias("ord", "o")).select("idx", "ord", F.col("o.reg_num").alias("reg_num"), (F.col("idx") * 2 + F.when(F.col("ord") == 0, 1).otherwise(0)).cast("double").alias("at"))
+    asked = (trace if asked is None else asked).select("idx", F.posexplode("ops").alias("ord", "o")).select("idx", "ord", F.col("o.reg_num").alias("reg_num"), (F.col("idx") * 2 + F.when(F.col("ord") == 0, 1).otherwise(0)).cast("double").alias("at"))
     written = trace.where("reg_num is not null").select("reg_num", (F.col("idx") * 2 + 1).cast("double").alias("at"), F.struct("gpr_val", "cap").alias("value"))
     found = as_of_chunked(asked, written, ["reg_num"], "at", ["value"], 2_000_000.0)
     kind = S.register_class(F.col("reg_num"))
