@@ -308,3 +308,54 @@ def test_small_tables(spark):
     snapshot = spark.createDataFrame([(0, 8, 7, 0, True, False, 5), (0, 8, 7, 0, True, False, 3)], f"{caps}, reg int")
     got = lookup.compatible_register(spark.createDataFrame([(1, 0, 8, 7, 0, True, False), (2, 1, 8, 7, 0, True, False)], f"id int, {caps}"), snapshot, ["id"])
     assert {tuple(r) for r in got.collect()} == {(1, 3), (2, None)}
+
+
+def test_cycles_and_wide_intervals(spark):
+    with pytest.raises(Exception, match="cycle|OVERFLOW"):
+        closure.roots_by_doubling(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))
+    rng = random.Random(9)
+    wide = [(i, a, a + rng.choice([0, 3, 40, 5000, 1 << 47])) for i, a in enumerate(rng.sample(range(1 << 20), 60))]
+    points = [(i, rng.randrange(1 << 21)) for i in range(80)]
+    df, p = spark.createDataFrame(wide, "i int, s long, e long"), spark.createDataFrame(points, "j int, v long")
+    got = {(r.j, r.i) for r in lookup.points_in_intervals(p, df, "v", "s", "e", 8).collect()}
+    assert got == {(j, i) for j, v in points for i, a, b in wide if a <= v <= b}
+    other = spark.createDataFrame([(i + 100, a + 7, b + 7) for i, a, b in wide], "k int, s2 long, e2 long")
+    rows = [(r.i, r.k) for r in lookup.overlapping(df, other, "s", "e", "s2", "e2", 8).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(i, k + 100) for i, a, b in wide for k, c, d in wide if a <= d + 7 and c + 7 <= b}
+
+
+def test_deep_blocks_relocations_and_labels(spark):
+    import json
+
+    from tracewright.operators import distribution
+
+    nested = {"blocks": [{"variables": [{"name": "c"}], "blocks": [{"blocks": [{"variables": [{"name": "d"}]}]}]}]}
+    text = json.dumps([{"name": "f", "lowpc": 4, "highpc": 8, "parameters": [{"name": "a"}], "variables": [{"name": "b"}], **nested}])
+    rows = tables.dwarf_functions(spark.createDataFrame([(text,), (None,)], "value string"), base=F.lit(100)).collect()
+    assert [(r.lowpc, [v.name for v in r.variables]) for r in rows] == [(104, ["a", "b", "c", "d"])]
+    lines = [("a.out", "  0x0000000000011f58 Base: 0x0000000000011000 (x.y+0) Length: 24 Perms: Constant"), ("a.out", "0x10 (f) Base: 0x20 (<f>+0) Length: 8 Perms: Function"), ("a.out", "Relocations:")]
+    got = [tuple(r) for r in tables.readelf_relocations(spark.createDataFrame(lines, "objfile string, value string")).collect()]
+    assert got == [("a.out", 0x11F58, 0x11000, 24, "OBJECT"), ("a.out", 0x10, 0x20, 8, "FUNC")]
+    bars = spark.createDataFrame([(4096,), (255,)], "start long")
+    maps = spark.createDataFrame([(4096, "rw-", "/lib/libc.so")], "start long, perm string, path string")
+    assert {r.start: r.label for r in distribution.bar_labels(bars, maps).collect()} == {4096: "(rw-) libc.so", 255: "0xff"}
+    assert one(spark, distribution.scaled(F.lit(2_500_000))) == (2.5,)
+
+
+def test_windows_and_depths_of_streams(spark, tmp_path):
+    import datetime
+
+    rows = [(1, i, datetime.datetime(2024, 1, 1, 0, i), i % 3 != 2, i % 3 == 2) for i in range(9)]
+    spark.createDataFrame(rows, "k int, i int, t timestamp, o boolean, c boolean").repartition(3).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("k int, i int, t timestamp, o boolean, c boolean").parquet(f"file://{tmp_path}/in")
+    for name, out in (("depths", streams.depths(stream, "k", "i", "o", "c")), ("flags", streams.windowed_flags(stream, "t", "k", F.when(F.col("o"), 1).otherwise(2)))):
+        q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/{name}").start()
+        q.processAllAvailable()
+        q.stop()
+    depth, want = 0, []
+    for _, i, _, o, c in rows:
+        depth = depth + 1 if o else max(0, depth - 1) if c else depth
+        want.append((1, i, depth))
+    assert sorted(tuple(r) for r in spark.sql("select * from depths").collect()) == want
+    done = spark.sql("select k, n, flags from flags").collect()
+    assert all(tuple(r) == (1, 5, 3) for r in done)

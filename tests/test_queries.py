@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.plans import catalog
 
@@ -72,6 +73,19 @@ def test_axis_transform_of_all_parts(spark, few_parts):
     assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_counts_of_a_graph_with_mmaps(spark):
+    """Two mmap results and one allocation, which the driver's tables don't have together."""
+    from tracewright.operators import graph as G
+
+    v = spark.createDataFrame([(1, "ROOT", 0, 64, 0), (2, "SETBOUNDS", 16, 8, 0)], "vid long, origin string, base long, length long, offset long")
+    e = spark.createDataFrame([(1, 5, 16, 4), (2, 6, 20, 2)], "vid long, time long, addr long, type int")
+    calls = spark.createDataFrame([(10, G.MMAP, "mmap"), (11, G.MMAP, "mmap"), (12, 0, "malloc")], "vid long, address long, symbol string").withColumn("t_return", F.lit(9).cast("long"))
+    rows = [(0, 10, G.SYSCALL, 1, None), (0, 11, G.SYSCALL, 2, None), (1, 10, G.RETURN, 3, [3]), (2, 11, G.RETURN, 4, [3]), (2, 12, G.RETURN, 4, [3]), (2, 12, G.RETURN, 4, [5])]
+    edges = spark.createDataFrame(rows, "src long, dst long, op int, time long, regs array<int>")
+    r = G.statistics(G.Graph(v, e, calls, edges)).first()
+    assert (r.mmaps, r.mallocs, r.set_bounds, r.deref_loads, r.stored_addresses, r.argument_readers) == (2, 1, 1, 1, 1, 1)
+
+
 def test_entry(spark):
     import __spark_entry__
 

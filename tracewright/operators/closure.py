@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, where the cluster names one; else by caching."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder.rstrip('/')}/closure-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .storage import dropped
+from .storage import written as _written
 
 
 def descendants(edges: DataFrame, seeds: DataFrame, carry: list[str] | None = None, src: str = "src", dst: str = "dst", key: str = "id") -> DataFrame:
@@ -40,15 +31,17 @@ def descendants(edges: DataFrame, seeds: DataFrame, carry: list[str] | None = No
 
 
 def roots_by_doubling(parents: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
-    """(id, root, depth) of each vertex of a forest; a root's parent is null.  Rounds grow with the logarithm of the depth."""
-    state = _written(parents.select(key, F.coalesce(parent, key).alias("root"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    while True:
+    """(id, root, depth) of each vertex of a forest; a root's parent is null.  Rounds grow with the logarithm of the depth; a cycle is an error."""
+    state = _written(parents.select(key, F.coalesce(parent, key).alias("root"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(True).alias("moved")))
+    for _ in range(64):  # no path has more than 2^63 vertices
         up = state.select(F.col(key).alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        following = _written(state.join(up, "root", "left").select(key, F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
-        if following.exceptAll(state).take(1):
-            state = following
-            continue
-        return state
+        step = state.join(up, "root", "left").select(key, F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce(F.col("_depth") > 0, F.lit(False)).alias("moved"))
+        following = _written(step)
+        dropped(state)
+        state = following
+        if not state.where("moved").take(1):
+            return state.drop("moved")
+    raise ValueError("the parents form a cycle")
 
 
 def nearest_marked(parents: DataFrame, marks: DataFrame, key: str = "vid", mark: str = "mark") -> DataFrame:
@@ -63,7 +56,9 @@ def nearest_marked(parents: DataFrame, marks: DataFrame, key: str = "vid", mark:
     state = _written(state.withColumn("jump", F.when(F.col(mark).isNull(), F.col("jump"))))
     while state.where("jump is not null").take(1):
         up = state.select(F.col(key).alias("jump"), F.col("jump").alias("_jump"), F.col(mark).alias("_mark"))
+        before = state
         state = _written(state.join(up, "jump", "left").select(key, F.coalesce(mark, "_mark").alias(mark), F.when(F.coalesce(mark, "_mark").isNull(), F.col("_jump")).alias("jump")))
+        dropped(before)
     return state.where(F.col(mark).isNotNull()).select(key, mark)
 
 

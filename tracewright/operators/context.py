@@ -53,10 +53,11 @@ def with_greedy_context(df: DataFrame, hit: Column, by: list[str], order: list[s
     return joined.withColumn("_last", last).withColumn("_next", coming).withColumn("kind", kind).where("kind is not null").drop("_n", "_anchor", "_last", "_next")
 
 
-def mode_switches(df: DataFrame, mode: Column, by: list[str], order: list[str], initial=None) -> DataFrame:
-    """Rows whose mode differs from that of the row before; adds `mode` and `previous_mode`."""
+def mode_switches(df: DataFrame, mode: Column, by: list[str], order: list[str], initial=None, among: Column | None = None) -> DataFrame:
+    """Rows whose mode differs from that of the row before; adds `mode` and `previous_mode`.  With `among`, only such rows count, as those of a dump that aren't history."""
     own = W.partitionBy(*by).orderBy(*order)
-    marked = df.withColumn("mode", mode).withColumn("previous_mode", F.lag("mode").over(own))
+    rows = df if among is None else df.where(among)
+    marked = rows.withColumn("mode", mode).withColumn("previous_mode", F.lag("mode").over(own))
     if initial is not None:
         marked = marked.withColumn("previous_mode", F.coalesce("previous_mode", F.lit(initial)))
     return marked.where(F.col("mode") != F.col("previous_mode"))

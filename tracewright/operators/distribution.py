@@ -76,9 +76,34 @@ def headroom(vertices: DataFrame, events: DataFrame, exact: bool = False) -> Dat
     return out.withColumn("total", F.col("head") + F.col("tail")).withColumn("bin", power_bin(F.col("total")))
 
 
-def bucket_members(rooms: DataFrame) -> DataFrame:
-    """(bin, n, sizes): the pointers of each headroom bin, largest first."""
-    return rooms.groupBy("bin").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("total", "vid")), asc=False).alias("sizes"))
+def bucket_counts(rooms: DataFrame) -> DataFrame:
+    """(bin, n, least, most): how many pointers each headroom bin has, and its smallest and largest; the members are the rows of `headroom`."""
+    return rooms.groupBy("bin").agg(F.count("*").alias("n"), F.min("total").alias("least"), F.max("total").alias("most"))
+
+
+def bucket_functions(rooms: DataFrame, made_in: DataFrame, bucket: int) -> DataFrame:
+    """(vid, total, address, t_alloc): the pointers of one bin with the address of the function that made them.  made_in: vid, address, t_alloc."""
+    return rooms.where(F.col("bin") == bucket).select("vid", "total").join(made_in.select("vid", "address", "t_alloc"), "vid")
+
+
+def bar_labels(bars: DataFrame, maps: DataFrame, start: str = "start") -> DataFrame:
+    """Adds label: `(perms) name` of the mapping that begins there, else the address in hexadecimal.  maps: start, perm, path."""
+    named = maps.where("path <> ''").groupBy(F.col("start").alias("_at")).agg(F.min(F.struct("perm", "path")).alias("_m"))
+    text = F.concat(F.lit("("), F.trim("_m.perm"), F.lit(") "), S.basename(F.col("_m.path")))
+    return bars.join(named, bars[start] == named["_at"], "left").withColumn("label", F.coalesce(text, S.hex_text(F.col(start)))).drop("_at", "_m")
+
+
+def scaled(x: Column, exponent: int = -6) -> Column:
+    """A number in another unit, a power of ten."""
+    return x * F.lit(10.0**exponent)
+
+
+def united_labels(*tables: DataFrame) -> DataFrame:
+    """(at, label) of several tables: one label for each place, the first in order of its text."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("at").agg(F.min("label").alias("label"))
 
 
 def baseline_cdf(spark: SparkSession, step: int = 0x10000000000) -> DataFrame:

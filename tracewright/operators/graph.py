@@ -149,9 +149,11 @@ def in_bounds(name: str, begin: int, end: int) -> Step:
 def guessed_stack_root(g: Graph, execve_time: int, low: int = 0x7FFF000000, high: int = 0x8000000000, least: int = 0x80000) -> DataFrame:
     """The last pointer with a stack's bounds that was made after the execve and has no such ancestor."""
     like = g.vertices.where((F.col("base") >= low) & (F.col("base") < high) & (F.col("length") >= least) & (F.col("t_alloc") >= execve_time)).select("vid", "t_alloc")
-    derived = closure.descendants(g.derivations(), like.select("vid"), key="vid").where("depth > 0").select("vid")
-    deeper = closure.descendants(g.derivations(), like.select("vid").withColumn("seed", F.col("vid")), ["seed"], key="vid").where("vid <> seed").select("vid").distinct()
-    return like.join(deeper.unionByName(derived).distinct(), "vid", "left_anti").orderBy(F.desc("t_alloc"), F.desc("vid")).limit(1).select("vid")
+    # the nearest marked ancestor of each, one doubling for all: a marked vertex looks from its parent on
+    up = _parents(g)
+    above = closure.nearest_marked(up, like.select("vid", F.lit(True).alias("mark"))).select(F.col("vid").alias("parent"))
+    deeper = like.select("vid").join(up, "vid").join(above, "parent", "left_semi").select("vid")
+    return like.join(deeper, "vid", "left_anti").orderBy(F.desc("t_alloc"), F.desc("vid")).limit(1).select("vid")
 
 
 def returned_by(g: Graph, calls: DataFrame, register: int = RETURN_REGISTER) -> DataFrame:
@@ -285,6 +287,26 @@ def user_process_chain(stack: tuple[int, int], tables: DataFrame, targets: DataF
     )
 
 
+def filters(execve: int | None = None, null: bool = False, roots: bool = False, fuse: bool = False, fromptr: bool = False, andperm: bool = False, stack: tuple[int, int] | None = None, kernel: bool = False,
+            times: tuple[int, int] | None = None, by: tuple[str, ...] = ("creation",), mark_stack: tuple[int, int] | None = None, mark_mmap: bool = False, mark_malloc: bool = False, mark_exec: bool = False) -> Step:
+    """The masks and annotations that are asked for, in their fixed order whatever the order of the options."""
+    steps: list[Step] = []
+    if execve is not None:
+        steps.append(without_before_execve(execve))
+    steps += [f for wanted, f in ((null, without_null), (roots, without_roots), (fuse, fuse_bounds), (fromptr, without_fromptr), (andperm, without_andperm)) if wanted]
+    if stack:
+        steps.append(without_stack(*stack))
+    if kernel:
+        steps.append(without_kernel)
+    if times:
+        steps.append(time_slice(*times, **{k: k in by for k in ("creation", "deref", "access")}))
+    if mark_stack:
+        inside = in_bounds("stack_seed", *mark_stack)
+        steps += [lambda g: stack_pointers(inside(g).vertices.where("annotated_stack_seed").select("vid"))(g), touches_stack(*mark_stack)]
+    steps += [f for wanted, f in ((mark_mmap, mmap_sources()), (mark_malloc, malloc_pointers), (mark_exec, executable)) if wanted]
+    return chain(*steps)
+
+
 def active_memory(events: DataFrame) -> DataFrame:
     """(vid, addr, time): where pointers are stored at the end: the last of store and delete is a store."""
     kinds = S.EVENTS["store"] | S.EVENTS["delete"]
@@ -362,11 +384,12 @@ def view_box(segments: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def call_at(vertices: DataFrame, g: Graph) -> DataFrame:
-    """(vid, call, address): the first call, by id, during which a pointer was made; a call without a return holds on."""
+    """(vid, call, address): the first call, by id, during which a pointer was made; a call without a return holds on, and gives neither."""
     began = g.edges.where(F.col("op").isin(CALL, SYSCALL)).groupBy(F.col("dst").alias("call")).agg(F.min("time").alias("t_call"))
     spans = g.calls.select(F.col("vid").alias("call"), "address", "t_return").join(began, "call")
-    hit = (F.col("t_alloc") >= F.col("t_call")) & (F.col("t_return").isNull() | (F.col("t_alloc") <= F.col("t_return")))
-    pairs = vertices.select("vid", "t_alloc").join(spans, hit)
+    forever = (1 << 62) - 1
+    spans = spans.withColumn("_until", F.coalesce("t_return", F.lit(forever))).where("_until >= t_call")
+    pairs = lookup.points_in_intervals(vertices.select("vid", "t_alloc"), spans, "t_alloc", "t_call", "_until", 1024)
     first = pairs.groupBy("vid").agg(F.min_by(F.struct("call", "address", "t_return"), "call").alias("c"))
     return first.select("vid", F.when(F.col("c.t_return").isNotNull(), F.col("c.call")).alias("call"), F.when(F.col("c.t_return").isNotNull(), F.col("c.address")).alias("address"))
 

@@ -80,25 +80,59 @@ def floor_lookup(left: DataFrame, table: DataFrame, value: str, key: str, take:
     return found.select(*left.columns, *[F.col(f"_f_{c}").alias(c) for c in take])
 
 
-def _cells(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long"))
+#: A cell of one level is so many of the level below; an interval is entered at the level where it meets at most one more cell than that.
+FAN = 16
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, value: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
-    """Pairs with start <= value <= end.  Intervals are entered in all cells of `width` that they meet; a point looks in its own."""
-    i = intervals.withColumn("_cell", F.explode(_cells(F.col(start), F.col(end), width)))
-    p = points.withColumn("_cell", F.floor(F.col(value) / width).cast("long"))
-    keys = [p["_cell"] == i["_cell"], p[value] >= i[start], p[value] <= i[end]]
-    return p.join(i, keys[0] & keys[1] & keys[2], how).drop(p["_cell"]).drop(i["_cell"])
+def _level(start: Column, end: Column, width: int) -> Column:
+    """The level whose cells, `width * FAN ** level` wide, are about as wide as the interval's sixteenth or wider."""
+    cells = F.greatest((end.cast("double") - start.cast("double")) / width, F.lit(1.0))
+    return F.greatest(F.ceil(F.log(cells) / F.log(F.lit(float(FAN)))) - 1, F.lit(0)).cast("int")
+
+
+def _cell(value: Column, level: Column, width: int) -> Column:
+    return F.floor(value / (F.lit(float(width)) * F.pow(F.lit(float(FAN)), level.cast("double")))).cast("long")
+
+
+def _levels(df: DataFrame, start: str, end: str, width: int) -> list[int]:
+    """The levels at which the intervals of a table are: at most 16 numbers."""
+    return sorted(r[0] for r in df.select(_level(F.col(start), F.col(end), width).alias("l")).where("l is not null").distinct().collect())
+
+
+def _entered(df: DataFrame, start: str, end: str, width: int, levels: list[int]) -> DataFrame:
+    """The intervals with _level and _cell: in every cell that they meet, at their own level and the wider ones of `levels`."""
+    own = _level(F.col(start), F.col(end), width)
+    at = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= own)
+    cells = lambda x: F.transform(F.sequence(_cell(F.col(start), x, width), _cell(F.col(end), x, width)), lambda c: F.struct(x.alias("_level"), c.alias("_cell")))
+    return df.withColumn("_at", F.explode(F.flatten(F.transform(at, cells)))).withColumn("_level", F.col("_at._level")).withColumn("_cell", F.col("_at._cell")).drop("_at")
+
+
+def points_in_intervals(points: DataFrame, intervals: DataFrame, value: str, start: str, end: str, width: int) -> DataFrame:
+    """Pairs with start <= value <= end.
+
+    An interval is entered in at most 17 cells, of `width` or as much wider as it
+    needs; a point looks in its cell at each level that occurs.  Intervals whose
+    end lies before their start, and nulls, meet nothing.
+    """
+    sound = intervals.where(F.col(start) <= F.col(end))
+    levels = _levels(sound, start, end, width)
+    own = _level(F.col(start), F.col(end), width)
+    cells = F.transform(F.sequence(_cell(F.col(start), own, width), _cell(F.col(end), own, width)), lambda c: F.struct(own.alias("_level"), c.alias("_cell")))
+    i = sound.withColumn("_spot", F.explode(cells))
+    p = points.withColumn("_spot", F.explode(F.array(*[F.struct(F.lit(x).alias("_level"), _cell(F.col(value), F.lit(x), width).alias("_cell")) for x in levels or [0]])))
+    return p.join(i, (p["_spot"] == i["_spot"]) & (p[value] >= i[start]) & (p[value] <= i[end])).drop(p["_spot"]).drop(i["_spot"])
 
 
 def overlapping(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_start: str, r_end: str, width: int) -> DataFrame:
-    """Pairs of intervals that share a point, each once: in the first cell where both are."""
-    l = left.withColumn("_cell", F.explode(_cells(F.col(l_start), F.col(l_end), width)))  # noqa: E741
-    r = right.withColumn("_cell2", F.explode(_cells(F.col(r_start), F.col(r_end), width)))
-    first = F.greatest(F.floor(F.col(l_start) / width), F.floor(F.col(r_start) / width)).cast("long")
-    on = (F.col("_cell") == F.col("_cell2")) & (F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end)) & (F.col("_cell") == first)
-    return l.join(r, on).drop("_cell", "_cell2")
+    """Pairs of intervals that share a point, each once: at the wider one's level, in the first cell where both are."""
+    left, right = left.where(F.col(l_start) <= F.col(l_end)), right.where(F.col(r_start) <= F.col(r_end))
+    levels = sorted({*_levels(left, l_start, l_end, width), *_levels(right, r_start, r_end, width)}) or [0]
+    l = _entered(left, l_start, l_end, width, levels).withColumnRenamed("_level", "_l1").withColumnRenamed("_cell", "_c1")  # noqa: E741
+    r = _entered(right, r_start, r_end, width, levels).withColumnRenamed("_level", "_l2").withColumnRenamed("_cell", "_c2")
+    wider = F.greatest(_level(F.col(l_start), F.col(l_end), width), _level(F.col(r_start), F.col(r_end), width))
+    first = F.greatest(_cell(F.col(l_start), F.col("_l1"), width), _cell(F.col(r_start), F.col("_l1"), width))
+    on = (F.col("_l1") == F.col("_l2")) & (F.col("_c1") == F.col("_c2")) & (F.col("_l1") == wider) & (F.col("_c1") == first) & (F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end))
+    return l.join(r, on).drop("_l1", "_l2", "_c1", "_c2")
 
 
 def first_match(pairs: DataFrame, key: list[str], order: list[str], take: list[str]) -> DataFrame:

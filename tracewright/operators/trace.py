@@ -364,7 +364,7 @@ def dump_lines(trace: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """(idx, line): a line of text per instruction, with its memory access and symbol."""
     t = trace
     if symbols is not None:
-        t = t.join(F.broadcast(symbols.groupBy(F.col("addr").alias("pc")).agg(F.min("name").alias("symbol"))), "pc", "left")  # symbols of the mapped files
+        t = t.join(symbols.groupBy(F.col("addr").alias("pc")).agg(F.min("name").alias("symbol")), "pc", "left")
     else:
         t = t.withColumn("symbol", F.lit(None).cast("string"))
     access = F.when(F.col("is_load"), F.concat(F.lit("\n$load [0x"), F.lower(F.hex("mem_addr")), F.lit("]"))).when(F.col("is_store"), F.concat(F.lit("\n$store [0x"), F.lower(F.hex("mem_addr")), F.lit("]"))).otherwise("")
@@ -373,6 +373,25 @@ def dump_lines(trace: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     return t.select("idx", F.concat(F.format_string("{%d:%d} 0x%x %s", F.coalesce("asid", F.lit(0)), "cycles", "pc", "opcode"), except_, named, access).alias("line"))
 
 
+def dump_registers(trace: DataFrame, at: int) -> DataFrame:
+    """(reg_num, line): `[known] $n = value` of the general registers 1 to 31 and the capability registers after the row `at`."""
+    held = trace.where((F.col("idx") <= at) & F.col("reg_num").isNotNull()).groupBy("reg_num").agg(F.max_by(F.struct("gpr_val", "cap"), "idx").alias("v"))
+    numbers = trace.sparkSession.createDataFrame([(n,) for n in (*range(1, 32), *range(64, 96))], "reg_num int")
+    rows = numbers.join(held, "reg_num", "left")
+    cap = S.capability_text(*[F.coalesce(f"v.cap.{c}", F.lit(0)) for c in ("base", "offset", "length", "perms", "otype")], F.coalesce("v.cap.valid", F.lit(False)), F.coalesce("v.cap.sealed", F.lit(False)))
+    general = F.format_string("[%d] $%d = %s", F.col("v").isNotNull().cast("int"), "reg_num", F.lower(F.hex(F.coalesce("v.gpr_val", F.lit(0)))))
+    line = F.when(F.col("reg_num") < 32, general).otherwise(F.format_string("[%d] $c%d = %s", F.col("v").isNotNull().cast("int"), F.col("reg_num") - 64, cap))
+    return rows.select("reg_num", line.alias("line"))
+
+
+def in_order(*parts: DataFrame) -> DataFrame:
+    """The rows (idx, line) of several parts of a dump as one, in order."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy("idx")
+
+
 def operand_values(trace: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """(idx, ord, reg_num, kind, gpr_val, cap): each operand, of the rows `asked` or of all, with the value that its register held.
 

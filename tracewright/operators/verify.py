@@ -54,10 +54,11 @@ def in_some_range(points: DataFrame, ranges: DataFrame, value: str, name: str) -
 
 def object_files(points: DataFrame, files: DataFrame, address: str) -> DataFrame:
     """Each row with the first object file whose range holds the address.  files: ordinal, objfile, file_base, tops; a row per file."""
-    f = F.broadcast(files)
-    joined = points.withColumn("_row", F.monotonically_increasing_id()).join(f, (F.col("file_base") <= F.col(address)) & F.exists("tops", lambda t: F.col(address) < t), "left")
-    first = F.row_number().over(W.partitionBy("_row").orderBy("ordinal"))
-    return joined.withColumn("_n", first).where("_n = 1").drop("_n", "_row", "ordinal")
+    rows = points.withColumn("_row", F.monotonically_increasing_id())
+    spans = files.withColumn("_last", F.array_max("tops") - 1)
+    met = lookup.points_in_intervals(rows.select("_row", F.col(address).alias("_at")), spans, "_at", "file_base", "_last", 1 << 16)
+    first = met.groupBy("_row").agg(F.min_by(F.struct("objfile", "file_base", "tops"), "ordinal").alias("_f"))
+    return rows.join(first, "_row", "left").select(*points.columns, "_f.objfile", "_f.file_base", "_f.tops")
 
 
 def symbols_of(pointers: DataFrame, symbols: DataFrame, relocs: DataFrame) -> DataFrame:
@@ -88,8 +89,9 @@ def pending(uses: DataFrame, by: list[str], order: str) -> DataFrame:
 
 def live_variable_lengths(pointers: DataFrame, locations: DataFrame) -> DataFrame:
     """Pointers in the register where a variable lives, with the verdict on its annotated length.  The pc is in [lowpc, highpc - 4)."""
-    on = (F.col("pc") >= F.col("lowpc")) & (F.col("pc") < F.col("highpc") - 4) & (F.col("reg") == F.col("cap_register"))
-    return pointers.join(locations, on).withColumn("verdict", length_verdict(F.col("base"), F.col("length"), F.col("expected_length")))
+    spans = locations.withColumn("_last", F.col("highpc") - 5)
+    met = lookup.points_in_intervals(pointers, spans, "pc", "lowpc", "_last", 64).where(F.col("reg") == F.col("cap_register")).drop("_last")
+    return met.withColumn("verdict", length_verdict(F.col("base"), F.col("length"), F.col("expected_length")))
 
 
 def frequencies(df: DataFrame, address: str) -> DataFrame:
@@ -116,3 +118,27 @@ def static_table_check(table: DataFrame, symbols: DataFrame, file_base: Column,
     s = symbols.groupBy(F.col("addr").alias("slot")).agg(F.max(F.struct("size", "type", "objfile", "name")).alias("_s"))
     joined = table.join(s, "slot", "left").withColumn("size", F.col("_s.size")).withColumn("type", F.col("_s.type")).withColumn("objfile", F.col("_s.objfile")).withColumn("name", F.col("_s.name")).drop("_s")
     return bound_verdict(joined.withColumn("file_base", file_base).withColumn("tops", tops)).drop("file_base", "tops")
+
+
+def table_load_check(loads: DataFrame, tables: DataFrame, created: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Capability loads from tables: whether they go through a table, its size and the pointer made for it.
+
+    loads: by..., order, reg, cursor (the address of the pointer that is loaded
+    through), length (its length), is_kernel.  tables: start, end.  created: by...,
+    order, reg, cursor, the pointers made from the program counter.  Adds
+    from_table, sound_bound (the length is the table's size; null outside a table)
+    and made: matching, different, or missing (user code alone; else null).
+    """
+    spans = tables.groupBy("start").agg(F.max("end").alias("_end"))
+    found = lookup.floor_lookup(loads, spans.select(F.col("start").alias("_start"), "_end"), "cursor", "_start", ["_start", "_end"], float(1 << 24))
+    seen = lookup.as_of(found, created.select(*by, order, "reg", F.col("cursor").alias("_made")), [*by, "reg"], order, ["_made"], strict=True)
+    inside = F.coalesce(F.col("cursor") <= F.col("_end"), F.lit(False))
+    made = F.when(F.col("_made").isNull(), F.when(~F.col("is_kernel"), "missing")).when(F.col("_made") == F.col("cursor"), "matching").otherwise("different")
+    out = seen.withColumn("from_table", inside).withColumn("sound_bound", F.when(inside, F.col("length") == F.col("_end") - F.col("_start"))).withColumn("made", F.when(inside, made))
+    return out.drop("_start", "_end", "_made")
+
+
+def thread_local_reads(reads: DataFrame) -> DataFrame:
+    """(addr, pc, n): where thread-local storage is read through the user's hardware register, and the last place that does it.  reads: idx, pc, hw (its name), base, offset."""
+    own = reads.where("hw = 'chwr_userlocal'").withColumn("addr", S.cursor(F.col("base"), F.col("offset")))
+    return own.groupBy("addr").agg(F.max_by("pc", "idx").alias("pc"), F.count("*").alias("n"))

@@ -406,3 +406,77 @@ def frame_sizes(spark, sf):
     rows = trace_of(spark, sf).where("opcode = 'daddiu' and k > 0 and ops[2].reg_num = 29")
     own = rows.withColumn("opcode", F.lit("addiu")).withColumn("ops", F.array(F.struct(F.lit(29).alias("reg_num"), (-F.col("k")).alias("imm"), F.lit(0).alias("perms"))))
     return trace.frame_sizes(own)
+
+
+# --- what tools compose
+@_add("""select vid, origin, base >= 1000 and base + length <= 50000 or vid in (select vid from e where type & 12 <> 0 and addr between 1000 and 50000) as stack, perms & 2 <> 0 as exec
+ from v where not ((length = 0 and base = 0) or not valid) and origin not in ('ROOT', 'INITIAL_ROOT', 'ANDPERM') and not (pc <> 0 and is_kernel) and (t_alloc between 100 and 5000 or vid in (select vid from e where time between 2 and 3 and type & 12 <> 0))""")
+def graph_filters(spark, sf):
+    g = graph_queries.graph_of(spark, sf).transform(G.filters(null=True, roots=True, andperm=True, kernel=True, mark_exec=True))
+    one = G.filters(times=(100, 5000))(g).vertices.unionByName(G.filters(times=(2, 3), by=("deref",))(g).vertices).distinct()
+    marked = G.filters(mark_stack=(1000, 50000))(replace(g, vertices=one, edges=g.edges.limit(0)))
+    return marked.vertices.select("vid", "origin", (F.col("annotated_stack") | F.col("annotated_stack_all")).alias("stack"), F.col("annotated_exec").alias("exec"))
+
+
+@_add("""with w as (select cast(floor(s_acctbal) as bigint) * 20 as a, max(cast(floor(s_acctbal) as bigint) * 20 + 900) as b from supplier where s_acctbal > 0 group by 1),
+l as (select event_id, user_id, user_id * 37 as cursor, case when event_id % 4 = 0 then 900 else event_id % 1000 end as length, event_id % 5 = 0 as is_kernel from events where event_type <> 'signup'), mk as (select event_id, user_id, case when event_id % 2 = 0 then user_id * 37 else 1 end as made from events where event_type = 'signup'),
+f as (select l.*, w.a, w.b from l asof left join w on l.cursor >= w.a), j as (select f.*, mk.made from f asof left join mk on f.user_id = mk.user_id and f.event_id > mk.event_id)
+select event_id, coalesce(cursor <= b, false) as from_table, case when cursor <= b then length = b - a end as sound_bound, case when cursor <= b then case when made is null then case when not is_kernel then 'missing' end when made = cursor then 'matching' else 'different' end end as made from j""")
+def table_loads(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    place, key = F.col("user_id") * 37, F.col("event_id")
+    loads = e.where("event_type <> 'signup'").select("event_id", "user_id", F.lit(1).alias("reg"), place.alias("cursor"), F.when(key % 4 == 0, 900).otherwise(key % 1000).alias("length"), (key % 5 == 0).alias("is_kernel"))
+    made = e.where("event_type = 'signup'").select("event_id", "user_id", F.lit(1).alias("reg"), F.when(key % 2 == 0, place).otherwise(1).alias("cursor"))
+    return verify.table_load_check(loads, _tables(spark, sf), made, ["user_id"], "event_id").select("event_id", "from_table", "sound_bound", "made")
+
+
+@_add("select user_id * 16 + k as addr, arg_max(pc, idx) as pc, count(*) as n from t where opcode = 'cld' group by user_id * 16 + k")
+def thread_local_reads(spark, sf):
+    reads = trace_of(spark, sf).select("idx", "pc", F.when(F.col("opcode") == "cld", "chwr_userlocal").otherwise("other").alias("hw"), (F.col("user_id") * 16).alias("base"), F.col("k").alias("offset"))
+    return verify.thread_local_reads(reads)
+
+
+@_add("""with h as (select r0 - 64 as n, k from (select r0, k, row_number() over (partition by r0 order by idx desc) as i from t where opcode = 'cld' and idx <= 500) where i = 1), g as (select unnest(range(1, 32)) as n)
+select cast(g.n as integer) as reg_num, '[' || case when h.k is null then 0 else 1 end || '] $' || g.n || ' = ' || printf('%x', coalesce(h.k, 0)) as line from g left join h using (n)""")
+def register_dump(spark, sf):
+    rows = trace_of(spark, sf).where("opcode = 'cld'").select("idx", (F.col("ops")[0]["reg_num"] - 64).alias("reg_num"), F.col("k").alias("gpr_val"), F.lit(None).cast(trace.CAP).alias("cap"))
+    return trace.dump_registers(rows, 500).where("reg_num < 32")
+
+
+_ROOMS = """ev as (select l_orderkey as vid, min(cast(floor(l_extendedprice) as bigint)) as lo, max(cast(floor(l_extendedprice) as bigint)) as hi from lineitem group by 1),
+rooms as (select vid, lo + greatest(0, 200000 + cast(floor(o_totalprice) as bigint) - (hi + 8)) as total from ev join orders on o_orderkey = vid), bins as (select *, case when total <= 0 then 0 else cast(floor(log2(total)) as integer) + 1 end as bin from rooms)"""
+
+
+def _rooms(spark: SparkSession, sf: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("vid")).agg(F.min(F.floor("l_extendedprice")).cast("bigint").alias("lo"), F.max(F.floor("l_extendedprice")).cast("bigint").alias("hi"))
+    both = events.select("vid", F.explode(F.array("lo", "hi")).alias("addr")).distinct().withColumn("type", F.lit(4))
+    vertices = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("vid"), F.lit(0).cast("bigint").alias("base"), (F.floor("o_totalprice").cast("bigint") + 200000).alias("length"))
+    # of accesses next to each other the width is theirs, so those are left to `headroom`
+    apart = both.join(events.where("hi - lo in (1, 4, 8)").select("vid"), "vid", "left_anti")
+    return distribution.headroom(vertices, apart)
+
+
+@_add(f"with {_ROOMS} select bin, count(*) as n, min(total) as least, max(total) as most from bins where vid not in (select vid from ev where hi - lo in (1, 4, 8)) group by bin")
+def headroom_buckets(spark, sf):
+    return distribution.bucket_counts(_rooms(spark, sf))
+
+
+@_add(f"""with {_ROOMS}, s as (select vid, (select min(cc.vid) from cc where v.t_alloc >= cc.time and (cc.t_return is null or v.t_alloc <= cc.t_return)) as call, t_alloc from v)
+select s.vid, total, case when cc.t_return is not null then cc.address end as address, t_alloc from s join cc on cc.vid = s.call join bins b on b.vid = s.vid and b.bin = 18 where s.vid not in (select vid from ev where hi - lo in (1, 4, 8))""")
+def headroom_functions(spark, sf):
+    g = calls_of(spark, sf)
+    made = G.call_at(g.vertices, g).join(g.vertices.select("vid", "t_alloc"), "vid")
+    return distribution.bucket_functions(_rooms(spark, sf), made, 18)
+
+
+@_add("select 'x' || idx as at, arg_min(opcode, opcode) as label from t group by 1")
+def labels_united(spark, sf):
+    rows = trace_of(spark, sf).select(F.concat(F.lit("x"), F.col("idx").cast("string")).alias("at"), F.col("opcode").alias("label"))
+    return distribution.united_labels(rows, rows.limit(50), rows)
+
+
+@_add("with p as (select idx, user_id, case when opcode in ('cjalr', 'syscall') then 1 when opcode in ('cjr', 'eret') then -1 end as step from t where opcode in ('cjalr', 'cjr', 'syscall', 'eret')) select count(*) as calls from p where step = 1")
+def calls_in_trace(spark, sf):
+    rows = trace_of(spark, sf).withColumn("exception", F.lit(31)).select("*", F.lit(0).alias("asid"), F.lit(0).alias("hwthread"), F.lit(None).cast("int").alias("reg_num"), F.lit(None).cast("bigint").alias("gpr_val"), F.lit(None).cast(trace.CAP).alias("cap"))
+    frames = trace.call_graph(trace.call_events(rows))
+    return frames.where("op <> 0").agg(F.count("*").alias("calls"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from dataclasses import fields
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph as G
+from ..operators.lookup import with_running_sum
 
 VMMAP_CSV = "start string, end string, offset string, perm string, res string, pres string, ref string, shd string, flag string, tp string, path string"
 
@@ -131,6 +133,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(own)).select(F.col("_place").alias("line_no"), "value")
 
 
+#: Lines that are counted together; the parts of a file are 2^33 apart.
+LINES = 1 << 20
+
+
 def text_trace(lines: DataFrame) -> DataFrame:
     """(instr, pc, opcode, operands, reg, gpr_val, cap_reg, cap, access, mem_addr): a row per instruction of a text trace.
 
@@ -147,7 +153,9 @@ def text_trace(lines: DataFrame) -> DataFrame:
         x(cap1).cast("int").alias("cap_reg"), (x(cap1, 2) == "1").alias("valid"), (x(cap1, 3) == "1").alias("sealed"), S.parse_hex(x(cap1, 4)).bitwiseAND(0xFFFF).alias("perms"), S.parse_hex(x(cap1, 5)).alias("base"), S.parse_hex(x(cap1, 6)).alias("length"),
         S.parse_hex(x(cap2)).alias("offset"), S.parse_hex(x(cap2, 2)).bitwiseAND(0xFFFFFF).alias("otype"), F.lower(x(mem)).alias("access"), S.parse_hex(x(mem, 2)).alias("mem_addr"),
     )
-    numbered = rows.withColumn("instr", F.sum(F.col("pc").isNotNull().cast("long")).over(W.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))).where("instr > 0")
+    # lines are numbered by the parts of the files, so a part counts its own instructions and adds those of the parts before
+    counted = rows.withColumn("_new", F.col("pc").isNotNull().cast("long"))
+    numbered = with_running_sum(counted, [], "line_no", "_new", "instr", float(LINES)).drop("_new").where("instr > 0")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     return numbered.groupBy("instr").agg(*[last(c) for c in rows.columns if c != "line_no"])
 
@@ -160,34 +168,56 @@ def readelf_symbols(lines: DataFrame) -> DataFrame:
     return got.where("_section <> 'UND'").drop("_section")
 
 
+def readelf_relocations(lines: DataFrame) -> DataFrame:
+    """(objfile, target, base, length, type) of `readelf --cap-relocs` output lines (objfile, value): constants and objects are OBJECT, functions FUNC."""
+    p = r"^[ \t]*(0x[0-9a-fA-F]+)\s.*Base: (0x[0-9a-fA-F]+) \(.*\) Length: (\d+) Perms: (Constant|Object|Function)"
+    v = F.col("value")
+    x = lambda i: F.regexp_extract(v, p, i)
+    return lines.where(v.rlike(p)).select("objfile", S.parse_hex(x(1)).alias("target"), S.parse_hex(x(2)).alias("base"), S.parse_int(x(3)).alias("length"), F.when(x(4) == "Function", "FUNC").otherwise("OBJECT").alias("type"))
+
+
 _LOCATION = "array<struct<type:int,offset:bigint,lowpc:bigint,highpc:bigint,cap_register:int>>"
 _VARIABLE = f"array<struct<name:string,size:bigint,type:int,line:int,locations:{_LOCATION},members:array<struct<name:string,offset:bigint,size:bigint>>>>"
-_INNER = f"array<struct<variables:{_VARIABLE}>>"
-DWARF = f"struct<name:string,lowpc:bigint,highpc:bigint,parameters:{_VARIABLE},variables:{_VARIABLE},blocks:array<struct<variables:{_VARIABLE},blocks:{_INNER}>>>"
+DWARF = f"array<struct<name:string,lowpc:bigint,highpc:bigint,variables:{_VARIABLE}>>"
+
+
+def flat_functions(text: str | None) -> str:
+    """Functions of debug information as JSON, the variables of parameters and of blocks of any depth among their own."""
+    flat = []
+    for f in json.loads(text or "[]"):
+        found, blocks = [*(f.get("parameters") or []), *(f.get("variables") or [])], list(f.get("blocks") or [])
+        while blocks:
+            block = blocks.pop(0)
+            found += block.get("variables") or []
+            blocks = [*(block.get("blocks") or []), *blocks]
+        flat.append({"name": f.get("name"), "lowpc": f.get("lowpc"), "highpc": f.get("highpc"), "variables": found})
+    return json.dumps(flat)
 
 
-def dwarf_functions(docs: DataFrame, json: str = "value", base: Column | None = None) -> DataFrame:
-    """(name, lowpc, highpc, variables): functions of debug information; variables of blocks (two levels) join those of the function."""
-    f = docs.select(F.explode(F.from_json(json, f"array<{DWARF}>")).alias("f"), (base if base is not None else F.lit(0)).cast("long").alias("_at"))
-    none = F.from_json(F.lit("[]"), _VARIABLE)
-    nest = lambda blocks: F.flatten(F.transform(F.coalesce(blocks, F.array()), lambda b: F.concat(F.coalesce(b["variables"], none), F.flatten(F.transform(F.coalesce(b["blocks"], F.from_json(F.lit("[]"), _INNER)), lambda c: F.coalesce(c["variables"], none))))))
-    all_ = F.concat(F.coalesce("f.parameters", none), F.coalesce("f.variables", none), F.when(F.col("f.blocks").isNotNull(), nest(F.col("f.blocks"))).otherwise(none))
-    return f.select("f.name", (F.col("f.lowpc") + F.col("_at")).alias("lowpc"), (F.col("f.highpc") + F.col("_at")).alias("highpc"), all_.alias("variables"))
+def dwarf_functions(docs: DataFrame, text: str = "value", base: Column | None = None) -> DataFrame:
+    """(name, lowpc, highpc, variables): functions of debug information; variables of blocks, however deep, join those of the function."""
 
+    @F.pandas_udf("string")
+    def flat(texts: pd.Series) -> pd.Series:
+        return texts.map(flat_functions)
 
-def dwarf_globals(docs: DataFrame, symbols: DataFrame, json: str = "value") -> DataFrame:
+    f = docs.select(F.explode(F.from_json(flat(F.col(text)), DWARF)).alias("f"), (base if base is not None else F.lit(0)).cast("long").alias("_at"))
+    return f.select("f.name", (F.col("f.lowpc") + F.col("_at")).alias("lowpc"), (F.col("f.highpc") + F.col("_at")).alias("highpc"), F.coalesce("f.variables", F.from_json(F.lit("[]"), _VARIABLE)).alias("variables"))
+
+
+def dwarf_globals(docs: DataFrame, symbols: DataFrame, text: str = "value") -> DataFrame:
     """(name, size): functions and variables; a function without an end has its symbol's size."""
     kind = "struct<functions:array<struct<name:string,lowpc:bigint,highpc:bigint>>,variables:array<struct<name:string,size:bigint,address:bigint>>>"
-    d = docs.select(F.from_json(json, kind).alias("d"))
+    d = docs.select(F.from_json(text, kind).alias("d"))
     own = symbols.groupBy("name").agg(F.min("size").alias("_size"))
     functions = d.select(F.explode("d.functions").alias("f")).select("f.*").join(own, "name", "left").select("name", F.col("lowpc").alias("addr"), F.when(F.col("highpc") == 0, F.col("_size")).otherwise(F.col("highpc") - F.col("lowpc")).alias("size"), F.lit("FUNC").alias("type"))
     return functions.unionByName(d.select(F.explode("d.variables").alias("v")).select("v.name", F.col("v.address").alias("addr"), "v.size", F.lit("OBJECT").alias("type")))
 
 
-def annotated(functions: DataFrame, docs: DataFrame, json: str = "value") -> DataFrame:
+def annotated(functions: DataFrame, docs: DataFrame, text: str = "value") -> DataFrame:
     """(function, variable, line, expected_length): variables with an annotation of their name and line."""
     kind = "map<string,map<string,struct<line_number:int,expected_length:int>>>"
-    notes = docs.select(F.explode(F.from_json(json, kind)).alias("function", "_v")).select("function", F.explode("_v").alias("variable", "_n"))
+    notes = docs.select(F.explode(F.from_json(text, kind)).alias("function", "_v")).select("function", F.explode("_v").alias("variable", "_n"))
     notes = notes.select("function", "variable", F.col("_n.line_number").alias("line"), F.col("_n.expected_length").alias("expected_length"))
     own = functions.select(F.col("name").alias("function"), F.explode("variables").alias("v")).select("function", F.col("v.name").alias("variable"), F.col("v.line").alias("line"))
     return own.join(notes, ["function", "variable", "line"])
@@ -229,3 +259,15 @@ def run_tasks(text: str, actions: dict) -> list:
             raise ValueError(f"unknown action {name!r}; there are {sorted(actions)}")
         out.append(actions[name](*arguments))
     return out
+
+
+class Graphs:
+    """Graphs by path, each read once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def __getitem__(self, path: str) -> G.Graph:
+        if path not in self.held:
+            self.held[path] = load_graph(self.spark, path)
+        return self.held[path]

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _ordered(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order; the source's limit on a micro-batch bounds them (such as `maxFilesPerTrigger`)."""
+    return pd.concat(list(batches)).sort_values(order, kind="stable")
+
+
 def windowed_flags(events: DataFrame, time: str, by: str, flag: Column, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """(start, by, n, flags): how many rows and which flags each key has in each window; rows later than `late` are left out."""
     rows = events.withWatermark(time, late).withColumn("_flag", flag)
@@ -23,11 +28,10 @@ def mode_switches(events: DataFrame, by: str, order: str, mode: str) -> DataFram
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         rows = []
-        for pdf in batches:
-            for at, now in pdf.sort_values(order)[[order, mode]].itertuples(index=False):
-                if last is not None and now != last:
-                    rows.append((key[0], at, now, last))
-                last = now
+        for at, now in _ordered(batches, order)[[order, mode]].itertuples(index=False):
+            if last is not None and now != last:
+                rows.append((key[0], at, now, last))
+            last = now
         if last is not None:
             state.update((last,))
         yield pd.DataFrame(rows, columns=[by, order, "mode", "previous_mode"])
@@ -42,10 +46,9 @@ def depths(events: DataFrame, by: str, order: str, opens: str, closes: str) -> D
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         depth = state.get[0] if state.exists else 0
         rows = []
-        for pdf in batches:
-            for at, up, down in pdf.sort_values(order)[[order, opens, closes]].itertuples(index=False):
-                depth = depth + 1 if up else max(0, depth - 1) if down else depth
-                rows.append((key[0], at, depth))
+        for at, up, down in _ordered(batches, order)[[order, opens, closes]].itertuples(index=False):
+            depth = depth + 1 if up else max(0, depth - 1) if down else depth
+            rows.append((key[0], at, depth))
         state.update((depth,))
         yield pd.DataFrame(rows, columns=[by, order, "depth"])
 
