@@ -193,6 +193,19 @@ def test_nearest(spark):
     assert op3_ann.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_graph_by_insertion_finds_the_nearest():
+    x = np.random.default_rng(7).normal(size=(2500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph.build(x)
+    assert [len(a) for a in g.levels] == sorted((len(a) for a in g.levels), reverse=True) and all((b < 2500).all() for b in g.links)
+    found = g.search(x[:100], 6, 96)[0]
+    best = np.argsort(-(x[:100] @ x.T), axis=1, kind="stable")[:, :6]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found, best, strict=True)]) >= 0.95 * 6
+    for level, links in zip(g.levels, g.links, strict=True):
+        assert all(n not in row for n, row in zip(level.tolist(), links.tolist(), strict=True))
+        assert all(len({v for v in row if v >= 0}) == sum(v >= 0 for v in row) for row in links.tolist())
+
+
 def test_graph_round_trip():
     x = np.random.default_rng(1).normal(size=(300, 8))
     g = hnsw.Graph.build(x / np.linalg.norm(x, axis=1, keepdims=True))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read, small_batches
 from .hnsw import Graph
 
-SHARD_ROWS, BLOCK_ROWS, EF = 4096, 2048, 192
+SHARD_ROWS, BLOCK_ROWS, EF = 8192, 2048, 192
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
