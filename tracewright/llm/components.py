@@ -30,11 +30,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         # written, so that adaptive execution can split a hub's side of the joins
         least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = scratch.table(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        nearest = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "nearest")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        nearest = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         small = large.join(nearest, "a").select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b").distinct()
         following = scratch.table(small, "edges")
-        scratch.drop(e, least, large, nearest)
+        scratch.drop(e, least)
         e = following
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp"))

@@ -6,9 +6,9 @@
    of a trie is a run of rows with a common prefix, and one pass over the sorted
    rows finds, for every set, the longest prefix that it shares and the first set
    of its node at each shorter one.
-3. Matched prefixes are shortened level by level, from the whole path to the
+3. Matched prefixes are shortened step by step, from the whole path to the
    longest prefix by which a pair of the wanted similarity meets with at least
-   the probability `RECALL`.  On each level a set is compared with the first set
+   the probability `RECALL`.  At each step a set is compared with the first set
    of its node unless they are in one component already; exact Jaccard
    similarities make links.
 4. Nodes that then still hold several components are compared set by set, in
@@ -40,6 +40,8 @@ from .components import connected_components
 from .shingles import shingle_sets, similar
 
 WORDS, SIMILARITY, TREES, DEEP, RECALL = 5, 0.8, 16, 8, 0.999
+#: Matched prefixes are shortened by so many minima at a time.
+SHORTER = 2
 #: Two blocks are compared in one task; a block has about so many sets, and about so many shingles.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
@@ -254,12 +256,16 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(smaller_side(wanted), F.col("_id").eqNullSafe(F.col("_own"))).select("sid", "n", "text")
     held = scratch.table(_own_sets(texts), "shingles")
     comps = None
-    for depth in range(DEEP, flat - 1, -1):
-        pairs = matched.where(F.col("depth") == depth).select("a", "b").distinct()
+    for depth in range(DEEP, flat - 1, -SHORTER):
+        least = max(flat, depth) if depth - SHORTER >= flat else flat
+        pairs = matched.where(F.col("depth").between(least, DEEP) & (F.col("depth") < depth + SHORTER)).select("a", "b").distinct()
         if comps is not None:
             pairs = pairs.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
             pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        found = scratch.table(_grouped(scratch.table(pairs, "star"), held, similarity), "links")
+        pairs = scratch.table(pairs, "star")
+        if comps is not None and not pairs.take(1):
+            continue
+        found = scratch.table(_grouped(pairs, held, similarity), "links")
         comps = _joined(comps, found, scratch)
     # nodes that hold several components; equal nodes of different trees once
     members = matched.select("node", F.col("a").alias("sid")).union(matched.select("node", F.col("b").alias("sid"))).distinct()
