@@ -305,15 +305,16 @@ def test_packing(docs, texts, no_docs):
 
 def test_rans():
     rng = np.random.default_rng(1)
-    ids = np.minimum(rng.zipf(1.4, 200_000), 9000).astype(np.uint16)
+    ids = np.minimum(rng.zipf(1.4, 600_000), 9000).astype(np.uint16)
     table = rans.Table.of_counts(dict(enumerate(np.bincount(ids).tolist())))
     again = rans.Table.from_bytes(table.to_bytes())
-    for n in (0, 1, 64, 1025, 200_000):
+    for n in (0, 1, 64, 1025, 4097, 600_000):
         data = rans.encode_block(np.array([4]), np.array([1]), np.array([n]), ids[:n], table)
         block = rans.Block(data, again)
         assert (block.ids() == ids[:n]).all()
-        if n > 150_000:
-            assert len(block.marks) > 1 and (block.part(1) == ids[128 * block.lanes : 256 * block.lanes]).all()
+        if n > 500_000:
+            part = rans.STEPS * block.lanes
+            assert len(block.marks) > 1 and (block.part(1) == ids[part : 2 * part]).all()
     with pytest.raises(ValueError, match="damaged"):
         rans.Block(data[:-1] + bytes([data[-1] ^ 1]), table)
 

@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 
-SCALE, LANES, STEPS = 20, 1024, 128
+SCALE, LANES, STEPS = 20, 4096, 64
 _LOW, _MAGIC = np.uint64(1 << 31), b"TWR1"
 _HEAD = struct.Struct("<4sIIQQIIQ")  # magic, checksum of the rest, table's checksum, documents, ids, lanes, checkpoints, words
 
