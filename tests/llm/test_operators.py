@@ -161,6 +161,43 @@ def test_additive_model_learns_an_interaction():
     assert (0, 1) in {(f, g) for f, g, _ in model.pairs}
 
 
+def test_additive_model_against_brute_force():
+    rng = np.random.default_rng(4)
+    gain = lambda g, h: g**2 / (h + 1)
+    for _ in range(30):
+        g, h = rng.normal(size=9), rng.random(9)
+        cuts = [gain(g[:i].sum(), h[:i].sum()) + gain(g[i:].sum(), h[i:].sum()) for i in range(1, 9)]
+        at = int(np.argmax(cuts)) + 1
+        step = op2_quality._best_cuts(g, h, leaves=2)
+        if max(cuts) > gain(g.sum(), h.sum()) + 1e-9:
+            want = np.where(np.arange(9) < at, g[:at].sum() / (h[:at].sum() + 1), g[at:].sum() / (h[at:].sum() + 1))
+            assert np.allclose(step, want)
+        g, h = rng.normal(size=(4, 5)), rng.random((4, 5))
+        four = lambda i, j: [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, 5)), (slice(i, 4), slice(0, j)), (slice(i, 4), slice(j, 5))]
+        best = max(((sum(gain(g[p].sum(), h[p].sum()) for p in four(i, j)), i, j) for i in range(1, 4) for j in range(1, 5)))
+        found, step = op2_quality._quadrants(g, h)
+        assert np.isclose(found, best[0] - gain(g.sum(), h.sum()))
+        for p in four(*best[1:]):
+            assert np.allclose(step[p], g[p].sum() / (h[p].sum() + 1))
+    x = np.round(rng.random((800, 4)), 1)  # ties
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.2 * rng.random(800) > 0.8).astype(float)
+    model = op2_quality.AdditiveModel().fit(x, y)
+    for row, score in zip(x[:60].tolist(), model.score(x[:60]).tolist(), strict=True):
+        bin_of = lambda edges, v: sum(v >= e for e in edges)
+        total = model.base + sum(t[bin_of(e, v)] for e, t, v in zip(model.edges, model.tables, row, strict=True))
+        total += sum(t[bin_of(model.coarse[f], row[f]), bin_of(model.coarse[g], row[g])] for f, g, t in model.pairs)
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_quality_learns_with_one_row_of_an_id(spark):
+    rows = [(1, "many words of one kind " * 5)] * 30 + [(2, "OTHER!! WORDS!!")] * 30 + [(3, None), (4, "long " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    assert op2_quality.train(docs, labels, rows=4).base == 0.0  # two labels of each kind, whatever the rows
+    scores = op2_quality.score(docs, op2_quality.train(docs, labels)).groupBy("doc_id").agg(F.count_distinct("score").alias("n")).collect()
+    assert {r.n for r in scores} == {1}
+
+
 # --- 3
 def test_nearest_with_a_repeated_id(spark):
     rows = [(1, [1.0, 2.0])] * 40 + [(2, [1.0, 2.0]), (3, [1.0, 2.0]), (4, [2.0, -1.0])]
@@ -334,6 +371,20 @@ def test_token_files(docs, texts, no_docs):
     assert op8_tokens.read_blocks(*op8_tokens.write_tokens(no_docs)).collect() == []
 
 
+def test_token_files_with_an_id_of_many_rows(spark, monkeypatch):
+    library = Tokenizer.from_file(op8_tokens.BYTE_BPE)
+    rows = [(7, f"text {i % 5}") for i in range(60)] + [(None, "none")] * 20 + [(3, "first"), (9, "last")]
+    monkeypatch.setattr(op8_tokens, "RANGE_ROWS", 10)
+    manifest, folder = op8_tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert manifest.select("range").distinct().count() > 3
+    got = sorted(op8_tokens.read_blocks(manifest, folder).collect(), key=lambda r: r.start)
+    order = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert order == sorted(order) and len(order) == len(rows)
+    sizes = Counter((i, len(library.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == sizes
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+
+
 # --- 6
 def brute_rules(text):
     words = text.replace("\t", " ").replace("\n", " ").replace("\v", " ").replace("\f", " ").replace("\r", " ").split(" ")
