@@ -203,9 +203,9 @@ def kernel_pointers(g: Graph, after: int = 0, registers: int = 34) -> Graph:
 
 
 def first_moves(events: DataFrame) -> DataFrame:
-    """(vid, type, time): the first load or store of each pointer itself."""
+    """(vid, type, time): the first load or store of each pointer itself; of both at one time, the store."""
     moves = events.where(S.has_any(F.col("type"), S.EVENTS["load"] | S.EVENTS["store"]))
-    return moves.groupBy("vid").agg(F.min_by("type", "time").alias("type"), F.min("time").alias("time"))
+    return moves.groupBy("vid").agg(F.min_by("type", F.struct("time", S.has_any(F.col("type"), S.EVENTS["load"]), "type")).alias("type"), F.min("time").alias("time"))
 
 
 def first_used_by_user(g: Graph, after: int = 0) -> Graph:
