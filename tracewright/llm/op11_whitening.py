@@ -13,8 +13,8 @@
 Rows whose vector is null, empty, or holds a null or a number that isn't finite are
 dropped.  Vectors of each length are whitened apart from those of others.  Entries
 beyond the range of a long take its ends.  Null ids are kept, as are rows that
-repeat others: each row gives its own components.  A component without variance
-(all vectors equal, or fewer dimensions than components asked for) has a null
+repeat others: each row gives its own components, no more than its vector is long.
+A component without variance (as of vectors that are all equal) has a null
 `whitened`, `explained` 0, and no part in `identity_error`.  A `deviation` beyond
 the range of a long is null, and its digits are in `deviation_digits`.  An empty
 table gives an empty one; other columns are not read.
@@ -88,11 +88,10 @@ def _fitter(k: int):
         n, s, g = int(upper[0, 0]), upper[0, 1:], upper[1:, 1:]
         m = n * (g + np.triu(g, 1).T) - np.outer(s, s)
         values, vectors, bits = digits.leading(m, k)
-        values += [0] * (k - len(values))
         trace = int(m.trace())
         row = {
             "width": width, "n": n, "sums": [str(x) for x in s], "bits": bits,
-            "components": [str(x) for i in range(k) for x in (vectors[:, i] if i < width else [0] * width)],
+            "components": [str(x) for i in range(len(values)) for x in vectors[:, i]],
             "deviations": [float(np.sqrt(digits.ratio(x, n * n << bits))) for x in values],
             "explained": [digits.ratio(x, trace << bits) if trace else 0.0 for x in values],
         }
@@ -156,16 +155,17 @@ def _whitener(models):
     return run
 
 
-def _answers(models, k: int):
+def _answers(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in _by_width(batch.column("x")):
                 model = models.value[x.shape[1]]
-                w, deviation = model.whiten(x).ravel(), model.deviation(x)
+                w, deviation = model.whiten(x), model.deviation(x)
                 fits = deviation <= 2**63 - 1
                 short = pa.array([v if ok else None for v, ok in zip(deviation, fits, strict=True)], pa.int64())
                 text = pa.array([None if ok else str(v) for v, ok in zip(deviation, fits, strict=True)], pa.string())
-                each = pa.array(np.repeat(np.arange(len(x)), k))
+                k = w.shape[1]
+                w, each = w.ravel(), pa.array(np.repeat(np.arange(len(x)), k))
                 rows = len(x) * k
                 columns = [
                     batch.column("vec_id").take(pa.array(at)).take(each), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))), pa.array(np.full(rows, model.n)), short.take(each),
@@ -186,17 +186,17 @@ def fit(rows: DataFrame, scratch: Scratch, k: int = COMPONENTS) -> dict[int, Mod
     held = spark.sparkContext.broadcast({w: Model(r) for w, r in fitted.items()})
     whitened = listed.mapInArrow(_whitener(held), "width int, w array<double>")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    measured = whitened.groupBy("width").agg(*[F.abs(F.covar_pop(F.col("w")[i], F.col("w")[j]) - float(i == j)).alias(f"c{i}_{j}") for i, j in pairs])
+    measured = whitened.groupBy("width").agg(*[F.abs(F.covar_pop(F.get("w", F.lit(i)), F.get("w", F.lit(j))) - float(i == j)).alias(f"c{i}_{j}") for i, j in pairs])
     errors = {r["width"]: max((x for x in r[1:] if x is not None), default=0.0) for r in measured.collect()} if fitted else {}
     scratch.drop(listed)
     return {w: Model(r, errors[w]) for w, r in fitted.items()}
 
 
 def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = COMPONENTS) -> DataFrame:
-    """A row for each vector that takes part and each of k components; the columns of RESULT."""
+    """A row for each vector that takes part and each of its first k components; the columns of RESULT."""
     rows = integers(vectors, id_col, vector_col)
     models = fit(rows, Scratch(vectors.sparkSession, "whitening"), k)
-    return rows.mapInArrow(_answers(vectors.sparkSession.sparkContext.broadcast(models), k), RESULT)
+    return rows.mapInArrow(_answers(vectors.sparkSession.sparkContext.broadcast(models)), RESULT)
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
