@@ -104,7 +104,8 @@ def in_parts(turns: DataFrame, scratch: Scratch, size: int = PART) -> DataFrame:
     later = far.where("part > 0").join(smaller_side(scratch.table(carry, "carry")), ["conv", "part"])
     names = [*turns.columns, *plain]
     start = far.where("part = 0").withColumns({**plain, "last": F.col("parts") == 0})
-    return near.withColumns(plain).select(*names).unionByName(start.select(*names)).unionByName(later.withColumn("last", F.col("part") == F.col("parts")).select(*names))
+    later = later.withColumn("last", F.col("part") == F.col("parts"))
+    return scratch.table(near.withColumns(plain).select(*names).unionByName(start.select(*names)).unionByName(later.select(*names)), "parts")
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
