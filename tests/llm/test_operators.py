@@ -457,6 +457,23 @@ def test_similar_texts_in_a_large_group(spark, monkeypatch):
     assert op7_jaccard.shortest_prefix() == 4
 
 
+def test_one_id_on_many_different_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{rng.randint(0, 999)}" for _ in range(60)]
+        for i in range(10):
+            words = list(base)
+            words[rng.randrange(5, 55)] = f"new{i}"
+            rows.append((7 if g % 2 else None, " ".join(words)))
+    rows += rows[:30] * 3
+    seen = []
+    monkeypatch.setattr(op7_jaccard, "_own_sets", lambda texts, f=op7_jaccard._own_sets: (seen.append(texts.count()), f(texts))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in op7_jaccard.similar_texts(df).collect()) == brute_classes(rows)
+    assert seen == [400]  # a row for each different set, none for each pair of rows of the id
+
+
 def test_prefixes_across_parts(spark):
     rng = np.random.default_rng(3)
     flat, deep = 4, op7_jaccard.DEEP

@@ -56,7 +56,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, sid, n, paths): a text's set, its size, and its path in each tree: a byte for the tree, four for each minimum."""
+    """(doc_id, told, sid, n, paths): a hash of the text, its set, the set's size, and its path in each tree: a byte for the tree, four for each minimum."""
     rng = np.random.default_rng(7)
     words, odd = (rng.integers(0, 1 << 32, TREES * DEEP, np.uint32) for _ in range(2))
     odd |= np.uint32(1)
@@ -76,11 +76,17 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 flat = least.astype(">u4").tobytes()
                 rows.append((_digest(s), len(s), [t + flat[4 * DEEP * i : 4 * DEEP * (i + 1)] for i, t in enumerate(trees)]))
             out = pd.DataFrame(rows, columns=["sid", "n", "paths"])
+            out.insert(0, "told", pdf["told"].to_numpy())
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, sid binary, n long, paths array<binary>")
+    return _keyed(docs, id_col, text_col).mapInPandas(run, "doc_id long, told long, sid binary, n long, paths array<binary>")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, told, text): by id and hash a row, or rows that are equal to it, can be met again without its text."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("told"), F.col(text_col).alias("text"))
 
 
 def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,7 +133,7 @@ def _matched(sets: DataFrame, flat: int) -> DataFrame:
             yield pd.DataFrame([(part, -2, 0, sids[-1], b"".join(firsts), before.tobytes())], columns=_MATCHED)
 
     rows = sets.select("sid", F.explode_outer("paths").alias("path"))
-    return rows.repartitionByRange("path").sortWithinPartitions("path", "sid").mapInPandas(run, "part int, depth int, node long, a binary, b binary, path binary")
+    return rows.repartitionByRange("path", "sid").sortWithinPartitions("path", "sid").mapInPandas(run, "part int, depth int, node long, a binary, b binary, path binary")
 
 
 _MATCHED = ["part", "depth", "node", "a", "b", "path"]
@@ -243,7 +249,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     signed = scratch.table(_signed(docs, id_col, text_col), "signed")
-    sets = signed.where("sid is not null").groupBy("sid").agg(F.first("paths").alias("paths"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("own"))
+    sets = signed.where("sid is not null").groupBy("sid").agg(F.first("paths").alias("paths"), F.first("n").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("own"), F.min(F.struct("doc_id", "told")).alias("row"))
     sets = scratch.table(sets, "sets")
     flat = shortest_prefix(similarity)
     matched = scratch.table(_matched(sets, flat), "matched")
@@ -252,8 +258,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     matched = scratch.table(matched.where("depth > 0").select("depth", "node", "a", "b").union(more), "pairs")
     # the shingles of each set that shares a node
     wanted = matched.select(F.col("a").alias("sid")).union(matched.select(F.col("b").alias("sid"))).distinct()
-    wanted = sets.select("sid", "n", F.col("own").alias("_own")).join(wanted, "sid", "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(smaller_side(wanted), F.col("_id").eqNullSafe(F.col("_own"))).select("sid", "n", "text")
+    wanted = scratch.table(sets.select("sid", "n", "row").join(wanted, "sid", "left_semi"), "wanted")
+    one = F.col("doc_id").eqNullSafe(F.col("row.doc_id")) & (F.col("told") == F.col("row.told"))
+    # each set by one of its rows; rows that are equal to that one are one from here on
+    texts = _keyed(docs, id_col, text_col).join(smaller_side(wanted), one).groupBy("sid").agg(F.first("n").alias("n"), F.min("text").alias("text"))
     held = scratch.table(_own_sets(texts), "shingles")
     comps = None
     for depth in range(DEEP, flat - 1, -SHORTER):
@@ -299,15 +307,13 @@ def _joined(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
 
 
 def _own_sets(texts: DataFrame) -> DataFrame:
-    """(sid, n, shingles): one row per set; of rows that repeat an id only that whose text is the set's counts."""
+    """(sid, n, shingles) of (sid, n, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = shingle_sets(pdf["text"].tolist(), WORDS)
-            own = np.array([_digest(x) == bytes(y) for x, y in zip(sets, pdf["sid"], strict=True)], bool)
-            yield pd.DataFrame({"sid": pdf["sid"][own], "n": pdf["n"][own], "shingles": [x.tobytes() for x, good in zip(sets, own.tolist(), strict=True) if good]})
+            yield pd.DataFrame({"sid": pdf["sid"], "n": pdf["n"], "shingles": [x.tobytes() for x in shingle_sets(pdf["text"].tolist(), WORDS)]})
 
-    return texts.mapInPandas(run, "sid binary, n long, shingles binary").dropDuplicates(["sid"])
+    return texts.mapInPandas(run, "sid binary, n long, shingles binary")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
