@@ -39,6 +39,22 @@ def bound(base: Column, length: Column) -> Column:
     return (unsigned(base).cast(DEC21) + unsigned(length).cast(DEC21)).cast(DEC21)
 
 
+def ends_by(base: Column, length: Column, limit: Column) -> Column:
+    """Whether base + length, which can have 65 bits, is at most the address `limit`."""
+    small = (base >= 0) & (length >= 0) & (limit >= 0) & (length <= F.lit((1 << 63) - 1) - F.when(base >= 0, base).otherwise(0))
+    return F.when(small, F.when(small, base + length) <= limit).otherwise(bound(base, length) <= unsigned(limit).cast(DEC21))
+
+
+def starts_from(base: Column, limit: Column) -> Column:
+    """Whether the address is at least `limit`."""
+    return sort_key(base) >= sort_key(limit)
+
+
+def end_of(base: Column, length: Column) -> Column:
+    """base + length modulo 2^64, as a raw BIGINT."""
+    return F.coalesce(F.try_add(base, length), cursor(base, length))
+
+
 def cursor(base: Column, offset: Column) -> Column:
     """base + offset modulo 2^64, as a raw BIGINT."""
     return signed(F.pmod(unsigned(base).cast("decimal(22,0)") + unsigned(offset).cast("decimal(22,0)"), F.lit("18446744073709551616").cast("decimal(22,0)")))

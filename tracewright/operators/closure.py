@@ -48,13 +48,17 @@ def nearest_marked(parents: DataFrame, marks: DataFrame, key: str = "vid", mark:
     """(vid, mark) of all vertices of a forest at or below a marked one: the mark of the nearest.
 
     parents: (vid, parent), a row per vertex that has a parent.  Each round doubles how far up
-    a vertex has looked, so rounds grow with the logarithm of the depth.
+    a vertex has looked, so rounds grow with the logarithm of the depth; a cycle is an error.
     """
     every = parents.select(key, F.col("parent").alias("jump")).unionByName(parents.select(F.col("parent").alias(key)).unionByName(marks.select(key)).distinct().withColumn("jump", F.lit(None).cast(parents.schema["parent"].dataType)))
     state = every.groupBy(key).agg(F.max("jump").alias("jump")).join(marks.groupBy(key).agg(F.min(mark).alias(mark)), key, "left")
     # a vertex that has its mark looks no further
     state = _written(state.withColumn("jump", F.when(F.col(mark).isNull(), F.col("jump"))))
+    rounds = 0
     while state.where("jump is not null").take(1):
+        rounds += 1
+        if rounds > 64:  # no path has more than 2^63 vertices
+            raise ValueError("the parents form a cycle")
         up = state.select(F.col(key).alias("jump"), F.col("jump").alias("_jump"), F.col(mark).alias("_mark"))
         before = state
         state = _written(state.join(up, "jump", "left").select(key, F.coalesce(mark, "_mark").alias(mark), F.when(F.coalesce(mark, "_mark").isNull(), F.col("_jump")).alias("jump")))

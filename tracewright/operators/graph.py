@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import closure, lookup
+from .scan import running
 
 # Edge operations, system calls, allocators.
 CALL, SYSCALL, CALL_TARGET, VISIBLE, RETURN = 1, 2, 3, 4, 5
@@ -71,8 +72,15 @@ def chain(*steps: Step) -> Step:
     return lambda g: g.transform(*steps)
 
 
-def _top(length: str = "length") -> Column:
-    return F.col("base") + F.col(length)
+def _top() -> Column:
+    """The end of a pointer's bounds, modulo 2^64."""
+    return S.end_of(F.col("base"), F.col("length"))
+
+
+def _within(begin: int | Column, end: int | Column) -> Column:
+    """Whether a pointer's bounds lie in [begin, end]; addresses are unsigned."""
+    limits = [F.lit(x).cast("long") if isinstance(x, int) else x for x in (begin, end)]
+    return S.starts_from(F.col("base"), limits[0]) & S.ends_by(F.col("base"), F.col("length"), limits[1])
 
 
 # --- masks
@@ -92,7 +100,7 @@ without_fromptr, without_andperm, without_roots = without_origin("FROMPTR"), wit
 
 
 def without_stack(begin: int, end: int) -> Step:
-    return lambda g: g.mask((F.col("base") >= begin) & (_top() <= end))
+    return lambda g: g.mask(_within(begin, end))
 
 
 def without_before_execve(time: int) -> Step:
@@ -143,7 +151,7 @@ def touches_stack(begin: int, end: int) -> Step:
 
 
 def in_bounds(name: str, begin: int, end: int) -> Step:
-    return lambda g: g.annotate(name, g.vertices.where((F.col("base") >= begin) & (_top() <= end)))
+    return lambda g: g.annotate(name, g.vertices.where(_within(begin, end)))
 
 
 def guessed_stack_root(g: Graph, execve_time: int, low: int = 0x7FFF000000, high: int = 0x8000000000, least: int = 0x80000) -> DataFrame:
@@ -235,9 +243,10 @@ def global_pointers(tables: DataFrame) -> Step:
         loads = g.events.where(S.has_any(F.col("type"), S.EVENTS["load"])).select("vid", "addr")
         loaded = in_some_range(loads, ranges, "addr", "_in").where("_in").select("vid").distinct()
         # of the tables that begin before a pointer, the one that reaches furthest
-        spans = ranges.withColumn("_reach", F.max("end").over(W.orderBy("start").rowsBetween(W.unboundedPreceding, 0))).groupBy("start").agg(F.max("_reach").alias("_reach"))
-        bounded = lookup.floor_lookup(g.vertices.select("vid", "base", _top().alias("_top")), spans, "base", "start", ["_reach"], float(1 << 24))
-        table = bounded.where(F.col("_top") <= F.col("_reach")).select("vid").distinct()
+        key = lambda c: S.sort_key(F.col(c).cast("long"))
+        spans = running(ranges.select(key("start").alias("_s"), key("end").alias("_e")).where("_s <= _e"), [], ["_s"], _reach=("max", F.col("_e")))
+        bounded = lookup.floor_lookup(g.vertices.select("vid", "base", "length", key("base").alias("_b")), spans, "_b", "_s", ["_reach"], float(1 << 12))
+        table = bounded.where(S.ends_by(F.col("base"), F.col("length"), S.sort_key(F.col("_reach")))).select("vid").distinct()
         return g.annotate("globptr", loaded).annotate("captblptr", table).annotate("globderived", below(g, loaded).join(loaded, "vid", "left_anti"))
 
     return step
@@ -332,7 +341,7 @@ def statistics(g: Graph, stack: tuple[int, int] | None = None) -> DataFrame:
     sums = event_summary(e).agg(zero("deref_loads", "deref_loads"), zero("deref_stores", "deref_stores"), zero("stored", "stored_addresses"))
     area = e.where(S.has_any(F.col("type"), 4)).join(v.select("vid", "base", "offset", "length"), "vid").where(F.col("addr").between(F.col("base") + F.col("offset"), _top()))
     readers = area.agg(F.count_distinct("vid").alias("argument_readers"))
-    inside = (F.col("base") >= stack[0]) & (_top() <= stack[1]) if stack else F.lit(False)
+    inside = _within(*stack) if stack else F.lit(False)
     bounds = v.where(F.col("origin").isin("SETBOUNDS", "PTR_SETBOUNDS")).agg(F.count("*").alias("set_bounds"), F.count_if(inside).alias("stack_bounds"))
     mallocs = returned_by(g, g.calls.where(F.col("symbol").isin(*ALLOCATORS))).agg(F.count("*").alias("mallocs"))
     mmaps = returned_by(g, system_calls(g, MMAP)).agg(F.count("*").alias("mmaps"))
@@ -387,11 +396,9 @@ def call_at(vertices: DataFrame, g: Graph) -> DataFrame:
     """(vid, call, address): the first call, by id, during which a pointer was made; a call without a return holds on, and gives neither."""
     began = g.edges.where(F.col("op").isin(CALL, SYSCALL)).groupBy(F.col("dst").alias("call")).agg(F.min("time").alias("t_call"))
     spans = g.calls.select(F.col("vid").alias("call"), "address", "t_return").join(began, "call")
-    forever = (1 << 62) - 1
-    spans = spans.withColumn("_until", F.coalesce("t_return", F.lit(forever))).where("_until >= t_call")
-    pairs = lookup.points_in_intervals(vertices.select("vid", "t_alloc"), spans, "t_alloc", "t_call", "_until", 1024)
-    first = pairs.groupBy("vid").agg(F.min_by(F.struct("call", "address", "t_return"), "call").alias("c"))
-    return first.select("vid", F.when(F.col("c.t_return").isNotNull(), F.col("c.call")).alias("call"), F.when(F.col("c.t_return").isNotNull(), F.col("c.address")).alias("address"))
+    spans = spans.withColumn("_until", F.coalesce("t_return", F.lit((1 << 63) - 1))).withColumn("_call", F.col("call"))
+    first = lookup.first_covering(vertices.select("vid", "t_alloc"), spans, "t_alloc", "t_call", "_until", "call", ["_call", "address", "t_return"]).where("_call is not null")
+    return first.select("vid", F.when(F.col("t_return").isNotNull(), F.col("_call")).alias("call"), F.when(F.col("t_return").isNotNull(), F.col("address")).alias("address"))
 
 
 def dump_vertices(g: Graph) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from ..functions import scalars as S
+from .storage import written
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], forward: bool = False, strict: bool = False) -> DataFrame:
@@ -73,38 +77,131 @@ def with_running_sum(df: DataFrame, by: list[str], on: str, value: str, name: st
     return inner.join(before, [*by, "_chunk"]).withColumn(name, F.col("_own") + F.col("_before")).select(*df.columns, name)
 
 
-def floor_lookup(left: DataFrame, table: DataFrame, value: str, key: str, take: list[str], width: float) -> DataFrame:
-    """Each left row with the row of `table` whose key is the greatest not above the value."""
-    steps = table.select(F.col(key).cast("double").alias("_on"), *[F.col(c).alias(f"_f_{c}") for c in take])
-    found = as_of_chunked(left.withColumn("_on", F.col(value).cast("double")), steps, [], "_on", [f"_f_{c}" for c in take], width)
-    return found.select(*left.columns, *[F.col(f"_f_{c}").alias(c) for c in take])
+#: A cell of one level is so many of the level below; an interval is entered at the level where it meets at most one more cell than that.
+FAN, FAN_BITS = 16, 4
 
 
-#: A cell of one level is so many of the level below; an interval is entered at the level where it meets at most one more cell than that.
-FAN = 16
+class Cells:
+    """Cells of `width` and of FAN, FAN^2... times it.  Whole numbers are dealt to them by their bits, exactly over all 64, others by division."""
+
+    def __init__(self, width: float, whole: bool):
+        self.whole, self.bits = whole, max(int(width) - 1, 0).bit_length()
+        self.width = float(1 << self.bits) if whole else float(width)
+
+    def level(self, start: Column, end: Column) -> Column:
+        """The level whose cells are about as wide as the interval's sixteenth or wider."""
+        cells = F.greatest((end.cast("double") - start.cast("double")) / self.width, F.lit(1.0))
+        found = F.greatest(F.ceil(F.log(cells) / F.log(F.lit(float(FAN)))) - 1, F.lit(0)).cast("int")
+        return F.least(found, F.lit((63 - self.bits) // FAN_BITS)) if self.whole else found
+
+    def cell(self, value: Column, level: Column) -> Column:
+        if self.whole:
+            return F.call_function("shiftright", value.cast("long"), (level * FAN_BITS + self.bits).cast("int"))
+        return F.floor(value / (F.lit(self.width) * F.pow(F.lit(float(FAN)), level.cast("double")))).cast("long")
 
+    def spots(self, start: Column, end: Column, level: Column) -> Column:
+        """The cells of a level that an interval meets."""
+        return F.transform(F.sequence(self.cell(start, level), self.cell(end, level)), lambda c: F.struct(level.alias("_level"), c.alias("_cell")))
 
-def _level(start: Column, end: Column, width: int) -> Column:
-    """The level whose cells, `width * FAN ** level` wide, are about as wide as the interval's sixteenth or wider."""
-    cells = F.greatest((end.cast("double") - start.cast("double")) / width, F.lit(1.0))
-    return F.greatest(F.ceil(F.log(cells) / F.log(F.lit(float(FAN)))) - 1, F.lit(0)).cast("int")
+    def looks(self, value: Column, levels: list[int]) -> Column:
+        """A point's cell at each level."""
+        return F.array(*[F.struct(F.lit(x).alias("_level"), self.cell(value, F.lit(x)).alias("_cell")) for x in levels or [0]])
 
+    def levels(self, df: DataFrame, start: str, end: str) -> list[int]:
+        """The levels at which the intervals of a table are: at most 16 numbers."""
+        return sorted(r[0] for r in df.select(self.level(F.col(start), F.col(end)).alias("l")).where("l is not null").distinct().collect())
 
-def _cell(value: Column, level: Column, width: int) -> Column:
-    return F.floor(value / (F.lit(float(width)) * F.pow(F.lit(float(FAN)), level.cast("double")))).cast("long")
 
+def _whole(*columns: tuple[DataFrame, str]) -> bool:
+    return all(isinstance(df.schema[c].dataType, IntegralType) for df, c in columns)
 
-def _levels(df: DataFrame, start: str, end: str, width: int) -> list[int]:
-    """The levels at which the intervals of a table are: at most 16 numbers."""
-    return sorted(r[0] for r in df.select(_level(F.col(start), F.col(end), width).alias("l")).where("l is not null").distinct().collect())
 
+def with_following(df: DataFrame, on: str, name: str) -> DataFrame:
+    """Adds the next greater value of `on` in the table, whose values differ; null for the last.  By ranges of rows, so it doesn't matter how the values lie."""
+    dealt = written(df.repartitionByRange(on).withColumn("_part", F.spark_partition_id()))
+    firsts = dealt.groupBy("_part").agg(F.min(on).alias("_first"))
+    coming = firsts.select("_part", F.lead("_first").over(W.orderBy("_part")).alias("_coming"))
+    inner = dealt.withColumn(name, F.lead(on).over(W.partitionBy("_part").orderBy(on)))
+    return inner.join(coming, "_part").withColumn(name, F.coalesce(name, "_coming")).drop("_part", "_coming")
 
-def _entered(df: DataFrame, start: str, end: str, width: int, levels: list[int]) -> DataFrame:
-    """The intervals with _level and _cell: in every cell that they meet, at their own level and the wider ones of `levels`."""
-    own = _level(F.col(start), F.col(end), width)
-    at = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= own)
-    cells = lambda x: F.transform(F.sequence(_cell(F.col(start), x, width), _cell(F.col(end), x, width)), lambda c: F.struct(x.alias("_level"), c.alias("_cell")))
-    return df.withColumn("_at", F.explode(F.flatten(F.transform(at, cells)))).withColumn("_level", F.col("_at._level")).withColumn("_cell", F.col("_at._cell")).drop("_at")
+
+def floor_lookup(left: DataFrame, table: DataFrame, value: str, key: str, take: list[str], width: float, unsigned: bool = False) -> DataFrame:
+    """Each left row with the row of `table` whose key is the greatest not above the value; of equal keys the row with the greatest `take`.
+
+    Whole numbers are compared as they are, as unsigned ones if asked for; others as
+    doubles.  A step is entered as the interval up to the next one, in at most 17
+    cells, and a value meets the one step that holds it by an equi-join of cells, so
+    adaptive execution can split a value that very many rows have.  Values below all
+    steps, nulls and NaN take nothing.
+    """
+    whole = _whole((left, value), (table, key))
+    if whole:
+        at, least, most = (lambda c: S.sort_key(F.col(c).cast("long")) if unsigned else F.col(c).cast("long")), -(1 << 63), (1 << 63) - 1
+    else:
+        at, least, most = (lambda c: F.col(c).cast("double")), -1e200, 1e200
+    cells, kind = Cells(width, whole), "long" if whole else "double"
+    held = F.struct(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(take)])
+    ground = left.sparkSession.createDataFrame([(least,)], f"_on {kind}")
+    steps = table.select(at(key).alias("_on"), held.alias("_step")).where("_on is not null").unionByName(ground, allowMissingColumns=True)
+    steps = with_following(steps.groupBy("_on").agg(F.max("_step").alias("_step")), "_on", "_to")
+    end = F.coalesce(F.col("_to") - 1 if whole else F.col("_to"), F.lit(most))
+    entered = written(steps.withColumn("_spot", F.explode(cells.spots(F.col("_on"), end, cells.level(F.col("_on"), end)))))
+    levels = sorted(r[0] for r in entered.select("_spot._level").distinct().collect())
+    asked = left.withColumn("_v", at(value) if whole else F.least(F.greatest(F.nanvl(at(value), F.lit(None).cast("double")), F.lit(least)), F.lit(most)))
+    asked = asked.withColumn("_v", F.when(F.col(value).isNotNull() & (F.lit(whole) | ~F.isnan(at(value))), F.col("_v")))
+    points = asked.where("_v is not null").withColumn("_spot", F.explode(cells.looks(F.col("_v"), levels)))
+    met = points.join(entered, (points["_spot"] == entered["_spot"]) & (F.col("_v") >= F.col("_on")) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to"))))
+    out = met.select(*left.columns, "_step").unionByName(asked.where("_v is null").select(*left.columns), allowMissingColumns=True)
+    return out.select(*left.columns, *[F.col(f"_step._f{i}").alias(c) for i, c in enumerate(take)])
+
+
+def _nodes(start: Column, end: Column) -> Column:
+    """The canonical nodes of [start, end] in a tree over all 64-bit numbers with FAN children a node: at most 30 of each of the 16 levels, and each number of the interval in just one."""
+
+    def whole_cells(level: int) -> tuple[Column, Column]:
+        """The cells of a level that lie in the interval: from, to (not included)."""
+        bits = FAN_BITS * level
+        if not bits:  # the cell after the greatest number has no number itself
+            return start, end
+        mask = F.lit((1 << bits) - 1)
+        return F.shiftright(start, bits) + (start.bitwiseAND(mask) != 0).cast("long"), F.shiftright(end, bits) + (end.bitwiseAND(mask) == mask).cast("long") - 1
+
+    parts = []
+    for level in range(FAN):
+        low, high = whole_cells(level)  # both included
+        span = lambda a, b, level=level: F.when(a <= b, F.transform(F.sequence(a, b), lambda c: F.struct(F.lit(level).alias("_level"), c.alias("_cell"))))
+        if level == FAN - 1:
+            parts.append(span(low, high))
+            continue
+        above, last = whole_cells(level + 1)
+        some = above <= last
+        # where a parent lies in the interval, only what is beside the parents
+        left, right = F.shiftleft(above, FAN_BITS) - 1, F.shiftleft(last, FAN_BITS) + FAN
+        parts.append(F.when(some & (F.shiftleft(above, FAN_BITS) > low), span(low, left)))
+        parts.append(F.when(some & (F.shiftleft(last, FAN_BITS) + (FAN - 1) < high), span(right, high)))
+        parts.append(F.when(~some, span(low, high)))
+    return F.flatten(F.filter(F.array(*parts), lambda x: x.isNotNull()))
+
+
+def first_covering(points: DataFrame, intervals: DataFrame, value: str, start: str, end: str, ordinal: str, take: list[str], unsigned: bool = False) -> DataFrame:
+    """Each point with the columns `take` of the interval of least ordinal that holds it (ends included), null where none does.
+
+    An interval is cut into canonical nodes of a tree over the numbers, and a node
+    keeps the least ordinal of all intervals cut there.  A value looks in its node
+    at each level that occurs: rows grow with values times levels, never with the
+    pairs of points and intervals.  Whole numbers only.  Of equal ordinals the least
+    `take` counts; null ends, and ends before their starts, hold nothing.
+    """
+    at = lambda c: S.sort_key(F.col(c).cast("long")) if unsigned else F.col(c).cast("long")
+    held = F.struct(F.col(ordinal).alias("_ordinal"), *[F.col(c).alias(f"_f{i}") for i, c in enumerate(take)])
+    sound = intervals.select(at(start).alias("_s"), at(end).alias("_e"), held.alias("_best")).where("_s <= _e")
+    nodes = sound.select(F.explode(_nodes(F.col("_s"), F.col("_e"))).alias("_spot"), "_best").groupBy("_spot").agg(F.min("_best").alias("_best"))
+    nodes = written(nodes)
+    levels = sorted(r[0] for r in nodes.select("_spot._level").distinct().collect())
+    looks = F.array(*[F.struct(F.lit(x).alias("_level"), F.shiftright("_v", FAN_BITS * x).alias("_cell")) for x in levels or [0]])
+    values = points.select(at(value).alias("_v")).where("_v is not null").distinct().withColumn("_spot", F.explode(looks))
+    best = values.join(nodes, "_spot").groupBy("_v").agg(F.min("_best").alias("_best"))
+    return points.withColumn("_v", at(value)).join(best, "_v", "left").select(*points.columns, *[F.col(f"_best._f{i}").alias(c) for i, c in enumerate(take)])
 
 
 def points_in_intervals(points: DataFrame, intervals: DataFrame, value: str, start: str, end: str, width: int) -> DataFrame:
@@ -115,24 +212,30 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, value: str, sta
     end lies before their start, and nulls, meet nothing.
     """
     sound = intervals.where(F.col(start) <= F.col(end))
-    levels = _levels(sound, start, end, width)
-    own = _level(F.col(start), F.col(end), width)
-    cells = F.transform(F.sequence(_cell(F.col(start), own, width), _cell(F.col(end), own, width)), lambda c: F.struct(own.alias("_level"), c.alias("_cell")))
-    i = sound.withColumn("_spot", F.explode(cells))
-    p = points.withColumn("_spot", F.explode(F.array(*[F.struct(F.lit(x).alias("_level"), _cell(F.col(value), F.lit(x), width).alias("_cell")) for x in levels or [0]])))
+    cells = Cells(width, _whole((points, value), (intervals, start), (intervals, end)))
+    levels = cells.levels(sound, start, end)
+    i = sound.withColumn("_spot", F.explode(cells.spots(F.col(start), F.col(end), cells.level(F.col(start), F.col(end)))))
+    p = points.withColumn("_spot", F.explode(cells.looks(F.col(value), levels)))
     return p.join(i, (p["_spot"] == i["_spot"]) & (p[value] >= i[start]) & (p[value] <= i[end])).drop(p["_spot"]).drop(i["_spot"])
 
 
 def overlapping(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_start: str, r_end: str, width: int) -> DataFrame:
     """Pairs of intervals that share a point, each once: at the wider one's level, in the first cell where both are."""
     left, right = left.where(F.col(l_start) <= F.col(l_end)), right.where(F.col(r_start) <= F.col(r_end))
-    levels = sorted({*_levels(left, l_start, l_end, width), *_levels(right, r_start, r_end, width)}) or [0]
-    l = _entered(left, l_start, l_end, width, levels).withColumnRenamed("_level", "_l1").withColumnRenamed("_cell", "_c1")  # noqa: E741
-    r = _entered(right, r_start, r_end, width, levels).withColumnRenamed("_level", "_l2").withColumnRenamed("_cell", "_c2")
-    wider = F.greatest(_level(F.col(l_start), F.col(l_end), width), _level(F.col(r_start), F.col(r_end), width))
-    first = F.greatest(_cell(F.col(l_start), F.col("_l1"), width), _cell(F.col(r_start), F.col("_l1"), width))
+    cells = Cells(width, _whole((left, l_start), (left, l_end), (right, r_start), (right, r_end)))
+    levels = sorted({*cells.levels(left, l_start, l_end), *cells.levels(right, r_start, r_end)}) or [0]
+
+    def entered(df: DataFrame, start: str, end: str, n: int) -> DataFrame:
+        """In every cell that they meet, at their own level and the wider ones of `levels`."""
+        own = cells.level(F.col(start), F.col(end))
+        at = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= own)
+        spots = F.flatten(F.transform(at, lambda x: cells.spots(F.col(start), F.col(end), x)))
+        return df.withColumn("_at", F.explode(spots)).withColumn(f"_l{n}", F.col("_at._level")).withColumn(f"_c{n}", F.col("_at._cell")).drop("_at")
+
+    wider = F.greatest(cells.level(F.col(l_start), F.col(l_end)), cells.level(F.col(r_start), F.col(r_end)))
+    first = F.greatest(cells.cell(F.col(l_start), F.col("_l1")), cells.cell(F.col(r_start), F.col("_l1")))
     on = (F.col("_l1") == F.col("_l2")) & (F.col("_c1") == F.col("_c2")) & (F.col("_l1") == wider) & (F.col("_c1") == first) & (F.col(l_start) <= F.col(r_end)) & (F.col(r_start) <= F.col(l_end))
-    return l.join(r, on).drop("_l1", "_l2", "_c1", "_c2")
+    return entered(left, l_start, l_end, 1).join(entered(right, r_start, r_end, 2), on).drop("_l1", "_l2", "_c1", "_c2")
 
 
 def first_match(pairs: DataFrame, key: list[str], order: list[str], take: list[str]) -> DataFrame:

@@ -28,8 +28,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .closure import _written
 from .lookup import as_of_chunked, with_next, with_running_sum
+from .storage import dropped
+from .storage import written as _written
 
 UOP = (
     "idx long, sub int, act string, dst string, src string, addr long, valid boolean, origin string, pc long, is_kernel boolean, "
@@ -95,12 +96,14 @@ def _versions(uops: DataFrame, chunk: float) -> DataFrame:
 def _follow(pointers: DataFrame) -> DataFrame:
     """(vid, to): where chains of `to` end; rounds grow with the logarithm of the longest chain."""
     state = _written(pointers.select("vid", "to"))
-    while True:
+    for _ in range(64):  # no chain has more than 2^63 versions
         step = state.select(F.col("vid").alias("to"), F.col("to").alias("_next"))
         joined = _written(state.join(step, "to", "left").select("vid", F.coalesce("_next", "to").alias("to"), (F.col("_next").isNotNull() & (F.col("_next") != F.col("to"))).alias("moved")))
-        state = joined.drop("moved")
+        dropped(state)
+        state = joined
         if not joined.where("moved").take(1):
-            return state
+            return state.drop("moved")
+    raise ValueError("the pointers form a cycle")
 
 
 def provenance(uops: DataFrame, chunk_rows: int = 1_000_000) -> Provenance:

@@ -80,8 +80,9 @@ def with_delay_slots(trace: DataFrame, chunk: int = 1_000_000) -> DataFrame:
 
 def register_versions(trace: DataFrame) -> DataFrame:
     """(reg_num, idx, gpr_val, cap, until): the values that each register had."""
-    own = W.partitionBy("reg_num").orderBy("idx")
-    return trace.where("reg_num is not null").select("reg_num", "idx", "gpr_val", "cap", F.lead("idx").over(own).alias("until"))
+    from .lookup import with_next
+
+    return with_next(trace.where("reg_num is not null").select("reg_num", "idx", "gpr_val", "cap"), ["reg_num"], "idx", {"until": "idx"}, 1_000_000.0)
 
 
 def _is(*kinds: str) -> Column:
@@ -217,11 +218,12 @@ def unsupported(trace: DataFrame) -> DataFrame:
 
 def violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(vid, parent, base, top, parent_base, parent_top): derived pointers that reach beyond their parent or have permissions that it lacks."""
-    top = F.col("base") + F.col("length")
-    p = vertices.select(F.col("vid").alias("src"), F.col("base").alias("parent_base"), top.alias("parent_top"), F.col("perms").alias("_p"))
-    v = vertices.select(F.col("vid").alias("dst"), "base", top.alias("top"), "perms")
-    joined = edges.select("src", "dst").join(p, "src").join(v, "dst")
-    beyond = (F.col("base") < F.col("parent_base")) | (F.col("top") > F.col("parent_top")) | (F.col("perms").bitwiseAND(F.bitwise_not("_p")) != 0)
+    known = vertices.select("vid", "base", "length", S.end_of(F.col("base"), F.col("length")).alias("top"), "perms")
+    p = known.select(F.col("vid").alias("src"), F.col("base").alias("parent_base"), F.col("length").alias("_n"), F.col("top").alias("parent_top"), F.col("perms").alias("_p"))
+    joined = edges.select("src", "dst").join(p, "src").join(known.withColumnRenamed("vid", "dst"), "dst")
+    # ends can have 65 bits
+    longer = S.bound(F.col("base"), F.col("length")) > S.bound(F.col("parent_base"), F.col("_n"))
+    beyond = ~S.starts_from(F.col("base"), F.col("parent_base")) | longer | (F.col("perms").bitwiseAND(F.bitwise_not("_p")) != 0)
     return joined.where(beyond).select(F.col("dst").alias("vid"), F.col("src").alias("parent"), "base", "top", "parent_base", "parent_top")
 
 
@@ -412,5 +414,5 @@ def function_at_jumps(jumps: DataFrame, functions: DataFrame) -> DataFrame:
     """Each jump with the function whose range [lowpc, highpc) its target is in; functions don't overlap."""
     from .lookup import floor_lookup
 
-    found = floor_lookup(jumps, functions.select("lowpc", "highpc", F.col("name").alias("function")), "pc", "lowpc", ["function", "highpc"], 1 << 20)
-    return found.withColumn("function", F.when(F.col("pc") < F.col("highpc"), F.col("function"))).drop("highpc")
+    found = floor_lookup(jumps, functions.select("lowpc", "highpc", F.col("name").alias("function")), "pc", "lowpc", ["function", "highpc"], 1 << 12, unsigned=True)
+    return found.withColumn("function", F.when(S.sort_key(F.col("pc")) < S.sort_key(F.col("highpc")), F.col("function"))).drop("highpc")

@@ -43,22 +43,21 @@ def counted(df: DataFrame, key: str, names: tuple[str, ...] = CHECKS, only: Colu
 
 
 def in_some_range(points: DataFrame, ranges: DataFrame, value: str, name: str) -> DataFrame:
-    """`points` with the column `name`: whether the value is in one of the ranges (start, end; ends included).
+    """`points` with the column `name`: whether the address is in one of the ranges of addresses (start, end; ends included).
 
-    The ranges are united first, so that each value meets the one that begins last before it.
+    The ranges are united first, so that each value meets the one that begins last
+    before it.  Addresses are unsigned; a range whose end lies before its start holds none.
     """
-    united = intervals.union(ranges, "start", "end").select(F.col("start").alias("_s"), F.col("end").alias("_e"))
-    found = lookup.floor_lookup(points, united, value, "_s", ["_e"], float(1 << 24))
-    return found.withColumn(name, F.coalesce(F.col(value) <= F.col("_e"), F.lit(False))).drop("_e")
+    sorted_ = ranges.select(S.sort_key(F.col("start").cast("long")).alias("_s"), S.sort_key(F.col("end").cast("long")).alias("_e")).where("_s <= _e")
+    united = intervals.union(sorted_, "_s", "_e")
+    found = lookup.floor_lookup(points.withColumn("_v", S.sort_key(F.col(value).cast("long"))), united, "_v", "_s", ["_e"], float(1 << 12))
+    return found.withColumn(name, F.coalesce(F.col("_v") <= F.col("_e"), F.lit(False))).drop("_v", "_e")
 
 
 def object_files(points: DataFrame, files: DataFrame, address: str) -> DataFrame:
-    """Each row with the first object file whose range holds the address.  files: ordinal, objfile, file_base, tops; a row per file."""
-    rows = points.withColumn("_row", F.monotonically_increasing_id())
+    """Each row with the first object file whose range holds the address.  files: ordinal, objfile, file_base, tops; a row per file.  Addresses are unsigned."""
     spans = files.withColumn("_last", F.array_max("tops") - 1)
-    met = lookup.points_in_intervals(rows.select("_row", F.col(address).alias("_at")), spans, "_at", "file_base", "_last", 1 << 16)
-    first = met.groupBy("_row").agg(F.min_by(F.struct("objfile", "file_base", "tops"), "ordinal").alias("_f"))
-    return rows.join(first, "_row", "left").select(*points.columns, "_f.objfile", "_f.file_base", "_f.tops")
+    return lookup.first_covering(points, spans, address, "file_base", "_last", "ordinal", ["objfile", "file_base", "tops"], unsigned=True)
 
 
 def symbols_of(pointers: DataFrame, symbols: DataFrame, relocs: DataFrame) -> DataFrame:
@@ -129,10 +128,11 @@ def table_load_check(loads: DataFrame, tables: DataFrame, created: DataFrame, by
     from_table, sound_bound (the length is the table's size; null outside a table)
     and made: matching, different, or missing (user code alone; else null).
     """
-    spans = tables.groupBy("start").agg(F.max("end").alias("_end"))
-    found = lookup.floor_lookup(loads, spans.select(F.col("start").alias("_start"), "_end"), "cursor", "_start", ["_start", "_end"], float(1 << 24))
+    spans = tables.where(S.sort_key(F.col("start")) <= S.sort_key(F.col("end"))).groupBy("start").agg(F.max_by("end", S.sort_key(F.col("end"))).alias("_end"))
+    steps = spans.select(F.col("start").alias("_on"), F.col("start").alias("_start"), "_end")
+    found = lookup.floor_lookup(loads, steps, "cursor", "_on", ["_start", "_end"], float(1 << 12), unsigned=True)
     seen = lookup.as_of(found, created.select(*by, order, "reg", F.col("cursor").alias("_made")), [*by, "reg"], order, ["_made"], strict=True)
-    inside = F.coalesce(F.col("cursor") <= F.col("_end"), F.lit(False))
+    inside = F.coalesce(S.sort_key(F.col("cursor").cast("long")) <= S.sort_key(F.col("_end")), F.lit(False))
     made = F.when(F.col("_made").isNull(), F.when(~F.col("is_kernel"), "missing")).when(F.col("_made") == F.col("cursor"), "matching").otherwise("different")
     out = seen.withColumn("from_table", inside).withColumn("sound_bound", F.when(inside, F.col("length") == F.col("_end") - F.col("_start"))).withColumn("made", F.when(inside, made))
     return out.drop("_start", "_end", "_made")
