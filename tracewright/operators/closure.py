@@ -33,7 +33,7 @@ def descendants(edges: DataFrame, seeds: DataFrame, carry: list[str] | None = No
 def roots_by_doubling(parents: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
     """(id, root, depth) of each vertex of a forest; a root's parent is null.  Rounds grow with the logarithm of the depth; a cycle is an error."""
     state = _written(parents.select(key, F.coalesce(parent, key).alias("root"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(True).alias("moved")))
-    for _ in range(64):  # no path has more than 2^63 vertices
+    for _ in range(state.count().bit_length() + 1):  # no path has more vertices than there are
         up = state.select(F.col(key).alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
         step = state.join(up, "root", "left").select(key, F.coalesce("_root", "root").alias("root"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce(F.col("_depth") > 0, F.lit(False)).alias("moved"))
         following = _written(step)
@@ -54,10 +54,10 @@ def nearest_marked(parents: DataFrame, marks: DataFrame, key: str = "vid", mark:
     state = every.groupBy(key).agg(F.max("jump").alias("jump")).join(marks.groupBy(key).agg(F.min(mark).alias(mark)), key, "left")
     # a vertex that has its mark looks no further
     state = _written(state.withColumn("jump", F.when(F.col(mark).isNull(), F.col("jump"))))
-    rounds = 0
+    rounds = state.count().bit_length() + 1  # no path has more vertices than there are
     while state.where("jump is not null").take(1):
-        rounds += 1
-        if rounds > 64:  # no path has more than 2^63 vertices
+        rounds -= 1
+        if rounds < 0:
             raise ValueError("the parents form a cycle")
         up = state.select(F.col(key).alias("jump"), F.col("jump").alias("_jump"), F.col(mark).alias("_mark"))
         before = state

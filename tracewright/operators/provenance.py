@@ -96,7 +96,7 @@ def _versions(uops: DataFrame, chunk: float) -> DataFrame:
 def _follow(pointers: DataFrame) -> DataFrame:
     """(vid, to): where chains of `to` end; rounds grow with the logarithm of the longest chain."""
     state = _written(pointers.select("vid", "to"))
-    for _ in range(64):  # no chain has more than 2^63 versions
+    for _ in range(state.count().bit_length() + 1):  # no chain has more versions than there are
         step = state.select(F.col("vid").alias("to"), F.col("to").alias("_next"))
         joined = _written(state.join(step, "to", "left").select("vid", F.coalesce("_next", "to").alias("to"), (F.col("_next").isNotNull() & (F.col("_next") != F.col("to"))).alias("moved")))
         dropped(state)

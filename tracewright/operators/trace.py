@@ -298,68 +298,11 @@ def backtrace(events: DataFrame, end: int, depth: int | None = None) -> DataFram
     return frames.where(F.col("backtrace") <= depth) if depth is not None else frames
 
 
-_FRAMES = "call long, parent long, op int, address long, t_call long, addr_call long, t_return long, addr_return long, closed long, depth int"
+def call_graph(events: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """The calls of `call_events`, with callers and returns: see `calls.call_graph`."""
+    from . import calls
 
-
-def call_graph(events: DataFrame) -> DataFrame:
-    """Rows of `_FRAMES`: every call (named by its row) with its caller and its return; op 0 marks roots, which are below 0.
-
-    A return closes the latest call if it goes where that expects, and no open
-    system call is on top.  An eret that ends the last exception closes all up to
-    the latest system call.  What closes the root makes a new root above it.
-    The rows of `call_events`, a small part of a trace, are read in order by one
-    task, which holds the open calls alone.
-    """
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    from .graph import CALL, SYSCALL
-
-    names = [x.split()[0] for x in _FRAMES.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stack: list[list] = [[-1, None, 0, None, None, None, None, None]]  # call, parent, op, address, t_call, addr_call, expected, is_root
-        roots, depth, within, out = 1, 0, False, []
-
-        def close(r) -> int:
-            nonlocal roots
-            call, parent, op, address, t_call, addr_call, _, _ = stack.pop()
-            if not stack:
-                roots += 1
-                parent = -roots
-                stack.append([parent, None, 0, None, None, None, None, None])
-            out.append((call, parent, op, address, t_call, addr_call, r.time, r.pc, r.idx, len(stack) - 1))
-            return op
-
-        def number(x):
-            return None if x is None or x != x else int(x)
-
-        for pdf in batches:
-            for r in pdf.astype(object).itertuples(index=False):
-                if r.kind in ("call", "syscall"):
-                    within |= r.kind == "syscall"
-                    stack.append([r.idx, stack[-1][0], SYSCALL if r.kind == "syscall" else CALL, number(r.target), r.time, r.pc, number(r.expected), None])
-                elif r.kind == "return":
-                    expected = stack[-1][6]
-                    if not (expected is None and within) and (expected is None or expected == number(r.target)):
-                        close(r)
-                elif r.kind == "eret":
-                    depth -= 1
-                    if within and depth == 0 and not r.raised:
-                        within, ended = False, False
-                        while len(stack) > 1 and not ended:
-                            ended = close(r) == SYSCALL
-                        if not ended:
-                            close(r)
-                    depth = max(depth, 0)
-                depth += bool(r.raised)
-            yield pd.DataFrame(out, columns=names, dtype=object)
-            out = []
-        left = [(call, parent, op, address, t_call, addr_call, None, None, None, i) for i, (call, parent, op, address, t_call, addr_call, _, _) in enumerate(stack)]
-        yield pd.DataFrame(left, columns=names, dtype=object)
-
-    return events.select("idx", "time", "kind", "pc", "target", "expected", "raised").coalesce(1).sortWithinPartitions("idx").mapInPandas(run, _FRAMES)
+    return calls.call_graph(events, width)
 
 
 def dump_lines(trace: DataFrame, symbols: DataFrame | None = None) -> DataFrame:

@@ -134,11 +134,12 @@ def liveness(spark, sf):
 @_add("select l_orderkey, l_linenumber, l_extendedprice, o_totalprice from lineitem join orders on l_orderkey = o_orderkey where l_extendedprice > o_totalprice")
 def monotonic_check(spark, sf):
     key = lambda line: F.struct(F.col("key"), line.cast("int").alias("line"))
-    held = lambda vid, top: [vid.alias("vid"), F.lit(0.0).alias("base"), top.alias("length"), F.lit(0).alias("perms")]
+    cents = lambda x: F.round(x * 100).cast("bigint")
+    held = lambda vid, top: [vid.alias("vid"), F.lit(0).cast("bigint").alias("base"), cents(top).alias("length"), F.lit(0).alias("perms")]
     orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_totalprice").select(*held(key(F.lit(0)), F.col("o_totalprice")))
     lines = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_extendedprice").select(*held(key(F.col("l_linenumber")), F.col("l_extendedprice")))
     edges = lines.select(F.struct(F.col("vid.key").alias("key"), F.lit(0).alias("line")).alias("src"), F.col("vid").alias("dst")).distinct()  # lines repeat their keys
-    return trace.violations(orders.unionByName(lines), edges).select(F.col("vid.key").alias("l_orderkey"), F.col("vid.line").alias("l_linenumber"), F.col("top").alias("l_extendedprice"), F.col("parent_top").alias("o_totalprice"))
+    return trace.violations(orders.unionByName(lines), edges).select(F.col("vid.key").alias("l_orderkey"), F.col("vid.line").alias("l_linenumber"), (F.col("top") / 100).alias("l_extendedprice"), (F.col("parent_top") / 100).alias("o_totalprice"))
 
 
 # --- lineage (C8)
@@ -295,10 +296,10 @@ def floor_lookup(spark, sf):
     return lookup.floor_lookup(left, steps, "v", "price", ["step"], 16).select("l_orderkey", "l_linenumber", "step")
 
 
-@_add("select l_orderkey, l_linenumber, coalesce(p_name, s_name) as symbol from lineitem left join (select p_partkey, p_name from part where p_size > 25) on l_partkey = p_partkey left join supplier on l_suppkey = s_suppkey")
+@_add("select l_orderkey, l_linenumber, coalesce(p_name, s_name) as symbol from lineitem left join (select p_partkey * 2 as k, p_name from part) on l_partkey = k left join supplier on l_suppkey = s_suppkey")
 def symbol_join(spark, sf):
     left = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    a = _t(spark, sf, "part").where("p_size > 25").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("symbol"))
+    a = _t(spark, sf, "part").select((F.col("p_partkey") * 2).alias("l_partkey"), F.col("p_name").alias("symbol"))
     b = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("symbol"))
     return lookup.two_lookups(left, a, ["l_partkey"], b, ["l_suppkey"], "symbol").select("l_orderkey", "l_linenumber", "symbol")
 
@@ -395,27 +396,32 @@ def edge_call_times(spark, sf):
     return counted.select(F.col("src.name").alias("src"), F.col("dst.name").alias("dst"), "calls", F.array_join(F.transform("times", lambda x: x.cast("string")), ",").alias("times"))
 
 
-_CHECK = """case when p_size < 10 then case when l_quantity = p_size then 'exact' else 'mismatch' end
- when p_size < 40 then case when cast(l_quantity as bigint) % 4 = 0 and l_quantity >= p_size and l_quantity - p_size <= 3 then 'padded' when l_quantity < p_size then 'short' else 'loose' end else 'skipped' end"""
+#: Small parts have exactly their size; the size of a large one, 300 times as big, is rounded out to 8 (the low zeros of such a size).
+_CHECK = """case when p_size % 5 = 0 then 'notype' when p_size % 7 = 0 then 'unknown' when p_size < 14 then case when l_quantity = p_size then 'exact' when l_quantity < p_size then 'too_short' else 'too_long' end
+ else case when (l_suppkey * 4) & mask <> 0 or (l_suppkey * 4 + cast(l_quantity as bigint) * 300) & mask <> 0 then 'misaligned' when cast(l_quantity as bigint) * 300 < p_size * 300 then 'too_short'
+ when (cast(l_quantity as bigint) - p_size) * 300 <= mask then case when l_quantity = p_size then 'exact' else 'padded' end else 'too_long' end end"""
+_CHECKED = "(select *, cast(pow(2, greatest(0, 52 - least(53, 65 - (floor(log2(greatest(p_size * 300, 1))) + 1)) + 3)) as bigint) - 1 as mask from lineitem join part on l_partkey = p_partkey)"
 
 
 def _checked(spark, sf) -> DataFrame:
-    q, n = F.col("l_quantity"), F.col("p_size")
-    small = F.when(q == n, "exact").otherwise("mismatch")
-    large = F.when((q.cast("bigint") % 4 == 0) & (q >= n) & (q - n <= 3), "padded").when(q < n, "short").otherwise("loose")
+    n, large = F.col("p_size"), F.col("p_size") >= 14
     joined = _t(spark, sf, "lineitem").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.select("l_orderkey", "l_linenumber", F.when(n < 10, small).when(n < 40, large).otherwise("skipped").alias("verdict"))
+    pointers = joined.select(
+        "l_orderkey", "l_linenumber", (F.col("l_suppkey") * 4).alias("base"), (F.col("l_quantity").cast("bigint") * F.when(large, 300).otherwise(1)).alias("length"), (n * F.when(large, 300).otherwise(1)).cast("bigint").alias("size"),
+        F.when(n % 5 == 0, "NOTYPE").when(n % 7 == 0, "OTHER").otherwise("OBJECT").alias("type"), F.lit(0).cast("bigint").alias("file_base"), F.array(F.lit(0).cast("bigint")).alias("tops"),
+    )
+    return verify.bound_verdict(pointers).select("l_orderkey", "l_linenumber", "verdict")
 
 
-@_add(f"select l_orderkey, l_linenumber, {_CHECK} as verdict from lineitem join part on l_partkey = p_partkey")
+@_add(f"select l_orderkey, l_linenumber, {_CHECK} as verdict from {_CHECKED}")
 def bound_check(spark, sf):
     return _checked(spark, sf)
 
 
-@_add(f"""with k as (select unnest(['exact', 'mismatch', 'padded', 'short', 'loose', 'skipped', 'unknown']) as verdict), c as (select {_CHECK} as verdict from lineitem join part on l_partkey = p_partkey)
+@_add(f"""with k as (select unnest(['function', 'notype', 'exact', 'too_short', 'too_long', 'padded', 'misaligned', 'outside', 'unknown']) as verdict), c as (select {_CHECK} as verdict from {_CHECKED})
 select k.verdict, count(c.verdict) as n from k left join c on c.verdict = k.verdict group by k.verdict""")
 def bound_check_counts(spark, sf):
-    return verify.counted(_checked(spark, sf), "verdict", ("exact", "mismatch", "padded", "short", "loose", "skipped", "unknown"))
+    return verify.counted(_checked(spark, sf), "verdict")
 
 
 @_add("""with s as (select event_id, user_id from events where event_type = 'signup')

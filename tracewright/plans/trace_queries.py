@@ -35,6 +35,23 @@ _GRAPH = f"""cc as (select {_CALL} + c_custkey as vid, case c_custkey % 5 when 0
 seen as (select o_orderkey as vid, {_CALL} + o_custkey as call, o_custkey * 10 as time, o_orderkey % 40 as reg from orders where o_orderkey % 3 <> 0), back as (select o_orderkey as vid, {_CALL} + o_custkey as call, o_orderkey % 40 as reg from orders)"""
 
 
+#: Thirds of the tables lie in user memory and at two places of the kernel's.
+_PLACES = (0, -4611686018427387904, -2147483648)
+
+
+def _place(key: str) -> str:
+    return f"(case {key} % 3 when 0 then {_PLACES[0]} when 1 then {_PLACES[1]} else {_PLACES[2]} end)"
+
+
+def _u(x: str) -> str:
+    """An address as the unsigned number that it is."""
+    return f"(({x})::hugeint + case when {x} < 0 then 18446744073709551616 else 0 end)"
+
+
+def _placed(value: Column, key: str) -> Column:
+    return value + F.element_at(F.array(*[F.lit(x).cast("bigint") for x in _PLACES]), (F.col(key) % 3 + 1).cast("int"))
+
+
 def _add(sql: str | None = None, name: str | None = None):
     def keep(f):
         key = name or f.__name__
@@ -89,7 +106,7 @@ _rows("pred_register", lambda: predicates.uses_register(70), "(case when opcode
 _rows("pred_exception", lambda: predicates.exception_is(2), "exception = 2")
 _rows("pred_any_exception", lambda: predicates.exception_is(), "exception <> 31")
 _rows("pred_syscall", lambda: predicates.syscall_is(), "opcode = 'syscall' and exception = 8")
-_rows("pred_syscall_code", lambda: predicates.combine([predicates.syscall_is(14), predicates.syscall_is(60)], match_any=True), "opcode = 'syscall' and exception = 8 and k in (14, 60)")
+_rows("pred_syscall_code", lambda: predicates.combine([predicates.syscall_is(3), predicates.syscall_is(58)], match_any=True), "opcode = 'syscall' and exception = 8 and k in (3, 58)")
 _rows("pred_operand_permission", lambda: predicates.operand_permission(S.PERMISSIONS["seal"] | S.PERMISSIONS["unseal"]), "perms & 640 <> 0")
 _rows("pred_nop", lambda: predicates.is_canonical_nop(), "opcode = 'lui' and k % 2 = 0")
 _rows("pred_nop_code", lambda: predicates.is_canonical_nop(42), "opcode = 'lui' and k % 2 = 0 and k = 42")
@@ -204,23 +221,52 @@ def bounds_and_exec(spark, sf):
     return g.vertices.select("vid", F.col("annotated_inside").alias("inside"), F.col("annotated_exec").alias("exec"))
 
 
-_TABLES = "tb as (select cast(floor(s_acctbal) as bigint) * 20 as a, cast(floor(s_acctbal) as bigint) * 20 + 900 as b from supplier where s_acctbal > 0)"
+#: The graph's pointers at user and kernel addresses; every fiftieth reaches over all of memory.
+_WIDE = f"""pv as (select * exclude (base, length), case when vid % 50 = 0 then 0 else base + {_place('vid')} end as base, case when vid % 50 = 0 then -1 else length end as length from v),
+pe as (select vid, time, addr + {_place('vid')} as addr, type from e)"""
+
+
+def _wide(g: G.Graph) -> G.Graph:
+    whole = F.col("vid") % 50 == 0
+    vertices = g.vertices.withColumn("base", F.when(whole, 0).otherwise(_placed(F.col("base"), "vid"))).withColumn("length", F.when(whole, -1).otherwise(F.col("length")))
+    return replace(g, vertices=vertices, events=g.events.withColumn("addr", _placed(F.col("addr"), "vid")))
+
+
+_TABLES = f"tb as (select a, a + 900 as b from (select cast(floor(s_acctbal) as bigint) * 20 + {_place('s_suppkey')} as a from supplier))"
 
 
 def _tables(spark: SparkSession, sf: str) -> DataFrame:
-    start = F.floor("s_acctbal").cast("bigint") * 20
-    return spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal > 0").select(start.alias("start"), (start + 900).alias("end"))
+    start = _placed(F.floor("s_acctbal").cast("bigint") * 20, "s_suppkey")
+    return spark.read.parquet(f"{sf}/supplier.parquet").select(start.alias("start"), (start + 900).alias("end"))
 
 
-@_add(f"""with {_TABLES}, ld as (select distinct vid from e where type & 32 <> 0 and exists (select 1 from tb where addr between a and b)), pt as (select vid from v where exists (select 1 from tb where base >= a and base + length <= b)),
+@_add(f"""with {_WIDE}, {_TABLES}, ub as (select {_u('a')} as a, {_u('b')} as b from tb), ld as (select distinct vid from pe where type & 32 <> 0 and exists (select 1 from ub where {_u('addr')} between a and b)),
+pt as (select vid from pv where exists (select 1 from ub where {_u('base')} >= a and {_u('base')} + {_u('length')} <= b)),
 tr as (select vid from ld union select d.dst from tr join d on d.src = tr.vid) select vid, vid in (select vid from ld) as globptr, vid in (select vid from pt) as captblptr, vid in (select vid from tr) and vid not in (select vid from ld) as globderived from v""")
 def global_pointers(spark, sf):
-    g = graph_queries.graph_of(spark, sf)
+    g = _wide(graph_queries.graph_of(spark, sf))
     loads = g.events.withColumn("type", F.when(S.has_any(F.col("type"), 32), 1).otherwise(0))
     g = G.global_pointers(_tables(spark, sf))(replace(g, events=loads))
     return g.vertices.select("vid", *[F.col(f"annotated_{n}").alias(n) for n in ("globptr", "captblptr", "globderived")])
 
 
+_BEYOND = f"{_u('c.base')} < {_u('p.base')} or {_u('c.base')} + {_u('c.length')} > {_u('p.base')} + {_u('p.length')} or c.perms & ~p.perms <> 0"
+
+
+@_add(f"with {_WIDE} select d.dst as vid, d.src as parent, c.base, p.base as parent_base from d join pv p on p.vid = d.src join pv c on c.vid = d.dst where {_BEYOND}")
+def derivation_violations(spark, sf):
+    g = _wide(graph_queries.graph_of(spark, sf))
+    return trace.violations(g.vertices, g.derivations()).select("vid", "parent", "base", "parent_base")
+
+
+@_add(f"""with {_WIDE} select vid, {_u('base')} >= {_u(str(_PLACES[1]))} + 1000 and {_u('base')} + {_u('length')} <= {_u(str(_PLACES[1]))} + 90000 as inside,
+ not ({_u('base')} >= 1000 and {_u('base')} + {_u('length')} <= {_u(str(_PLACES[2]))} + 90000) as kept from pv""")
+def kernel_bounds(spark, sf):
+    g = _wide(graph_queries.graph_of(spark, sf)).transform(G.in_bounds("inside", _PLACES[1] + 1000, _PLACES[1] + 90000))
+    kept = G.without_stack(1000, _PLACES[2] + 90000)(g).vertices.select("vid", F.lit(True).alias("kept"))
+    return g.vertices.select("vid", F.col("annotated_inside").alias("inside")).join(kept, "vid", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+
+
 @_add("with rl as (select distinct cast(floor(p_retailprice) as bigint) * 30 as target from part) select vid, vid in (select vid from e where type & 2 <> 0 and addr in (select target from rl)) as capreloc, vid in (select vid from e where type & 40 <> 0 and addr in (select target from rl)) as capreloc_ptr from v")
 def relocation_pointers(spark, sf):
     targets = spark.read.parquet(f"{sf}/part.parquet").select((F.floor("p_retailprice").cast("bigint") * 30).alias("target")).distinct()
@@ -228,9 +274,9 @@ def relocation_pointers(spark, sf):
     return g.vertices.select("vid", F.col("annotated_capreloc").alias("capreloc"), F.col("annotated_capreloc_ptr").alias("capreloc_ptr"))
 
 
-@_add("select cc.vid, case when not cc.sys then coalesce(n_name, 'plain') else 'plain' end as symbol from cc left join (select n_nationkey, n_name from nation where n_nationkey % 2 = 0) on n_nationkey = address")
+@_add("select cc.vid, case when not cc.sys then coalesce(n_name, 'plain') else 'plain' end as symbol from cc left join (select n_nationkey * 2 as place, n_name from nation) on place = address")
 def call_symbols(spark, sf):
-    names = spark.read.parquet(f"{sf}/nation.parquet").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("bigint").alias("addr"), F.col("n_name").alias("name"), F.lit("libc").alias("file"))
+    names = spark.read.parquet(f"{sf}/nation.parquet").select((F.col("n_nationkey") * 2).cast("bigint").alias("addr"), F.col("n_name").alias("name"), F.lit("libc").alias("file"))
     return G.call_symbols(names)(calls_of(spark, sf)).calls.select("vid", "symbol")
 
 
@@ -322,16 +368,26 @@ def bound_verdicts(spark, sf):
     return verify.bound_verdict(rows).select("l_orderkey", "l_linenumber", "verdict")
 
 
-@_add("""with f as (select s_suppkey as ordinal, s_name as objfile, cast(floor(s_acctbal) as bigint) * 10 as lo, cast(floor(s_acctbal) as bigint) * 10 + 3000 as hi from supplier)
-select l_orderkey, l_linenumber, l_partkey, l_suppkey, (select arg_min(objfile, ordinal) from f where cast(floor(l_extendedprice) as bigint) >= lo and cast(floor(l_extendedprice) as bigint) < hi) as objfile from lineitem""")
+@_add(f"""with f as (select s_suppkey as ordinal, s_name as objfile, {_u('lo')} as lo, {_u('lo + 2999')} as hi from (select *, cast(floor(s_acctbal) as bigint) * 10 + {_place('s_suppkey')} as lo from supplier)),
+p as (select *, cast(floor(l_extendedprice) as bigint) + {_place('l_suppkey')} as addr from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, (select arg_min(objfile, ordinal) from f where {_u('addr')} between lo and hi) as objfile from p""")
 def object_file_of(spark, sf):
-    lo = F.floor("s_acctbal").cast("bigint") * 10
+    lo = _placed(F.floor("s_acctbal").cast("bigint") * 10, "s_suppkey")
     files = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("objfile"), lo.alias("file_base"), F.array(lo + 1000, lo + 3000).alias("tops"))
-    points = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice").cast("bigint").alias("addr"))
+    points = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _placed(F.floor("l_extendedprice").cast("bigint"), "l_suppkey").alias("addr"))
     return verify.object_files(points, files, "addr").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "objfile")
 
 
-@_add("""with s as (select p_brand as objfile, p_type as name, p_partkey as addr, max(p_size) as size from part where p_partkey % 3 <> 0 group by all), rl as (select cast(o_orderkey as bigint) as addr, max(o_custkey) as length from orders group by 1)
+@_add(f"""with s as (select {_u('a')} as a, p_partkey, p_size from (select p_partkey * 96 + {_place('p_partkey')} as a, p_partkey, p_size from part)),
+x as (select *, l_partkey * 96 + cast(l_quantity as bigint) * 7 - 100 + {_place('l_partkey')} as v from lineitem)
+select l_orderkey, l_linenumber, l_partkey, v, s.p_partkey as part, s.p_size as size from x asof left join s on {_u('v')} >= s.a""")
+def floor_lookup_addresses(spark, sf):
+    steps = spark.read.parquet(f"{sf}/part.parquet").select(_placed(F.col("p_partkey") * 96, "p_partkey").alias("at"), F.col("p_partkey").alias("part"), F.col("p_size").alias("size"))
+    values = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", _placed(F.col("l_partkey") * 96 + F.col("l_quantity").cast("bigint") * 7 - 100, "l_partkey").alias("v"))
+    return lookup.floor_lookup(values, steps, "v", "at", ["part", "size"], 64, unsigned=True)
+
+
+@_add("""with s as (select p_brand as objfile, p_type as name, p_partkey + p_partkey % 2 as addr, max(p_size) as size from part group by all), rl as (select cast(o_orderkey as bigint) as addr, max(o_custkey) as length from orders group by 1)
 select l_orderkey, l_linenumber, l_suppkey, coalesce(s.size, rl.length) as size, case when s.size is not null then 'OBJECT' when rl.length is not null then 'OBJECT' end as type
 from lineitem join part on p_partkey = l_partkey left join s on s.objfile = p_brand and s.name = p_type and s.addr = l_partkey left join rl on rl.addr = l_partkey""")
 def symbol_sizes(spark, sf):
@@ -339,12 +395,12 @@ def symbol_sizes(spark, sf):
     parts = t("part").select(F.col("p_brand").alias("objfile"), F.col("p_type").alias("name"), F.col("p_partkey").alias("addr"), F.col("p_size").cast("bigint").alias("size"), F.lit("OBJECT").alias("type"))
     pointers = t("lineitem").join(parts, F.col("l_partkey") == F.col("addr")).select("l_orderkey", "l_linenumber", "l_suppkey", "objfile", "name", "addr")
     relocs = t("orders").select(F.col("o_orderkey").alias("target"), F.col("o_custkey").alias("length"))
-    return verify.symbols_of(pointers, parts.where("addr % 3 <> 0"), relocs).select("l_orderkey", "l_linenumber", "l_suppkey", "size", "type")
+    return verify.symbols_of(pointers, parts.withColumn("addr", F.col("addr") + F.col("addr") % 2), relocs).select("l_orderkey", "l_linenumber", "l_suppkey", "size", "type")
 
 
-@_add(f"with {_TABLES} select l_orderkey, l_linenumber, l_partkey, l_suppkey, exists (select 1 from tb where cast(floor(l_extendedprice) as bigint) between a and b) as in_table from lineitem")
+@_add(f"with {_TABLES} select l_orderkey, l_linenumber, l_partkey, l_suppkey, exists (select 1 from (select {_u('a')} as a, {_u('b')} as b from tb) where {_u('x')} between a and b) as in_table from (select *, cast(floor(l_extendedprice) as bigint) + {_place('l_suppkey')} as x from lineitem)")
 def table_pointers(spark, sf):
-    points = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.floor("l_extendedprice").cast("bigint").alias("cursor"))
+    points = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _placed(F.floor("l_extendedprice").cast("bigint"), "l_suppkey").alias("cursor"))
     return verify.table_pointer_checks(points, _tables(spark, sf)).drop("cursor")
 
 
@@ -418,13 +474,13 @@ def graph_filters(spark, sf):
     return marked.vertices.select("vid", "origin", (F.col("annotated_stack") | F.col("annotated_stack_all")).alias("stack"), F.col("annotated_exec").alias("exec"))
 
 
-@_add("""with w as (select cast(floor(s_acctbal) as bigint) * 20 as a, max(cast(floor(s_acctbal) as bigint) * 20 + 900) as b from supplier where s_acctbal > 0 group by 1),
-l as (select event_id, user_id, user_id * 37 as cursor, case when event_id % 4 = 0 then 900 else event_id % 1000 end as length, event_id % 5 = 0 as is_kernel from events where event_type <> 'signup'), mk as (select event_id, user_id, case when event_id % 2 = 0 then user_id * 37 else 1 end as made from events where event_type = 'signup'),
-f as (select l.*, w.a, w.b from l asof left join w on l.cursor >= w.a), j as (select f.*, mk.made from f asof left join mk on f.user_id = mk.user_id and f.event_id > mk.event_id)
-select event_id, coalesce(cursor <= b, false) as from_table, case when cursor <= b then length = b - a end as sound_bound, case when cursor <= b then case when made is null then case when not is_kernel then 'missing' end when made = cursor then 'matching' else 'different' end end as made from j""")
+@_add(f"""with {_TABLES}, w as (select {_u('a')} as a, max({_u('b')}) as b from tb where {_u('a')} <= {_u('b')} group by 1),
+l as (select event_id, user_id, user_id * 37 + {_place('user_id')} as cursor, case when event_id % 4 = 0 then 900 else event_id % 1000 end as length, event_id % 5 = 0 as is_kernel from events where event_type <> 'signup'), mk as (select event_id, user_id, case when event_id % 2 = 0 then user_id * 37 + {_place('user_id')} else 1 end as made from events where event_type = 'signup'),
+f as (select l.*, {_u('l.cursor')} as c, w.a, w.b from l asof left join w on {_u('l.cursor')} >= w.a), j as (select f.*, mk.made from f asof left join mk on f.user_id = mk.user_id and f.event_id > mk.event_id)
+select event_id, coalesce(c <= b, false) as from_table, case when c <= b then length = b - a end as sound_bound, case when c <= b then case when made is null then case when not is_kernel then 'missing' end when made = cursor then 'matching' else 'different' end end as made from j""")
 def table_loads(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
-    place, key = F.col("user_id") * 37, F.col("event_id")
+    place, key = _placed(F.col("user_id") * 37, "user_id"), F.col("event_id")
     loads = e.where("event_type <> 'signup'").select("event_id", "user_id", F.lit(1).alias("reg"), place.alias("cursor"), F.when(key % 4 == 0, 900).otherwise(key % 1000).alias("length"), (key % 5 == 0).alias("is_kernel"))
     made = e.where("event_type = 'signup'").select("event_id", "user_id", F.lit(1).alias("reg"), F.when(key % 2 == 0, place).otherwise(1).alias("cursor"))
     return verify.table_load_check(loads, _tables(spark, sf), made, ["user_id"], "event_id").select("event_id", "from_table", "sound_bound", "made")
@@ -443,26 +499,25 @@ def register_dump(spark, sf):
     return trace.dump_registers(rows, 500).where("reg_num < 32")
 
 
-_ROOMS = """ev as (select l_orderkey as vid, min(cast(floor(l_extendedprice) as bigint)) as lo, max(cast(floor(l_extendedprice) as bigint)) as hi from lineitem group by 1),
-rooms as (select vid, lo + greatest(0, 200000 + cast(floor(o_totalprice) as bigint) - (hi + 8)) as total from ev join orders on o_orderkey = vid), bins as (select *, case when total <= 0 then 0 else cast(floor(log2(total)) as integer) + 1 end as bin from rooms)"""
+_ROOMS = """ac as (select l_orderkey as vid, cast(floor(l_extendedprice) as bigint) as addr, l_linenumber % 3 = 0 as cap from lineitem), ev as (select vid, min(addr) as lo, max(addr) as hi from ac group by 1),
+wd as (select vid, lo, hi, case when bool_or(cap and addr = hi) then 32 when bool_or(addr = hi - 8) then 8 when bool_or(addr = hi - 4) then 4 when bool_or(addr = hi - 1) then 1 else 8 end as width from ac join ev using (vid) group by all),
+rooms as (select vid, lo + greatest(0, 200000 + cast(floor(o_totalprice) as bigint) - (hi + width)) as total from wd join orders on o_orderkey = vid), bins as (select *, case when total <= 0 then 0 else cast(floor(log2(total)) as integer) + 1 end as bin from rooms)"""
 
 
 def _rooms(spark: SparkSession, sf: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("vid")).agg(F.min(F.floor("l_extendedprice")).cast("bigint").alias("lo"), F.max(F.floor("l_extendedprice")).cast("bigint").alias("hi"))
-    both = events.select("vid", F.explode(F.array("lo", "hi")).alias("addr")).distinct().withColumn("type", F.lit(4))
+    kind = F.when(F.col("l_linenumber") % 3 == 0, S.EVENTS["deref_load"] | S.EVENTS["deref_is_cap"]).otherwise(S.EVENTS["deref_load"])
+    events = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("vid"), F.floor("l_extendedprice").cast("bigint").alias("addr"), kind.alias("type"))
     vertices = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("vid"), F.lit(0).cast("bigint").alias("base"), (F.floor("o_totalprice").cast("bigint") + 200000).alias("length"))
-    # of accesses next to each other the width is theirs, so those are left to `headroom`
-    apart = both.join(events.where("hi - lo in (1, 4, 8)").select("vid"), "vid", "left_anti")
-    return distribution.headroom(vertices, apart)
+    return distribution.headroom(vertices, events)
 
 
-@_add(f"with {_ROOMS} select bin, count(*) as n, min(total) as least, max(total) as most from bins where vid not in (select vid from ev where hi - lo in (1, 4, 8)) group by bin")
+@_add(f"with {_ROOMS} select bin, count(*) as n, min(total) as least, max(total) as most from bins group by bin")
 def headroom_buckets(spark, sf):
     return distribution.bucket_counts(_rooms(spark, sf))
 
 
 @_add(f"""with {_ROOMS}, s as (select vid, (select min(cc.vid) from cc where v.t_alloc >= cc.time and (cc.t_return is null or v.t_alloc <= cc.t_return)) as call, t_alloc from v)
-select s.vid, total, case when cc.t_return is not null then cc.address end as address, t_alloc from s join cc on cc.vid = s.call join bins b on b.vid = s.vid and b.bin = 18 where s.vid not in (select vid from ev where hi - lo in (1, 4, 8))""")
+select s.vid, total, case when cc.t_return is not null then cc.address end as address, t_alloc from s join cc on cc.vid = s.call join bins b on b.vid = s.vid and b.bin = 18""")
 def headroom_functions(spark, sf):
     g = calls_of(spark, sf)
     made = G.call_at(g.vertices, g).join(g.vertices.select("vid", "t_alloc"), "vid")
