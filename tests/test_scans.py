@@ -175,3 +175,49 @@ def test_calls_against_one_stack(spark, width, shape):
 def test_calls_of_nothing(spark):
     none = spark.createDataFrame([], "idx long, time long, kind string, pc long, target long, expected long, raised boolean")
     assert [(r.call, r.op, r.depth) for r in calls.call_graph(none).collect()] == [(-1, 0, 0)]
+
+
+def test_forests_by_doubling(spark, monkeypatch):
+    rng = random.Random(8)
+    parents = {i: rng.randrange(i) if i % 29 and rng.random() < 0.97 else None for i in range(1, 300)} | {0: None, 500: 499, 499: 498, 498: None}
+    df = spark.createDataFrame(list(parents.items()), "id long, parent long").repartition(3)
+    children = {i: sorted(k for k, p in parents.items() if p == i) for i in [None, *parents]}
+    want, todo, at = {}, [(i, 0, 0) for i in reversed(children[None])], 0
+    order = []
+    while todo:
+        i, depth, _ = todo.pop()
+        order.append(i)
+        want[i] = (depth, at)
+        at += 1
+        todo += [(c, depth + 1, 0) for c in reversed(children[i])]
+    size = dict.fromkeys(parents, 1)
+    for i in reversed(order):
+        if parents[i] is not None:
+            size[parents[i]] += size[i]
+    got = {r.id: (r.depth, r.enter, r.leave) for r in closure.preorder(df).collect()}
+    assert got == {i: (d, e, e + size[i] - 1) for i, (d, e) in want.items()}
+    seeds = [(3, "a"), (3, "b"), (50, "a"), (120, "c"), (0, "a"), (499, "d"), (777, "e")]
+    out = {(r.id, r.tag): r.depth for r in closure.descendants(df.where("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("dst")), spark.createDataFrame(seeds, "id long, tag string"), ["tag"], forest=True).collect()}
+    reached = {}
+    for i in [*parents, 777]:
+        above, far = i, 0
+        while above is not None:
+            for s, tag in seeds:
+                if s == above:
+                    reached[i, tag] = min(far, reached.get((i, tag), far))
+            above, far = parents.get(above), far + 1
+    assert out == reached
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, rounds = 20_000, []
+    monkeypatch.setattr(closure, "_written", lambda df, f=closure._written: (rounds.append(1), f(df))[1])
+    chain = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    seeds = spark.createDataFrame([(0,), (7,), (n - 3,)], "id long")
+    found = closure.descendants_in_forest(chain.where("parent is not null"), seeds, [])
+    assert found.agg(F.count("*"), F.max("depth")).first()[:] == (n, n - 4 - 7) and len(rounds) <= 20
+    del rounds[:]
+    last = closure.preorder(chain).where(f"id = {n - 1}").first()
+    assert last[1:] == (n - 1, n - 1, n - 1) and len(rounds) <= 18
+    with pytest.raises(ValueError, match="cycle"):
+        closure.preorder(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "id long, parent long"))

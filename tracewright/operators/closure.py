@@ -8,16 +8,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import running
 from .storage import dropped
 from .storage import written as _written
 
 
-def descendants(edges: DataFrame, seeds: DataFrame, carry: list[str] | None = None, src: str = "src", dst: str = "dst", key: str = "id") -> DataFrame:
+def descendants(edges: DataFrame, seeds: DataFrame, carry: list[str] | None = None, src: str = "src", dst: str = "dst", key: str = "id", forest: bool = False) -> DataFrame:
     """(id, carry..., depth): everything reachable from the seeds, once for each carried value, at its least depth.
 
-    Set-based breadth first: each round meets the edges with the new ids only.
+    Set-based breadth first: each round meets the edges with the new ids only.  In a
+    forest, where no two edges have one target, rounds grow with the logarithm of the
+    depth: see `descendants_in_forest`.
     """
     carry = carry or []
+    if forest:
+        return descendants_in_forest(edges.select(F.col(dst).alias(key), F.col(src).alias("parent")), seeds, carry, key)
     links = edges.select(F.col(src).alias(key), F.col(dst).alias("_next"))
     front = _written(seeds.select(key, *carry).distinct().withColumn("depth", F.lit(0)))
     found, depth = front, 0
@@ -26,10 +31,73 @@ def descendants(edges: DataFrame, seeds: DataFrame, carry: list[str] | None = No
         step = front.join(links, key).select(F.col("_next").alias(key), *carry).distinct().join(found.select(key, *carry), [key, *carry], "left_anti")
         front = _written(step.withColumn("depth", F.lit(depth)))
         if not front.take(1):
+            dropped(front)
             return found
         found = found.unionByName(front)
 
 
+def descendants_in_forest(parents: DataFrame, seeds: DataFrame, carry: list[str], key: str = "id") -> DataFrame:
+    """`descendants` by the nearest seed at or above each vertex, and the seeds above that one, both by doubling.
+
+    parents: (id, parent), a row per vertex that has a parent.
+    """
+    own = seeds.select(key, *carry).distinct()
+    marks = own.select(key, F.col(key).alias("_seed")).distinct()
+    near = _written(nearest_marked(parents, marks, key, "_seed", "_far"))
+    # from each seed to the next one above it, then to all above it
+    up = parents.join(marks.select(key), key, "left_semi").join(near.select(F.col(key).alias("parent"), F.col("_seed").alias("_above"), "_far"), "parent")
+    reach = _written(up.select(F.col(key).alias("_seed"), "_above", (F.col("_far") + 1).alias("_up"), F.lit(1).cast("long").alias("_hops")))
+    hops = 1
+    while reach.where(F.col("_hops") == hops).take(1):
+        on = reach.select(F.col("_seed").alias("_above"), F.col("_above").alias("_next"), F.col("_up").alias("_u"), F.col("_hops").alias("_h"))
+        more = reach.where(F.col("_hops") == hops).join(on, "_above").select("_seed", F.col("_next").alias("_above"), (F.col("_up") + F.col("_u")).alias("_up"), (F.col("_hops") + F.col("_h")).alias("_hops"))
+        following = _written(reach.unionByName(more))
+        dropped(reach)
+        reach, hops = following, hops * 2
+    each = reach.select("_seed", "_above", "_up").unionByName(marks.select("_seed", F.col("_seed").alias("_above"), F.lit(0).cast("long").alias("_up")))
+    met = near.join(each, "_seed").select(key, "_above", (F.col("_far") + F.col("_up")).alias("_depth"))
+    carried = own.select(F.col(key).alias("_above"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    out = met.join(carried, "_above").groupBy(key, *[f"_c{i}" for i in range(len(carry))]).agg(F.min("_depth").cast("int").alias("depth"))
+    return out.select(key, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "depth")
+
+
+def preorder(parents: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """(id, depth, enter, leave) of each vertex of a forest: its place in pre-order, and that of the last vertex below it.
+
+    parents: a row per vertex; a root's parent is null.  Roots and children follow
+    in the order of their ids.  Below a vertex is what has a place from its own to
+    its `leave`, so descendants are a range.  The tour that enters and leaves every
+    vertex is ranked by pointer doubling: rounds grow with the logarithm of the
+    number of vertices, whatever the forest's shape.  What a cycle hangs on is an error.
+    """
+    v = running(parents.select(F.col(key).alias("v"), F.col(parent).alias("p")), ["p"], ["v"], sibling=("next", F.col("v")))
+    children = v.where("p is not null").groupBy(F.col("p").alias("v")).agg(F.min("v").alias("child"))
+    stop = lambda x, leaves: F.struct(x.alias("v"), F.lit(leaves).alias("out"))
+    enter = F.when(F.col("child").isNotNull(), stop(F.col("child"), False)).otherwise(stop(F.col("v"), True))
+    leave = F.when(F.col("sibling").isNotNull(), stop(F.col("sibling"), False)).when(F.col("p").isNotNull(), stop(F.col("p"), True))
+    one, up = F.lit(1).cast("long"), F.lit(-1).cast("long")
+    both = F.array(F.struct(stop(F.col("v"), False).alias("at"), enter.alias("to"), one.alias("n"), one.alias("d")), F.struct(stop(F.col("v"), True).alias("at"), leave.alias("to"), F.lit(0).cast("long").alias("n"), up.alias("d")))
+    tour = _written(v.join(children, "v", "left").select(F.explode(both).alias("t")).select("t.*"))
+    total = tour.count()
+    for _ in range(total.bit_length() + 1):
+        if not tour.where("to is not null").take(1):
+            break
+        ahead = tour.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("d").alias("_d"))
+        open_ = tour.where("to is not null").join(ahead, "to").select("at", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n"), (F.col("d") + F.col("_d")).alias("d"))
+        following = _written(tour.where("to is null").unionByName(open_))
+        dropped(tour)
+        tour = following
+    else:
+        raise ValueError("the parents form a cycle")
+    if tour.count() != total:
+        raise ValueError("a parent is no vertex")
+    most = total // 2
+    pick = lambda leaves, c: F.max(F.when(F.col("at.out") == leaves, F.col(c)))
+    ranks = tour.groupBy("at.v").agg(pick(False, "n").alias("a"), pick(True, "n").alias("b"), pick(False, "d").alias("d"))
+    # what is left of the tour has as many steps down less than up as the vertex is deep
+    return ranks.select(F.col("v").alias(key), (-F.col("d")).cast("int").alias("depth"), (F.lit(most) - F.col("a")).alias("enter"), (F.lit(most) - F.col("b") - 1).alias("leave"))
+
+
 def roots_by_doubling(parents: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
     """(id, root, depth) of each vertex of a forest; a root's parent is null.  Rounds grow with the logarithm of the depth; a cycle is an error."""
     state = _written(parents.select(key, F.coalesce(parent, key).alias("root"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"), F.lit(True).alias("moved")))
@@ -44,8 +112,8 @@ def roots_by_doubling(parents: DataFrame, key: str = "id", parent: str = "parent
     raise ValueError("the parents form a cycle")
 
 
-def nearest_marked(parents: DataFrame, marks: DataFrame, key: str = "vid", mark: str = "mark") -> DataFrame:
-    """(vid, mark) of all vertices of a forest at or below a marked one: the mark of the nearest.
+def nearest_marked(parents: DataFrame, marks: DataFrame, key: str = "vid", mark: str = "mark", distance: str | None = None) -> DataFrame:
+    """(vid, mark) of all vertices of a forest at or below a marked one: the mark of the nearest; with `distance`, how far up it is.
 
     parents: (vid, parent), a row per vertex that has a parent.  Each round doubles how far up
     a vertex has looked, so rounds grow with the logarithm of the depth; a cycle is an error.
@@ -53,17 +121,19 @@ def nearest_marked(parents: DataFrame, marks: DataFrame, key: str = "vid", mark:
     every = parents.select(key, F.col("parent").alias("jump")).unionByName(parents.select(F.col("parent").alias(key)).unionByName(marks.select(key)).distinct().withColumn("jump", F.lit(None).cast(parents.schema["parent"].dataType)))
     state = every.groupBy(key).agg(F.max("jump").alias("jump")).join(marks.groupBy(key).agg(F.min(mark).alias(mark)), key, "left")
     # a vertex that has its mark looks no further
-    state = _written(state.withColumn("jump", F.when(F.col(mark).isNull(), F.col("jump"))))
+    found = F.col(mark).isNotNull()
+    state = _written(state.select(key, mark, F.when(~found, F.col("jump")).alias("jump"), F.when(found, 0).otherwise(1).cast("long").alias("_steps")))
     rounds = state.count().bit_length() + 1  # no path has more vertices than there are
     while state.where("jump is not null").take(1):
         rounds -= 1
         if rounds < 0:
             raise ValueError("the parents form a cycle")
-        up = state.select(F.col(key).alias("jump"), F.col("jump").alias("_jump"), F.col(mark).alias("_mark"))
+        up = state.select(F.col(key).alias("jump"), F.col("jump").alias("_jump"), F.col(mark).alias("_mark"), F.col("_steps").alias("_more"))
         before = state
-        state = _written(state.join(up, "jump", "left").select(key, F.coalesce(mark, "_mark").alias(mark), F.when(F.coalesce(mark, "_mark").isNull(), F.col("_jump")).alias("jump")))
+        seen = F.coalesce(mark, "_mark")
+        state = _written(state.join(up, "jump", "left").select(key, seen.alias(mark), F.when(seen.isNull(), F.col("_jump")).alias("jump"), (F.col("_steps") + F.coalesce("_more", F.lit(0))).alias("_steps")))
         dropped(before)
-    return state.where(F.col(mark).isNotNull()).select(key, mark)
+    return state.where(F.col(mark).isNotNull()).select(key, mark, *([F.col("_steps").alias(distance)] if distance else []))
 
 
 def ancestors(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst", key: str = "id") -> DataFrame:

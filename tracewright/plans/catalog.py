@@ -156,13 +156,23 @@ def _lineage(spark, sf) -> DataFrame:
 @_add(f"with recursive e as ({_EDGES}), t as (select 'r' || r_regionkey as id, 0 as depth from region union all select e.dst, t.depth + 1 from t join e on e.src = t.id) select id, depth from t")
 def lineage_tree(spark, sf):
     seeds = _t(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"))
-    return closure.descendants(_lineage(spark, sf), seeds).select("id", "depth")
+    return closure.descendants(_lineage(spark, sf), seeds, forest=True).select("id", "depth")
 
 
 @_add(f"with recursive e as ({_EDGES}), t as (select 'r' || r_regionkey as id, r_name as seed from region where r_regionkey in (1, 2) union select e.dst, t.seed from t join e on e.src = t.id) select seed, substr(id, 1, 1) as kind, count(*) as n from t group by all")
 def lineage_closure(spark, sf):
     seeds = _t(spark, sf, "region").where("r_regionkey in (1, 2)").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("seed"))
-    return closure.descendants(_lineage(spark, sf), seeds, ["seed"]).groupBy("seed", F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+    return closure.descendants(_lineage(spark, sf), seeds, ["seed"], forest=True).groupBy("seed", F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@_add(f"""with recursive e as ({_EDGES}), v as (select 'r' || r_regionkey as id from region union all select dst from e),
+t as (select 'r' || r_regionkey as id, 'r' || r_regionkey || ' ' as path, 0 as depth from region union all select e.dst, t.path || e.dst || ' ', t.depth + 1 from t join e on e.src = t.id),
+n as (select *, row_number() over (order by path) - 1 as enter from t)
+select a.id, a.depth, a.enter, max(b.enter) as leave from n a join n b on starts_with(b.path, a.path) group by all""")
+def lineage_preorder(spark, sf):
+    edges = _lineage(spark, sf)
+    tops = _t(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"))
+    return closure.preorder(edges.select(F.col("dst").alias("id"), F.col("src").alias("parent")).unionByName(tops))
 
 
 @_add("""with recursive p as (select conv_id, turn, lag(turn) over (partition by conv_id order by turn) as parent from (select distinct conv_id, turn from conversations)),
