@@ -221,3 +221,88 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert last[1:] == (n - 1, n - 1, n - 1) and len(rounds) <= 18
     with pytest.raises(ValueError, match="cycle"):
         closure.preorder(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "id long, parent long"))
+
+
+def pending_by_fold(steps, locations):
+    """The sessions of one activation after another, register by register."""
+    out = {}
+    for who in sorted({s["u"] for s in steps}):
+        holds, session, whole = {}, {}, {}
+
+        def done(v, outcome, at):
+            session[v][-2:] = [outcome, at]
+
+        def live(v):
+            return v in session and session[v][-2] is None
+
+        for r in (s for s in steps if s["u"] == who):
+            at, act, dst, src = r["at"], r["act"], r["dst"], r["src"]
+            if act == "return":
+                for v in session:
+                    if live(v):
+                        done(v, "returned", at)
+            sources = [x for x in dict.fromkeys([*(r["reads"] or []), src]) if x is not None]
+            values = {holds[x] for x in sources if x in holds}
+            if act != "move":
+                for v in values:
+                    if live(v):
+                        kind, size = session[v][0], session[v][4]
+                        if kind == "andperm":
+                            done(v, "matched" if act == "perms" and dst == 13 else "used", at)
+                        elif act == "bounds" and dst == src:
+                            right = r["length"] == size if kind == "stack" else r["amount"] == size
+                            done(v, "bounded" if right else "wrong_bound", at)
+                            if right and kind == "stack" and session[v][5]:
+                                whole[at] = (session[v][1], session[v][5])
+                        else:
+                            done(v, "used", at)
+            made = at
+            if act == "move" and src in holds:
+                made = holds[src]
+            if dst is not None:
+                old = holds.get(dst)
+                holds[dst] = made
+                if old is not None and live(old) and old not in holds.values():
+                    done(old, "overwritten", at)
+            if act == "offset":
+                match = sorted((x for x in locations if x[1] <= r["pc"] < x[2] - 4 and x[3] == r["amount"]), key=lambda x: (x[0], x[4]))
+                if src in (11, 24) and dst not in (11, 24) and match:
+                    session[at] = ["stack", match[0][0], None, dst, match[0][4], match[0][5], None, None]
+                for v in values:
+                    if v in whole:
+                        parts = sorted((n, z) for n, o, z in whole[v][1] if o == r["amount"])
+                        if parts:
+                            session[at] = ["subobject", whole[v][0], parts[0][0], dst, parts[0][1], None, None, None]
+            if act == "bounds" and src == 11 and dst != src:
+                session[at] = ["andperm", None, None, dst, None, None, None, None]
+        for at, (kind, variable, member, reg, size, _, outcome, ended) in session.items():
+            out[who, at] = (kind, variable, member, reg, size, outcome or "open", ended)
+    return out
+
+
+def test_pending_sets_against_a_fold(spark):
+    rng = random.Random(12)
+    locations = [("x", 1000, 5000, 16, 8, None), ("y", 1000, 2000, 32, 24, [("a", 0, 8), ("b", 8, 16)]), ("z", 2000, 5000, 32, 24, [("b", 8, 16), ("bb", 8, 4)])]
+    steps = []
+    for u in range(20):
+        for i in range(150):
+            act = rng.choices(["offset", "bounds", "perms", "move", "load", "return"], [6, 5, 2, 4, 2, 0.05])[0]
+            dst, src = rng.choice([1, 2, 3, 4, 13, 24]), rng.choice([1, 2, 3, 4, 11, 11, 24])
+            if act == "bounds" and rng.random() < 0.8:
+                dst = src = rng.choice([1, 2, 3, 4])
+            if act == "perms" and rng.random() < 0.7:
+                dst = 13
+            amount = rng.choice([16, 32, 0, 8]) if act == "offset" else rng.choice([8, 24, 16])
+            row = dict(u=u, at=i * 10 + u, pc=1000 + 4 * rng.randint(0, 900), act=act, dst=dst, src=src, amount=amount, base=0, length=amount, reads=rng.choice([None, None, [5, rng.choice([1, 2, 3])]]) if act == "load" else None)
+            steps.append(row | ({"dst": None, "src": None} if act == "return" else {}) | ({"dst": None} if act == "load" and rng.random() < 0.5 else {}))
+    scripts = [("offset", 1, 11, 32, None), ("bounds", 1, 1, 24, None), ("move", 3, 1, 0, None), ("offset", 2, 3, 8, None), ("offset", 4, 1, 0, None), ("bounds", 2, 2, 16, None), ("load", 5, None, 0, [4])]
+    for u in (100, 101):
+        steps += [dict(u=u, at=i * 10, pc=1004, act=act, dst=dst, src=src, amount=amount + (u == 101 and i == 5), base=0, length=amount, reads=reads) for i, (act, dst, src, amount, reads) in enumerate(scripts)]
+    df = spark.createDataFrame([tuple(r.values()) for r in steps], "u int, at long, pc long, act string, dst int, src int, amount long, base long, length long, reads array<int>").repartition(3)
+    places = spark.createDataFrame(locations, "variable string, lowpc long, highpc long, offset long, size long, members array<struct<name:string,offset:bigint,size:bigint>>")
+    want = pending_by_fold(steps, locations)
+    for width in (170.0, 1e6):
+        got = {(r.u, r.at): tuple(r)[2:] for r in verify.pending_sets(df, places, ["u"], width).collect()}
+        assert got == want
+    assert {(x[0], x[5]) for x in want.values()} >= {("stack", "bounded"), ("stack", "wrong_bound"), ("stack", "used"), ("stack", "overwritten"), ("subobject", "bounded"), ("subobject", "used"), ("subobject", "wrong_bound"), ("andperm", "matched"), ("andperm", "used")}
+    assert verify.pending_sets(df.limit(0), places, ["u"]).collect() == []

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import intervals, lookup
+from .provenance import _follow as followed
+from .scan import running
+from .storage import written
 
 LARGE = 4096
 CHECKS = ("function", "notype", "exact", "too_short", "too_long", "padded", "misaligned", "outside", "unknown")
@@ -86,6 +89,116 @@ def pending(uses: DataFrame, by: list[str], order: str) -> DataFrame:
     return following.withColumn("outcome", outcome).select(*by, "reg", order, "next_at", "outcome")
 
 
+#: Registers that the pending sets know: the stack's capability, the frame's, and that of arguments on the stack.
+STACK, FRAME, ARGUMENTS = 11, 24, 13
+OUTCOMES = ("bounded", "wrong_bound", "matched", "used", "overwritten", "returned", "open")
+#: What bounds may be of a length that the verdict calls right.
+RIGHT = ("exact", "padded")
+
+
+def _values(steps: DataFrame, by: list[str], width: float) -> tuple[DataFrame, DataFrame]:
+    """(touches, holders): rows (by..., at, value) that read a register, with the value it held, and (value, by..., reg, at, until) of the registers that hold it.
+
+    A value is named by the row that made it; moves are copies, followed by doubling.
+    """
+    name = lambda: F.struct(*by, "at")
+    writes = steps.where("dst is not null").select(*by, F.col("dst").alias("reg"), "at", name().alias("_value"))
+    read = F.array_distinct(F.filter(F.concat(F.coalesce("reads", F.array().cast("array<int>")), F.array("src")), lambda x: x.isNotNull()))
+    reads = steps.select(*by, "at", F.explode(read).alias("reg"), (F.col("act") == "move").alias("_move"))
+    seen = written(lookup.as_of_chunked(reads, writes, [*by, "reg"], "at", ["_value"], width, strict=True).where("_value is not null"))
+    copies = seen.where("_move").select(name().alias("vid"), F.col("_value").alias("to"))
+    own = writes.join(copies, writes["_value"] == copies["vid"], "left").select(F.col("_value").alias("vid"), F.coalesce("to", "_value").alias("to"))
+    values = written(followed(own).withColumnRenamed("to", "value"))
+    touches = seen.where("not _move").join(values, seen["_value"] == values["vid"]).select(*by, "at", "value")
+    spans = lookup.with_next(writes, [*by, "reg"], "at", {"until": "at"}, width)
+    holders = spans.join(values, spans["_value"] == values["vid"]).select("value", *by, "reg", "at", "until")
+    return touches, holders
+
+
+def _sessions(opened: DataFrame, steps: DataFrame, touches: DataFrame, holders: DataFrame, by: list[str]) -> DataFrame:
+    """The opened sessions with what ended them."""
+    first = touches.join(opened.select("value", F.col("at").alias("_opened")).distinct(), "value").where("at > _opened").groupBy("value").agg(F.min(F.struct("at", *by)).alias("_t"))
+    met = first.select("value", "_t.*").join(steps.select(*by, "at", "act", "dst", "src", "amount", "base", "length"), [*by, "at"])
+    met = met.select("value", F.struct("at", "act", "dst", "src", "amount", "base", "length").alias("t"))
+    gone = holders.groupBy("value").agg(F.max("until").alias("_gone"), F.max(F.col("until").isNull()).alias("_held"))
+    joined = opened.join(met, "value", "left").join(gone, "value", "left")
+    narrowed = (F.col("t.act") == "bounds") & (F.col("t.dst") == F.col("t.src"))
+    right = F.when(F.col("set") == "stack", length_verdict(F.col("t.base"), F.col("t.length"), F.col("size")).isin(*RIGHT)).otherwise(F.col("t.amount") == F.col("size"))
+    touched = F.when(F.col("set") == "andperm", F.when((F.col("t.act") == "perms") & (F.col("t.dst") == ARGUMENTS), "matched").otherwise("used"))
+    touched = touched.otherwise(F.when(narrowed, F.when(right, "bounded").otherwise("wrong_bound")).otherwise("used"))
+    back_at = F.col("back")
+    lost = F.when(~F.coalesce("_held", F.lit(True)), F.col("_gone"))
+    ends = F.when(F.col("t.at").isNotNull() & (back_at.isNull() | (F.col("t.at") < back_at)), F.struct(touched.alias("outcome"), F.col("t.at").alias("ended")))
+    ends = ends.when(lost.isNotNull() & (back_at.isNull() | (lost < back_at)), F.struct(F.lit("overwritten").alias("outcome"), lost.alias("ended")))
+    ends = ends.when(back_at.isNotNull(), F.struct(F.lit("returned").alias("outcome"), back_at.alias("ended"))).otherwise(F.struct(F.lit("open").alias("outcome"), F.lit(None).cast("long").alias("ended")))
+    return joined.withColumn("_e", ends).select(*by, "at", "set", "variable", "member", "reg", "size", "_e.outcome", "_e.ended", "value", "members")
+
+
+def pending_sets(steps: DataFrame, locations: DataFrame, by: list[str], width: float = 1_000_000.0) -> DataFrame:
+    """(by..., at, set, variable, member, reg, size, outcome, ended): pointers that must be narrowed before they are used.
+
+    steps: by... (a function's activation), at (the order), pc, act, dst, src,
+    amount, base, length (of dst afterwards), reads (other registers that are
+    read).  act: `offset`, `bounds`, `perms`, `move`, `return` or another.
+    locations: variable, lowpc, highpc, offset, size, members (array of name,
+    offset, size; null unless the variable is an aggregate), where the pc has to be
+    in [lowpc, highpc - 4).
+
+    Three sets, as sessions of values: they follow a value through moves to other
+    registers, and don't follow a register that gets another value.
+
+    - stack: made by an offset from the stack or frame register to a variable's
+      place; the bounds set on it in place end it, right or wrong.
+    - subobject: made by an offset to a member's place from a pointer to an aggregate
+      variable whose stack session ended right.
+    - andperm: made by bounds set from the stack register on another; ended when
+      permissions are dropped from it into the argument register.
+
+    The first read of the value that isn't a move decides; before any, a session
+    ends when all its registers were overwritten, or the activation returns.
+    """
+    steps = running(steps.withColumn("at", F.col("at").cast("long")), by, ["at"], back=("next", F.when(F.col("act") == "return", F.col("at"))))
+    touches, holders = _values(steps, by, width)
+    touches, holders = written(touches), written(holders)
+    value = F.struct(*by, "at").alias("value")
+    offsets = steps.where("act = 'offset'")
+    none = F.lit(None).cast("string")
+    made = offsets.where(F.col("src").isin(STACK, FRAME) & ~F.col("dst").isin(STACK, FRAME))
+    scopes = locations.withColumn("_last", F.col("highpc") - 5).withColumnRenamed("offset", "_offset")
+    found = lookup.points_in_intervals(made, scopes, "pc", "lowpc", "_last", 64).where(F.col("amount") == F.col("_offset"))
+    # of several variables at one place the first by name
+    pick = found.groupBy(*by, "at", "back", F.col("dst").alias("reg")).agg(F.min(F.struct("variable", "size")).alias("_v"), F.min_by("members", F.struct("variable", "size")).alias("members"))
+    stack = pick.select(*by, "at", F.lit("stack").alias("set"), "_v.variable", none.alias("member"), "reg", "_v.size", value, "members", "back")
+    argued = steps.where((F.col("act") == "bounds") & (F.col("src") == STACK) & (F.col("dst") != F.col("src")))
+    argued = argued.select(*by, "at", F.lit("andperm").alias("set"), none.alias("variable"), none.alias("member"), F.col("dst").alias("reg"), F.lit(None).cast("long").alias("size"), value, F.lit(None).cast(locations.schema["members"].dataType).alias("members"), "back")
+    ended = written(_sessions(stack.unionByName(argued), steps, touches, holders, by))
+    whole = ended.where("set = 'stack' and outcome = 'bounded' and members is not null").select(F.struct(*by, F.col("ended").alias("at")).alias("value"), "variable", "members")
+    # offsets from a pointer to an aggregate
+    inner = offsets.join(touches, [*by, "at"]).join(whole, "value").select(*by, "at", "back", F.col("dst").alias("reg"), "amount", "variable", F.explode("members").alias("_m"))
+    inner = inner.where(F.col("amount") == F.col("_m.offset")).groupBy(*by, "at", "back", "reg", "variable").agg(F.min(F.struct("_m.name", "_m.size")).alias("_m"))
+    parts = inner.select(*by, "at", F.lit("subobject").alias("set"), "variable", F.col("_m.name").alias("member"), "reg", F.col("_m.size").alias("size"), value, F.lit(None).cast(locations.schema["members"].dataType).alias("members"), "back")
+    return ended.unionByName(_sessions(parts, steps, touches, holders, by)).drop("value", "members")
+
+
+def call_verdicts(calls: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(idx, side, address, verdict): whether the link and the target of each call have the bounds that they should have.
+
+    calls: idx, link, target (structs of base, offset, length).  files: as for
+    `object_files`.  symbols: addr, size, type.  A link has to be bounded as its
+    object file: `correct` or `incorrect`, `unknown` outside all files.  A target in
+    user space has to be bounded as the symbol at its address says (`correct` for a
+    function within its file, or a length that is right), `unknown` without one.
+    """
+    side = lambda n: F.struct(F.lit(n).alias("side"), F.col(f"{n}.base").alias("base"), F.col(f"{n}.length").alias("length"), S.cursor(F.col(f"{n}.base"), F.col(f"{n}.offset")).alias("address"))
+    rows = calls.select("idx", F.explode(F.array(side("link"), side("target"))).alias("c")).select("idx", "c.*").where("side = 'link' or address >= 0")
+    placed = object_files(rows, files, "address")
+    s = symbols.groupBy(F.col("addr").alias("address")).agg(F.max(F.struct("size", "type")).alias("_s"))
+    judged = bound_verdict(placed.join(s, "address", "left").withColumn("size", F.col("_s.size")).withColumn("type", F.col("_s.type")))
+    link = F.when(F.col("objfile").isNull(), "unknown").when(in_object_file(F.col("base"), F.col("base") + F.col("length"), F.col("file_base"), F.col("tops")), "correct").otherwise("incorrect")
+    target = F.when(F.col("_s").isNull(), "unknown").when(F.col("verdict").isin("function", *RIGHT), "correct").otherwise("incorrect")
+    return judged.select("idx", "side", "address", F.when(F.col("side") == "link", link).otherwise(target).alias("verdict"))
+
+
 def live_variable_lengths(pointers: DataFrame, locations: DataFrame) -> DataFrame:
     """Pointers in the register where a variable lives, with the verdict on its annotated length.  The pc is in [lowpc, highpc - 4)."""
     spans = locations.withColumn("_last", F.col("highpc") - 5)

@@ -122,6 +122,52 @@ def verify_pending(spark, sf):
     return verify.pending(uses, ["user_id"], "event_id").select("user_id", "event_id", "next_at", "outcome")
 
 
+@_add("""with s as (select user_id, event_id as pos, event_type as kind, cast(json_extract_string(props, '$.k') as bigint) as k from events),
+x as (select *, k % 4 + 1 as reg, kind = 'click' and k % 3 = 0 as argument, kind in ('purchase', 'error') or (kind = 'click' and k % 3 <> 0) as reads, kind in ('signup', 'purchase', 'view') or (kind = 'click' and k % 3 = 0) as writes from s),
+y as (select *, min(case when reads then pos end) over w as touched, min(case when writes then pos end) over w as written from x window w as (partition by user_id, reg order by pos rows between 1 following and unbounded following)),
+o as (select y.*, t.kind as t_kind, t.k as t_k from y left join x t on t.user_id = y.user_id and t.pos = y.touched where y.kind = 'signup' or y.argument)
+select user_id, pos as event_id, case when argument then 'andperm' else 'stack' end as part, cast(reg as integer) as reg,
+ case when touched is not null and (written is null or touched <= written) then case when argument then case when t_kind = 'click' then 'matched' else 'used' end when t_kind <> 'purchase' then 'used' when t_k % 2 = 1 then 'bounded' else 'wrong_bound' end
+  when written is not null then 'overwritten' else 'open' end as outcome,
+ case when touched is not null and (written is null or touched <= written) then touched else written end as ended from o""")
+def pending_sets(spark, sf):
+    """Users as activations, their events as steps on four registers; no moves, so SQL can say it."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("bigint")
+    reg = (k % 4 + 1).cast("int")
+    argument = (kind == "click") & (k % 3 == 0)
+    act = F.when(kind == "signup", "offset").when((kind == "purchase") | argument, "bounds").when(kind == "click", "perms").when(kind == "error", "load").otherwise("other")
+    dst = F.when(act == "perms", verify.ARGUMENTS).when(act != "load", reg)
+    src = F.when((act == "offset") | argument, verify.STACK).when(act.isin("bounds", "perms"), reg)
+    size = F.when(act == "offset", 16).otherwise(F.when(k % 2 == 1, 24).otherwise(8)).cast("bigint")
+    steps = spark.read.parquet(f"{sf}/events.parquet").select(
+        "user_id", F.col("event_id").alias("at"), F.lit(1000).cast("bigint").alias("pc"), act.alias("act"), dst.cast("int").alias("dst"), src.cast("int").alias("src"), size.alias("amount"), F.lit(0).cast("bigint").alias("base"), size.alias("length"),
+        F.when(act == "load", F.array(reg)).alias("reads"),
+    )
+    places = spark.createDataFrame([("v", 0, 4096, 16, 24, None)], "variable string, lowpc long, highpc long, offset long, size long, members array<struct<name:string,offset:bigint,size:bigint>>")
+    return verify.pending_sets(steps, places, ["user_id"]).select("user_id", F.col("at").alias("event_id"), F.col("set").alias("part"), "reg", "outcome", "ended")
+
+
+@_add("""with l as (select *, s_suppkey is not null as known from lineitem left join supplier on s_suppkey = l_suppkey join part on p_partkey = l_partkey),
+cv as (select l_orderkey * 8 + l_linenumber as idx, l_suppkey * 100000 + case when l_linenumber % 3 = 0 then 16 when l_quantity = 50 then 92000 else 0 end as base, 50000 + cast(l_quantity as bigint) * 1000 as length, l_suppkey * 100000 as file, l_partkey % 20 * 8 as shift,
+ l_linenumber % 2 = 0 as to_file, l_linenumber = 7 as kernel, l_partkey, p_size, cast(l_quantity as bigint) as q from l)
+select idx, 'link' as side, base + shift as address, case when base + shift < file or base + shift >= file + 90000 then 'unknown' when base = file and base + length <= file + 90000 then 'correct' else 'incorrect' end as verdict from cv
+union all select idx, 'target', case when to_file then file else l_partkey * 512 + 7 + case when q = 13 then 3 else 0 end end,
+ case when to_file then case when length <= 90000 then 'correct' else 'incorrect' end when q = 13 then 'unknown' when q = p_size then 'correct' else 'incorrect' end from cv where not kernel""")
+def call_verdicts(spark, sf):
+    t = lambda n: spark.read.parquet(f"{sf}/{n}.parquet")
+    at = F.col("s_suppkey") * 100000
+    files = t("supplier").select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("objfile"), at.alias("file_base"), F.array(at + 60000, at + 90000).alias("tops"))
+    parts = t("part").select((F.col("p_partkey") * 512 + 7).alias("addr"), F.col("p_size").cast("bigint").alias("size"), F.lit("OBJECT").alias("type"))
+    symbols = parts.unionByName(t("supplier").select(at.alias("addr"), F.lit(0).cast("bigint").alias("size"), F.lit("FUNC").alias("type")))
+    line, q, file = F.col("l_linenumber"), F.col("l_quantity").cast("bigint"), F.col("l_suppkey") * 100000
+    cap = lambda base, length, offset: F.struct(base.cast("bigint").alias("base"), length.cast("bigint").alias("length"), offset.cast("bigint").alias("offset"))
+    link = cap(file + F.when(line % 3 == 0, 16).when(q == 50, 92000).otherwise(0), 50000 + q * 1000, F.col("l_partkey") % 20 * 8)
+    to = F.when(line % 2 == 0, file).otherwise(F.col("l_partkey") * 512 + 7 + F.when(q == 13, 3).otherwise(0))
+    target = cap(F.when(line == 7, -4096).otherwise(to), F.when(line % 2 == 0, 50000 + q * 1000).otherwise(q), F.lit(0))
+    calls = t("lineitem").select((F.col("l_orderkey") * 8 + line).alias("idx"), link.alias("link"), target.alias("target"))
+    return verify.call_verdicts(calls, files, symbols)
+
+
 @_add()
 def provenance_vertices(spark, sf):
     """The events as micro-operations on a register per user and a word per value of k; tests compare with a sequential fold."""

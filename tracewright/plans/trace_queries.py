@@ -535,3 +535,34 @@ def calls_in_trace(spark, sf):
     rows = trace_of(spark, sf).withColumn("exception", F.lit(31)).select("*", F.lit(0).alias("asid"), F.lit(0).alias("hwthread"), F.lit(None).cast("int").alias("reg_num"), F.lit(None).cast("bigint").alias("gpr_val"), F.lit(None).cast(trace.CAP).alias("cap"))
     frames = trace.call_graph(trace.call_events(rows))
     return frames.where("op <> 0").agg(F.count("*").alias("calls"))
+
+
+#: Orders call, and their lines call within them; every 400th order doesn't return, so what follows is called by it.
+_EVENTS = """ln as (select distinct l_orderkey, l_linenumber from lineitem where l_linenumber < 10),
+fr as (select o_orderkey * 100 as call, 1 as op, o_custkey * 16 as address, case when o_orderkey % 400 <> 0 then o_orderkey * 100 + 99 end as closed, o_orderkey, 0 as nested from orders
+ union all select l_orderkey * 100 + l_linenumber * 9, 1, l_linenumber * 8, l_orderkey * 100 + l_linenumber * 9 + 4, l_orderkey, 1 from ln join orders on o_orderkey = l_orderkey),
+up as (select *, last_value(case when nested = 0 and closed is null then call end ignore nulls) over (order by call rows between unbounded preceding and 1 preceding) as stuck, count(case when nested = 0 and closed is null then 1 end) over (order by call rows between unbounded preceding and 1 preceding) as below from fr),
+frames as (select call, case when nested = 1 then o_orderkey * 100 else coalesce(stuck, -1) end as parent, op, address, closed, cast(1 + below + case when nested = 1 and o_orderkey % 400 <> 0 then 1 else 0 end as integer) as depth from up)"""
+
+
+def call_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of `trace.call_events` that orders and their lines make."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 10").select("l_orderkey", "l_linenumber").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    none = F.lit(None).cast("bigint")
+    row = lambda idx, kind, target, expected: F.struct(idx.alias("idx"), F.lit(kind).alias("kind"), target.cast("bigint").alias("target"), expected.alias("expected"))
+    at, inner = F.col("o_orderkey") * 100, F.col("l_orderkey") * 100 + F.col("l_linenumber") * 9
+    outer = F.array(row(at, "call", F.col("o_custkey") * 16, at + 1), row(at + 99, "return", at + F.when(F.col("o_orderkey") % 400 == 0, 2).otherwise(1), none))
+    within = F.array(row(inner, "call", F.col("l_linenumber") * 8, inner + 1), row(inner + 4, "return", inner + 1, none))
+    rows = orders.select(F.explode(outer).alias("e")).unionByName(lines.select(F.explode(within).alias("e"))).select("e.*")
+    return rows.select("idx", (F.col("idx") * 2).alias("time"), "kind", (F.col("idx") * 4).alias("pc"), "target", "expected", F.lit(False).alias("raised"))
+
+
+@_add(f"with {_EVENTS} select call, parent, op, address, closed, depth from frames union all select -1, null, 0, null, null, 0")
+def call_frames(spark, sf):
+    return trace.call_graph(call_rows(spark, sf)).select("call", "parent", "op", "address", "closed", "depth")
+
+
+@_add(f"with {_EVENTS} select cast(row_number() over (order by call desc) as integer) as backtrace, call * 4 as pc, address as target from frames where call <= 300000 and (closed is null or closed > 300000)")
+def open_calls(spark, sf):
+    return trace.backtrace(call_rows(spark, sf), 300_000)
