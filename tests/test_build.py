@@ -33,6 +33,24 @@ def test_pointers_derive_from_the_program_counter(spark):
     assert trace.violations(g.vertices, g.derivations()).collect() == []
 
 
+def test_held_back_instructions_act_at_the_fault_read(spark):
+    # $c2 gets another pointer between the fault and the read of its address; two that waited act in their order
+    waits = lambda text, c: (text, {text.split()[1][1:].rstrip(","): c, "exc": 4})
+    lines = [
+        *DERIVE, ("csetbounds $c4, $c1, $at", {"c4": cap(0x1200, 0, 0x80)}), waits("csetbounds $c3, $c2, $at", cap(0x1200, 0, 8)), waits("csetbounds $c6, $c3, $at", cap(0x1200, 0, 4)), ("cmove $c2, $c4", {"c2": cap(0x1200, 0, 0x80)}),
+        ("dmfc0 $at, $8", {"at": 0x9000}), ("csetbounds $c5, $c3, $at", {"c5": cap(0x1200, 0, 2)}),
+    ]
+    g = built(spark, lines)
+    got = derived(g)
+    for one in (("SETBOUNDS", 0x1200, 8, 0x1200, 0x80), ("SETBOUNDS", 0x1200, 4, 0x1200, 8), ("SETBOUNDS", 0x1200, 2, 0x1200, 8)):
+        assert one in got
+    # each has the time of its own row
+    made = {r.length: r.t_alloc for r in g.vertices.where("base = 4608").collect()}
+    assert made[0x80] < made[8] < made[4] < made[2]
+    acted = sorted((r.idx, r.sub, r.dst) for r in trace.micro_ops(mini_trace(spark, [*START, *lines])).where("act = 'derive'").collect())
+    assert [x[2] for x in acted] == ["r2", "r4", "r3", "r6", "r5"] and acted[2][0] == acted[3][0] == acted[4][0] - 1
+
+
 def acts(spark, lines):
     """(row, act, dst, src) of the micro-operations."""
     return {(r.idx, r.act, r.dst, r.src) for r in trace.micro_ops(mini_trace(spark, [*START, *lines])).collect()}
@@ -58,7 +76,8 @@ def test_which_branches_happen(spark):
 
 def test_held_back_instructions(spark):
     lines = lambda fault: [*DERIVE, ("nop", {}), ("csetbounds $c3, $c2, $at", {"c3": cap(0x1100, 0, 8), "exc": 4}), ("dmfc0 $at, $8", {"at": fault})]
-    assert [(8, "derive", "r3", "r2") in acts(spark, lines(fault)) for fault in (0x101C, 0x9999)] == [False, True]
+    # one that commits acts at the read of the fault address, row 9
+    assert [(9, "derive", "r3", "r2") in acts(spark, lines(fault)) for fault in (0x101C, 0x9999)] == [False, True]
 
 
 def test_conditional_moves(spark):

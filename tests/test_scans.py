@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.operators import calls, closure, intervals, lookup, provenance, scan, verify
+from tracewright.operators import calls, closure, context, intervals, lookup, provenance, scan, verify
 from tracewright.operators.graph import CALL, SYSCALL
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -306,3 +306,30 @@ def test_pending_sets_against_a_fold(spark):
         assert got == want
     assert {(x[0], x[5]) for x in want.values()} >= {("stack", "bounded"), ("stack", "wrong_bound"), ("stack", "used"), ("stack", "overwritten"), ("subobject", "bounded"), ("subobject", "used"), ("subobject", "wrong_bound"), ("andperm", "matched"), ("andperm", "used")}
     assert verify.pending_sets(df.limit(0), places, ["u"]).collect() == []
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_greedy_windows_in_chunks(spark, by):
+    rng = random.Random(15)
+    rows = [(i, rng.choice("aab"), rng.random() < (0.02 if 300 < i < 420 else 0.3)) for i in range(700)]
+    df = spark.createDataFrame(rows, "i int, k string, m boolean").repartition(4)
+    for before, after, width in ((2, 3, 16), (1, 20, 4), (3, 0, 16)):
+        got = {r.i: r.kind for r in context.with_greedy_context(df, F.col("m"), by, ["i"], before, after, width).collect()}
+        want = {}
+        for key in ("a", "b") if by else (None,):
+            history, left = [], 0
+            for i, k, m in rows:
+                if by and k != key:
+                    continue
+                if left:
+                    want[i], left = "after", left - 1
+                elif m:
+                    want |= dict.fromkeys(history[-before:], "history") | {i: "anchor"}
+                    history, left = [], after
+                    continue
+                else:
+                    history.append(i)
+        assert got == want
+    near = {r.i for r in context.with_context(df, F.col("m"), by, ["i"], 2, 1).collect()}
+    lists = [[r for r in rows if not by or r[1] == key] for key in (("a", "b") if by else (None,))]
+    assert near == {own[j][0] for own in lists for j in range(len(own)) if any(x[2] for x in own[max(j - 1, 0) : j + 3])}

@@ -37,8 +37,8 @@ UOP = (
     "base long, offset long, length long, perms int, otype int, sealed boolean, flags int, time long"
 )
 _CAP = ("base", "length", "perms", "otype")
-#: Versions of one micro-operation follow each other within so many places.
-_PLACES, _SUBS = 4, 64
+#: Versions of one micro-operation follow each other within so many places; so many micro-operations can act at one row (held-back ones at the read of the fault address).
+_PLACES, _SUBS = 4, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -147,7 +147,7 @@ def provenance(uops: DataFrame, chunk_rows: int = 1_000_000) -> Provenance:
     spans = _written(_spans(known, resolved, v, chunk))
     ends = _ends(spans, events, chunk)
     vertices = vertices.unionByName(begin).join(ends, "vid", "left").withColumn("t_free", F.coalesce("t_free", F.lit(-1)))
-    place = lambda c: F.floor(F.col(c) / (_SUBS * _PLACES)).cast("long")
+    place = lambda c: F.shiftright(c, (_SUBS * _PLACES).bit_length() - 1)
     registers = spans.where("vertex is not null").select(F.substring("loc", 2, 10).cast("int").alias("reg"), place("at").alias("idx"), place("_to").alias("until"), F.col("vertex").alias("vid"))
     return Provenance(vertices, edges, events.select("vid", "time", "addr", "type", "at"), registers)
 

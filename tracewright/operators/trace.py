@@ -96,13 +96,14 @@ def fault_reads() -> Column:
 
 
 def committed(trace: DataFrame, chunk: int = 1_000_000) -> DataFrame:
-    """Adds group, committed and bad_addr: what becomes of rows with an exception.
+    """Adds group, committed, bad_addr, acts_at and turn: what becomes of rows with an exception.
 
     Capability instructions and stores that an exception (neither none nor an
     interrupt) holds back wait for the next read of the fault address.  All that
     wait there are dropped if that address is the one of any of them: of a
     capability load or store the memory address, else the pc.  Those after the last
-    such read stay pending (null).  bad_addr is the address read next after a row
+    such read stay pending (null).  Those that are not dropped act at that read
+(acts_at), in the order in which they waited (turn).  bad_addr is the address read next after a row
     with an exception.  Branches act at once, whatever their exception.
     """
     fault = fault_reads()
@@ -121,10 +122,13 @@ def committed(trace: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     met = grouped.where("not _fault").select("idx", "group", "_addr", "_waits").join(reads, "group", "left")
     dropped = met.where("_waits and decided_at is not null").groupBy("group").agg(F.max(F.col("_addr").eqNullSafe(F.col("bad_addr"))).alias("_dropped"))
     verdict = met.join(dropped, "group", "left").select("idx", "group", "bad_addr", "_waits", F.when(F.col("decided_at").isNotNull(), ~F.coalesce("_dropped", F.lit(False))).alias("_ok"))
-    out = trace.join(verdict, "idx", "left")
+    queued = met.where("_waits and decided_at is not null").select("idx", F.col("decided_at").alias("acts_at"), (F.row_number().over(W.partitionBy("group").orderBy("idx")) - 1).alias("turn"))
+    out = trace.join(verdict.join(queued, "idx", "left"), "idx", "left")
     return out.withColumn("committed", F.when(F.coalesce("_waits", F.lit(False)), F.col("_ok")).otherwise(F.lit(True))).withColumn("group", F.when(F.col("_waits"), F.col("group"))).drop("_ok", "_waits")
 
 
+#: What a held-back instruction does has one of the first four places of `sub`; its turn counts in these.
+_HELD_BACK = 4
 _MICRO = "array<struct<at:bigint,sub:int,act:string,dst:string,src:string,origin:string,flags:int,weak:boolean>>"
 
 
@@ -134,7 +138,9 @@ def micro_ops(trace: DataFrame, exact_bounds: bool = False) -> DataFrame:
     Operands are ops[0] (target), ops[1], ...  What an instruction does comes in
     the order of `sub`: dereference, its own rule, what a plain store overwrites,
     the branch whose delay slot it is in, its exception.  A held-back instruction
-    that commits acts in its own place.  Opcodes without a rule make none.
+    that commits acts where the fault address is read, after those that waited
+    before it, with the values and the time of its own row.  Opcodes without a rule
+    make none.
     """
     rows = committed(trace)
     # a branch waits for its delay slot; without one there is no branch
@@ -169,6 +175,16 @@ def micro_ops(trace: DataFrame, exact_bounds: bool = False) -> DataFrame:
     either = lambda *parts: F.concat(*[F.coalesce(x.cast(_MICRO), empty) for x in parts])
     mask, first = F.get("ops", F.lit(0))["imm"], F.when(op == "cclearhi", 16).otherwise(0)
     bits = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda b: F.shiftright(mask, 0).bitwiseAND(F.pow(F.lit(2.0), b.cast("double")).cast("bigint")) != 0)
+    here, in_turn = F.coalesce("acts_at", here), F.col("turn") * _HELD_BACK
+    own_row = row
+
+    def row(sub, *args, **kw):
+        """What waits takes its turn among all that acts at the same row; branches and exceptions don't wait."""
+        if sub > _HELD_BACK:
+            return own_row(sub, *args, **kw)
+        return own_row(sub, *args, **{"at": here} | kw).withField("sub", F.coalesce(in_turn + sub, F.lit(sub)).cast("int"))
+
+    use = use.withField("at", here).withField("sub", F.coalesce(in_turn, F.lit(0)).cast("int"))
     cleared = F.transform(bits, lambda b: row(1, "clear", F.when((op == "cclearlo") & (b == 0), F.lit(DDC)).otherwise(F.concat(F.lit("r"), (first + b).cast("string")))))
     made = (
         F.when(bounds, F.array(row(1, "derive", r(o(0)), r(o(1)), F.lit("SETBOUNDS"))))
