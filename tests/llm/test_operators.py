@@ -206,6 +206,18 @@ def test_nearest_with_a_repeated_id(spark):
     assert reps == {(1.0, 2.0): [1, 2, 3], (2.0, -1.0): [4]}
 
 
+def test_an_id_with_several_vectors_answers_by_each(spark):
+    rng = random.Random(4)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
+    vectors += [(7, [x + 0.01 * rng.gauss(0, 1) for x in vectors[50][1]]) for _ in range(3)] + [(7, vectors[7][1])] * 2
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumns({"width": F.lit("clash"), "block": F.lit(1), "ids": F.lit(None)}).repartition(3)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in op3_ann.nearest(df, df.where("vec_id = 50")).collect()}
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    different = {(i, tuple(v)) for i, v in vectors}
+    order = sorted((-float(unit(v) @ unit(vectors[50][1])), i) for i, v in different if i != 50)
+    assert [got[50, k] for k in range(1, 6)] == [i for _, i in order[:5]] and [got[50, k] for k in (1, 2, 3)] == [7, 7, 7]
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 16)).astype(np.float32)
@@ -318,6 +330,20 @@ def test_reduction_keeps_the_optimum():
         assert Counter({s: sum(k * n for sizes, n in packed for t, k in sizes if t == s) for s in counts}) == counts
 
 
+def test_packing_of_one_id_on_very_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(op5_packing, "RANKED", 40)
+    rows = [(7, "the same words again")] * 600 + [(7, f"other words {i}") for i in range(100)] + [(None, "the same words again")] * 50 + [(i, "x y z " * (i % 40)) for i in range(200)]
+    out = op5_packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+    ends = defaultdict(list)
+    for r in out:
+        ends[r.sequence_id].append((r.offset, r.length))
+    for places in ends.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and sum(places[-1]) <= 2048
+    assert len(ends) == -(-sum(r.length for r in out) // 2048)
+
+
 def test_packing(docs, texts, no_docs):
     library = Tokenizer.from_file(op4_bpe.WORD_BPE)
     rows = op5_packing.pack_documents(docs).collect()
@@ -554,6 +580,11 @@ def test_language_id_against_brute_force(spark):
 
 
 # --- 10
+def test_archives_of_no_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert op10_warc.op10_warc(spark, f"file://{tmp_path}").collect() == []
+
+
 def test_archives(spark):
     rows = [(1, "http://a/ b\r\n", "<p>é"), (2, None, "<p>é"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "z" * 200_000), (9, "http://f", "<p>é"), (9, "http://f", "<p>é"), (None, "http://g", "<p>é"), (None, "http://h", "alone")]
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, _original string, _first string").repartition(3)

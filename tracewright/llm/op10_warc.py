@@ -5,6 +5,10 @@ the others revisit it.  Rows that repeat that page_id are responses too; a null
 page_id revisits like a smaller one, and where a payload has no other id its
 records are responses.  A null html is an empty payload.
 
+An empty table gives no archive and an empty result; columns beyond id, url and
+payload aren't read, whatever their names.  A payload is held whole by the task that
+writes or verifies it, one at a time.
+
 A task writes its own files; only what finished tasks report gets into the
 manifest, so a lost executor's files are never read.
 """

@@ -9,8 +9,12 @@
 4. The shards' results are merged for each query.
 
 Vectors that are null, zero, or hold a null or a number that isn't finite take no
-part, nor do null ids; vectors of different lengths don't meet.  Rows that repeat
-an id are one row: the least of their vectors asks, and none is an answer to it.
+part, nor do null ids; vectors of different lengths don't meet.  Rows are
+candidates: an id that has several vectors may answer by each of them, so it can
+take several ranks; rows that repeat id and vector are one.  Of an id's vectors the
+least one asks, and none of them is an answer to it.  Ties go to the smaller id.  An
+empty table, or one without a vector that takes part, gives an empty one.  Columns
+beyond id and vector aren't read, whatever their names.
 """
 
 from __future__ import annotations

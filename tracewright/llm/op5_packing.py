@@ -8,7 +8,11 @@ place up in the plan.
 
 A document is its ids and an end id; a null text is the end id alone.  Longer
 documents are cut into full pieces and a last one.  Repeated rows are packed as
-often as they stand there.
+often as they stand there, and are spread over tasks like others, as are all rows
+of one doc_id.  Ties: pieces of one length are alike to the plan; which of them
+goes where depends on their ids and on the order in which they were written.  An
+empty table gives an empty one.  Columns beyond the id and the text aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -74,7 +78,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     groups = 1 + sum(counts.values()) // RANKED
     plan = spark.createDataFrame(slots(pack(counts, capacity)), "length long, first long, taken long, each long, sequence long, at long")
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # `_row`, where the pieces have it, tells even equal rows apart
+    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *(["_row"] if "_row" in pieces.columns else [])), F.lit(groups)))
     before = keyed.groupBy("length", "_group").agg(F.count("*").alias("n")).withColumn("_before", F.sum("n").over(W.partitionBy("length").orderBy("_group").rowsBetween(W.unboundedPreceding, -1))).drop("n")
     own = F.row_number().over(W.partitionBy("length", "_group").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
     ranked = keyed.withColumn("_own", own).join(before, ["length", "_group"]).withColumn("_rank", F.col("_own") + F.coalesce("_before", F.lit(0)))
@@ -86,7 +91,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", path: str = WORD_BPE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     scratch = Scratch(docs.sparkSession, "pieces")
-    pieces = scratch.table(pieces_of(docs, capacity, id_col, text_col, path), "pieces")
+    pieces = scratch.table(pieces_of(docs, capacity, id_col, text_col, path).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     return place(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -11,6 +11,8 @@ A null or empty text is the end id alone.  Rows that repeat a doc_id each have t
 own place, in the order in which they were read, and may fill several ranges; so may
 null ids, which come first.  A task streams its range block by block, so a range's
 size is no matter of memory.  Only files of finished tasks are in the manifest.
+Ties in doc_id keep the order of reading.  An empty table gives no file and an empty
+result.  Columns beyond id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
