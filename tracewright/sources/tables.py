@@ -205,13 +205,28 @@ def dwarf_functions(docs: DataFrame, text: str = "value", base: Column | None =
     return f.select("f.name", (F.col("f.lowpc") + F.col("_at")).alias("lowpc"), (F.col("f.highpc") + F.col("_at")).alias("highpc"), F.coalesce("f.variables", F.from_json(F.lit("[]"), _VARIABLE)).alias("variables"))
 
 
-def dwarf_globals(docs: DataFrame, symbols: DataFrame, text: str = "value") -> DataFrame:
-    """(name, size): functions and variables; a function without an end has its symbol's size."""
+def dwarf_globals(docs: DataFrame, symbols: DataFrame, text: str = "value", base: int = 0) -> DataFrame:
+    """(name, addr, size, type): functions and variables of debug information as JSON; a function without an end has the size of the symbol at its address, and goes without one."""
     kind = "struct<functions:array<struct<name:string,lowpc:bigint,highpc:bigint>>,variables:array<struct<name:string,size:bigint,address:bigint>>>"
     d = docs.select(F.from_json(text, kind).alias("d"))
-    own = symbols.groupBy("name").agg(F.min("size").alias("_size"))
-    functions = d.select(F.explode("d.functions").alias("f")).select("f.*").join(own, "name", "left").select("name", F.col("lowpc").alias("addr"), F.when(F.col("highpc") == 0, F.col("_size")).otherwise(F.col("highpc") - F.col("lowpc")).alias("size"), F.lit("FUNC").alias("type"))
-    return functions.unionByName(d.select(F.explode("d.variables").alias("v")).select("v.name", F.col("v.address").alias("addr"), "v.size", F.lit("OBJECT").alias("type")))
+    return _globals(d.select(F.explode("d.functions").alias("f")).select("f.*"), d.select(F.explode("d.variables").alias("v")).select("v.name", F.col("v.address").alias("addr"), "v.size"), symbols, base)
+
+
+def dwarf_globals_text(lines: DataFrame, symbols: DataFrame, base: int = 0) -> DataFrame:
+    """The same from lines of text (value): `codesegment name:..., lowpc: 0x..., highpc: 0x...` and `variable name:..., size:..., at address 0x...`; an unknown size is -1, a variable without an address has none."""
+    v = F.col("value")
+    segment, variable = r"^codesegment name:(.+), lowpc: 0x([0-9a-fA-F]+), highpc: 0x([0-9a-fA-F]+)", r"^variable name:(.+?), size:(\d+|<unknown>)(?:, at address 0x([0-9a-fA-F]+))?\s*$"
+    x = lambda p, i: F.regexp_extract(v, p, i)
+    functions = lines.where(v.rlike(segment)).select(x(segment, 1).alias("name"), S.parse_hex(x(segment, 2)).alias("lowpc"), S.parse_hex(x(segment, 3)).alias("highpc"))
+    size = F.when(x(variable, 2) == "<unknown>", -1).otherwise(x(variable, 2).try_cast("bigint"))
+    return _globals(functions, lines.where(v.rlike(variable)).select(x(variable, 1).alias("name"), S.parse_hex(x(variable, 3)).alias("addr"), size.alias("size")), symbols, base)
+
+
+def _globals(functions: DataFrame, variables: DataFrame, symbols: DataFrame, base: int) -> DataFrame:
+    own = symbols.groupBy("addr").agg(F.max("size").alias("_size"))
+    placed = functions.withColumn("addr", F.col("lowpc") + base).join(own, "addr", "left")
+    sized = placed.select("name", "addr", F.when(F.col("highpc") == 0, F.col("_size")).otherwise(F.col("highpc") - F.col("lowpc")).alias("size"), F.lit("FUNC").alias("type")).where("size is not null")
+    return sized.unionByName(variables.select("name", (F.col("addr") + base).alias("addr"), "size", F.lit("OBJECT").alias("type")))
 
 
 def annotated(functions: DataFrame, docs: DataFrame, text: str = "value") -> DataFrame:
