@@ -28,9 +28,51 @@ def test_parts_of_a_trace(spark):
 def test_initial_stack(spark):
     cap = "struct<base:bigint,offset:bigint,length:bigint,perms:bigint,otype:bigint,valid:boolean,sealed:boolean>"
     value = lambda b: Row(base=b, offset=0, length=16, perms=1, otype=0, valid=True, sealed=False)
-    rows = [(1, "x", 64 + 11, value(100)), (2, "x", 64 + 11, value(200)), (3, "x", 64 + 12, value(300)), (5, "eret", None, None), (6, "x", 64 + 11, value(400)), (7, "eret", None, None)]
-    r = trace.initial_stack(spark.createDataFrame(rows, f"idx long, opcode string, reg_num int, cap {cap}")).first()
-    assert (r["cap"].base, r["at"]) == (200, 5)
+    rows = [(0, "li", 29, None, 77), (1, "x", 64 + 11, value(100), None), (2, "x", 64 + 11, value(200), None), (3, "x", 64 + 12, value(300), None), (4, "li", 29, None, 88), (5, "eret", None, None, None), (6, "x", 64 + 11, value(400), None), (7, "eret", None, None, None), (8, "li", 29, None, 99)]
+    r = trace.initial_stack(spark.createDataFrame(rows, f"idx long, opcode string, reg_num int, cap {cap}, gpr_val long")).first()
+    assert (r["cap"].base, r["sp"], r["at"]) == (200, 88, 5)
+
+
+def trace_rows(spark, rows):
+    """Trace rows from dicts; what a row doesn't say is null, or what a plain instruction has."""
+    plain = dict(cycles=0, pc=4096, opcode="nop", ops=[], is_load=False, is_store=False, mem_addr=None, exception=31, asid=0, hwthread=0, reg_num=None, gpr_val=None, cap=None)
+    names = [x.split()[0] for x in "idx cycles pc opcode ops is_load is_store mem_addr exception asid hwthread reg_num gpr_val cap".split()]
+    return spark.createDataFrame([tuple(({"idx": i} | plain | r)[n] for n in names) for i, r in enumerate(rows)], trace.TRACE)
+
+
+CAP = dict(base=4096, offset=0, length=64, perms=7, otype=0, valid=True, sealed=False)
+
+
+def test_rows_that_cannot_be_decoded(spark):
+    t = trace_rows(spark, [{}, {"pc": None}, {"opcode": " "}, {"reg_num": 200}, {"is_load": True}, {"is_load": True, "exception": 4}, {"ops": [(300, 0, 0)]}])
+    assert [r.reject for r in trace.rejected(t).orderBy("idx").collect()] == [None, "no pc", "no opcode", "unknown register", "no address", None, "unknown register"]
+
+
+def test_jumps_need_permission_to_execute(spark):
+    t = trace_rows(spark, [{"reg_num": 65, "cap": CAP}, {"reg_num": 66, "cap": CAP | {"perms": 5}}, {"opcode": "cjr", "ops": [(65, 0, 0)]}, {"opcode": "cjr", "ops": [(66, 0, 0)]}, {"opcode": "cjalr", "ops": [(81, 0, 0), (66, 0, 0)], "reg_num": 81, "cap": CAP}])
+    assert sorted(tuple(r) for r in trace.jumps_without_exec(t).collect()) == [(3, 4096, 66, 5), (4, 4096, 66, 5)]
+
+
+def test_differences_of_two_traces(spark):
+    nop = {"opcode": "lui", "ops": [(0, 0, 0), (0, 42, 0)]}
+    one = trace_rows(spark, [{"pc": 4}, nop, {"pc": 8, "opcode": "ld", "mem_addr": 100, "gpr_val": 5}, {"pc": 12, "cap": CAP}, {"pc": 16, "opcode": "mfc0", "gpr_val": 1}, {"pc": 20}])
+    two = trace_rows(spark, [{"pc": 4}, {"pc": 8, "opcode": "ld", "mem_addr": 104}, nop, nop, {"pc": 12, "cap": CAP | {"length": 65, "valid": False}}, {"pc": 16, "opcode": "mfc0", "gpr_val": 2}])
+    got = {tuple(r)[1:] for r in trace.trace_differences(one, two).collect()}
+    assert got == {(2, 1, "mem_addr", "100", "104"), (3, 4, "valid", "true", "false"), (3, 4, "length", "64", "65"), (5, None, "row", "5", None)}
+    assert {r.field for r in trace.trace_differences(one, two, pc_only=True).collect()} == {"row"}
+    assert trace.trace_differences(one, one).collect() == []
+
+
+def test_backtrace_with_symbols(spark):
+    rows = [(1, 1, "call", 100, 0x1010, 101, False), (5, 5, "call", 200, -4096 + 8, 201, False), (7, 7, "call", 300, 0x10, 301, False)]
+    events = spark.createDataFrame(rows, "idx long, time long, kind string, pc long, target long, expected long, raised boolean")
+    symbols = spark.createDataFrame([(0x1000, "main"), (0x1000, "other"), (-4096, "kernel")], "addr long, name string")
+    assert [(r.target, r.symbol, r.offset) for r in trace.named_backtrace(events, 9, symbols).orderBy("backtrace").collect()] == [(0x10, None, None), (-4088, "kernel", 8), (0x1010, "main", 16)]
+
+
+def test_missing_parents(spark):
+    v, e = spark.createDataFrame([(1,), (2,)], "vid long"), spark.createDataFrame([(1, 2), (9, 1), (None, 1)], "src long, dst long")
+    assert [tuple(r) for r in trace.missing_parents(v, e).collect()] == [(1, 9)]
 
 
 def test_lookups_of_single_rows(spark):

@@ -253,8 +253,10 @@ def two_lookups(left: DataFrame, first: DataFrame, first_on: list[str], second:
 
 def zip_compare(left: DataFrame, right: DataFrame, by: list[str], l_order: list[str], r_order: list[str], columns: list[str]) -> DataFrame:
     """Rows of equal place in two ordered streams; `differs` lists the columns that aren't equal."""
-    l = left.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*l_order)))  # noqa: E741
-    r = right.select(*by, *[F.col(c).alias(f"other_{c}") for c in columns], F.row_number().over(W.partitionBy(*by).orderBy(*r_order)).alias("place"))
+    from .scan import running
+
+    l = running(left, by, l_order, place=("sum", F.lit(1)))  # noqa: E741
+    r = running(right, by, r_order, place=("sum", F.lit(1))).select(*by, *[F.col(c).alias(f"other_{c}") for c in columns], "place")
     differs = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"other_{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
     return l.join(r, [*by, "place"], "full_outer").withColumn("differs", differs)
 

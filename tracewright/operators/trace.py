@@ -232,6 +232,61 @@ def unsupported(trace: DataFrame) -> DataFrame:
     return trace.where(F.col("opcode").isin("cseal", "cunseal", "cclearregs", "ccall", "creturn"))
 
 
+def rejected(trace: DataFrame) -> DataFrame:
+    """The trace with `reject`: why a row can't be decoded, or null.  A row needs a place, a pc and an opcode, registers below 128, and an address if it moves memory."""
+    odd = F.exists("ops", lambda o: (o["reg_num"] < 0) | (o["reg_num"] > 127)) | ~F.col("reg_num").between(0, 127)
+    moves = F.coalesce("is_load", F.lit(False)) | F.coalesce("is_store", F.lit(False))
+    reasons = F.when(F.col("idx").isNull(), "no place").when(F.col("pc").isNull(), "no pc").when(F.coalesce(F.trim("opcode"), F.lit("")) == "", "no opcode").when(F.coalesce(odd, F.lit(False)), "unknown register").when(moves & F.col("mem_addr").isNull() & (F.col("exception") == S.NO_EXCEPTION), "no address")
+    return trace.withColumn("reject", reasons)
+
+
+def jumps_without_exec(trace: DataFrame) -> DataFrame:
+    """(idx, pc, reg_num, perms): capability branches whose target's capability lacks permission to execute."""
+    branches = trace.where(F.col("opcode").isin("cjr", "cjalr"))
+    at = F.when(F.col("opcode") == "cjr", 0).otherwise(1)
+    values = operand_values(trace, branches).join(branches.select("idx", "pc", at.alias("_at")), "idx").where(F.col("ord") == F.col("_at"))
+    return values.where(~S.has_any(F.col("cap.perms"), S.PERMISSIONS["exec"])).select("idx", "pc", "reg_num", F.col("cap.perms").alias("perms"))
+
+
+#: What two traces of one run have to agree on; what isn't null in the other one is compared.
+COMPARED = ("pc", "opcode", "mem_addr", "gpr_val", "valid", "sealed", "base", "length", "offset", "perms", "otype")
+
+
+def trace_differences(trace: DataFrame, other: DataFrame, pc_only: bool = False) -> DataFrame:
+    """(place, idx, other_idx, field, value, other_value): where two traces of one run differ, row by row, without canonical no-operations.
+
+    Opcodes count too, though two disassemblers may name one instruction differently;
+    of `mfc0` only the pc does.  A row that one trace alone has differs in `row`.
+    """
+    from .lookup import zip_compare
+    from .predicates import is_canonical_nop
+
+    flat = lambda t: t.where(~is_canonical_nop()).select("idx", "pc", "opcode", "mem_addr", "gpr_val", *[F.col(f"cap.{c}").alias(c) for c in COMPARED[4:]])
+    both = zip_compare(flat(trace), flat(other), [], ["idx"], ["idx"], ["idx", *COMPARED])
+    known = lambda c: F.col(f"other_{c}").isNotNull() if c not in ("pc", "opcode") else F.lit(True)
+    counts = lambda c: F.lit(c == "pc") | (F.lit(not pc_only) & (F.col("opcode") != "mfc0"))
+    row = lambda c, field: F.struct(F.lit(field).alias("field"), F.col(c).cast("string").alias("value"), F.col(f"other_{c}").cast("string").alias("other_value"))
+    each = F.filter(F.array(*[F.when(known(c) & counts(c) & ~F.col(c).eqNullSafe(F.col(f"other_{c}")), row(c, c)) for c in COMPARED]), lambda x: x.isNotNull())
+    alone = F.col("idx").isNull() | F.col("other_idx").isNull()
+    found = both.withColumn("_d", F.explode(F.when(alone, F.array(row("idx", "row"))).otherwise(each)))
+    return found.select("place", "idx", "other_idx", "_d.field", "_d.value", "_d.other_value")
+
+
+def named_backtrace(events: DataFrame, end: int, symbols: DataFrame, depth: int | None = None) -> DataFrame:
+    """`backtrace` with the symbol at or before each target, and how far behind it the target lies.  symbols: addr, name."""
+    from .lookup import floor_lookup
+
+    names = symbols.groupBy("addr").agg(F.min("name").alias("symbol")).withColumn("_at", F.col("addr"))
+    found = floor_lookup(backtrace(events, end, depth), names, "target", "addr", ["symbol", "_at"], 1 << 12, unsigned=True)
+    return found.withColumn("offset", F.col("target") - F.col("_at")).drop("_at")
+
+
+def missing_parents(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(vid, parent): derived pointers whose parent is no vertex; empty for a sound graph."""
+    gone = edges.where("src is not null").join(vertices.select(F.col("vid").alias("src")), "src", "left_anti")
+    return gone.select(F.col("dst").alias("vid"), F.col("src").alias("parent"))
+
+
 def violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(vid, parent, base, top, parent_base, parent_top): derived pointers that reach beyond their parent or have permissions that it lacks."""
     known = vertices.select("vid", "base", "length", S.end_of(F.col("base"), F.col("length")).alias("top"), "perms")
@@ -301,10 +356,11 @@ def frame_sizes(trace: DataFrame) -> DataFrame:
 
 
 def initial_stack(trace: DataFrame) -> DataFrame:
-    """One row: the stack capability register's value at the first eret."""
+    """One row: what the stack capability register and the stack pointer hold at the first eret (cap, sp, at)."""
     first = trace.where("opcode = 'eret'").agg(F.min("idx").alias("at"))
-    held = trace.where(F.col("reg_num") == 64 + STACK_CAP).join(F.broadcast(first), F.col("idx") < F.col("at"))
-    return held.agg(F.max_by("cap", "idx").alias("cap"), F.max("at").alias("at"))
+    held = trace.where(F.col("reg_num").isin(64 + STACK_CAP, 29)).join(F.broadcast(first), F.col("idx") < F.col("at"))
+    of = lambda reg: F.when(F.col("reg_num") == reg, F.col("idx"))
+    return held.agg(F.max_by("cap", of(64 + STACK_CAP)).alias("cap"), F.max_by("gpr_val", of(29)).alias("sp"), F.max("at").alias("at"))
 
 
 def backtrace(events: DataFrame, end: int, depth: int | None = None) -> DataFrame:
