@@ -173,3 +173,30 @@ def test_callbacks_in_chunks(spark, width):
     got = {tuple(r) for r in own.run("before", t, width=width).collect()}
     assert got == {(i, o, sum(x == o for _, x in rows[:k])) for k, (i, o) in enumerate(rows) if o != "nop"}
     assert own.run("calls", t.limit(0)).collect() == []
+
+
+def test_the_graph_as_text(spark, process):
+    g, high = process
+    text = [(r.layer, r.vid, r.line) for r in G.dump(g, F.col("vid").isin(2, 5), events=True).orderBy("layer", "vid", "place").collect()]
+    assert [(x, v) for x, v, _ in text] == [("call", 100), ("prov", 2), ("prov", 2), ("prov", 5), ("prov", 5)]
+    assert text[0][2] == "call 0x400 plain by 0 t:[55,90]"
+    assert text[1][2].startswith("SETBOUNDS pc:0x8 ") and text[2][2] == f"  61 {high + 70:#x} deref_load" and text[4][2] == "  82 0x5000 load"
+    assert {r.layer for r in G.dump(g, called=F.col("vid") < 0).collect()} == {"prov"}
+    assert G.dump(g, layers=("call",)).count() == 1
+
+
+def test_binaries_are_found_by_folder(spark, tmp_path):
+    for folder, names in (("a", ["libc.so", "kernel"]), ("b", ["libc.so", "kernel.full", "x"]), ("c", ["kernel.full", "kernel"])):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / n).write_bytes(b"none")
+    maps = spark.createDataFrame([(0, 1, 2, "r", "", "/lib/libc.so"), (1, 3, 4, "r", "", "/boot/kernel"), (2, 5, 6, "r", "", "/gone")], "ordinal int, start long, end long, perm string, flag string, path string")
+    of = lambda *folders: {r.file: "/".join(r.path.split("/")[-2:]) for r in tables.located(spark, maps, [f"file://{tmp_path}/{f}" for f in folders]).collect()}
+    assert of("a", "b") == {"libc.so": "a/libc.so", "kernel": "a/kernel"}
+    assert of("b", "a") == {"libc.so": "b/libc.so", "kernel": "b/kernel.full"} and of("c") == {"kernel": "c/kernel.full"}
+
+
+def test_boundaries_are_written_and_read(spark, tmp_path):
+    files = spark.createDataFrame([(1, "a.out", -4096, [-4000, -3000]), (2, "b", 0, [10])], "ordinal long, objfile string, file_base long, tops array<long>")
+    tables.save_boundaries(files, f"file://{tmp_path}/bounds")
+    assert sorted(tuple(r) for r in tables.load_boundaries(spark, f"file://{tmp_path}/bounds").collect()) == sorted(tuple(r) for r in files.collect())

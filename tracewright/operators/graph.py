@@ -411,3 +411,36 @@ def dump_vertices(g: Graph) -> DataFrame:
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     return v.select("vid", F.format_string("%s pc:%s %s t:[%d,%d] {%s} load:%d store:%d deref:%d/%d", F.col("origin"), S.hex_text(F.col("pc")), cap, F.col("t_alloc"), F.col("t_free"), marks, n("n_load"), n("n_store"), n("n_deref_load"), n("n_deref_store")).alias("line"))
 
+
+
+def dump_calls(g: Graph) -> DataFrame:
+    """(vid, line): a line of text for each call: what is called, from where and when, and what it returned to."""
+    made = g.edges.where(F.col("op").isin(CALL, SYSCALL)).groupBy(F.col("dst").alias("vid")).agg(F.min(F.struct("time", "src", "op", "addr")).alias("_m"))
+    symbol = F.coalesce(F.concat(F.lit(" "), F.col("symbol"), F.coalesce(F.concat(F.lit(" ("), F.col("symbol_file"), F.lit(")")), F.lit(""))), F.lit(""))
+    kind = F.when(F.col("_m.op") == SYSCALL, "syscall").when(F.col("_m.op") == CALL, "call").otherwise("root")
+    moment = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    by = F.coalesce(F.concat(F.lit(" by "), F.col("_m.src").cast("string")), F.lit(""))
+    return g.calls.join(made, "vid", "left").select("vid", F.concat(kind, F.lit(" "), S.hex_text(F.coalesce("address", F.lit(0))), symbol, by, F.lit(" t:["), moment("_m.time"), F.lit(","), moment("t_return"), F.lit("]")).alias("line"))
+
+
+def dump_events(g: Graph) -> DataFrame:
+    """(vid, time, line): a line of text for each event of a pointer, with the names of its kinds."""
+    names = F.array_join(F.filter(F.array(*[F.when(S.has_any(F.col("type"), bit), F.lit(n)) for n, bit in S.EVENTS.items()]), lambda x: x.isNotNull()), "|")
+    return g.events.select("vid", "time", F.concat(F.lit("  "), F.col("time").cast("string"), F.lit(" "), S.hex_text(F.col("addr")), F.lit(" "), names).alias("line"))
+
+
+def dump(g: Graph, pointers: Column | None = None, called: Column | None = None, events: bool = False, layers: tuple[str, ...] = ("prov", "call")) -> DataFrame:
+    """(layer, vid, place, line) of the graph as text: the pointers and the calls that meet the conditions, each pointer's events below it.  Ordered by layer, vid and place it reads as one text."""
+    kept = g if pointers is None else replace(g, vertices=g.vertices.where(pointers))
+    parts = []
+    if "prov" in layers:
+        parts.append(dump_vertices(kept).select(F.lit("prov").alias("layer"), "vid", F.lit(-1).cast("long").alias("place"), "line"))
+        if events:
+            own = replace(kept, events=kept.events.join(kept.vertices.select("vid"), "vid", "left_semi"))
+            parts.append(dump_events(own).select(F.lit("prov").alias("layer"), "vid", F.col("time").alias("place"), "line"))
+    if "call" in layers:
+        parts.append(dump_calls(g if called is None else replace(g, calls=g.calls.where(called))).select(F.lit("call").alias("layer"), "vid", F.lit(-1).cast("long").alias("place"), "line"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -241,11 +241,12 @@ def mask_range(spark, sf):
 
 @_add("select o_orderkey from orders o where o_orderdate between timestamp '1996-01-01' and timestamp '1996-03-31' or exists (select 1 from lineitem where l_orderkey = o_orderkey and l_shipdate between timestamp '1996-01-01' and timestamp '1996-03-31')")
 def time_slice(spark, sf):
-    number = lambda c: F.date_format(c, "yyyyMMddHHmmss").cast("long")
-    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("vid"), number("o_orderdate").alias("t_alloc"))
-    shipped = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("vid"), number("l_shipdate").alias("time"), F.lit(S.EVENTS["deref_load"]).alias("type"))
+    from datetime import datetime
+
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("vid"), F.col("o_orderdate").alias("t_alloc"))
+    shipped = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("vid"), F.col("l_shipdate").alias("time"), F.lit(S.EVENTS["deref_load"]).alias("type"))
     g = G.Graph(orders, shipped, orders, orders)
-    return G.time_slice(19960101000000, 19960331000000, deref=True)(g).vertices.select(F.col("vid").alias("o_orderkey"))
+    return G.time_slice(datetime(1996, 1, 1), datetime(1996, 3, 31), deref=True)(g).vertices.select(F.col("vid").alias("o_orderkey"))
 
 
 @_add("""with b as (select user_id, min(event_id) as at from events where event_type = 'signup' group by user_id)
@@ -448,7 +449,9 @@ def conflict_keys(spark, sf):
     return verify.size_conflicts(symbols).select(F.col("objfile").alias("p_brand"), F.col("addr").alias("p_type"), "sizes", "least", "most")
 
 
-@_add("""select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, regexp_extract(url, '^[a-z]+://([^/:]+)', 1) as host, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, length(html) - length(replace(html, '<', '')) as tags from pages""")
+@_add("""select page_id, regexp_extract(url, '[^/]*$') as file, regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\\.[^.]*$', '\\1') as stem, cast(nullif(regexp_extract(url, '/([0-9]+)[^/]*$', 1), '') as bigint) as number,
+ length(html) as length, length(html) - length(replace(html, '<', '')) as tags from pages""")
 def text_parse(spark, sf):
-    host = F.regexp_extract("url", "^[a-z]+://([^/:]+)", 1)
-    return _t(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), host.alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), (F.char_length("html") - F.char_length(F.replace("html", F.lit("<"), F.lit("")))).cast("bigint").alias("tags"))
+    number = S.parse_int(F.regexp_extract("url", r"/([0-9]+)[^/]*$", 1))
+    tags = F.char_length("html") - F.char_length(F.replace("html", F.lit("<"), F.lit("")))
+    return _t(spark, sf, "pages").select("page_id", S.basename(F.col("url")).alias("file"), S.stem(F.col("url")).alias("stem"), number.alias("number"), F.char_length("html").cast("bigint").alias("length"), tags.cast("bigint").alias("tags"))

@@ -330,10 +330,11 @@ def derivation_neighbours(spark, sf):
 
 
 # --- distributions
-@_add("select sum(n) as pointers, max(cumulative) as whole from (select o_custkey % 64 as size, count(*) as n, cast(1 as double) as cumulative from orders group by 1) where size >= 0")
+@_add("""with z as (select case when origin = 'ROOT' then 1099511627776 else length end as size, count(*) as n from v group by 1), w as (select size, n, cast(sum(n) over (order by size) as double) / sum(n) over () as cumulative from z)
+select size, n, round(cumulative, 9) as cumulative from w union all select 0, 0, 0.0 union all select min(size), 0, 0.0 from z""")
 def bounds_substituted(spark, sf):
     v = distribution.substituted_bounds(graph_queries.graph_of(spark, sf).vertices, F.col("origin") == "ROOT", 0, 1 << 40)
-    return distribution.cdf(v.withColumn("length", F.when(F.col("substituted"), 0).otherwise(F.col("length"))), "length").agg(F.sum("n").alias("pointers"), F.max("cumulative").alias("whole"))
+    return distribution.cdf(v, "length").withColumn("cumulative", F.round("cumulative", 9))
 
 
 @_add("select l_returnflag, bin, n, cast(sum(n) over (partition by l_returnflag order by bin) as bigint) as \"to\", cast(sum(n) over (partition by l_returnflag order by bin) as bigint) - n as \"from\" from (select l_returnflag, case when l_quantity < 2 then 0 when l_quantity < 8 then 1 when l_quantity < 32 then 2 else 3 end as bin, count(*) as n from lineitem where l_quantity > 0 group by all)")
@@ -450,17 +451,17 @@ def instruction_classes(spark, sf):
     return rows.select(F.explode("classes").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
 
 
-@_add("select idx, '{0:' || idx || '} 0x' || lower(case when pc >= 0 then printf('%x', pc) else printf('%x', pc) end) || ' ' || opcode || case when exception <> 31 then ' except:' || exception else '' end || coalesce(' (' || n_name || ')', '') as line from t left join (select n_name, 65536 + n_nationkey * 40 as place from nation) on place = pc where opcode = 'lui'")
+@_add("select idx, '{0:' || idx || '} 0x' || lower(case when pc >= 0 then printf('%x', pc) else printf('%x', pc) end) || ' ' || opcode || case when exception <> 31 then ' except:' || exception else '' end || coalesce(' (' || n_name || ')', '') || case when is_load then chr(10) || '$load [0x' || printf('%x', mem_addr) || ']' when is_store then chr(10) || '$store [0x' || printf('%x', mem_addr) || ']' else '' end as line from m left join (select n_name, 65536 + n_nationkey * 40 as place from nation) on place = pc")
 def trace_lines(spark, sf):
     names = spark.read.parquet(f"{sf}/nation.parquet").select((F.col("n_nationkey").cast("bigint") * 40 + 65536).alias("addr"), F.col("n_name").alias("name"))
-    rows = trace_of(spark, sf).where("opcode = 'lui'").withColumn("asid", F.lit(0))
+    rows = trace_of(spark, sf).withColumn("asid", F.lit(0))
     return trace.dump_lines(rows, names)
 
 
 @_add("select pc, arg_min(k, idx) as frame_size from t where k > 0 and opcode = 'daddiu' and r2 = 29 group by pc")
 def frame_sizes(spark, sf):
-    rows = trace_of(spark, sf).where("opcode = 'daddiu' and k > 0 and ops[2].reg_num = 29")
-    own = rows.withColumn("opcode", F.lit("addiu")).withColumn("ops", F.array(F.struct(F.lit(29).alias("reg_num"), (-F.col("k")).alias("imm"), F.lit(0).alias("perms"))))
+    rows = trace_of(spark, sf).withColumn("opcode", F.when(F.col("opcode") == "daddiu", "addiu").otherwise(F.col("opcode")))
+    own = rows.withColumn("ops", F.array(F.struct(F.col("ops")[2]["reg_num"].alias("reg_num"), (-F.col("k")).alias("imm"), F.lit(0).alias("perms"))))
     return trace.frame_sizes(own)
 
 
@@ -492,10 +493,10 @@ def thread_local_reads(spark, sf):
     return verify.thread_local_reads(reads)
 
 
-@_add("""with h as (select r0 - 64 as n, k from (select r0, k, row_number() over (partition by r0 order by idx desc) as i from t where opcode = 'cld' and idx <= 500) where i = 1), g as (select unnest(range(1, 32)) as n)
+@_add("""with h as (select r0 - 64 as n, k from (select r0, k, row_number() over (partition by r0 order by idx desc) as i from t where idx <= 500) where i = 1), g as (select unnest(range(1, 32)) as n)
 select cast(g.n as integer) as reg_num, '[' || case when h.k is null then 0 else 1 end || '] $' || g.n || ' = ' || printf('%x', coalesce(h.k, 0)) as line from g left join h using (n)""")
 def register_dump(spark, sf):
-    rows = trace_of(spark, sf).where("opcode = 'cld'").select("idx", (F.col("ops")[0]["reg_num"] - 64).alias("reg_num"), F.col("k").alias("gpr_val"), F.lit(None).cast(trace.CAP).alias("cap"))
+    rows = trace_of(spark, sf).select("idx", (F.col("k") % 32).cast("int").alias("reg_num"), F.col("k").alias("gpr_val"), F.lit(None).cast(trace.CAP).alias("cap"))
     return trace.dump_registers(rows, 500).where("reg_num < 32")
 
 
@@ -524,10 +525,12 @@ def headroom_functions(spark, sf):
     return distribution.bucket_functions(_rooms(spark, sf), made, 18)
 
 
-@_add("select 'x' || idx as at, arg_min(opcode, opcode) as label from t group by 1")
+@_add("select place as at, min(label) as label from (select 'x' || user_id as place, opcode as label from t union all select 'x' || k, 'except ' || exception from t union all select 'y' || idx, 'at ' || pc from t) group by 1")
 def labels_united(spark, sf):
-    rows = trace_of(spark, sf).select(F.concat(F.lit("x"), F.col("idx").cast("string")).alias("at"), F.col("opcode").alias("label"))
-    return distribution.united_labels(rows, rows.limit(50), rows)
+    t = trace_of(spark, sf)
+    rows = lambda p, key, label: t.select(F.concat(F.lit(p), F.col(key).cast("string")).alias("at"), label.alias("label"))
+    text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return distribution.united_labels(rows("x", "user_id", F.col("opcode")), rows("x", "k", text("except ", "exception")), rows("y", "idx", text("at ", "pc")))
 
 
 @_add("with p as (select idx, user_id, case when opcode in ('cjalr', 'syscall') then 1 when opcode in ('cjr', 'eret') then -1 end as step from t where opcode in ('cjalr', 'cjr', 'syscall', 'eret')) select count(*) as calls from p where step = 1")

@@ -113,6 +113,33 @@ def elf_rows(spark: SparkSession, paths: list[str], maps: DataFrame | None = Non
     return moved.withColumn("addr", F.when(F.col("dynamic") & F.col("_at").isNotNull(), F.col("addr") + F.col("_at")).otherwise(F.col("addr"))).drop("_at").select(*[c.split()[0] for c in ELF.split(", ")])
 
 
+def located(spark: SparkSession, maps: DataFrame, folders: list[str]) -> DataFrame:
+    """(file, path): for each mapped file the one of its name in the first of the folders that has it; of `kernel` a `kernel.full` beside it is preferred."""
+    ranked = None
+    for i, folder in enumerate(folders):
+        own = spark.read.format("binaryFile").load(folder).select("path", F.lit(i).alias("rank"))
+        ranked = own if ranked is None else ranked.unionByName(own)
+    name = S.basename(F.col("path"))
+    full = name == "kernel.full"
+    found = ranked.select(F.when(full, "kernel").otherwise(name).alias("file"), F.struct("rank", (~full).alias("plain"), "path").alias("_f")).groupBy("file").agg(F.min("_f").alias("_f"))
+    return map_bases(maps).select("file").join(found, "file").select("file", "_f.path")
+
+
+def call_symbols_of(spark: SparkSession, maps: DataFrame, folders: list[str]) -> G.Step:
+    """The symbols of called addresses, from the binaries that a memory map names."""
+    paths = sorted(r["path"] for r in located(spark, maps, folders).collect())  # a row per mapped file
+    return G.call_symbols(symbols(elf_rows(spark, paths, maps))) if paths else lambda g: g
+
+
+def save_boundaries(files: DataFrame, path: str) -> None:
+    """Object files and their bounds (ordinal, objfile, file_base, tops) as lines of JSON."""
+    files.select("ordinal", "objfile", "file_base", "tops").write.mode("overwrite").json(path)
+
+
+def load_boundaries(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ordinal long, objfile string, file_base long, tops array<long>").json(path)
+
+
 def symbols(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 'symbol'").select("addr", "name", "file", "size", F.col("info").alias("type"))
 
