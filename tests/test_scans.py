@@ -163,8 +163,7 @@ def random_events(seed, n, shape):
     return events
 
 
-@pytest.mark.parametrize("width", [40, 1_000_000])
-@pytest.mark.parametrize("shape", [(4, 4, 1, 1, 0.3), (6, 3, 0, 0, 0), (2, 6, 1, 2, 0.2)])
+@pytest.mark.parametrize(("width", "shape"), [(40, (4, 4, 1, 1, 0.3)), (1_000_000, (6, 3, 0, 0, 0)), (150, (2, 6, 1, 2, 0.2))])
 def test_calls_against_one_stack(spark, width, shape):
     events = random_events(sum(shape), 400, shape)
     df = spark.createDataFrame([tuple(r.values()) for r in events], "idx long, time long, kind string, pc long, target long, expected long, raised boolean").repartition(4)
@@ -301,11 +300,9 @@ def test_pending_sets_against_a_fold(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in steps], "u int, at long, pc long, act string, dst int, src int, amount long, base long, length long, reads array<int>").repartition(3)
     places = spark.createDataFrame(locations, "variable string, lowpc long, highpc long, offset long, size long, members array<struct<name:string,offset:bigint,size:bigint>>")
     want = pending_by_fold(steps, locations)
-    for width in (170.0, 1e6):
-        got = {(r.u, r.at): tuple(r)[2:] for r in verify.pending_sets(df, places, ["u"], width).collect()}
-        assert got == want
+    got = {(r.u, r.at): tuple(r)[2:] for r in verify.pending_sets(df, places, ["u"], 170.0).collect()}
+    assert got == want
     assert {(x[0], x[5]) for x in want.values()} >= {("stack", "bounded"), ("stack", "wrong_bound"), ("stack", "used"), ("stack", "overwritten"), ("subobject", "bounded"), ("subobject", "used"), ("subobject", "wrong_bound"), ("andperm", "matched"), ("andperm", "used")}
-    assert verify.pending_sets(df.limit(0), places, ["u"]).collect() == []
 
 
 @pytest.mark.parametrize("by", [[], ["k"]])
