@@ -235,8 +235,9 @@ def mask_origin(spark, sf):
 
 @_add("select p_partkey, p_retailprice from part where not (p_retailprice >= 1000 and p_retailprice + p_size <= 1200)")
 def mask_range(spark, sf):
-    parts = _t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").alias("base"), F.col("p_size").alias("length"))
-    return G.without_stack(1000, 1200)(_only_vertices(parts)).vertices.select("p_partkey", F.col("base").alias("p_retailprice"))
+    # bounds are whole numbers: prices in cents
+    parts = _t(spark, sf, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("bigint").alias("base"), (F.col("p_size") * 100).cast("bigint").alias("length"))
+    return G.without_stack(100_000, 120_000)(_only_vertices(parts)).vertices.select("p_partkey", (F.col("base") / 100).alias("p_retailprice"))
 
 
 @_add("select o_orderkey from orders o where o_orderdate between timestamp '1996-01-01' and timestamp '1996-03-31' or exists (select 1 from lineitem where l_orderkey = o_orderkey and l_shipdate between timestamp '1996-01-01' and timestamp '1996-03-31')")
