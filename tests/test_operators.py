@@ -120,7 +120,7 @@ def fold(ops):
             free[v] = o["time"]
 
     for o in ops:
-        at = lambda n, o=o: (o["idx"] * 64 + o["sub"]) * 4 + n
+        at = lambda n, o=o: (o["idx"] * provenance._SUBS + o["sub"]) * provenance._PLACES + n
         cap, act, m, src, dst = (o["base"], o["length"], o["perms"], o["otype"]), o["act"], o["addr"], o["src"], o["dst"]
 
         def root(n, cap=cap, at=at):
