@@ -208,6 +208,17 @@ def test_forests_by_doubling(spark, monkeypatch):
     assert out == reached
 
 
+def test_a_large_table_of_nodes_is_not_broadcast(spark, monkeypatch):
+    points = spark.range(100).select("id", (F.col("id") * 7).alias("v"))
+    spans = spark.range(40).select(F.col("id").alias("o"), (F.col("id") * 10).alias("s"), (F.col("id") * 10 + 500).alias("e"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for rows, sent in ((1_000_000, True), (10, False)):
+        monkeypatch.setattr("tracewright.operators.storage.BROADCAST_ROWS", rows, raising=False)
+        found = lookup.first_covering(points, spans, "v", "s", "e", "o", ["o"])
+        assert ("SortMergeJoin" not in plan(found)) == sent
+        assert {r.id: r.o for r in found.collect()} == {i: next((o for o in range(40) if o * 10 <= i * 7 <= o * 10 + 500), None) for i in range(100)}
+
+
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     n, rounds = 20_000, []
     monkeypatch.setattr(closure, "_written", lambda df, f=closure._written: (rounds.append(1), f(df))[1])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..functions import scalars as S
-from .storage import written
+from .storage import to_join, written
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], on: str, take: list[str], forward: bool = False, strict: bool = False) -> DataFrame:
@@ -200,7 +200,7 @@ def first_covering(points: DataFrame, intervals: DataFrame, value: str, start: s
     levels = sorted(r[0] for r in nodes.select("_spot._level").distinct().collect())
     looks = F.array(*[F.struct(F.lit(x).alias("_level"), F.shiftright("_v", FAN_BITS * x).alias("_cell")) for x in levels or [0]])
     values = points.select(at(value).alias("_v")).where("_v is not null").distinct().withColumn("_spot", F.explode(looks))
-    best = values.join(nodes, "_spot").groupBy("_v").agg(F.min("_best").alias("_best"))
+    best = values.join(to_join(nodes), "_spot").groupBy("_v").agg(F.min("_best").alias("_best"))
     return points.withColumn("_v", at(value)).join(best, "_v", "left").select(*points.columns, *[F.col(f"_best._f{i}").alias(c) for i, c in enumerate(take)])
 
 

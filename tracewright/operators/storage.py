@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A table of `written` may be broadcast up to this many rows.
+BROADCAST_ROWS = 400_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; where it is unset in local mode (tests), an own one is set."""
@@ -44,3 +47,12 @@ def written(df: DataFrame) -> DataFrame:
 def dropped(df: DataFrame) -> None:
     """Delete a table of `written` that nothing reads any more."""
     _delete(df.sparkSession, df._written_path)
+
+
+def to_join(table: DataFrame) -> DataFrame:
+    """A table of `written` to join with: by a shuffle, if it has more rows than the driver holds with ease.
+
+    The planner goes by the size of the files, which are compressed: a few MB of
+    them can be a GB in the driver's memory.
+    """
+    return table.hint("merge") if table.count() > BROADCAST_ROWS else table
