@@ -233,6 +233,30 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
         closure.preorder(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "id long, parent long"))
 
 
+def test_preorder_of_a_shallow_forest_takes_rounds_by_its_depth(spark, monkeypatch):
+    n, rounds = 3000, []
+    monkeypatch.setattr(closure, "_written", lambda df, f=closure._written: (rounds.append(1), f(df))[1])
+    up = {i: None if i < 3 else f"k{i % 3}" if i < 40 else f"k{3 + i % 37}" for i in range(n)}
+    got = {r.id: (r.depth, r.enter, r.leave) for r in closure.preorder(spark.createDataFrame([(f"k{i}", p) for i, p in up.items()], "id string, parent string")).collect()}
+    below, want = {}, {}
+    for i, p in up.items():
+        below.setdefault(p, []).append(f"k{i}")
+
+    def visit(v, depth):
+        at, end = len(want), len(want)
+        want[v] = None
+        for c in sorted(below.get(v, [])):
+            end = visit(c, depth + 1)
+        want[v] = (depth, at, end)
+        return end
+
+    for r in sorted(below[None]):
+        visit(r, 0)
+    assert got == want and len(rounds) <= 3
+    with pytest.raises(ValueError, match="no vertex"):
+        closure.preorder(spark.createDataFrame([(1, None), (2, 9)], "id long, parent long"))
+
+
 def pending_by_fold(steps, locations):
     """The sessions of one activation after another, register by register."""
     out = {}

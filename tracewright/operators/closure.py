@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scan import running
-from .storage import dropped
+from .storage import dropped, to_join
 from .storage import written as _written
 
 
@@ -61,41 +61,58 @@ def descendants_in_forest(parents: DataFrame, seeds: DataFrame, carry: list[str]
     return out.select(key, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "depth")
 
 
+def _outer(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join on `key`; the many rows of `left` where that is null are spread over tasks."""
+    spread = F.when(F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(4096))).otherwise(0)
+    # 0 as well, but nothing that the optimizer would take out of the join
+    return left.withColumn("_turn", spread).join(right.withColumn("_turn", F.pmod(F.xxhash64(key), F.lit(1).cast("long"))), [key, "_turn"], "left").drop("_turn")
+
+
+#: So many times as far a vertex of `preorder` looks up after each round.
+_LOOK = 4
+
+
+def _ahead(state: DataFrame, parts: list[str]) -> DataFrame:
+    """A row of `state` (v, jump, parts...) with the places `jump1`, `jump2`, ... and their parts, and `jump{_LOOK}`, how far the next round begins."""
+    out = state.withColumnRenamed("jump", "jump1")
+    up = to_join(state).select("v", "jump", *parts)
+    for i in range(1, _LOOK):
+        out = _outer(out, up.select(F.col("v").alias(f"jump{i}"), F.col("jump").alias(f"jump{i + 1}"), *[F.col(c).alias(f"{c}{i}") for c in parts]), f"jump{i}")
+    return out
+
+
 def preorder(parents: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
     """(id, depth, enter, leave) of each vertex of a forest: its place in pre-order, and that of the last vertex below it.
 
     parents: a row per vertex; a root's parent is null.  Roots and children follow
     in the order of their ids.  Below a vertex is what has a place from its own to
-    its `leave`, so descendants are a range.  The tour that enters and leaves every
-    vertex is ranked by pointer doubling: rounds grow with the logarithm of the
-    number of vertices, whatever the forest's shape.  What a cycle hangs on is an error.
+    its `leave`, so descendants are a range.  First every vertex is counted for all
+    above it, then its place is the sum of what precedes it and each vertex above it
+    among their siblings.  Both go up by doubling: rounds grow with the logarithm of
+    the depth.  A cycle is an error.
     """
-    v = running(parents.select(F.col(key).alias("v"), F.col(parent).alias("p")), ["p"], ["v"], sibling=("next", F.col("v")))
-    children = v.where("p is not null").groupBy(F.col("p").alias("v")).agg(F.min("v").alias("child"))
-    stop = lambda x, leaves: F.struct(x.alias("v"), F.lit(leaves).alias("out"))
-    enter = F.when(F.col("child").isNotNull(), stop(F.col("child"), False)).otherwise(stop(F.col("v"), True))
-    leave = F.when(F.col("sibling").isNotNull(), stop(F.col("sibling"), False)).when(F.col("p").isNotNull(), stop(F.col("p"), True))
-    one, up = F.lit(1).cast("long"), F.lit(-1).cast("long")
-    both = F.array(F.struct(stop(F.col("v"), False).alias("at"), enter.alias("to"), one.alias("n"), one.alias("d")), F.struct(stop(F.col("v"), True).alias("at"), leave.alias("to"), F.lit(0).cast("long").alias("n"), up.alias("d")))
-    tour = _written(v.join(children, "v", "left").select(F.explode(both).alias("t")).select("t.*"))
-    total = tour.count()
-    for _ in range(total.bit_length() + 1):
-        if not tour.where("to is not null").take(1):
-            break
-        ahead = tour.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("d").alias("_d"))
-        open_ = tour.where("to is not null").join(ahead, "to").select("at", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n"), (F.col("d") + F.col("_d")).alias("d"))
-        following = _written(tour.where("to is null").unionByName(open_))
-        dropped(tour)
-        tour = following
-    else:
-        raise ValueError("the parents form a cycle")
-    if tour.count() != total:
+    state = _written(parents.select(F.col(key).alias("v"), F.col(parent).alias("p"), F.col(parent).alias("jump"), F.lit(1).cast("long").alias("n")))
+    total, rounds, far = state.count(), 0, 1
+    while state.where("jump is not null").take(1):
+        if far > total:  # no path has more vertices than there are
+            raise ValueError("the parents form a cycle")
+        seen = _ahead(state.select("v", "jump", "n"), [])
+        # n are the vertices less than `far` below; those of the next stretches follow
+        more = seen.select(F.explode(F.array(*[f"jump{i}" for i in range(1, _LOOK)])).alias("v"), "n").where("v is not null").groupBy("v").agg(F.sum("n").alias("_more"))
+        following = _written(seen.select("v", F.col(f"jump{_LOOK}").alias("jump"), "n").join(more, "v", "left").join(state.select("v", "p"), "v").select("v", "p", "jump", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("n")))
+        dropped(state)
+        state, rounds, far = following, rounds + 1, far * _LOOK
+    if (state.where("p is null").agg(F.sum("n")).first()[0] or 0) != total:
         raise ValueError("a parent is no vertex")
-    most = total // 2
-    pick = lambda leaves, c: F.max(F.when(F.col("at.out") == leaves, F.col(c)))
-    ranks = tour.groupBy("at.v").agg(pick(False, "n").alias("a"), pick(True, "n").alias("b"), pick(False, "d").alias("d"))
-    # what is left of the tour has as many steps down less than up as the vertex is deep
-    return ranks.select(F.col("v").alias(key), (-F.col("d")).cast("int").alias("depth"), (F.lit(most) - F.col("a")).alias("enter"), (F.lit(most) - F.col("b") - 1).alias("leave"))
+    own = running(state.select("v", "p", "n"), ["p"], ["v"], before=("sum", F.col("n"), False))
+    deep = F.col("p").isNotNull().cast("long")
+    sums = own.select("v", F.col("p").alias("jump"), "n", (F.coalesce("before", F.lit(0)) + deep).alias("enter"), deep.alias("depth"))
+    for _ in range(rounds):
+        sums = _written(sums)
+        seen = _ahead(sums, ["enter", "depth"])
+        along = lambda c: F.col(c) + sum((F.coalesce(f"{c}{i}", F.lit(0)) for i in range(1, _LOOK)), F.lit(0))
+        sums = seen.select("v", F.col(f"jump{_LOOK}").alias("jump"), "n", along("enter").alias("enter"), along("depth").alias("depth"))
+    return sums.select(F.col("v").alias(key), F.col("depth").cast("int").alias("depth"), "enter", (F.col("enter") + F.col("n") - 1).alias("leave"))
 
 
 def roots_by_doubling(parents: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
