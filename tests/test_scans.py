@@ -257,6 +257,39 @@ def test_preorder_of_a_shallow_forest_takes_rounds_by_its_depth(spark, monkeypat
         closure.preorder(spark.createDataFrame([(1, None), (2, 9)], "id long, parent long"))
 
 
+def _plans(monkeypatch, module):
+    """The plans of the tables that a module writes from now on."""
+    plans = []
+    monkeypatch.setattr(module, "_written", lambda df, f=module._written: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df))[1])
+    return plans
+
+
+def test_vertices_that_look_no_further_stay_out_of_the_join(spark, monkeypatch):
+    plans = _plans(monkeypatch, closure)
+    parents = spark.range(1, 200).select(F.col("id").alias("vid"), (F.col("id") - F.when(F.col("id") % 2 == 0, 2).otherwise(1)).alias("parent"))
+    marks = spark.createDataFrame([(4, "a"), (90, "b"), (33, "c"), (500, "d")], "vid long, mark string")
+    up, held, want = {i: i - (2 if i % 2 == 0 else 1) for i in range(1, 200)}, {4: "a", 90: "b", 33: "c", 500: "d"}, {}
+    for v in [*range(200), 500]:
+        x, far = v, 0
+        while x is not None and x not in held:
+            x, far = up.get(x), far + 1
+        if x is not None:
+            want[v] = (held[x], far)
+    assert {r.vid: (r.mark, r.far) for r in closure.nearest_marked(parents, marks, distance="far").collect()} == want
+    assert len(plans) > 3 and all("LeftOuter" not in p for p in plans[1:])
+
+
+def test_versions_that_follow_nothing_stay_out_of_the_join(spark, monkeypatch):
+    plans = _plans(monkeypatch, provenance)
+    cap = dict(valid=True, origin="SETBOUNDS", pc=0, is_kernel=False, base=0, offset=0, length=64, perms=7, otype=0, sealed=False, flags=0)
+    acts = [("root", "r1", None), ("copy", "r2", "r1"), ("clear", "r1", None), ("derive", "r3", "r2"), ("copy", "r4", "r1"), ("derive", "r5", "r9")]
+    names = [x.split()[0] for x in provenance.UOP.split(", ")]
+    rows = [tuple((cap | dict(idx=i, sub=0, act=act, dst=dst, src=src, addr=None, time=i, valid=i != 4)).get(c) for c in names) for i, (act, dst, src) in enumerate(acts)]
+    found = provenance.provenance(spark.createDataFrame(rows, provenance.UOP)).vertices
+    assert sorted((r.origin, r.t_alloc) for r in found.collect()) == [("INITIAL_ROOT", -1), ("ROOT", 0), ("SETBOUNDS", 3), ("SETBOUNDS", 5)]
+    assert any("isnull(to" in p for p in plans if "_real" in p)
+
+
 def pending_by_fold(steps, locations):
     """The sessions of one activation after another, register by register."""
     out = {}

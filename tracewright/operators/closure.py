@@ -145,10 +145,11 @@ def nearest_marked(parents: DataFrame, marks: DataFrame, key: str = "vid", mark:
         rounds -= 1
         if rounds < 0:
             raise ValueError("the parents form a cycle")
-        up = state.select(F.col(key).alias("jump"), F.col("jump").alias("_jump"), F.col(mark).alias("_mark"), F.col("_steps").alias("_more"))
+        up = to_join(state).select(F.col(key).alias("jump"), F.col("jump").alias("_jump"), F.col(mark).alias("_mark"), F.col("_steps").alias("_more"))
         before = state
-        seen = F.coalesce(mark, "_mark")
-        state = _written(state.join(up, "jump", "left").select(key, seen.alias(mark), F.when(seen.isNull(), F.col("_jump")).alias("jump"), (F.col("_steps") + F.coalesce("_more", F.lit(0))).alias("_steps")))
+        # every jump leads to a row, and what looks no further stays out of the join, where a null would be one key
+        looked = state.where("jump is not null").join(up, "jump").select(key, F.col("_mark").alias(mark), F.when(F.col("_mark").isNull(), F.col("_jump")).alias("jump"), (F.col("_steps") + F.col("_more")).alias("_steps"))
+        state = _written(state.where("jump is null").unionByName(looked))
         dropped(before)
     return state.where(F.col(mark).isNotNull()).select(key, mark, *([F.col("_steps").alias(distance)] if distance else []))
 
