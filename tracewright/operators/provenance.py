@@ -125,7 +125,8 @@ def provenance(uops: DataFrame, chunk_rows: int = 1_000_000) -> Provenance:
     ends = _follow(weak.unionByName(own.where("kind <> 'weak'").join(weak.select(F.col("to").alias("vid")).distinct(), "vid", "left_semi").select("vid", F.col("vid").alias("to")).distinct()))
     kinds = own.groupBy("vid").agg(F.max("kind").alias("kind"))
     real_weak = ends.join(kinds.withColumnRenamed("vid", "to").withColumnRenamed("kind", "_k"), "to").where("_k in ('root', 'derive', 'own', 'copy')").select(F.col("vid").alias("to"), F.lit(True).alias("_real"))
-    known = own.join(real_weak, "to", "left")
+    # versions that follow nothing stay out of the join, where a null would be one key
+    known = own.where("to is not null").join(real_weak, "to", "left").unionByName(own.where("to is null").withColumn("_real", F.lit(None).cast("boolean")))
     real = F.col("to_kind").isin("root", "derive", "own", "copy") | F.coalesce("_real", F.lit(False))
     makes = F.col("kind").isin("root", "derive") | ((F.col("kind") == "own") & ~F.coalesce(real, F.lit(False)))
     known = _written(known.withColumn("makes", makes).withColumn("real", F.coalesce(real, F.lit(False))))
