@@ -290,6 +290,18 @@ def test_versions_that_follow_nothing_stay_out_of_the_join(spark, monkeypatch):
     assert any("isnull(to" in p for p in plans if "_real" in p)
 
 
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_a_floor_lookup_does_not_copy_its_rows(spark, kind):
+    rng = random.Random(5)
+    keys = sorted({rng.choice([0, 1 << 20, 1 << 45, -(1 << 50)]) + rng.randint(0, 900) for _ in range(80)})
+    values = [rng.choice(keys) + rng.randint(-400, 400) for _ in range(400)] + [keys[0] - 1, *keys]
+    of = int if kind == "long" else float
+    left = spark.createDataFrame([(j, of(v)) for j, v in enumerate(values)], f"j int, v {kind}")
+    found = lookup.floor_lookup(left, spark.createDataFrame([(of(k), i) for i, k in enumerate(keys)], f"k {kind}, i int"), "v", "k", ["i"], 64)
+    assert {r.j: r.i for r in found.collect()} == {j: max((i for i, k in enumerate(keys) if k <= v), default=None) for j, v in enumerate(values)}
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def pending_by_fold(steps, locations):
     """The sessions of one activation after another, register by register."""
     out = {}

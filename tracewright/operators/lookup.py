@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from ..functions import scalars as S
+from .scan import running
 from .storage import to_join, written
 
 
@@ -129,9 +130,10 @@ def floor_lookup(left: DataFrame, table: DataFrame, value: str, key: str, take:
     """Each left row with the row of `table` whose key is the greatest not above the value; of equal keys the row with the greatest `take`.
 
     Whole numbers are compared as they are, as unsigned ones if asked for; others as
-    doubles.  A step is entered as the interval up to the next one, in at most 17
-    cells, and a value meets the one step that holds it by an equi-join of cells, so
-    adaptive execution can split a value that very many rows have.  Values below all
+    doubles.  A step is entered in its own cell of `width`, and a cell with values has
+    the last step before it too; a value meets the one step that holds it by an
+    equi-join of cells, so adaptive execution can split a value that very many rows
+    have.  Each row is shuffled once, however far apart the steps are.  Values below all
     steps, nulls and NaN take nothing.
     """
     whole = _whole((left, value), (table, key))
@@ -144,13 +146,16 @@ def floor_lookup(left: DataFrame, table: DataFrame, value: str, key: str, take:
     ground = left.sparkSession.createDataFrame([(least,)], f"_on {kind}")
     steps = table.select(at(key).alias("_on"), held.alias("_step")).where("_on is not null").unionByName(ground, allowMissingColumns=True)
     steps = with_following(steps.groupBy("_on").agg(F.max("_step").alias("_step")), "_on", "_to")
-    end = F.coalesce(F.col("_to") - 1 if whole else F.col("_to"), F.lit(most))
-    entered = written(steps.withColumn("_spot", F.explode(cells.spots(F.col("_on"), end, cells.level(F.col("_on"), end)))))
-    levels = sorted(r[0] for r in entered.select("_spot._level").distinct().collect())
+    cell = lambda c: (cells.cell(F.col(c), F.lit(0)) if whole else F.floor(F.least(F.greatest(F.col(c) / cells.width, F.lit(-4e18)), F.lit(4e18))).cast("long")).alias("_cell")
+    entered = written(steps.select(cell("_on"), F.struct("_on", "_to", "_step").alias("_s")))
     asked = left.withColumn("_v", at(value) if whole else F.least(F.greatest(F.nanvl(at(value), F.lit(None).cast("double")), F.lit(least)), F.lit(most)))
     asked = asked.withColumn("_v", F.when(F.col(value).isNotNull() & (F.lit(whole) | ~F.isnan(at(value))), F.col("_v")))
-    points = asked.where("_v is not null").withColumn("_spot", F.explode(cells.looks(F.col("_v"), levels)))
-    met = points.join(entered, (points["_spot"] == entered["_spot"]) & (F.col("_v") >= F.col("_on")) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to"))))
+    points = asked.where("_v is not null").select("*", cell("_v"))
+    # of each cell with values, the last step that begins in a cell before it
+    ends = entered.groupBy("_cell").agg(F.max("_s").alias("_s"), F.lit(False).alias("_asked")).unionByName(points.select("_cell", F.lit(None).cast(entered.schema["_s"].dataType).alias("_s"), F.lit(True).alias("_asked")).distinct())
+    ends = running(ends.groupBy("_cell").agg(F.max("_s").alias("_s"), F.max("_asked").alias("_asked")), [], ["_cell"], _before=("last", F.col("_s"), False))
+    spots = written(entered.unionByName(ends.where("_asked and _before is not null").select("_cell", F.col("_before").alias("_s"))).select(F.col("_cell").alias("_spot"), "_s.*"))
+    met = points.join(to_join(spots), (F.col("_cell") == F.col("_spot")) & (F.col("_v") >= F.col("_on")) & (F.col("_to").isNull() | (F.col("_v") < F.col("_to"))))
     out = met.select(*left.columns, "_step").unionByName(asked.where("_v is null").select(*left.columns), allowMissingColumns=True)
     return out.select(*left.columns, *[F.col(f"_step._f{i}").alias(c) for i, c in enumerate(take)])
 
@@ -253,8 +258,6 @@ def two_lookups(left: DataFrame, first: DataFrame, first_on: list[str], second:
 
 def zip_compare(left: DataFrame, right: DataFrame, by: list[str], l_order: list[str], r_order: list[str], columns: list[str]) -> DataFrame:
     """Rows of equal place in two ordered streams; `differs` lists the columns that aren't equal."""
-    from .scan import running
-
     l = running(left, by, l_order, place=("sum", F.lit(1)))  # noqa: E741
     r = running(right, by, r_order, place=("sum", F.lit(1))).select(*by, *[F.col(c).alias(f"other_{c}") for c in columns], "place")
     differs = F.filter(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"other_{c}")), F.lit(c)) for c in columns]), lambda x: x.isNotNull())
