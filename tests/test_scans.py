@@ -171,6 +171,25 @@ def test_calls_against_one_stack(spark, width, shape):
     assert got == folded(events)
 
 
+def test_open_calls_are_held_as_numbers():
+    """A fold's memory, which at many open calls is its task's: under 100 bytes a call, and output in batches."""
+    import tracemalloc
+
+    for last in (True, False):
+        out = []
+        tracemalloc.start()
+        fold = calls._Fold(last, out)
+        for i in range(30_000):
+            fold.step((i, i * 2, "call", i * 4, i * 8, None, False))
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        n, most = 0, 0
+        for _ in fold.end():
+            n, most = n + len(out), max(most, len(out))
+            out.clear()
+        assert held < 30_000 * 100 and n + len(out) == 30_000 + (1 if last else 0) and most <= 10_000
+
+
 def test_calls_of_nothing(spark):
     none = spark.createDataFrame([], "idx long, time long, kind string, pc long, target long, expected long, raised boolean")
     assert [(r.call, r.op, r.depth) for r in calls.call_graph(none).collect()] == [(-1, 0, 0)]

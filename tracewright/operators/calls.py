@@ -18,15 +18,17 @@ remainder until a wider chunk, or the last fold, knows what is there.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import CALL, SYSCALL
 from .scan import running
-from .storage import dropped, written
+from .storage import BROADCAST_ROWS, dropped, written
 
 FRAMES = "call long, parent long, op int, address long, t_call long, addr_call long, t_return long, addr_return long, closed long, depth int"
 #: One row of a fold: a finished frame (`base`: the place that its depth counts from), a place found, or an event that is left.
@@ -34,19 +36,29 @@ _ROW = f"what string, {FRAMES}, base long, idx long, kind string, time long, pc
 _NAMES = [x.split()[0] for x in _ROW.split(", ")]
 
 
-def steps(events: DataFrame) -> DataFrame:
-    """(idx, time, kind, pc, target, expected, within) of `call_events`: what acts on the stack; an eret is `unwind` if it ends a system call's exception."""
+def steps(events: DataFrame, width: int) -> DataFrame:
+    """(idx, time, kind, pc, target, expected, within, chunk) of `call_events`: what acts on the stack, dealt to chunks; an eret is `unwind` if it ends a system call's exception.
+
+    Running aggregates see exceptions and erets only.  Whether a system call is open
+    is told in each chunk, and by a row a chunk of what was before it.
+    """
     is_eret = F.col("kind") == "eret"
-    rows = events.select("idx", "time", "kind", "pc", "target", "expected", F.coalesce("raised", F.lit(False)).alias("raised"))
+    names = ["idx", "time", "kind", "pc", "target", "expected"]
     # exceptions open: up with one that is raised, down with an eret, never below zero
-    rows = running(rows, [], ["idx"], _sum=("sum", F.col("raised").cast("long") - is_eret.cast("long"), False))
-    rows = rows.withColumn("_sum", F.coalesce("_sum", F.lit(0)))
-    rows = running(rows, [], ["idx"], _least=("min", F.when(is_eret, F.col("_sum") - 1), False))
+    some = running(events.where(is_eret | F.col("raised")), [], ["idx"], _sum=("sum", F.col("raised").cast("long") - is_eret.cast("long"), False))
+    some = some.withColumn("_sum", F.coalesce("_sum", F.lit(0)))
+    some = running(some, [], ["idx"], _least=("min", F.when(is_eret, F.col("_sum") - 1), False))
     ends = is_eret & (F.col("_sum") - F.least(F.lit(0), F.coalesce("_least", F.lit(0))) == 1) & ~F.col("raised")
-    rows = running(rows.withColumn("_ends", ends), [], ["idx"], within=("last", F.when(F.col("kind") == "syscall", True).when(F.col("_ends"), False), False))
-    kind = F.when(F.col("_ends") & F.col("within"), "unwind").when(F.col("kind").isin("call", "syscall", "return"), F.col("kind"))
-    rows = rows.withColumn("within", F.coalesce("within", F.lit(False))).withColumn("kind", kind)
-    return rows.where("kind is not null").select("idx", "time", "kind", "pc", "target", "expected", "within")
+    rows = events.where(F.col("kind").isin("call", "syscall", "return")).unionByName(some.where(ends).select(*events.columns))
+    flag = F.when(F.col("kind") == "syscall", True).when(is_eret, False)
+    rows = rows.select(*names, flag.alias("_flag"), F.floor(F.col("idx") / width).cast("long").alias("chunk"))
+    before = running(rows.groupBy("chunk").agg(F.max_by("_flag", F.when(F.col("_flag").isNotNull(), F.col("idx"))).alias("_flag")), [], ["chunk"], _before=("last", F.col("_flag"), False))
+    before = written(before.select("chunk", "_before"))
+    before = F.broadcast(before) if before.count() <= BROADCAST_ROWS else before
+    own = F.last("_flag", ignorenulls=True).over(W.partitionBy("chunk").orderBy("idx").rowsBetween(W.unboundedPreceding, -1))
+    told = rows.join(before, "chunk").repartition("chunk").withColumn("within", F.coalesce(own, "_before", F.lit(False)))
+    kind = F.when(~is_eret, F.col("kind")).when(F.col("within"), "unwind")
+    return told.withColumn("kind", kind).where("kind is not null").select(*names, "within", "chunk")
 
 
 def _number(x):
@@ -60,12 +72,18 @@ class _Place:
         self.idx, self.used = idx, False
 
 
+#: Rows of output that a fold gathers.
+_BATCH = 10_000
+_TIME, _PC, _TARGET, _EXPECTED, _IS_SYSCALL, _WITHIN = 1, 2, 4, 8, 16, 32
+
+
 class _Fold:
-    """A stack of [call, parent, place, depth above it, op, address, t_call, addr_call, expected, event]."""
+    """A stack of calls as columns of numbers (about 41 bytes a call); all of them have one place, and a call's caller is the one below it.  The last fold has a root below all."""
 
-    def __init__(self, last: bool):
-        self.last, self.out, self.place, self.roots = last, [], None, 1
-        self.stack = [[-1, None, None, 0, 0, None, None, None, None, None]] if last else []
+    def __init__(self, last: bool, out: list):
+        self.last, self.out, self.place, self.roots = last, out, None, 1
+        self.call, self.time, self.pc, self.target, self.expected = (array("q") for _ in range(5))
+        self.flags = array("B")
 
     def _emit(self, what: str, **x) -> None:
         self.out.append([what, *(x.get(c) for c in _NAMES[1:])])
@@ -73,19 +91,32 @@ class _Fold:
     def _left(self, r) -> None:
         self._emit("event", idx=r[0], kind=r[2], time=_number(r[1]), pc=_number(r[3]), target=_number(r[4]), expected=_number(r[5]), within=r[6])
 
-    def _frame(self, f, **end) -> None:
-        if f[2]:
-            f[2].used = True
-        self._emit("frame", call=f[0], parent=f[1], base=f[2].idx if f[2] else None, depth=f[3], op=f[4], address=f[5], t_call=f[6], addr_call=f[7], **end)
+    def _held(self, i: int) -> tuple:
+        """(call, kind, time, pc, target, expected, within) of a call on the stack."""
+        f = self.flags[i]
+        return self.call[i], "syscall" if f & _IS_SYSCALL else "call", *(x[i] if f & bit else None for x, bit in ((self.time, _TIME), (self.pc, _PC), (self.target, _TARGET), (self.expected, _EXPECTED))), bool(f & _WITHIN)
+
+    def _caller(self, i: int):
+        return self.call[i - 1] if i else -self.roots if self.last else None
+
+    def _frame(self, i: int, **end) -> None:
+        call, kind, time, pc, target, _, _ = self._held(i)
+        if self.place:
+            self.place.used = True
+        self._emit("frame", call=call, parent=self._caller(i), base=self.place.idx if self.place else None, depth=i + self.last, op=SYSCALL if kind == "syscall" else CALL, address=target, t_call=time, addr_call=pc, **end)
 
     def _close(self, r) -> int:
-        f = self.stack.pop()
-        if self.last and not self.stack:  # what closes the root makes a new one above it
+        end = dict(t_return=_number(r[1]), addr_return=_number(r[3]), closed=int(r[0]))
+        if not self.call:  # what closes the root makes a new one above it
             self.roots += 1
-            f[1] = -self.roots
-            self.stack.append([-self.roots, None, None, 0, 0, None, None, None, None, None])
-        self._frame(f, t_return=_number(r[1]), addr_return=_number(r[3]), closed=int(r[0]))
-        return f[4]
+            self._emit("frame", call=1 - self.roots, parent=-self.roots, depth=0, op=0, **end)
+            return 0
+        i = len(self.call) - 1
+        self._frame(i, **end)
+        op = SYSCALL if self.flags[i] & _IS_SYSCALL else CALL
+        for x in (self.call, self.time, self.pc, self.target, self.expected, self.flags):
+            x.pop()
+        return op
 
     def _reached(self) -> None:
         """Something outside has changed, so that what follows stands elsewhere."""
@@ -98,75 +129,92 @@ class _Fold:
         return self.place
 
     def step(self, r) -> None:
-        idx, kind, stack = int(r[0]), r[2], self.stack
+        """What a row other than an unwinding does."""
+        idx, kind = int(r[0]), r[2]
         if kind == "place":
-            if stack:
-                top = stack[-1]
-                if top[2]:
-                    top[2].used = True
-                self._emit("place", idx=idx, parent=top[0], base=top[2].idx if top[2] else None, depth=top[3] + 1)
-            else:
-                here = self._here(idx)
+            here = None if self.last else self._here(idx) if not self.call else self.place
+            if here:
                 here.used = True
-                self._emit("place", idx=idx, base=here.idx, depth=0)
+            self._emit("place", idx=idx, parent=self._caller(len(self.call)), base=here.idx if here else None, depth=len(self.call) + self.last)
         elif kind in ("call", "syscall"):
-            parent, place, depth = (stack[-1][0], stack[-1][2], stack[-1][3] + 1) if stack else (None, self._here(idx), 0)
-            stack.append([idx, parent, place, depth, SYSCALL if kind == "syscall" else CALL, _number(r[4]), _number(r[1]), _number(r[3]), _number(r[5]), r])
-        elif kind == "return":
-            if not stack:
-                self._reached()
-                self._left(r)
-            elif (not r[6]) if stack[-1][8] is None else stack[-1][8] == _number(r[4]):
-                self._close(r)
+            if not self.call and not self.last:
+                self._here(idx)
+            flags = (kind == "syscall") * _IS_SYSCALL | bool(r[6]) * _WITHIN
+            for x, bit, y in ((self.time, _TIME, r[1]), (self.pc, _PC, r[3]), (self.target, _TARGET, r[4]), (self.expected, _EXPECTED, r[5])):
+                y = _number(y)
+                x.append(0 if y is None else y)
+                flags |= bit * (y is not None)
+            self.call.append(idx)
+            self.flags.append(flags)
+        elif not self.call and not self.last:
+            self._reached()
+            self._left(r)
         else:
-            ended = False
-            while len(stack) > self.last and not ended:
-                ended = self._close(r) == SYSCALL
-            if not ended and self.last:
+            expected = self.expected[-1] if self.call and self.flags[-1] & _EXPECTED else None
+            if (not r[6]) if expected is None else expected == _number(r[4]):
                 self._close(r)
-            elif not ended:
-                self._reached()
-                self._left(r)
 
-    def end(self) -> None:
+    def unwind(self, r) -> Iterator[None]:
+        """Closes all up to the latest system call; stops where the output is a batch."""
+        ended = False
+        while self.call and not ended:
+            ended = self._close(r) == SYSCALL
+            if len(self.out) >= _BATCH:
+                yield
+        if not ended and self.last:
+            self._close(r)
+        elif not ended:
+            self._reached()
+            self._left(r)
+
+    def end(self) -> Iterator[None]:
+        """What is still on the stack; stops where the output is a batch."""
         self._reached()
-        for f in self.stack:
+        if self.last:
+            self._emit("frame", call=-self.roots, depth=0, op=0)
+        for i in range(len(self.call)):
             if self.last:
-                self._frame(f)
+                self._frame(i)
             else:
-                self._left(f[9])
+                call, kind, *rest = self._held(i)
+                self._left((call, rest[0], kind, *rest[1:]))
+            if len(self.out) >= _BATCH:
+                yield
 
 
-def _folded(rows: DataFrame, width: int | None) -> DataFrame:
-    """Rows of _ROW: the events folded in chunks of `width` places, or all of them to the end."""
-    events = rows.select("idx", "time", "kind", "pc", "target", "expected", "within", F.lit(0).alias("chunk") if width is None else F.floor(F.col("idx") / width).cast("long").alias("chunk"))
+def _folded(rows: DataFrame, width: int | None, dealt: bool = False) -> DataFrame:
+    """Rows of _ROW: the events folded in chunks of `width` places, or all of them to the end.  dealt: they have their chunks, each in one task."""
+    chunk = F.lit(0) if width is None else F.col("chunk") if dealt else F.floor(F.col("idx") / width).cast("long")
+    events = rows.select("idx", "time", "kind", "pc", "target", "expected", "within", chunk.alias("chunk"))
     order = ["chunk", "idx", F.col("kind") != "place"]
-    dealt = events.coalesce(1) if width is None else events.repartition("chunk")
+    events = events.coalesce(1) if width is None else events if dealt else events.repartition("chunk")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, fold = None, _Fold(True) if width is None else None
+        out: list = []
+        chunk, fold = None, _Fold(True, out) if width is None else None
 
-        def made(out: list) -> pd.DataFrame:
-            return pd.DataFrame(out, columns=_NAMES, dtype=object)
+        def made() -> pd.DataFrame:
+            df = pd.DataFrame(out, columns=_NAMES, dtype=object)
+            out.clear()
+            return df
 
         for pdf in batches:
-            out = []
             for r in pdf.astype(object).itertuples(index=False, name=None):
                 if width is not None and r[7] != chunk:
-                    if fold:
-                        fold.end()
-                        out += fold.out
-                    chunk, fold = r[7], _Fold(False)
-                fold.step(r)
-            out += fold.out if fold else []
-            if fold:
-                fold.out = []
-            yield made(out)
-        if fold:
-            fold.end()
-            yield made(fold.out)
-
-    return dealt.sortWithinPartitions(*order).mapInPandas(run, _ROW)
+                    for _ in fold.end() if fold else ():
+                        yield made()
+                    chunk, fold = r[7], _Fold(False, out)
+                if r[2] == "unwind":
+                    for _ in fold.unwind(r):
+                        yield made()
+                else:
+                    fold.step(r)
+            yield made()
+        for _ in fold.end() if fold else ():
+            yield made()
+        yield made()
+
+    return events.sortWithinPartitions(*order).mapInPandas(run, _ROW)
 
 
 def call_graph(events: DataFrame, width: int = 1_000_000, fan: int = 64) -> DataFrame:
@@ -177,23 +225,25 @@ def call_graph(events: DataFrame, width: int = 1_000_000, fan: int = 64) -> Data
     the latest system call.  What closes the root makes a new root above it.  depth
     counts the calls below on the stack; a root has 0.
     """
-    left = written(steps(events))
-    span = left.agg(F.min("idx").alias("a"), F.max("idx").alias("b")).first()
+    names = ["idx", "time", "kind", "pc", "target", "expected"]
+    events = written(events.select(*names, F.coalesce("raised", F.lit(False)).alias("raised")))
+    left, span = steps(events, width), events.agg(F.min("idx").alias("a"), F.max("idx").alias("b")).first()
     rounds: list[DataFrame] = []
     while span["a"] is not None and span["a"] // width != span["b"] // width:
-        folded = written(_folded(left, width))
+        folded = written(_folded(left, width, not rounds))
         if not rounds:
-            dropped(left)
+            dropped(events)
         rounds.append(folded)
         left = folded.where("what = 'event'")
         width *= fan
-    last = written(_folded(left, None))
-    names = [x.split()[0] for x in FRAMES.split(", ")]
-    found, places = last.where("what = 'frame'").select(*names), None
-    if rounds:
-        places = last.where("what = 'place'").select(F.col("idx").alias("base"), F.col("parent").alias("_parent"), F.col("depth").alias("_depth"))
+    last = written(_folded(left if rounds else written(left), None))
+    names, place = [x.split()[0] for x in FRAMES.split(", ")], [F.col("parent").alias("_parent"), F.col("depth").alias("_depth")]
+    found, places = last.where("what = 'frame'").select(*names), last.where("what = 'place'").select(F.col("idx").alias("base"), *place)
     for folded in reversed(rounds):
+        # a place for each stretch of calls between returns that reach out of their chunk: mostly few
+        places = written(places)
+        places = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
         known = folded.where("what <> 'event'").join(places, "base", "left").withColumn("parent", F.coalesce("parent", "_parent")).withColumn("depth", (F.col("depth") + F.coalesce("_depth", F.lit(0))).cast("int"))
         found = found.unionByName(known.where("what = 'frame'").select(*names))
-        places = known.where("what = 'place'").select(F.col("idx").alias("base"), F.col("parent").alias("_parent"), F.col("depth").alias("_depth"))
+        places = known.where("what = 'place'").select(F.col("idx").alias("base"), *place)
     return found
