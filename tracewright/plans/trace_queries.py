@@ -551,7 +551,7 @@ frames as (select call, case when nested = 1 then o_orderkey * 100 else coalesce
 def call_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The rows of `trace.call_events` that orders and their lines make."""
     orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 10").select("l_orderkey", "l_linenumber").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 10").select("l_orderkey", "l_linenumber").distinct().join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     none = F.lit(None).cast("bigint")
     row = lambda idx, kind, target, expected: F.struct(idx.alias("idx"), F.lit(kind).alias("kind"), target.cast("bigint").alias("target"), expected.alias("expected"))
     at, inner = F.col("o_orderkey") * 100, F.col("l_orderkey") * 100 + F.col("l_linenumber") * 9
