@@ -130,6 +130,30 @@ def test_lines_that_share_a_passage_and_a_large_near_group(spark, monkeypatch):
     assert got == want
 
 
+def test_lines_of_smaller_buckets_need_no_rare_shingles(spark, monkeypatch):
+    rng, abc = random.Random(15), "abcdefghijklmnopqrstuvwxyz"
+    text = lambda n: "".join(rng.choice(abc) for _ in range(n))
+    lines, base = [], text(300)
+    for _ in range(12):  # groups of a few near copies, each unlike the others but for their first 200 characters
+        own = base[:200] + text(100)
+        lines += [own, own[:250] + "#" + own[251:], own[:-20]]
+    monkeypatch.setattr(op1_line_dedup, "_rare_prefixes", lambda *_: pytest.fail("shingles of all lines of a small bucket were ranked"))
+    want = {(at[0], first[0]) for at, first in brute_lines(list(enumerate(lines)))}
+    got = {(r.doc_id, r.keep_doc_id) for r in op1_line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == want and 1 < len({x[1] for x in want}) < len(lines)
+
+
+def test_sketches_agree(spark):
+    rng, n = random.Random(16), 30
+    byte = lambda: rng.choice([0, 1, 127, 128, 255, rng.randrange(256)])
+    pairs = [[(x := byte(), x if rng.random() < 0.5 else byte()) for _ in range(n)] for _ in range(400)]
+    words = lambda p, side: [int.from_bytes(bytes([z[side] for z in p[8 * k : 8 * k + 8]]), "little") for k in range(4)]
+    rows = [[i, *[w - (w >> 63 << 64) for side in (0, 1) for w in words(p, side)]] for i, p in enumerate(pairs)]
+    got = spark.createDataFrame(rows, "i int, " + ", ".join(f"{side}s{k} long" for side in "ab" for k in range(4))).where(op1_line_dedup._agree())
+    want = {i for i, p in enumerate(pairs) if sum(x == y for x, y in p) > 13}
+    assert {r.i for r in got.collect()} == want and 0 < len(want) < 400
+
+
 def test_lines_runs_without_python(docs):
     plan = op1_line_dedup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -14,11 +14,11 @@ hardly any chance pairs however many lines there are.
    more than `CROWD` lines, every line outside the bucket's largest component is
    compared with `CENTRES` more of its lines.
 4. Where buckets still hold several components, their other lines have met only
-   the centre.  Those of buckets with at most `FEW` are compared with each other;
-   those of larger ones with lines of other components that share one of their
-   rarest shingles, which similar lines must (prefix filter).  So a large group of
-   near copies costs a few comparisons a line, and lines that share a frequent
-   passage never meet for that.
+   the centre.  Those of buckets with at most `CROWD` lines all meet those of other
+   components, first by their minima; those of larger ones meet lines of other
+   components that share one of their rarest shingles, which similar lines must
+   (prefix filter).  So a large group of near copies costs a few comparisons a
+   line, and lines that share a frequent passage never meet for that.
 5. One line of each component stays: the first by document and line number.
 
 At a similarity of 0.8 a pair shares a bucket with probability
@@ -35,6 +35,7 @@ and the text column are read, so other columns may have any names.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -45,11 +46,13 @@ from .components import connected_components
 
 WINDOW, BANDS, ROWS, SIMILARITY = 12, 10, 3, 0.8
 #: Sequences of places are made for pieces of a line with this many windows; so many windows are hashed in one row.
-PIECE, STEP = 4096, 16
-#: Buckets with more lines than this get so many more centres.
-CROWD, CENTRES = 64, 4
-#: So many lines of a bucket are compared with each other; pairs with so few minima in common aren't similar.
-FEW, UNLIKE = 8, 13
+PIECE, STEP = 4096, 32
+#: Buckets with more lines than this get so many more centres; in smaller ones the minima of all lines are compared.
+CROWD, CENTRES = 128, 4
+#: Pairs with so few minima in common aren't similar.
+UNLIKE = 13
+#: The columns of a sketch: a byte of each minimum, eight to a number.
+SKETCH = [f"s{k}" for k in range((BANDS * ROWS + 7) // 8)]
 #: Of a line's rarest shingles so many go along, to tell which is the first that two lines share.
 FIRST = 32
 #: Numbers of lines that go and keys of their documents are broadcast up to this many, else joined by a shuffle.
@@ -72,10 +75,16 @@ def _hash_at(code: Column, place: Column) -> Column:
     return F.xxhash64(F.substring(code, place * 4 + 1, F.lit(4 * WINDOW)))
 
 
+def _hashes(line: Column) -> Column:
+    """The hashes of all windows of a line."""
+    coded = F.array(F.encode(line, "UTF-32"))  # a lambda's variable is evaluated once
+    places = lambda c: F.sequence(F.lit(1), F.greatest(F.octet_length(c) - (4 * WINDOW - 1), F.lit(1)), F.lit(4))
+    return F.transform(coded, lambda c: F.transform(places(c), lambda i: F.xxhash64(F.substring(c, i, F.lit(4 * WINDOW)))))[0]
+
+
 def shingles(line: Column) -> Column:
     """The hashes of a line's different shingles."""
-    coded = F.array(F.encode(line, "UTF-32"))  # a lambda's variable is evaluated once
-    return F.array_distinct(F.transform(coded, lambda c: F.transform(F.sequence(F.lit(0), _windows(c) - 1), lambda i: _hash_at(c, i)))[0])
+    return F.array_distinct(_hashes(line))
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
@@ -104,21 +113,32 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """(lid, bands, sketch): of each different line the keys of its bands, and a byte of each minimum."""
+    """(lid, bands, s0, s1, ...): of each different line the keys of its bands, and its sketch."""
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    sketch = F.array(*[(F.col(f"m{i}").bitwiseAND(0xFF) - 128).cast("tinyint") for i in range(BANDS * ROWS)])
-    return _signatures(lines).select("lid", bands.alias("bands"), sketch.alias("sketch"))
+    byte = lambda i: F.shiftleft(F.col(f"m{i}").bitwiseAND(0xFF), i % 8 * 8)
+    words = [reduce(Column.bitwiseOR, [byte(i) for i in range(8 * k, min(8 * k + 8, BANDS * ROWS))]).alias(c) for k, c in enumerate(SKETCH)]
+    return _signatures(lines).select("lid", bands.alias("bands"), *words)
+
 
+def _sketch(known: DataFrame, side: str) -> DataFrame:
+    """(a, as0, as1, ...): the sketches by id, with a letter before each name."""
+    return known.select(F.col("id").alias(side), *[F.col(c).alias(side + c) for c in SKETCH])
 
-def _agree(x: Column, y: Column) -> Column:
-    """Whether two sketches have more than `UNLIKE` minima in common."""
-    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda z: z)) > UNLIKE
+
+def _agree() -> Column:
+    """Whether the sketches of a and b have more than `UNLIKE` minima in common: bytes that differ are gathered to a bit each and counted."""
+
+    def unlike(word: Column) -> Column:
+        for n in (4, 2, 1):
+            word = word.bitwiseOR(F.shiftrightunsigned(word, n))
+        return F.bit_count(word.bitwiseAND(0x0101010101010101))
+
+    return reduce(Column.__add__, [unlike(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH]) < BANDS * ROWS - UNLIKE
 
 
 def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sketches agree."""
-    both = pairs.join(known.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.where(_agree(F.col("x"), F.col("y"))).select("a", "b")
+    return pairs.join(_sketch(known, "a"), "a").join(_sketch(known, "b"), "b").where(_agree()).select("a", "b")
 
 
 def _rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
@@ -141,11 +161,11 @@ def _rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose lines have at least that Jaccard similarity of shingles."""
-    near = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    # texts are shuffled and the sets made here: a set is many times larger than its text.  Inside lambdas, so that each is made once
-    sets = F.array(F.struct(shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y")))
-    counts = F.transform(sets, lambda p: F.struct(F.size(F.array_intersect(p["x"], p["y"])).alias("both"), (F.size(p["x"]) + F.size(p["y"])).alias("all")))
-    return near.where(F.exists(counts, lambda n: n["both"] >= F.lit(similarity) * (n["all"] - n["both"]) - 1e-9)).select("a", "b")
+    x, y = (texts.select(F.col("id").alias(k), F.col("line").alias(f"{k}line"), F.col("size").alias(f"{k}size")) for k in "ab")
+    near = pairs.join(x, "a").join(y, "b").where(F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9)
+    # texts are shuffled and the hashes made here: they are many times larger than their text.  What is exploded is made once, and sets meet in generated code
+    made = near.select("a", "b", (F.col("asize") + F.col("bsize")).alias("all"), F.explode_outer(F.array(F.struct(_hashes(F.col("aline")).alias("x"), _hashes(F.col("bline")).alias("y")))).alias("p"))
+    return made.where(F.size(F.array_intersect("p.x", "p.y")) * F.lit(1 + similarity) >= F.lit(similarity) * F.col("all") - 1e-9).select("a", "b")
 
 
 def _labelled(banded: DataFrame, comps: DataFrame) -> DataFrame:
@@ -166,30 +186,32 @@ def _crowd_links(crowds: DataFrame, comps: DataFrame, known: DataFrame, texts: D
 
 
 def _mixed(banded: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(band, id, comp, n) of the buckets that without their centre, which has met every line of them, hold several components; n lines."""
+    """(band, id, comp) of the buckets that without their centre, which has met every line of them, hold several components."""
     met = scratch.table(_labelled(banded.where("id <> first"), comps), "met")
-    mixed = met.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
-    out = scratch.table(met.join(smaller_side(scratch.table(mixed, "mixed")), "band"), "mixed")
-    scratch.drop(met)
+    mixed = scratch.table(met.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band"), "mixed")
+    out = scratch.table(met.join(smaller_side(mixed), "band"), "mixed")
+    scratch.drop(met, mixed)
     return out
 
 
 def _few_links(mixed: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The links among lines of different components of buckets with at most `FEW` lines: each meets fewer than `FEW` others."""
-    held = mixed.where(F.col("n") <= FEW).groupBy("band").agg(F.collect_list(F.struct("id", "comp")).alias("m"))
-    each = F.flatten(F.transform("m", lambda x: F.transform("m", lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), ((x["id"] > y["id"]) & (x["comp"] != y["comp"])).alias("apart")))))
-    pairs = held.select(F.explode_outer(F.filter(each, lambda p: p["apart"])).alias("p")).where("p is not null").select("p.a", "p.b").distinct()
-    return scratch.table(_verified(_likely(pairs, known), texts, similarity), "links")
+    """The links among lines of different components of buckets with at most `CROWD` lines: each meets fewer than `CROWD` others, and only pairs whose sketches agree are made."""
+    held = scratch.table(mixed.join(known.select("id", *SKETCH), "id"), "few")
+    x, y = (held.select("band", F.col("id").alias(k), *[F.col(c).alias(k + c) for c in ("comp", *SKETCH)]) for k in "ab")
+    pairs = x.join(y, (x["band"] == y["band"]) & (F.col("a") > F.col("b")) & (F.col("acomp") != F.col("bcomp")) & _agree()).select("a", "b").distinct()
+    found = scratch.table(_verified(pairs, texts, similarity), "links")
+    scratch.drop(held)
+    return found
 
 
 def _rest_links(mixed: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """The links that no comparison with a centre shows in larger buckets, as pairs of lines that share a rare shingle."""
-    left = scratch.table(mixed.where(F.col("n") > FEW).select("id", "comp").distinct(), "rest")
-    prefixes = scratch.table(_rare_prefixes(texts.join(left, "id"), similarity).join(known.select("id", "sketch"), "id"), "prefixes")
-    x, y = (prefixes.select("h", *[F.col(c).alias(k + c) for c in ("id", "comp", "place", "size", "sketch", "first")]) for k in "ab")
+    left = scratch.table(mixed.select("id", "comp").distinct(), "rest")
+    prefixes = scratch.table(_rare_prefixes(texts.drop("size").join(left, "id"), similarity).join(known.select("id", *SKETCH), "id"), "prefixes")
+    x, y = (prefixes.select("h", *[F.col(c).alias(k + c) for c in ("id", "comp", "place", "size", "first", *SKETCH)]) for k in "ab")
     # the conditions are met inside the join: pairs of one component, of too different sizes, with unlike sketches, or with too few shingles from this place on, are never made
     after = 1 + F.least(F.col("asize") - F.col("aplace"), F.col("bsize") - F.col("bplace"))
-    apart = (after >= F.lit(similarity / (1 + similarity)) * (F.col("asize") + F.col("bsize")) - 1e-9) & (F.col("aid") > F.col("bid")) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9) & _agree(F.col("asketch"), F.col("bsketch"))
+    apart = (after >= F.lit(similarity / (1 + similarity)) * (F.col("asize") + F.col("bsize")) - 1e-9) & (F.col("aid") > F.col("bid")) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9) & _agree()
     # and of the rarest shingles that two lines share only the first makes the pair
     once = F.coalesce(F.get(F.array_intersect("afirst", "bfirst"), F.lit(0)) == F.col("x.h"), F.lit(True))
     pairs = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & once).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
@@ -209,9 +231,9 @@ def line_classes(lines: DataFrame, scratch: Scratch, similarity: float = SIMILAR
     each = own.select("id", F.explode_outer("bands").alias("band"))
     shared = scratch.table(each.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shared")
     banded = scratch.table(each.join(smaller_side(shared), "band"), "buckets")
-    wanted = scratch.table(own.select("id", "lid", "sketch").join(smaller_side(banded.select("id").distinct()), "id", "left_semi"), "wanted")
-    # one more pass over the texts, for those of the candidates
-    texts = scratch.table(lines.select("lid", "line").join(smaller_side(wanted.select("id", "lid")), "lid").select("id", "line").dropDuplicates(["id"]), "texts")
+    wanted = scratch.table(own.select("id", "lid", *SKETCH).join(smaller_side(banded.select("id").distinct()), "id", "left_semi"), "wanted")
+    # one more pass over the texts, for those of the candidates, with their numbers of different shingles
+    texts = scratch.table(lines.select("lid", "line").join(smaller_side(wanted.select("id", "lid")), "lid").select("id", "line").dropDuplicates(["id"]).withColumn("size", F.size(shingles(F.col("line")))), "texts")
     star = banded.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     links = scratch.table(_verified(_likely(star, wanted), texts, similarity), "links")
     comps = connected_components(links, scratch)
@@ -221,9 +243,9 @@ def line_classes(lines: DataFrame, scratch: Scratch, similarity: float = SIMILAR
         if not more.take(1):
             break
         comps = _joined(comps, more, scratch)
-    for links_of in (_few_links, _rest_links):
-        mixed = _mixed(banded, comps, scratch)
-        more = links_of(mixed, wanted, texts, similarity, scratch)
+    for links_of, some in ((_few_links, F.col("n") <= CROWD), (_rest_links, F.col("n") > CROWD)):
+        mixed = _mixed(banded.where(some), comps, scratch)
+        more = links_of(mixed, wanted, texts, similarity, scratch) if mixed.take(1) else mixed
         if more.take(1):
             comps = _joined(comps, more, scratch)
         scratch.drop(mixed)
@@ -241,8 +263,9 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, similarity: float, row
     classes = line_classes(lines, scratch, similarity)
     at = lines.select("doc_id", "row", "line_no", "lid").join(smaller_side(classes), "lid", "left").select("doc_id", "row", "line_no", F.coalesce("class", "lid").alias("class"))
     at = scratch.table(at, "places")
-    # most lines are alone in their class; of the others, a row a class
-    several = at.groupBy("class").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # most lines are alone in their class; of the others, a row a class.  Counts are hashed, while the least places are sorted: so they are taken of those lines alone
+    counts = scratch.table(at.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "counts")
+    several = at.join(smaller_side(counts), "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("keep"))
     several = scratch.table(several, "several")
     return at.join(smaller_side(several), "class", "left").select("doc_id", "row", "line_no", F.coalesce("keep", F.struct("doc_id", "row", "line_no")).alias("keep"))
 
