@@ -130,6 +130,18 @@ def test_lines_that_share_a_passage_and_a_large_near_group(spark, monkeypatch):
     assert got == want
 
 
+def test_lines_of_a_largest_component_meet_only_those_that_seek(spark):
+    rows = [(1, i, 1) for i in (1, 2, 3, 4)] + [(1, 9, 9), (2, 9, 9), (2, 10, 9), (2, 2, 1)]
+    seeks = op1_line_dedup._seeking(spark.createDataFrame(rows, "band long, id long, comp long"))
+    assert {(r.id, r.comp, r.seeks) for r in seeks.collect()} == {(1, 1, False), (2, 1, True), (3, 1, False), (4, 1, False), (9, 9, True), (10, 9, False)}
+    lines = [(1, "a" * 12 + "0123456789bc"), (3, "a" * 12 + "0123456789bc"), (9, "z" * 12 + "0123456789bd"), (2, "z" * 12 + "0123456789be")]
+    table = spark.createDataFrame(lines, "id long, line string").join(seeks, "id")
+    ranked = op1_line_dedup._rare_prefixes(table, 0.01)
+    assert {r.id for r in ranked.collect()} == {2, 9}  # what 1 and 3 share, no line that seeks has
+    plan = op1_line_dedup._rare_prefixes(spark.createDataFrame([], "id long, comp long, seeks boolean, line string"), 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # counts are not joined to every shingle of every line
+
+
 def test_lines_of_smaller_buckets_need_no_rare_shingles(spark, monkeypatch):
     rng, abc = random.Random(15), "abcdefghijklmnopqrstuvwxyz"
     text = lambda n: "".join(rng.choice(abc) for _ in range(n))

@@ -142,21 +142,23 @@ def _likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _rare_prefixes(lines: DataFrame, similarity: float) -> DataFrame:
-    """(id, comp, h, place, size, first): of each line, the rarest shingles among `lines`, so many that a similar line has one of its own rarest among them.
+    """(id, comp, seeks, h, place, size, first): of each line, the rarest shingles among `lines`, so many that a similar line has one of its own rarest among them.
 
     Two sets with Jaccard similarity s have s of each in common; so if either's
     shingles are put in one order, the first n - ceil(s n) + 1 of both meet.
-    A shingle that one line alone has meets nothing: such are counted, not ranked.
+    A shingle that one line alone has, or none that seeks, meets nothing: such are
+    counted, not ranked.
     first holds the `FIRST` rarest of these, in order.
     """
-    held = lines.withColumn("hs", shingles(F.col("line"))).select("id", "comp", F.size("hs").alias("size"), "hs")
-    each = held.select("id", "comp", "size", F.explode_outer("hs").alias("h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(counts, "h")
+    held = lines.withColumn("hs", shingles(F.col("line"))).select("id", "comp", "seeks", F.size("hs").alias("size"), "hs")
+    each = held.select("id", "comp", "seeks", "size", F.explode_outer("hs").alias("h"))
+    # counted where it lies, by shingle: a join with the counts would make every row once more
+    here = W.partitionBy("h")
+    shared = each.withColumn("df", F.count("*").over(here)).withColumn("met", F.max("seeks").over(here)).where("df > 1 and met")
     ranked = shared.withColumn("turn", F.row_number().over(W.partitionBy("id").orderBy("df", "h"))).withColumn("place", F.col("turn") + F.col("size") - F.count("*").over(W.partitionBy("id")))
     prefix = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1)
     first = F.collect_list(F.when(F.col("turn") <= FIRST, F.struct("turn", "h"))).over(W.partitionBy("id"))
-    return prefix.select("id", "comp", "h", "place", "size", F.transform(F.array_sort(first), lambda x: x["h"]).alias("first"))
+    return prefix.select("id", "comp", "seeks", "h", "place", "size", F.transform(F.array_sort(first), lambda x: x["h"]).alias("first"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -204,17 +206,29 @@ def _few_links(mixed: DataFrame, known: DataFrame, texts: DataFrame, similarity:
     return found
 
 
+def _seeking(mixed: DataFrame) -> DataFrame:
+    """(id, comp, seeks) of the lines of buckets: whether a line is outside the largest component of one of its buckets."""
+    most = mixed.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    return mixed.join(most, "band").groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("seeks"))
+
+
 def _rest_links(mixed: DataFrame, known: DataFrame, texts: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """The links that no comparison with a centre shows in larger buckets, as pairs of lines that share a rare shingle."""
-    left = scratch.table(mixed.select("id", "comp").distinct(), "rest")
+    """The links that no comparison with a centre shows in larger buckets, as pairs of lines that share a rare shingle.
+
+    Of two lines of a bucket that are of different components one at least seeks;
+    so the many lines of a largest component never meet each other.
+    """
+    left = scratch.table(_seeking(mixed), "rest")
     prefixes = scratch.table(_rare_prefixes(texts.drop("size").join(left, "id"), similarity).join(known.select("id", *SKETCH), "id"), "prefixes")
-    x, y = (prefixes.select("h", *[F.col(c).alias(k + c) for c in ("id", "comp", "place", "size", "first", *SKETCH)]) for k in "ab")
+    x, y = (prefixes.select("h", *[F.col(c).alias(k + c) for c in ("id", "comp", "seeks", "place", "size", "first", *SKETCH)]) for k in "ab")
     # the conditions are met inside the join: pairs of one component, of too different sizes, with unlike sketches, or with too few shingles from this place on, are never made
     after = 1 + F.least(F.col("asize") - F.col("aplace"), F.col("bsize") - F.col("bplace"))
-    apart = (after >= F.lit(similarity / (1 + similarity)) * (F.col("asize") + F.col("bsize")) - 1e-9) & (F.col("aid") > F.col("bid")) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9) & _agree()
+    apart = (after >= F.lit(similarity / (1 + similarity)) * (F.col("asize") + F.col("bsize")) - 1e-9) & (F.col("acomp") != F.col("bcomp")) & (F.least("asize", "bsize") >= F.lit(similarity) * F.greatest("asize", "bsize") - 1e-9) & _agree()
+    # two that seek meet once
+    apart = apart & (~F.col("bseeks") | (F.col("aid") > F.col("bid")))
     # and of the rarest shingles that two lines share only the first makes the pair
     once = F.coalesce(F.get(F.array_intersect("afirst", "bfirst"), F.lit(0)) == F.col("x.h"), F.lit(True))
-    pairs = x.alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & once).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
+    pairs = x.where("aseeks").alias("x").join(y.alias("y"), (F.col("x.h") == F.col("y.h")) & apart & once).select(F.col("aid").alias("a"), F.col("bid").alias("b")).distinct()
     found = scratch.table(_verified(pairs, texts, similarity), "links")
     scratch.drop(left, prefixes)
     return found
