@@ -46,7 +46,7 @@ from .components import connected_components
 
 WINDOW, BANDS, ROWS, SIMILARITY = 12, 10, 3, 0.8
 #: Sequences of places are made for pieces of a line with this many windows; so many windows are hashed in one row.
-PIECE, STEP = 4096, 32
+PIECE, STEP = 4096, 8
 #: Buckets with more lines than this get so many more centres; in smaller ones the minima of all lines are compared.
 CROWD, CENTRES = 128, 4
 #: Pairs with so few minima in common aren't similar.
