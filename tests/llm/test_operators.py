@@ -278,6 +278,28 @@ def test_nearest(spark):
     assert op3_ann.nearest(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_blocks_of_queries_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def table(self, df, name, *rest, f=Scratch.table):
+        if name == "found":
+            df.collect()  # the plan is the one that ran then
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(self, df, name, *rest)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    x = np.random.default_rng(6).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r["rank"]): r.vec_id for r in op3_ann.nearest(df, df.where("vec_id % 5 = 0"), shard_rows=32).collect()}
+    assert len(plans) == 1 and "isFinalPlan=true" in plans[0] and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    repeated = [x for x in plans[0].splitlines() if "Generate explode" in x]
+    assert repeated and not any("asked" in x or "queries" in x for x in repeated)  # keys alone
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    assert got == {(q, k + 1): v for q in range(0, 600, 5) for k, v in enumerate(np.argsort(-s[q])[:5].tolist())}
+
+
 def test_graph_by_insertion_finds_the_nearest():
     x = np.random.default_rng(7).normal(size=(2500, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

@@ -114,13 +114,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     blocks = 1 + asking.count() // BLOCK_ROWS
     asking = asking.withColumn("block", F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(blocks)).cast("int"))
     asking = asking.groupBy("width", "block").applyInPandas(_gather, "width int, block int, queries binary, asked binary")
-    asking = asking.where(shards.isNotNull()).withColumn("shard", F.explode(F.sequence(F.lit(0), shards - 1)))
+    asked = scratch.table(asking.where(shards.isNotNull()), "asked", "none")
+    # keys alone are repeated for each shard: what is exploded from one row is in memory at once, and the planner doesn't count it,
+    # so without the hints it may send queries times shards to the driver as a broadcast
+    meetings = asked.select("width", "block", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"))
+    met = meetings.join(asked.hint("merge"), ["width", "block"]).join(index.hint("merge"), ["width", "shard"])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a graph of megabytes
     try:
-        found = scratch.table(asking.join(index, ["width", "shard"]).mapInPandas(_searcher(k, ef), "query_id long, vec_id long, score double"), "found")
+        found = scratch.table(met.mapInPandas(_searcher(k, ef), "query_id long, vec_id long, score double"), "found")
     finally:
         small_batches(spark)
-    scratch.drop(index, reps)
+    scratch.drop(index, asked, reps)
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
